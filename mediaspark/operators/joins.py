@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.operators.packets import STREAM
-from mediaspark.operators.scan import CHUNK_ROWS, following, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, cut_lineage, following, previous, running
 
 # ------------------------------------------------------------------ helpers
 
@@ -331,15 +331,16 @@ def interpolate_pcr(
     refs = refs.select(
         *keys, order, F.struct(F.col("pcr").alias("p"), F.col(order).alias("o"), F.coalesce("__step", "__ps").alias("s")).alias("__ref")
     )
-    base = packets.join(refs, [*keys, order], "left")
+    refs = refs.withColumn("__k", F.lit(0))
+    first = refs.groupBy(*keys, "__k").agg(F.min_by("__ref", order).alias("__first"))
+    base = packets.join(refs.drop("__k"), [*keys, order], "left")
     base = running(base, keys, order, {"__back": ("last", F.col("__ref"))}, rows=rows)
-    base = running(base, keys, order, {"__ahead": ("first", F.col("__ref"))}, reverse=True, rows=rows)
-    ref = F.coalesce("__back", "__ahead")
-    out = base.withColumn("__r", ref)
+    base = base.withColumn("__k", F.lit(0)).join(first, [*keys, "__k"], "left")
+    out = base.withColumn("__r", F.coalesce("__back", "__first"))
     out = out.withColumn("clock", F.col("__r")["p"] + F.col("__r")["s"] * (F.col(order) - F.col("__r")["o"]))
     out = out.withColumn("step", F.col("__r")["s"])
     out = out.withColumn("bit_rate", F.floor(F.try_divide(F.lit(188 * 8 * 27e6), F.col("step"))))
-    return out.drop("__ref", "__back", "__ahead", "__r")
+    return out.drop("__ref", "__back", "__first", "__k", "__r")
 
 
 def copy_metadata(outputs: DataFrame, inputs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -379,15 +380,22 @@ def build_sample_table(
             F.struct(start.alias("start"), F.coalesce("__done", F.lit(0)).alias("done"), *fields).alias(name),
         )
 
-    chunks = stco.join(
-        stsc.select(key, F.col("first_chunk").alias("chunk_no"), F.col("count").alias("__n")), [key, "chunk_no"], "left"
+    # Samples ahead of a chunk: those of earlier runs plus the chunks since the run began.
+    per = F.col("count").cast("bigint")
+    runs = following(stsc, k, "first_chunk", {"__next": F.col("first_chunk")}, rows=rows)
+    runs = anchored_sum(runs, k, "first_chunk", "__done", F.lit(None).cast("bigint"), (F.col("__next") - F.col("first_chunk")) * per, rows=rows)
+    heads = runs.select(
+        key, F.col("first_chunk").alias("chunk_no"),
+        F.struct(F.col("first_chunk").alias("c"), per.alias("n"), F.col("__done").alias("d")).alias("__sc"),
     )
-    chunks = running(chunks, k, "chunk_no", {"__per": ("last", F.col("__n").cast("bigint"))}, rows=rows)
-    chunks = running(chunks, k, "chunk_no", {"__before": ("sum", F.col("__per"))}, include_current=False, rows=rows)
-    first = F.coalesce("__before", F.lit(0))
-    total = chunks.groupBy(key).agg(F.sum("__per").alias("__total"))
+    chunks = running(stco.join(heads, [key, "chunk_no"], "left"), k, "chunk_no", {"__in": ("last", F.col("__sc"))}, rows=rows)
+    sc = F.col("__in")
+    chunks = chunks.select(
+        key, "offset", sc["n"].alias("__per"), (sc["d"] + (F.col("chunk_no") - sc["c"]) * sc["n"]).alias("sample_no")
+    )
+    total = chunks.groupBy(key).agg(F.max(F.col("sample_no") + F.col("__per")).alias("__total"))
     # An empty chunk shares its first sample with the next one, which must win.
-    heads = chunks.filter("__per > 0").select(key, first.alias("sample_no"), F.col("offset").alias("__off"))
+    heads = chunks.filter("__per > 0").select(key, "sample_no", F.col("offset").alias("__off"))
 
     s = running(stsz, k, "sample_no", {"__sum": ("sum", F.col("size"))}, include_current=False, rows=rows)
     s = s.withColumn("__sum", F.coalesce("__sum", F.lit(0)))
@@ -412,7 +420,7 @@ def build_sample_table(
         comp = by_first_sample(ctts, F.lit(0).cast("bigint"), "__comp", [F.col("offset").cast("bigint").alias("offset")])
         s = s.join(comp, [key, "sample_no"], "left")
         values["__c"] = ("last", F.col("__comp"))
-    s = running(s, k, "sample_no", values, rows=rows)
+    s = running(cut_lineage(s), k, "sample_no", values, rows=rows)
     t = F.col("__t")
     dts = t["done"] + (F.col("sample_no") - t["start"]) * t["duration"]
     pts = dts + F.coalesce(F.col("__c")["offset"], F.lit(0)) if ctts is not None else dts

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.functions.timebase import rescale
-from mediaspark.operators.scan import CHUNK_ROWS, chunk_id, number_rows, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, chunk_id, number_rows, previous, running
 
 STREAM = ("stream_id", "stream_index")
 DISCARD_LEVELS = ("none", "nonref", "bidir", "nonkey", "all")
@@ -121,13 +121,8 @@ def repair_timestamps(
     pts, dts = F.col("pts"), F.col("dts")
     fixed = df.withColumn("dts", F.when(dts > pts, dts - F.lit(1 << wrap_bits)).otherwise(dts))
     fixed = fixed.withColumn("__known", F.coalesce(pts, F.col("dts")))
-    summed = running(
-        fixed, keys, order, {"__sum": ("sum", F.col(duration))}, include_current=False, rows=rows
-    ).withColumn("__sum", F.coalesce("__sum", F.lit(0)))
-    anchor = F.when(F.col("__known").isNotNull(), F.col("__known") - F.col("__sum"))
-    anchored = running(summed, keys, order, {"__base": ("last", anchor)}, rows=rows)
-    time = F.coalesce("__base", F.lit(0)) + F.col("__sum")
-    return anchored.withColumn("pts", time).withColumn("dts", F.col("pts")).drop("__known", "__sum", "__base")
+    timed = anchored_sum(fixed, keys, order, "__time", F.col("__known"), F.col(duration), rows=rows)
+    return timed.withColumn("pts", F.col("__time")).withColumn("dts", F.col("__time")).drop("__known", "__time")
 
 
 def backfill_initial(

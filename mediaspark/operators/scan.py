@@ -128,6 +128,65 @@ def running(
     return out.drop(_CHUNK, *[f"__{p}{i}" for p in "vlc" for i in range(n)])
 
 
+def anchored_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    name: str,
+    anchor: Column,
+    step: Column,
+    *,
+    default: int | None = 0,
+    rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Value of the nearest anchor at or before a row plus the steps since it.
+
+    A row with an anchor gets the anchor; the next one the anchor plus the first
+    row's step, and so on.  Ahead of the first anchor the sum starts at
+    ``default``.  One pass: a chunk hands on its total and its last anchor.
+    """
+    keys = list(keys)
+    base = df.withColumn(_CHUNK, chunk_id(order, rows)).withColumn("__a", anchor).withColumn("__s", step)
+    w = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    before = F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = base.withColumn("__p", before)
+    # The anchor less the steps ahead of it, so that adding a prefix gives the value.
+    base = base.withColumn("__r", F.when(F.col("__a").isNotNull(), F.col("__a") - F.col("__p")))
+    local = base.withColumn("__lr", F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = base.groupBy(*keys, _CHUNK).agg(
+        F.coalesce(F.sum("__s"), F.lit(0)).alias("__tot"),
+        F.max_by("__r", F.when(F.col("__r").isNotNull(), F.col(order))).alias("__rel"),
+    )
+    wc = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__off", F.coalesce(F.sum("__tot").over(wc), F.lit(0)))
+    carried = F.last(F.when(F.col("__rel").isNotNull(), F.col("__rel") - F.col("__off")), ignorenulls=True).over(wc)
+    carry = summary.select(*keys, _CHUNK, "__off", carried.alias("__cr"))
+    out = _join_carry(local, carry, [*keys, _CHUNK])
+    start = F.coalesce("__cr", F.lit(default).cast("bigint")) + F.col("__off")
+    return out.withColumn(name, F.coalesce("__lr", start) + F.col("__p")).drop(
+        _CHUNK, "__a", "__s", "__p", "__r", "__lr", "__off", "__cr"
+    )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read, to the shared checkpoint folder.
+
+    The folder is the session's ``spark.checkpoint.dir``; a folder of its own is
+    set only where the session names none and runs on one machine.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="mediaspark-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def previous(
     df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column], *, rows: int = CHUNK_ROWS
 ) -> DataFrame:

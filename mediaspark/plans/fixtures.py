@@ -81,6 +81,16 @@ def v_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def v_lines16(spark: SparkSession, d: str) -> DataFrame:
+    """As ``v_lines`` with 16 lines per picture, for block operators."""
+    return v_lines(spark, d).select(
+        ((F.col("stream_id") * 100 + F.col("frame_no") * 10 + F.col("line_no"))).alias("__v"), "plane", "px"
+    ).select(
+        F.expr("__v div 160").alias("stream_id"), F.expr("__v div 16 % 10").alias("frame_no"), "plane",
+        (F.col("__v") % 16).alias("line_no"), "px",
+    )
+
+
 def v_fields(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
     return events(spark, d).select(
@@ -266,6 +276,10 @@ SQL: dict[str, str] = {
         vec_id % 10 AS line_no, list_transform(embedding, lambda x:
         CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 128))) AS INTEGER)) AS px FROM embeddings""",
     "v_px": """SELECT stream_id, frame_no, plane, line_no, unnest(range(64)) AS x, unnest(px) AS p FROM v_lines""",
+    "v_lines16": """SELECT (stream_id * 100 + frame_no * 10 + line_no) // 160 AS stream_id,
+        (stream_id * 100 + frame_no * 10 + line_no) // 16 % 10 AS frame_no, plane,
+        (stream_id * 100 + frame_no * 10 + line_no) % 16 AS line_no, px FROM v_lines""",
+    "v_px16": """SELECT stream_id, frame_no, plane, line_no, unnest(range(64)) AS x, unnest(px) AS p FROM v_lines16""",
     "v_fields": """SELECT event_id // 50 AS stream_id, event_id % 50 AS field_no, event_id % 2 = 0 AS is_top,
         CASE event_type WHEN 'view' THEN 'AFTERNEXT_32' WHEN 'click' THEN 'NEXT_32' WHEN 'purchase' THEN 'PREV_32'
         WHEN 'signup' THEN 'NEXT_22' ELSE 'PREV_22' END AS hint FROM events""",
@@ -324,6 +338,8 @@ def sql(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in needed)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -67,6 +67,7 @@ def session():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
@@ -95,7 +96,7 @@ def main():
         try:
             ok, msg = compare(spark, sf_dir, con, name, fn, sqls.get(name))
         except Exception as e:  # report and go on
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:600]}"
+            ok, msg = False, f"{type(e).__name__}: " + " | ".join(x for x in str(e).splitlines() if "Exception" in x or "Error" in x or "[" in x)[:900]
         print("ok  " if ok else "FAIL", name, msg, flush=True)
         if not ok:
             bad.append(name)
