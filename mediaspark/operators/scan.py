@@ -10,6 +10,8 @@ helpers here cut a stream into chunks of its integer order column
 * ``neighbours`` - windows that look a bounded number of rows back or ahead: the
   rows next to a chunk border are copied into the next chunk before the shuffle;
 * ``number_rows`` - dense row numbers from counts per cell.
+
+Key columns name a stream and must not be null.
 """
 
 from __future__ import annotations
@@ -31,13 +33,8 @@ def chunk_id(order: str, rows: int = CHUNK_ROWS) -> Column:
 
 
 def _join_carry(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on null-safe keys; the right side is unique per key."""
-    renamed = right
-    cond = F.lit(True)
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-        cond = cond & left[k].eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
+    """Left join of one row per key; plain equality keeps the left side's partitioning."""
+    return left.join(right, list(keys), "left")
 
 
 _AGGS: dict[str, Callable[[Column, Column], Column]] = {

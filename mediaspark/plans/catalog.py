@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from mediaspark.plans import join_queries, line_queries, packet_queries  # noqa: F401
+from mediaspark.plans import audio_queries, join_queries, line_queries, packet_queries, stat_queries  # noqa: F401
 from mediaspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
