@@ -7,6 +7,8 @@ ones over one line of the pictures next to each other, cut into chunks.
 
 from __future__ import annotations
 
+import base64
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaspark.operators.joins import align_pair  # noqa: F401  (element-wise pairing of raw streams)
+from mediaspark.operators.fold import Fold, fold_stream
 from mediaspark.operators.scan import CHUNK_ROWS, neighbours, with_halo
 
 PICTURE = ("stream_id", "frame_no", "plane")
@@ -439,6 +441,112 @@ def shrink(df: DataFrame, by: int, *, keys: Sequence[str] = PICTURE) -> DataFram
     return g.groupBy(*keys, "line_no").agg(line.alias("px"))
 
 
+def axis_weights(source: int, target: int, bits: int = 14) -> list[tuple[int, int, int]]:
+    """(target, source, weight) of a bilinear scaler along one axis.
+
+    Weights are fixed point and add up to ``2**bits`` per target.  Shrinking widens
+    the triangle, so that every source position counts.
+    """
+    ratio = source / target
+    reach = max(ratio, 1.0)
+    out = []
+    for t in range(target):
+        centre = (t + 0.5) * ratio - 0.5
+        low, high = math.floor(centre - reach) + 1, math.ceil(centre + reach) - 1
+        merged: dict[int, float] = {}
+        for i in range(low, high + 1):
+            at = min(max(i, 0), source - 1)
+            merged[at] = merged.get(at, 0.0) + 1.0 - abs(i - centre) / reach
+        total = sum(merged.values())
+        fixed = {i: round(w / total * (1 << bits)) for i, w in sorted(merged.items())}
+        heaviest = max(fixed, key=lambda i: (fixed[i], -i))
+        fixed[heaviest] += (1 << bits) - sum(fixed.values())
+        out += [(t, i, w) for i, w in fixed.items()]
+    return out
+
+
+def scale(df: DataFrame, width: int, height: int, new_width: int, new_height: int, *, keys: Sequence[str] = PICTURE) -> DataFrame:
+    """Bilinear scaling of planes of one size; rows are widened first, then mixed.
+
+    Weights are constants of the plan, as many as the picture has columns and rows.
+    """
+    taps: list[list[tuple[int, int]]] = [[] for _ in range(new_width)]
+    for t, i, w in axis_weights(width, new_width):
+        taps[t].append((i, w))
+    pair = lambda a, b, i, w: F.struct(F.lit(i).alias(a), F.lit(w).alias(b))
+    table = F.array(*[F.array(*[pair("i", "w", i, w) for i, w in c]) for c in taps])
+    zero = F.lit(0).cast("bigint")
+    wide = F.transform(table, lambda c: F.aggregate(c, zero, lambda s, t: s + (F.get("px", t["i"]) * t["w"]).cast("bigint")))
+    uses: list[list[tuple[int, int]]] = [[] for _ in range(height)]
+    for t, i, w in axis_weights(height, new_height):
+        uses[i].append((t, w))
+    target = F.get(F.array(*[F.array(*[pair("t", "w", t, w) for t, w in u]) for u in uses]), F.col("line_no").cast("int"))
+    sent = df.select(*keys, wide.alias("__v"), F.explode(target).alias("__t"))
+    sent = sent.select(*keys, F.col("__t.t").cast("bigint").alias("line_no"), F.transform("__v", lambda v: v * F.col("__t.w")).alias("__v"))
+    # A target line meets a bounded number of source lines.
+    g = sent.groupBy(*keys, "line_no").agg(F.collect_list("__v").alias("__vs"))
+    total = F.aggregate("__vs", F.array_repeat(zero, new_width), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return g.select(*keys, "line_no", F.transform(total, lambda v: _clip(F.shiftright(v + (1 << 27), 28))).alias("px"))
+
+
+def denoise_fold(limits: tuple[int, int, int]) -> Fold:
+    """Blend pictures with their running average, block by block (see ``temporal_denoise``)."""
+
+    def fold(state, cols):
+        mean = past = None
+        if state:
+            shape = tuple(state[0])
+            mean = np.frombuffer(base64.b64decode(state[1]), np.uint8).reshape(shape).astype(np.int64)
+            past = np.asarray(state[2], dtype=np.int64)
+        out = []
+        for rows in cols["lines"]:
+            cur = np.stack([np.asarray(r) for r in rows]).astype(np.int64)
+            h, w = cur.shape[0] // 8, cur.shape[1] // 8
+            if mean is None or mean.shape != cur.shape:
+                mean, past = np.zeros_like(cur), np.zeros((h, w), dtype=np.int64)
+            body = cur[: h * 8, : w * 8]
+            ref = mean[: h * 8, : w * 8]
+            sse = ((ref - body) ** 2).reshape(h, 8, w, 8).sum(axis=(1, 3))
+            up = np.pad(sse, ((1, 0), (0, 0)))[:-1]
+            left = np.pad(sse, ((0, 0), (1, 0)))[:, :-1]
+            down = np.pad(past, ((0, 1), (0, 0)))[1:]
+            right = np.pad(past, ((0, 0), (0, 1)))[:, 1:]
+            d = (4 * sse + up + left + right + down + 4) >> 3
+            past = sse
+            grid = np.kron(d, np.ones((8, 8), dtype=np.int64))
+            low, mid, high = limits
+            mixed = np.where(
+                grid > mid,
+                np.where(grid < high, (ref + body + 1) >> 1, body),
+                np.where(grid < low, (ref * 7 + body + 4) >> 3, (ref * 3 + body + 2) >> 2),
+            )
+            res = cur.copy()
+            res[: h * 8, : w * 8] = mixed
+            mean = mean.copy()
+            mean[: h * 8, : w * 8] = mixed
+            out.append([r.tolist() for r in res])
+        return [list(mean.shape), base64.b64encode(mean.astype(np.uint8).tobytes()).decode(), past.tolist()], {"done": out}
+
+    return fold
+
+
+def temporal_denoise(
+    df: DataFrame, *, limits: tuple[int, int, int] = (700, 1500, 3000), keys: Sequence[str] = ("stream_id", "plane"), order: str = "frame_no",
+    rows: int = 256,
+) -> DataFrame:
+    """Average each 8x8 block with its past, the less it changes the more.
+
+    A block's change is its squared difference to the running average, eased by
+    its neighbours: those above and left of this picture, those right and below of
+    the last one.  Another picture size starts over.
+    """
+    # A picture's lines: bounded by its height.
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "px"))), lambda s: s["px"])
+    pictures = df.groupBy(*keys, order).agg(lines.alias("lines"))
+    folded = fold_stream(pictures, keys, order, ["lines"], denoise_fold(limits), "done array<array<int>>", rows=rows)
+    return folded.select(*keys, order, F.posexplode("done").alias("line_no", "px")).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
 def rgb_to_yuv(df: DataFrame) -> DataFrame:
     """Full-resolution planes of ``r, g, b`` lines, 16-bit fixed point."""
     def fixed(v: float) -> int:

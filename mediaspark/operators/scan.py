@@ -16,9 +16,10 @@ Key columns name a stream and must not be null.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one stream that are handled as one group.
@@ -86,43 +87,25 @@ def running(
     is unique per key.
     """
     keys = list(keys)
-    base = df.withColumn(_CHUNK, chunk_id(order, rows))
-    for i, (_, col) in enumerate(values.values()):
-        base = base.withColumn(f"__v{i}", col)
-    o = F.col(order)
-    edge = -1 if not include_current else 0
+    kinds = [k for k, _ in values.values()]
+    base = df.withColumns({_CHUNK: chunk_id(order, rows), **{f"__v{i}": c for i, (_, c) in enumerate(values.values())}})
+    o, c = F.col(order), F.col(_CHUNK)
     w = (
         Window.partitionBy(*keys, _CHUNK)
         .orderBy(o.desc() if reverse else o.asc())
-        .rowsBetween(Window.unboundedPreceding, edge)
+        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
-    local = base
-    for i, (kind, _) in enumerate(values.values()):
-        local = local.withColumn(f"__l{i}", _window_agg(kind, F.col(f"__v{i}")).over(w))
+    local = base.withColumns({f"__l{i}": _window_agg(k, F.col(f"__v{i}")).over(w) for i, k in enumerate(kinds)})
+    wc = Window.partitionBy(*keys).orderBy(c.desc() if reverse else c.asc()).rowsBetween(Window.unboundedPreceding, -1)
     summary = base.groupBy(*keys, _CHUNK).agg(
-        *[_AGGS[k](F.col(f"__v{i}"), o).alias(f"__s{i}") for i, (k, _) in enumerate(values.values())]
-    )
-    c = F.col(_CHUNK)
-    wc = (
-        Window.partitionBy(*keys)
-        .orderBy(c.desc() if reverse else c.asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = summary.select(
-        *keys,
-        _CHUNK,
-        *[
-            _window_agg(k, F.col(f"__s{i}")).over(wc).alias(f"__c{i}")
-            if k != "count"
-            else F.sum(f"__s{i}").over(wc).alias(f"__c{i}")
-            for i, (k, _) in enumerate(values.values())
-        ],
+        *[_AGGS[k](F.col(f"__v{i}"), o).alias(f"__s{i}") for i, k in enumerate(kinds)]
     )
+    over_chunks = lambda k, s: (F.sum(s) if k == "count" else _window_agg(k, s)).over(wc)
+    carry = summary.select(*keys, _CHUNK, *[over_chunks(k, F.col(f"__s{i}")).alias(f"__c{i}") for i, k in enumerate(kinds)])
     out = _join_carry(local, carry, [*keys, _CHUNK])
-    for i, (name, (kind, _)) in enumerate(values.items()):
-        out = out.withColumn(name, _merge(kind, F.col(f"__c{i}"), F.col(f"__l{i}")))
-    n = len(values)
-    return out.drop(_CHUNK, *[f"__{p}{i}" for p in "vlc" for i in range(n)])
+    kept = [x for x in df.columns if x not in values]
+    done = [_merge(k, F.col(f"__c{i}"), F.col(f"__l{i}")).alias(n) for i, (n, (k, _)) in enumerate(values.items())]
+    return out.select(*kept, *done)
 
 
 def anchored_sum(
@@ -143,7 +126,7 @@ def anchored_sum(
     ``default``.  One pass: a chunk hands on its total and its last anchor.
     """
     keys = list(keys)
-    base = df.withColumn(_CHUNK, chunk_id(order, rows)).withColumn("__a", anchor).withColumn("__s", step)
+    base = df.withColumns({_CHUNK: chunk_id(order, rows), "__a": anchor, "__s": step})
     w = Window.partitionBy(*keys, _CHUNK).orderBy(order)
     before = F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = base.withColumn("__p", before)
@@ -160,27 +143,30 @@ def anchored_sum(
     carry = summary.select(*keys, _CHUNK, "__off", carried.alias("__cr"))
     out = _join_carry(local, carry, [*keys, _CHUNK])
     start = F.coalesce("__cr", F.lit(default).cast("bigint")) + F.col("__off")
-    return out.withColumn(name, F.coalesce("__lr", start) + F.col("__p")).drop(
-        _CHUNK, "__a", "__s", "__p", "__r", "__lr", "__off", "__cr"
-    )
+    kept = [x for x in df.columns if x != name]
+    return out.select(*kept, (F.coalesce("__lr", start) + F.col("__p")).alias(name))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame that several later steps read, to the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors can reach.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of its own is
-    set only where the session names none and runs on one machine.
+    A folder of its own is made only where the session names none and runs on one
+    machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="mediaspark-checkpoint-")
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="mediaspark-checkpoint-")
         sc.setCheckpointDir(shared)
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read, to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -190,9 +176,7 @@ def previous(
     """The value of the row before, also where the order column has gaps."""
     wrapped = {n: ("last", F.struct(c.alias("v"))) for n, c in values.items()}
     out = running(df, keys, order, wrapped, include_current=False, rows=rows)
-    for n in values:
-        out = out.withColumn(n, F.col(n)["v"])
-    return out
+    return out.withColumns({n: F.col(n)["v"] for n in values})
 
 
 def following(
@@ -201,9 +185,7 @@ def following(
     """The value of the row after, also where the order column has gaps."""
     wrapped = {n: ("first", F.struct(c.alias("v"))) for n, c in values.items()}
     out = running(df, keys, order, wrapped, include_current=False, reverse=True, rows=rows)
-    for n in values:
-        out = out.withColumn(n, F.col(n)["v"])
-    return out
+    return out.withColumns({n: F.col(n)["v"] for n in values})
 
 
 def with_halo(
@@ -244,8 +226,7 @@ def neighbours(
     """
     out = with_halo(df, order, before, after, rows=rows)
     w = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    for name, fn in columns.items():
-        out = out.withColumn(name, fn(w))
+    out = out.withColumns({name: fn(w) for name, fn in columns.items()})
     return out.filter("__own").drop(_CHUNK, "__own")
 
 
@@ -266,9 +247,7 @@ def number_rows(
     """
     keys = list(keys)
     lv = [f"__lv{i}" for i in range(len(levels))]
-    base = df
-    for n, e in zip(lv, levels):
-        base = base.withColumn(n, e)
+    base = df.withColumns(dict(zip(lv, levels)))
     counts = base.groupBy(*keys, *lv).agg(F.count(F.lit(1)).alias("__n"))
     shift = None
     for depth in range(len(lv)):
@@ -288,6 +267,5 @@ def number_rows(
     w = Window.partitionBy(*keys, *lv).orderBy(*order)
     local = base.withColumn("__rn", F.row_number().over(w))
     out = _join_carry(local, shift, [*keys, *lv])
-    return out.withColumn(
-        name, F.col("__rn").cast("bigint") + F.col("__before") + F.lit(start - 1).cast("bigint")
-    ).drop("__rn", "__before", *lv)
+    number = F.col("__rn").cast("bigint") + F.col("__before") + F.lit(start - 1).cast("bigint")
+    return out.select(*[x for x in df.columns if x != name], number.alias(name))

@@ -6,10 +6,10 @@ import zlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaspark.operators.scan import CHUNK_ROWS, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, chunk_id, cut_lineage, neighbours, previous, running
 
 PACKET = 188
 SYNC = 0x47
@@ -77,6 +77,11 @@ def _units(df: DataFrame, keys: Sequence[str], order: str, rows: int) -> DataFra
     return out
 
 
+def _joined(order: str) -> Column:
+    """Aggregate: the bytes ``b`` of a group's packets in order, as hex digits."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.hex("b").alias("h")))), lambda s: s["h"]), "")
+
+
 def assemble_sections(
     df: DataFrame, *, keys: Sequence[str] = ("stream_id", "pid"), order: str = "packet_no", rows: int = CHUNK_ROWS, check_crc: bool = True
 ) -> DataFrame:
@@ -104,12 +109,16 @@ def assemble_sections(
     )
     parts = df.select(*keys, F.explode(F.array(own, tail)).alias("e")).filter("e.ok AND e.u > 0")
     unit = parts.select(*keys, F.col("e.u").alias("unit"), F.col("e.o").alias(order), F.col("e.b").alias("b"))
-    # A section has at most 4096 bytes: later packets of a unit cannot belong to it.
-    unit = running(
-        unit, [*keys, "unit"], order, {"__got": ("sum", F.octet_length("b").cast("bigint"))}, include_current=False, rows=rows
-    ).filter(F.coalesce("__got", F.lit(0)) < SECTION_MAX)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.hex("b").alias("h")))), lambda s: s["h"]), "")
-    g = unit.groupBy(*keys, "unit").agg(F.min(order).alias("first_packet"), F.unhex(joined).alias("data"))
+    # A section has at most 4096 bytes, so parts of a unit are joined up to that size
+    # first and later parts of a unit that never ends are left out.
+    part = chunk_id(order, 8192).alias("__part")
+    small = unit.groupBy(*keys, "unit", part).agg(
+        F.min(order).alias("__at"), F.substring(_joined(order), 1, 2 * SECTION_MAX).alias("__hex")
+    )
+    w = Window.partitionBy(*keys, "unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.withColumn("__got", F.coalesce(F.sum(F.length("__hex")).over(w), F.lit(0))).filter(F.col("__got") < 2 * SECTION_MAX)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "__hex"))), lambda s: s["__hex"]), "")
+    g = small.groupBy(*keys, "unit").agg(F.min("__at").alias("first_packet"), F.unhex(whole).alias("data"))
     length = bytes_at(F.col("data"), 1, 2).bitwiseAND(F.lit(0xFFF)) + 3
     g = g.filter(F.octet_length("data") >= 3).withColumn("__len", length.cast("int"))
     g = g.filter((F.octet_length("data") >= F.col("__len")) & (F.col("__len") <= SECTION_MAX))
@@ -149,8 +158,8 @@ def assemble_pes(
     broken = F.max(F.col("discontinuity") & ~F.col("pusi")).alias("__broken")
     # A break opens a unit of its own, so the unit before it has lost its end.
     next_break = df.filter(F.col("discontinuity") & ~F.col("pusi")).select(*keys, (F.col("unit") - 1).alias("unit"), F.lit(True).alias("__cut"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.hex("payload").alias("h")))), lambda s: s["h"]), "")
-    g = df.filter("unit > 0").groupBy(*keys, "unit").agg(F.min(order).alias("first_packet"), broken, F.unhex(joined).alias("data"))
+    df = df.withColumn("b", F.col("payload"))
+    g = df.filter("unit > 0").groupBy(*keys, "unit").agg(F.min(order).alias("first_packet"), broken, F.unhex(_joined(order)).alias("data"))
     g = g.filter(~F.col("__broken")).join(next_break, [*keys, "unit"], "left").filter(F.col("__cut").isNull()).drop("__broken", "__cut")
     size = bytes_at(F.col("data"), 4, 2)
     full = F.when(size > 0, size + 6).otherwise(F.octet_length("data"))
@@ -164,17 +173,18 @@ def complete_tables(
 
     A change of extension, version or last section number, or a discontinuity,
     starts the collection over.  Until a table is complete a repeated section
-    replaces the earlier one; later ones do not count.
+    replaces the earlier one; later ones do not count.  Needs consecutive numbers.
     """
     keys = list(keys)
     s = sections
     if "disc" not in s.columns:
         s = s.withColumn("disc", F.lit(False))
-    mark = F.struct("extension", "version", "last_no")
-    s = previous(s.withColumn("__id", mark), keys, order, {"__pid": F.col("__id")}, rows=rows)
+    s = s.withColumn("__id", F.struct("extension", "version", "last_no"))
+    s = neighbours(s, keys, order, 1, 0, {"__pid": lambda w: F.lag("__id").over(w)}, rows=rows)
     fresh = F.col("__pid").isNull() | ~F.col("__id").eqNullSafe(F.col("__pid")) | F.col("disc")
     s = running(s, keys, order, {"epoch": ("count", F.when(fresh, 1))}, rows=rows).drop("__id", "__pid")
-    s = s.filter(F.col("section_no") <= F.col("last_no"))
+    # Read twice below.
+    s = cut_lineage(s.filter(F.col("section_no") <= F.col("last_no")))
     e = [*keys, "epoch"]
     seen = s.groupBy(*e, "section_no", "last_no").agg(F.min(order).alias("__first"))
     done = seen.groupBy(*e).agg(

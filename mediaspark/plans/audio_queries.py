@@ -12,6 +12,7 @@ from mediaspark.functions import timebase as Tb
 from mediaspark.operators import audio as Au
 from mediaspark.operators import cues as C
 from mediaspark.operators import transport as T
+from mediaspark.operators.scan import chunk_id, number_rows
 from mediaspark.plans import fixtures as X
 from mediaspark.plans.registry import query, values
 
@@ -108,28 +109,21 @@ def section_packets(spark, d):
     def seal(s: pd.Series) -> pd.Series:
         return s.map(lambda b: bytes(b) + T.crc32_mpeg(bytes(b)).to_bytes(4, "big"))
 
-    e = X.events(spark, d).select("event_id", (F.col("user_id") % 8).alias("pid"))
+    # A pointer byte, 8 bytes of head, the digests and 4 bytes of CRC in payloads of 184.
+    n = F.ceil((F.lit(13) + (F.col("event_id") % 8 + 1) * 32) / F.lit(184)).cast("int")
+    p = X.events(spark, d).select("event_id", (F.col("user_id") % 8).alias("pid"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    p = p.withColumn("packet_no", F.col("event_id") * 8 + F.col("k"))
+    p = number_rows(p, ["pid"], ["packet_no"], [chunk_id("packet_no")], "__n").withColumn("cc", (F.col("__n") % 16).cast("int"))
+    p = p.filter(~((F.col("event_id") % 23 == 0) & (F.col("k") == 1)))
     digest = F.sha2(F.col("event_id").cast("string"), 256)
     body = F.unhex(F.repeat(digest, (F.col("event_id") % 8 + 1).cast("int")))
-    size = F.octet_length(body) + 9
     two = lambda v: F.unhex(F.lpad(F.hex(v.cast("bigint")), 4, "0"))
-    head = F.concat(
-        F.unhex(F.lit("42")), two(size + 0xB000), two(F.col("event_id") % 65536), F.unhex(F.lit("C10000"))
+    head = F.concat(F.unhex(F.lit("42")), two(F.octet_length(body) + 9 + 0xB000), two(F.col("event_id") % 65536), F.unhex(F.lit("C10000")))
+    full = F.concat(F.unhex(F.lit("00")), seal(F.concat(head, body)))
+    return p.select(
+        F.lit(0).alias("stream_id"), "pid", "packet_no", "cc", (F.col("k") == 0).alias("pusi"),
+        F.substring(full, F.col("k") * 184 + 1, F.lit(184)).alias("payload"),
     )
-    s = e.withColumn("section", seal(F.concat(head, body)))
-    # Pointer byte 0, then the section in payloads of up to 184 bytes.
-    full = F.concat(F.unhex(F.lit("00")), F.col("section"))
-    n = F.ceil(F.octet_length(full) / F.lit(184)).cast("int")
-    p = s.withColumn("__f", full).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    p = p.select(
-        F.lit(0).alias("stream_id"), "pid", "event_id", "k", (F.col("event_id") * 8 + F.col("k")).alias("packet_no"), (F.col("k") == 0).alias("pusi"),
-        F.substring("__f", F.col("k") * 184 + 1, F.lit(184)).alias("payload"),
-    )
-    from mediaspark.operators.scan import chunk_id, number_rows
-
-    p = number_rows(p, ["pid"], ["packet_no"], [chunk_id("packet_no")], "__n")
-    p = p.withColumn("cc", (F.col("__n") % 16).cast("int"))
-    return p.filter(~((F.col("event_id") % 23 == 0) & (F.col("k") == 1))).drop("__n")
 
 
 @query(
@@ -147,8 +141,6 @@ def assemble_sections(spark, d):
 
 
 def table_sections(spark, d):
-    from mediaspark.operators.scan import chunk_id, number_rows
-
     li = X.table(spark, d, "lineitem").filter("l_linenumber <= 4")
     s = li.select(
         F.col("l_partkey").alias("pid"), F.col("l_orderkey").alias("payload"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),

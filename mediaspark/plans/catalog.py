@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from mediaspark.plans import audio_queries, join_queries, line_queries, packet_queries, stat_queries  # noqa: F401
+from mediaspark.plans import (  # noqa: F401
+    audio_queries,
+    join_queries,
+    line_queries,
+    packet_queries,
+    source_queries,
+    stat_queries,
+)
 from mediaspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,9 @@ def events(spark, d):
 
 
 def v_packets(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).select(
+    """Packets in arrival order; ``seq`` has gaps within a stream."""
+    return events(spark, d).select(
+        F.col("event_id").alias("seq"),
         F.col("user_id").alias("stream_id"),
         "event_id",
         F.when(F.col("event_type") == "view", 0)
@@ -44,7 +46,11 @@ def v_packets(spark: SparkSession, d: str) -> DataFrame:
         (F.col("event_type") == "purchase").alias("is_key"),
         (F.col("event_type") == "error").alias("disc"),
     )
-    return number_rows(e, ["stream_id"], ["event_id"], [chunk_id("event_id")])
+
+
+def v_packets_n(spark: SparkSession, d: str) -> DataFrame:
+    """Packets with consecutive numbers per stream."""
+    return number_rows(v_packets(spark, d), ["stream_id"], ["event_id"], [chunk_id("event_id")])
 
 
 def v_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -260,12 +266,13 @@ def v_rtp(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
-    "v_packets": """SELECT user_id AS stream_id, event_id,
-        CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS stream_index,
-        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, epoch_us(ts) AS dts,
+    "v_packets": """SELECT user_id AS stream_id, event_id, event_id AS seq,
+        CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS stream_index, epoch_us(ts) AS dts,
         CASE WHEN event_id % 7 = 0 THEN NULL ELSE epoch_us(ts) + 40000 * (event_id % 3) END AS pts,
         CAST(floor(value * 100) AS BIGINT) AS size, event_type = 'purchase' AS is_key,
         event_type = 'error' AS disc FROM events""",
+    "v_packets_n": """SELECT * REPLACE (row_number() OVER (PARTITION BY stream_id ORDER BY event_id) AS seq)
+        FROM v_packets""",
     "v_streams": """SELECT s_suppkey AS stream_id, l_linenumber AS stream_index,
         CASE WHEN l_linenumber = 1 THEN 'video' WHEN l_linenumber < 4 THEN 'audio' ELSE 'data' END AS codec_type,
         min(epoch_us(l_shipdate)) AS start_time,

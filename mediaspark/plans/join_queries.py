@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediaspark.operators import joins as J
 from mediaspark.operators import packets as P
+from mediaspark.operators.scan import cut_lineage
 from mediaspark.plans import fixtures as X
 from mediaspark.plans.registry import query, values
 
@@ -293,7 +294,7 @@ def copy_metadata(spark, d):
          is_key, CAST(sample_no - max(CASE WHEN is_key THEN sample_no END) OVER (PARTITION BY stream_id ORDER BY sample_no) AS BIGINT) AS min_distance FROM k""",
 )
 def build_sample_table(spark, d):
-    runs = X.v_runs(spark, d)
+    runs = cut_lineage(X.v_runs(spark, d))
     stts = runs.withColumn("count", F.col("count") % 5 + 1)
     total = stts.groupBy("stream_id").agg(F.sum("count").alias("n"))
     samples = total.select("stream_id", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample_no"))

@@ -13,12 +13,12 @@ from mediaspark.plans.registry import query, values
 
 def grid_packets(spark, d):
     """Packets whose times sit near a 25 Hz grid, one lattice per stream."""
-    p = X.v_packets(spark, d)
+    p = X.v_packets_n(spark, d)
     t = F.col("seq") * 40000 + (F.col("event_id") % 3 - 1) * 2000
     return p.select("stream_id", "stream_index", "seq", t.alias("dts"), F.lit(40000).alias("duration"))
 
 
-GRID = """WITH g AS (SELECT stream_id, stream_index, seq, seq * 40000 + (event_id % 3 - 1) * 2000 AS dts FROM v_packets),
+GRID = """WITH g AS (SELECT stream_id, stream_index, seq, seq * 40000 + (event_id % 3 - 1) * 2000 AS dts FROM v_packets_n),
   r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, stream_index ORDER BY seq) AS k FROM g),
   f AS (SELECT stream_id, stream_index, max(dts) FILTER (k = 1) AS p0, max(dts) FILTER (k = 2) AS p1 FROM r GROUP BY ALL),
   d AS (SELECT r.stream_id, r.stream_index, r.seq, CASE WHEN k = 2 THEN dts - p0 ELSE dts - p1 END AS gap FROM r JOIN f USING (stream_id, stream_index)
@@ -91,12 +91,12 @@ def size_predictor(spark, d):
 
 @query(
     "smooth_same_type",
-    """WITH f AS (SELECT stream_id, seq, event_id % 31 + 1 AS q, stream_index AS t FROM v_packets)
+    """WITH f AS (SELECT stream_id, seq, event_id % 31 + 1 AS q, stream_index AS t FROM v_packets_n)
        SELECT a.stream_id, a.seq, round(sum(b.q * exp(-((b.seq - a.seq) * (b.seq - a.seq)) / 2.25::DOUBLE)) / sum(exp(-((b.seq - a.seq) * (b.seq - a.seq)) / 2.25::DOUBLE)), 6) AS blurred
        FROM f a JOIN f b ON a.stream_id = b.stream_id AND a.t = b.t AND b.seq BETWEEN a.seq - 3 AND a.seq + 3 GROUP BY a.stream_id, a.seq""",
 )
 def smooth_same_type(spark, d):
-    p = X.v_packets(spark, d).select("stream_id", "seq", (F.col("event_id") % 31 + 1).alias("q"), F.col("stream_index").alias("pict_type"))
+    p = X.v_packets_n(spark, d).select("stream_id", "seq", (F.col("event_id") % 31 + 1).alias("q"), F.col("stream_index").alias("pict_type"))
     out = S.smooth_same_type(p, blur=1.5, half=3, order="seq")
     return out.select("stream_id", "seq", F.round("blurred", 6).alias("blurred"))
 
@@ -245,14 +245,14 @@ def connection_status(spark, d):
 
 def untimed(spark, d):
     """Packets with one presentation time each, out of order within four."""
-    p = X.v_packets(spark, d)
+    p = X.v_packets_n(spark, d)
     pts = F.col("seq") * 40000 + F.element_at(F.array(*[F.lit(v) for v in (0, 120000, -40000, -80000)]), (F.col("seq") % 4 + 1).cast("int"))
     return p.select("stream_id", F.lit(0).alias("stream_index"), "seq", pts.cast("bigint").alias("pts"), F.lit(40000).alias("duration"))
 
 
 @query(
     "dts_from_pts",
-    """WITH RECURSIVE p AS (SELECT stream_id, seq, seq * 40000 + [0, 120000, -40000, -80000][seq % 4 + 1] AS pts FROM v_packets),
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, seq * 40000 + [0, 120000, -40000, -80000][seq % 4 + 1] AS pts FROM v_packets_n),
        r AS (SELECT stream_id, seq, list_sort([pts - 120000, pts - 80000, pts - 40000, pts]) AS b FROM
                (SELECT stream_id, seq, pts FROM p WHERE seq = 1)
              UNION ALL SELECT p.stream_id, p.seq, list_sort(list_append(r.b[2:4], p.pts)) FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1)
@@ -263,14 +263,14 @@ def dts_from_pts(spark, d):
 
 
 def timed(spark, d):
-    return X.v_packets(spark, d).select(
+    return X.v_packets_n(spark, d).select(
         "stream_id", "stream_index", "seq",
         (F.col("seq") * 40000 + F.col("event_id") % 11 * 9000 + F.when(F.col("event_id") % 50 == 0, 300000).otherwise(0)).cast("bigint").alias("pts"),
         (F.col("size") % 2000 + 200).alias("samples"), (F.col("size") * 8).alias("bits"), "size", "disc",
     )
 
 
-_VS = """WITH RECURSIVE p AS (SELECT stream_id, seq, (seq * 40000 + event_id % 11 * 9000 + CASE WHEN event_id % 50 = 0 THEN 300000 ELSE 0 END) / 1e6 * 25.0::DOUBLE AS ideal FROM v_packets),
+_VS = """WITH RECURSIVE p AS (SELECT stream_id, seq, (seq * 40000 + event_id % 11 * 9000 + CASE WHEN event_id % 50 = 0 THEN 300000 ELSE 0 END) / 1e6 * 25.0::DOUBLE AS ideal FROM v_packets_n),
   r AS (SELECT stream_id, seq, {first} AS nb, {at0} AS out_at FROM p WHERE seq = 1
         UNION ALL SELECT p.stream_id, p.seq, {nb}, {pos} FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1)
   SELECT stream_id, seq, CAST(nb AS INTEGER) AS nb_frames, CAST(out_at AS BIGINT) AS out_no FROM r"""
@@ -294,7 +294,7 @@ def audio_sync(spark, d):
 
 @query(
     "monotone_output",
-    """WITH RECURSIVE p AS (SELECT stream_id, seq, seq * 40000 + event_id % 11 * 9000 AS a, seq * 40000 + event_id % 11 * 9000 + 30000 AS z, disc FROM v_packets),
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, seq * 40000 + event_id % 11 * 9000 AS a, seq * 40000 + event_id % 11 * 9000 + 30000 AS z, disc FROM v_packets_n),
        r AS (SELECT stream_id, seq, s AS out_start, CASE WHEN z <= s THEN s + 100 ELSE z END AS out_stop FROM (SELECT *, CASE WHEN disc THEN a ELSE 0 END AS s FROM p WHERE seq = 1)
          UNION ALL SELECT p.stream_id, p.seq, CASE WHEN p.disc THEN greatest(p.a, r.out_stop) ELSE r.out_stop END,
             CASE WHEN p.z <= CASE WHEN p.disc THEN greatest(p.a, r.out_stop) ELSE r.out_stop END
@@ -304,7 +304,7 @@ def audio_sync(spark, d):
 )
 def monotone_output(spark, d):
     start = F.col("seq") * 40000 + F.col("event_id") % 11 * 9000
-    f = X.v_packets(spark, d).select("stream_id", "seq", start.alias("rt_start"), (start + 30000).alias("rt_stop"), "disc")
+    f = X.v_packets_n(spark, d).select("stream_id", "seq", start.alias("rt_start"), (start + 30000).alias("rt_stop"), "disc")
     return G.monotone_output(f, order="seq").select("stream_id", "seq", "out_start", "out_stop")
 
 
@@ -321,7 +321,7 @@ def reception_report(spark, d):
 
 @query("clock_filter")
 def clock_filter(spark, d):
-    t = X.v_packets(spark, d).select(
+    t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", (F.col("seq") * 1000 + F.col("event_id") % 7).cast("double").alias("time"), F.lit(1.0).alias("step")
     )
     out = G.clock_filter(t, period=1000.0, factor2=0.1, factor3=0.01)
@@ -330,7 +330,7 @@ def clock_filter(spark, d):
 
 @query(
     "vbv_audit",
-    """WITH RECURSIVE p AS (SELECT stream_id, seq, size * 8 AS bits FROM v_packets),
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, size * 8 AS bits FROM v_packets_n),
        f AS (SELECT stream_id, seq, bits, 0 AS k FROM p),
        r AS (SELECT stream_id, 0::BIGINT AS seq, 150000::BIGINT AS level, false AS underflow FROM (SELECT DISTINCT stream_id FROM p)
          UNION ALL SELECT p.stream_id, p.seq, greatest(r.level - p.bits, 0) + greatest(0, least(80000, 200000 - greatest(r.level - p.bits, 0) - 1)), r.level - p.bits < 0
@@ -338,14 +338,14 @@ def clock_filter(spark, d):
        SELECT stream_id, seq, CAST(level AS DOUBLE) AS level, underflow FROM r WHERE seq > 0""",
 )
 def vbv_audit(spark, d):
-    b = X.v_packets(spark, d).select("stream_id", "seq", (F.col("size") * 8).alias("bits"))
+    b = X.v_packets_n(spark, d).select("stream_id", "seq", (F.col("size") * 8).alias("bits"))
     out = G.vbv_audit(b, size=200000, min_rate=0, max_rate=2_000_000, fps=25.0, order="seq")
     return out.select("stream_id", "seq", "level", "underflow")
 
 
 @query("data_rate")
 def data_rate(spark, d):
-    t = X.v_packets(spark, d).select(
+    t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", F.expr("dts div 1000").alias("t_ms"), (F.col("seq") * 1400 + F.col("event_id") % 100).alias("bytes_total")
     )
     return G.data_rate(t).select("stream_id", "seq", "rate")
@@ -353,7 +353,7 @@ def data_rate(spark, d):
 
 @query("audio_block_times")
 def audio_block_times(spark, d):
-    t = X.v_packets(spark, d).select(
+    t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", F.when(F.col("event_id") % 3 == 0, F.col("seq") * 100000 + F.col("event_id") % 5 * 1500).alias("rt_start"), "size"
     )
     return G.audio_block_times(t, bytes_per_second=192000).select("stream_id", "seq", "out_start", "out_stop")
