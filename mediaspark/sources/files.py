@@ -73,5 +73,5 @@ def caption_lines(files: DataFrame, *, key: str = "file_id", text: str = "text")
 
 def scan_caption_script(spark: SparkSession, path: str) -> DataFrame:
     """Dialogue events of caption scripts (small text files, read whole)."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file_id"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("text"))
     return caption_events(caption_lines(files))
