@@ -19,10 +19,11 @@ import json
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediaspark.operators.scan import chunk_id, cut_lineage
 
@@ -31,72 +32,58 @@ FOLD_ROWS = 1 << 17
 Fold = Callable[[list | None, dict[str, list]], tuple[list, dict[str, list]]]
 
 
-def _values(s: pd.Series) -> list:
-    """Plain Python values with None for nulls."""
-    return [None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v for v in s.tolist()]
-
-
 def fold_stream(
     df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], fold: Fold, outputs: str, *, rows: int = FOLD_ROWS
 ) -> DataFrame:
-    """Run ``fold`` along each key and return key, order and output columns.
+    """Run ``fold`` along each key and add its output columns.
 
-    Nullable integers reach pandas as floats, so ``inputs`` travel as strings
-    where they are BIGINT and are read back exactly.
+    Rows go through Arrow as they are, so integers keep all their bits and nulls
+    stay nulls.
     """
     keys = list(keys)
-    big = [f.name for f in df.schema if f.name in inputs and isinstance(f.dataType, T.LongType)]
-    slim = df.select(
-        *keys, F.col(order).cast("bigint").alias("__o"), *[F.col(c).cast("string") if c in big else F.col(c) for c in inputs]
-    ).withColumn("__chunk", chunk_id("__o", rows))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
-    out_names = [f.name for f in T._parse_datatype_string(outputs).fields]
-
-    def run(state, pdf):
-        pdf = pdf.sort_values("__o")
-        cols = {c: _values(pdf[c]) for c in inputs}
-        for c in big:
-            cols[c] = [None if v is None else int(v) for v in cols[c]]
-        return pdf, *fold(state, cols)
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["__start"].iloc[0] if "__start" in pdf else None
-        pdf, _, out = run(json.loads(start) if isinstance(start, str) else None, pdf)
-        res = pdf[[*keys, "__o"]].reset_index(drop=True)
-        for c in out_names:
-            res[c] = pd.Series(out[c], dtype=object)
-        return res
-
-    schema = f"{key_schema}, __o bigint, {outputs}"
-
-    def done(result: DataFrame) -> DataFrame:
-        return result.withColumnRenamed("__o", order)
-
-    span = slim.groupBy(*keys).agg(F.min("__chunk").alias("a"), F.max("__chunk").alias("b"))
+    added = T._parse_datatype_string(outputs)
+    new = to_arrow_schema(added)
+    kept = df.drop(*[f.name for f in added.fields])
+    base = kept.withColumn("__chunk", chunk_id(order, rows))
+    schema = T.StructType([*kept.schema.fields, *added.fields])
+    columns = kept.columns
+
+    def run(table: pa.Table) -> tuple[pa.Table, list, dict[str, list]]:
+        table = table.sort_by(order)
+        start = table["__start"][0].as_py() if "__start" in table.column_names else None
+        return table, *fold(json.loads(start) if start else None, {c: table[c].to_pylist() for c in inputs})
+
+    def emit(table: pa.Table) -> pa.Table:
+        table, _, out = run(table)
+        table = table.select(columns)
+        for f in new:
+            table = table.append_column(f, pa.array(out[f.name], type=f.type))
+        return table
+
+    span = base.groupBy(*keys).agg(F.min("__chunk").alias("a"), F.max("__chunk").alias("b"))
     if span.filter("a < b").isEmpty():
-        return done(slim.groupBy(*keys).applyInPandas(emit, schema))
+        return base.groupBy(*keys).applyInArrow(emit, schema)
 
-    slim = cut_lineage(slim)
-    state_schema = f"{key_schema}, __chunk bigint, __used string, __end string"
+    base = cut_lineage(base)
+    group = [*keys, "__chunk"]
+    ends_schema = T.StructType([*[kept.schema[k] for k in keys], *T._parse_datatype_string("__chunk bigint, __used string, __end string").fields])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["__start"].iloc[0] if "__start" in pdf else None
-        start = start if isinstance(start, str) else None
-        pdf, end, _ = run(json.loads(start) if start else None, pdf)
-        res = pdf[[*keys, "__chunk"]].head(1).reset_index(drop=True)
-        res["__used"] = pd.Series([start], dtype=object)
-        res["__end"] = json.dumps(end)
-        return res
+    def finish(table: pa.Table) -> pa.Table:
+        start = table["__start"][0].as_py() if "__start" in table.column_names else None
+        table, end, _ = run(table)
+        head = table.select(group).slice(0, 1)
+        head = head.append_column("__used", pa.array([start], type=pa.string()))
+        return head.append_column("__end", pa.array([json.dumps(end)], type=pa.string()))
 
-    group = [*keys, "__chunk"]
-    ends = cut_lineage(slim.groupBy(*group).applyInPandas(finish, state_schema))
+    narrow = base.select(*group, *[c for c in dict.fromkeys([order, *inputs]) if c not in group])
+    ends = cut_lineage(narrow.groupBy(*group).applyInArrow(finish, ends_schema))
     w = Window.partitionBy(*keys).orderBy("__chunk")
     while True:
         linked = ends.withColumn("__start", F.lag("__end").over(w))
         stale = linked.filter(~F.col("__start").eqNullSafe(F.col("__used"))).select(*group, "__start")
         if stale.isEmpty():
             break
-        redone = slim.join(stale, group).groupBy(*group).applyInPandas(finish, state_schema)
+        redone = narrow.join(stale, group).groupBy(*group).applyInArrow(finish, ends_schema)
         redone = redone.select(*group, F.col("__used").alias("__u"), F.col("__end").alias("__e"))
         ends = cut_lineage(
             ends.join(redone, group, "left").select(
@@ -105,12 +92,8 @@ def fold_stream(
                 F.coalesce("__e", "__end").alias("__end"),
             )
         )
-    final = slim.join(linked.select(*group, "__start"), group)
-    return done(final.groupBy(*group).applyInPandas(emit, schema))
-
-
-def _attach(df: DataFrame, folded: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return df.join(folded, [*keys, order])
+    final = base.join(linked.select(*group, "__start"), group)
+    return final.select(*columns, "__chunk", "__start").groupBy(*group).applyInArrow(emit, schema)
 
 
 # -------------------------------------------------------------------- folds
@@ -142,8 +125,7 @@ def dts_from_pts(df: DataFrame, delay: int, *, keys=("stream_id", "stream_index"
     """Decode times of a stream with up to ``delay`` reordered pictures (at most 16)."""
     if not 0 <= delay <= 16:
         raise ValueError("delay must be between 0 and 16")
-    folded = fold_stream(df, keys, order, ["pts", "duration"], reorder_fold(delay), "dts_out bigint", rows=rows)
-    return _attach(df, folded, keys, order)
+    return fold_stream(df, keys, order, ["pts", "duration"], reorder_fold(delay), "dts_out bigint", rows=rows)
 
 
 def video_sync_fold(fps: float, method: str) -> Fold:
@@ -180,8 +162,7 @@ def video_sync(
     """How often each picture is shown at a fixed rate: 0 dropped, >1 duplicated."""
     if method not in ("passthrough", "cfr", "vfr"):
         raise ValueError("method must be passthrough, cfr or vfr")
-    folded = fold_stream(df, keys, order, ["pts"], video_sync_fold(fps, method), "nb_frames int, out_no bigint", rows=rows)
-    return _attach(df, folded, keys, order)
+    return fold_stream(df, keys, order, ["pts"], video_sync_fold(fps, method), "nb_frames int, out_no bigint", rows=rows)
 
 
 def output_frames(synced: DataFrame) -> DataFrame:
@@ -223,11 +204,10 @@ def audio_sync(
     rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Samples to discard, silence to insert or drift to compensate per packet."""
-    folded = fold_stream(
+    return fold_stream(
         df, keys, order, ["pts", "samples"], audio_sync_fold(rate, drift, method),
         "dropped bigint, silence bigint, compensation int, out_samples bigint", rows=rows,
     )
-    return _attach(df, folded, keys, order)
 
 
 def monotone_fold() -> Fold:
@@ -250,10 +230,9 @@ def monotone_fold() -> Fold:
 
 def monotone_output(df: DataFrame, *, keys=("stream_id",), order: str = "frame_no", rows: int = FOLD_ROWS) -> DataFrame:
     """Output times without gaps or steps back; re-anchored only at a discontinuity."""
-    folded = fold_stream(
+    return fold_stream(
         df, keys, order, ["rt_start", "rt_stop", "disc"], monotone_fold(), "out_start bigint, out_stop bigint", rows=rows
     )
-    return _attach(df, folded, keys, order)
 
 
 # Limits of the sequence check (fixed values).
@@ -303,8 +282,7 @@ RTP_OUT = "valid boolean, ext_seq bigint, base bigint, received bigint"
 
 def rtp_sequence(df: DataFrame, *, base_seq: int = 0, rows: int = FOLD_ROWS) -> DataFrame:
     """Unwrapped sequence numbers with probation, dropouts, misorder and restarts."""
-    folded = fold_stream(df, ["ssrc"], "arrival_no", ["seq"], rtp_fold(base_seq), RTP_OUT, rows=rows)
-    return _attach(df, folded, ["ssrc"], "arrival_no")
+    return fold_stream(df, ["ssrc"], "arrival_no", ["seq"], rtp_fold(base_seq), RTP_OUT, rows=rows)
 
 
 def clock_fold(period: float, f2: float, f3: float) -> Fold:
@@ -330,8 +308,7 @@ def clock_filter(
     df: DataFrame, *, period: float, factor2: float, factor3: float, keys=("stream_id",), order: str = "seq", rows: int = FOLD_ROWS
 ) -> DataFrame:
     """Delay-locked loop over noisy times; ``step`` is the periods since the last row."""
-    folded = fold_stream(df, keys, order, ["time", "step"], clock_fold(period, factor2, factor3), "smooth_time double", rows=rows)
-    return _attach(df, folded, keys, order)
+    return fold_stream(df, keys, order, ["time", "step"], clock_fold(period, factor2, factor3), "smooth_time double", rows=rows)
 
 
 def vbv_fold(size: int, low: int, high: int, min_stuffing: int, start: float) -> Fold:
@@ -360,11 +337,10 @@ def vbv_audit(
     keys=("stream_id",), order: str = "frame_no", rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Decoder buffer after each frame: level, underflow and stuffing bytes."""
-    folded = fold_stream(
+    return fold_stream(
         df, keys, order, ["bits"], vbv_fold(size, int(min_rate / fps), int(max_rate / fps), min_stuffing, size * 0.75 if start is None else start),
         "level double, underflow boolean, stuffing int", rows=rows,
     )
-    return _attach(df, folded, keys, order)
 
 
 def data_rate_fold(window_ms: int = 5000) -> Fold:
@@ -385,8 +361,7 @@ def data_rate_fold(window_ms: int = 5000) -> Fold:
 
 def data_rate(df: DataFrame, *, keys=("stream_id",), order: str = "seq", rows: int = FOLD_ROWS) -> DataFrame:
     """Bytes per second since the older of two checkpoints 5 s apart."""
-    folded = fold_stream(df, keys, order, ["t_ms", "bytes_total"], data_rate_fold(), "rate bigint", rows=rows)
-    return _attach(df, folded, keys, order)
+    return fold_stream(df, keys, order, ["t_ms", "bytes_total"], data_rate_fold(), "rate bigint", rows=rows)
 
 
 def block_times_fold(ticks: int, bytes_per_second: int, tolerance: int) -> Fold:
@@ -409,11 +384,10 @@ def audio_block_times(
     rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Block times by size; re-anchored when ahead or more than 2000 ticks behind."""
-    folded = fold_stream(
+    return fold_stream(
         df, keys, order, ["rt_start", "size"], block_times_fold(ticks, bytes_per_second, tolerance),
         "out_start bigint, out_stop bigint", rows=rows,
     )
-    return _attach(df, folded, keys, order)
 
 
 def butterworth(order: int, cutoff: float) -> tuple[list[float], list[float], float]:
@@ -456,8 +430,7 @@ def iir_fold(order: int, cutoff: float) -> Fold:
 
 def iir_lowpass(df: DataFrame, *, order: int, cutoff: float, keys=("stream_id",), by: str = "sample_no", rows: int = FOLD_ROWS) -> DataFrame:
     """Butterworth low pass over 16-bit samples ``x``."""
-    folded = fold_stream(df, keys, by, ["x"], iir_fold(order, cutoff), "y int", rows=rows)
-    return _attach(df, folded, keys, by)
+    return fold_stream(df, keys, by, ["x"], iir_fold(order, cutoff), "y int", rows=rows)
 
 
 def repair_fold(delay: int, wrap_bits: int) -> Fold:
@@ -509,7 +482,6 @@ def repair_delayed(
     when it shows.  A time that repeats the last one within an eighth of a duration
     moves on by one duration.
     """
-    folded = fold_stream(
+    return fold_stream(
         df, keys, order, ["pts", "dts", "duration", "is_b"], repair_fold(delay, wrap_bits), "pts_out bigint, dts_out bigint", rows=rows
     )
-    return _attach(df, folded, keys, order)

@@ -177,29 +177,26 @@ def frames_needing_overlay(
     retires a cue whose stop is within the slack).
     """
     keys = list(keys)
-    points = frames.select(*keys, "t").distinct()
-
-    def covered(points: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-        starts = spans.select(
-            *keys, (F.col("start") - slack).alias("t"),
-            (F.coalesce(F.col("stop"), F.lit(_FAR)) - slack).alias("__stop"),
-        )
-        starts = starts.groupBy(*keys, "t").agg(F.max("__stop").alias("__stop")).withColumn("__side", F.lit(0))
-        both = starts.unionByName(points.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-        both = both.withColumn("__o", F.col("t") * 2 + F.col("__side"))
-        run = running(both, keys, "__o", {"__top": ("max", F.col("__stop"))}, rows=2 * cell)
-        run = run.filter("__side = 1")
-        return run.withColumn(name, F.coalesce(F.col("__top") > F.col("t"), F.lit(False))).drop(
-            "__top", "__o", "__side", "__stop"
+    def starts(spans: DataFrame, kind: str) -> DataFrame:
+        return spans.select(
+            *keys, (F.col("start") - slack).alias("t"), (F.coalesce(F.col("stop"), F.lit(_FAR)) - slack).alias(kind)
         )
 
-    normal = cues.filter("NOT forced") if subtitles_on else cues.limit(0)
-    out = covered(points, normal, "__cue")
-    out = covered(out, cues.filter("forced"), "__forced")
+    parts = [starts(cues.filter("forced"), "__forced")]
+    if subtitles_on:
+        parts.append(starts(cues.filter("NOT forced"), "__cue"))
     if highlights is not None:
-        out = covered(out, highlights, "__hi")
-    else:
-        out = out.withColumn("__hi", F.lit(False))
+        parts.append(starts(highlights, "__hi"))
+    both = frames.select(*keys, "t").withColumn("__side", F.lit(1))
+    for p in parts:
+        both = both.unionByName(p, allowMissingColumns=True)
+    kinds = ["__forced", "__cue", "__hi"]
+    both = both.withColumns({k: F.lit(None).cast("bigint") for k in kinds if k not in both.columns} or {"__forced": F.col("__forced")})
+    # One row per time and side: spans that begin together, frames of one time.
+    both = both.groupBy(*keys, "t", F.coalesce("__side", F.lit(0)).alias("__side")).agg(*[F.max(k).alias(k) for k in kinds])
+    both = both.withColumn("__o", F.col("t") * 2 + F.col("__side"))
+    run = running(both, keys, "__o", {k: ("max", F.col(k)) for k in kinds}, rows=2 * cell).filter("__side = 1")
+    out = run.withColumns({k: F.coalesce(F.col(k) > F.col("t"), F.lit(False)) for k in kinds})
     if slack:
         forced_ok = F.lit(subtitles_on or display_forced) | F.col("__hi")
         need = F.col("__cue") | (F.col("__forced") & forced_ok)

@@ -317,7 +317,7 @@ def scene_score(df: DataFrame, *, block: int = 16, bias: int = 500, plane: str =
     luma = df.filter(F.col("plane") == plane)
     prev = neighbours(luma, LINE, "frame_no", 1, 0, {"__q": lambda w: F.lag("px").over(w)}, rows=rows)
     prev = prev.filter(F.col("__q").isNotNull())
-    diff = F.zip_with("px", "__q", lambda p, q: F.abs(p - q).cast("bigint"))
+    prev = prev.withColumn("__d", F.zip_with("px", "__q", lambda p, q: F.abs(p - q).cast("bigint")))
     y = F.call_function("div", F.col("line_no"), F.lit(block)).alias("by")
     # Pixels of a block travel as one slice per line, so the mean can be taken first.
     cols = F.sequence(F.lit(0), F.call_function("div", F.size("px"), F.lit(block)) - 1)
@@ -325,7 +325,7 @@ def scene_score(df: DataFrame, *, block: int = 16, bias: int = 500, plane: str =
         cols,
         lambda b: F.struct(
             F.slice("px", b * block + 1, F.lit(block)).alias("p"),
-            F.aggregate(F.slice(diff, b * block + 1, F.lit(block)), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("d"),
+            F.aggregate(F.slice("__d", b * block + 1, F.lit(block)), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("d"),
         ),
     )
     cells = prev.filter(F.size("px") >= block).select("stream_id", "frame_no", y, F.posexplode(cut).alias("bx", "z"))
@@ -335,8 +335,12 @@ def scene_score(df: DataFrame, *, block: int = 16, bias: int = 500, plane: str =
     ).filter(F.col("n") == block)
     shift = (block * block).bit_length() - 1
     total = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, v: s + v)
-    g = g.withColumn("mean", F.shiftright(total + (1 << (shift - 1)), shift))
-    g = g.withColumn("sae", F.aggregate("p", F.lit(0).cast("bigint"), lambda s, v: s + F.abs(v - F.col("mean"))))
+    mean = F.shiftright(total + (1 << (shift - 1)), shift)
+    # The one-element array makes the mean a lambda variable, computed once per block.
+    g = g.withColumn(
+        "sae",
+        F.transform(F.array(mean), lambda m: F.aggregate("p", F.lit(0).cast("bigint"), lambda s, v: s + F.abs(v - m)))[0],
+    )
     return g.groupBy("stream_id", "frame_no").agg(F.count_if(F.col("sae") + bias < F.col("sad")).alias("score"))
 
 

@@ -112,18 +112,12 @@ def v_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
 
 
 def _numbered_lines(spark, d, name):
     li = table(spark, d, "lineitem")
-    return number_rows(
-        li,
-        ["l_suppkey"],
-        _LINE_ORDER,
-        [F.year("l_shipdate"), F.dayofyear("l_shipdate"), chunk_id("l_orderkey")],
-        name,
-    )
+    return number_rows(li, ["l_suppkey"], _LINE_ORDER, [chunk_id("l_orderkey")], name)
 
 
 def v_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -290,8 +284,8 @@ SQL: dict[str, str] = {
     "v_fields": """SELECT event_id // 50 AS stream_id, event_id % 50 AS field_no, event_id % 2 = 0 AS is_top,
         CASE event_type WHEN 'view' THEN 'AFTERNEXT_32' WHEN 'click' THEN 'NEXT_32' WHEN 'purchase' THEN 'PREV_32'
         WHEN 'signup' THEN 'NEXT_22' ELSE 'PREV_22' END AS hint FROM events""",
-    "v_frames": """SELECT l_suppkey AS stream_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate,
-        l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS frame_no, epoch_us(l_shipdate) AS rt_start,
+    "v_frames": """SELECT l_suppkey AS stream_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,
+        l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS frame_no, epoch_us(l_shipdate) AS rt_start,
         2 + (l_linenumber % 2) AS nb_fields, l_returnflag = 'N' AS progressive, l_linestatus = 'O' AS tff
         FROM lineitem""",
     "v_cues": """SELECT conv_id AS stream_id, turn AS cue_no,
@@ -300,8 +294,8 @@ SQL: dict[str, str] = {
         role = 'assistant' AS forced FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "v_cue_frames": """SELECT stream_id, unnest(range(0, CAST(max(start) AS BIGINT) + 200, 40)) AS t
         FROM v_cues GROUP BY stream_id""",
-    "v_runs": """SELECT l_suppkey AS stream_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate,
-        l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS run_no, CAST(l_quantity AS INTEGER) AS count,
+    "v_runs": """SELECT l_suppkey AS stream_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,
+        l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS run_no, CAST(l_quantity AS INTEGER) AS count,
         CAST(l_linenumber AS INTEGER) * 40 AS duration FROM lineitem""",
     "v_pass1": """SELECT l_suppkey AS stream_id, l_orderkey AS frame_no, l_returnflag AS pict_type,
         CAST(l_quantity AS INTEGER) AS q, CAST(round(l_extendedprice) AS BIGINT) AS tex_bits,

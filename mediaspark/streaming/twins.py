@@ -7,6 +7,7 @@ function as the batch operator.  Rows of a micro-batch are put in order per stre
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,11 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from mediaspark.operators.fold import Fold, _values
+from mediaspark.operators.fold import Fold
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _values(s: pd.Series) -> list:
+    """Plain Python values with None for nulls."""
+    return [None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v for v in s.tolist()]
+
+
 def with_reset(fold: Fold, column: str = "disc") -> Fold:
     """A fold whose state is dropped at every row where ``column`` is true."""
 
