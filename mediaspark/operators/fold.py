@@ -433,6 +433,32 @@ def iir_lowpass(df: DataFrame, *, order: int, cutoff: float, keys=("stream_id",)
     return fold_stream(df, keys, by, ["x"], iir_fold(order, cutoff), "y int", rows=rows)
 
 
+#: Hint that each phase of a cadence must show (fixed values).
+PHASES = {
+    "PULLDOWN_32": ("NEXT_22", "PREV_22", "AFTERNEXT_32", "NEXT_32", "PREV_32"),
+    "PULLDOWN_22": ("NEXT_22", "PREV_22"),
+}
+
+
+def film_fold() -> Fold:
+    """Film detection field by field, for live input (see ``detect_film``)."""
+
+    def fold(state, cols):
+        kind, index = state if state else ("FULLRATE", 0)
+        out = {"cadence": [], "cadence_index": []}
+        for n, hint in zip(cols["field_no"], cols["hint"]):
+            phases = PHASES.get(kind, ())
+            if not phases or phases[(n + index) % len(phases)] != hint:
+                kind, index = {
+                    "AFTERNEXT_32": ("PULLDOWN_32", (7 - n % 5) % 5), "NEXT_22": ("PULLDOWN_22", n % 2),
+                }.get(hint, ("FULLRATE", 0))
+            out["cadence"].append(kind)
+            out["cadence_index"].append(index)
+        return [kind, index], out
+
+    return fold
+
+
 def repair_fold(delay: int, wrap_bits: int) -> Fold:
     """Timestamps with one reordered picture: see ``repair_delayed``."""
 

@@ -576,6 +576,31 @@ def chroma_420(df: DataFrame, *, keys: Sequence[str] = PICTURE) -> DataFrame:
     )
 
 
+def expand_chroma(df: DataFrame, *, wide: bool = True, tall: bool = True) -> DataFrame:
+    """Repeat chroma pixels and lines: 4:2:0 to 4:2:2 (tall) or 4:4:4 (both)."""
+    c = df.filter("plane <> 'Y'")
+    if wide:
+        c = c.withColumn("px", F.flatten(F.transform("px", lambda p: F.array(p, p))))
+    if tall:
+        c = c.withColumn("line_no", F.explode(F.array(F.col("line_no") * 2, F.col("line_no") * 2 + 1)))
+    return df.filter("plane = 'Y'").unionByName(c.select(df.columns))
+
+
+def yuv_to_rgb(df: DataFrame, *, keys: Sequence[str] = ("stream_id", "frame_no", "line_no")) -> DataFrame:
+    """RGB lines from full-resolution planes of studio range, 16-bit fixed point."""
+    plane = lambda n: F.first(F.when(F.col("plane") == n, F.col("px")), ignorenulls=True).alias(n)
+    j = df.groupBy(*keys).agg(plane("Y"), plane("U"), plane("V"))
+    z = F.arrays_zip("Y", "U", "V")
+    luma = lambda p: (p["Y"] - 16) * 76309
+    mix = lambda f: F.transform(z, lambda p: _clip(F.shiftright(f(p) + 32768, 16)))
+    return j.select(
+        *keys,
+        mix(lambda p: luma(p) + (p["V"] - 128) * 104597).alias("r"),
+        mix(lambda p: luma(p) - (p["U"] - 128) * 25675 - (p["V"] - 128) * 53279).alias("g"),
+        mix(lambda p: luma(p) + (p["U"] - 128) * 132201).alias("b"),
+    )
+
+
 def map_lines(df: DataFrame, fn, *, planes: Sequence[str] | None = None) -> DataFrame:
     """Run a numpy function over each line of the chosen planes (Arrow batches)."""
 

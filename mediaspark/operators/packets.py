@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaspark.functions.text import format_value, sexagesimal
 from mediaspark.functions.timebase import rescale
 from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, chunk_id, number_rows, previous, running
 
@@ -207,6 +208,33 @@ def next_input(heads: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFr
 # ---------------------------------------------------------------- statistics
 
 
+def stream_report(streams: DataFrame, *, num: int = 1, den: int = 1_000_000) -> DataFrame:
+    """Probe output per stream: type, times and rate as text, tags as rows of text."""
+    secs = lambda c: sexagesimal(F.col(c) * F.lit(num / den))
+    known = F.col("codec_type").isin("video", "audio", "data", "subtitle", "attachment")
+    out = streams.withColumns({
+        "codec_type": F.when(known, F.col("codec_type")).otherwise("unknown"),
+        "start_time": secs("start_time"), "duration": secs("duration"),
+        "bit_rate": format_value(F.col("bit_rate"), "bit/s", prefix=True),
+    })
+    if "tags" in streams.columns:
+        lines = F.transform(F.map_entries("tags"), lambda e: F.concat(F.lit("TAG:"), e["key"], F.lit("="), e["value"]))
+        out = out.withColumn("tags", F.array_join(F.array_sort(lines), "\n"))
+    return out
+
+
+def format_report(containers: DataFrame, streams: DataFrame) -> DataFrame:
+    """Probe output per file: stream count, times, size and rate as text."""
+    n = streams.groupBy("stream_id").agg(F.count(F.lit(1)).alias("nb_streams"))
+    out = containers.join(n, "stream_id", "left")
+    return out.select(
+        "stream_id", F.coalesce("nb_streams", F.lit(0)).alias("nb_streams"),
+        sexagesimal(F.col("start_time") / F.lit(1e6)).alias("start_time"), sexagesimal(F.col("duration") / F.lit(1e6)).alias("duration"),
+        format_value(F.col("file_size"), "byte", prefix=True, binary=True).alias("size"),
+        format_value(F.col("bit_rate"), "bit/s", prefix=True).alias("bit_rate"),
+    )
+
+
 def container_timings(streams: DataFrame, containers: DataFrame) -> DataFrame:
     """Start, duration and bit rate of a file from its streams (microseconds)."""
     end = F.col("start_time") + F.col("duration")

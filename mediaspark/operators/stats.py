@@ -348,84 +348,156 @@ def vq_assign(points: DataFrame, codebook: np.ndarray, column: str = "v") -> Dat
     return points.select("*", nearest(column).alias("__q")).select(*points.columns, "__q.cell", "__q.error")
 
 
-def _cell_sums(points: DataFrame, codes: np.ndarray, column: str) -> pd.DataFrame:
-    """Per cell: count, error, sum and bounds, added up within partitions first."""
-    k, dim = codes.shape
-    schema = "cell int, n bigint, e double, s array<double>"
+class _Sums:
+    """Per slot: count, error, sum and bounds of vectors."""
+
+    def __init__(self, slots: int, dim: int):
+        self.n, self.e = np.zeros(slots), np.zeros(slots)
+        self.s = np.zeros((slots, dim))
+        self.lo, self.hi = np.full((slots, dim), np.inf), np.full((slots, dim), -np.inf)
+
+    def means(self, fallback: np.ndarray) -> np.ndarray:
+        return np.where(self.n[:, None] > 0, self.s / np.maximum(self.n, 1)[:, None], fallback)
+
+
+def _accumulate(points: DataFrame, column: str, slots: int, dim: int, pick) -> _Sums:
+    """Add vectors up by slot; ``pick(x)`` gives slot (-1 for none) and error per row.
+
+    Partitions add up first and hand on one row per slot; slots x dimensions rows
+    come to the driver.
+    """
 
     def add(batches):
-        n, e, s = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, dim))
+        t = _Sums(slots, dim)
         for b in batches:
             if not len(b):
                 continue
             x = np.stack(b[column].to_numpy()).astype(np.float64)
-            d = ((x[:, None, :] - codes[None, :, :]) ** 2).sum(axis=2)
-            c = d.argmin(axis=1)
-            n += np.bincount(c, minlength=k)
-            e += np.bincount(c, weights=d[np.arange(len(x)), c], minlength=k)
-            np.add.at(s, c, x)
-        yield pd.DataFrame({"cell": np.arange(k, dtype=np.int32), "n": n, "e": e, "s": list(s)})
+            slot, err = pick(x)
+            x, err, slot = x[slot >= 0], err[slot >= 0], slot[slot >= 0]
+            t.n += np.bincount(slot, minlength=slots)
+            t.e += np.bincount(slot, weights=err, minlength=slots)
+            np.add.at(t.s, slot, x)
+            np.minimum.at(t.lo, slot, x)
+            np.maximum.at(t.hi, slot, x)
+        yield pd.DataFrame({
+            "slot": np.arange(slots, dtype=np.int32), "n": t.n, "e": t.e, "s": list(t.s), "lo": list(t.lo), "hi": list(t.hi),
+        })
+
+    parts = points.select(column).mapInPandas(add, "slot int, n double, e double, s array<double>, lo array<double>, hi array<double>")
+    flat = parts.select("slot", "n", "e", F.posexplode(F.arrays_zip("s", "lo", "hi")).alias("i", "z"))
+    g = flat.groupBy("slot", "i").agg(
+        F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("z.s").alias("s"), F.min("z.lo").alias("lo"), F.max("z.hi").alias("hi")
+    )
+    out = _Sums(slots, dim)
+    for r in g.toPandas().itertuples():
+        out.n[r.slot], out.e[r.slot] = r.n, r.e
+        out.s[r.slot, r.i], out.lo[r.slot, r.i], out.hi[r.slot, r.i] = r.s, r.lo, r.hi
+    return out
+
+
+def _distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - codes[None, :, :]) ** 2).sum(axis=2)
 
-    parts = points.select(column).mapInPandas(add, schema)
-    flat = parts.select("cell", "n", "e", F.posexplode("s").alias("i", "v"))
-    g = flat.groupBy("cell", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("e").alias("e"))
-    # At most codes x dimensions rows come back.
-    return g.toPandas()
+
+def _nearest(codes: np.ndarray):
+    def pick(x):
+        d = _distances(x, codes)
+        cell = d.argmin(axis=1)
+        return cell, d[np.arange(len(x)), cell]
+
+    return pick
+
+
+def _plan_moves(codes: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int]]:
+    """(poor, rich, neighbour) cells of one round; a cell takes part once.
+
+    Poor cells carry less than the average error.  Each gets the richest cell still
+    free and the code closest to its own, which takes over its vectors.
+    """
+    k, total = len(codes), e.sum()
+    rich = [i for i in np.argsort(-e, kind="stable") if k * e[i] > total]
+    moves, used = [], set()
+    for p in range(k):
+        if k * e[p] >= total or p in used:
+            continue
+        d = _distances(codes[p : p + 1], codes)[0]
+        d[p] = np.inf
+        near = int(np.argmin(d))
+        r = next((int(i) for i in rich if i not in used and i not in (p, near)), None)
+        if r is None or near in used:
+            continue
+        moves.append((p, r, near))
+        used |= {p, r, near}
+    return moves
+
+
+def _move_cells(points: DataFrame, column: str, codes: np.ndarray, cells: _Sums, means: np.ndarray) -> np.ndarray:
+    """Give codes of poor cells to rich ones where that lowers the error."""
+    moves = _plan_moves(codes, cells.e)
+    if not moves:
+        return means
+    dim, nearest = codes.shape[1], _nearest(codes)
+    merged = np.array([(cells.s[p] + cells.s[c]) / max(cells.n[p] + cells.n[c], 1) for p, _, c in moves])
+    # A rich cell is split at one and two thirds of its box, then averaged once.
+    thirds = np.array([[cells.lo[r] + (cells.hi[r] - cells.lo[r]) * t / 3 for t in (1, 2)] for _, r, _ in moves])
+    role = np.full(len(codes), -1)
+    for i, (_, r, _) in enumerate(moves):
+        role[r] = i
+
+    def split(x):
+        m = role[nearest(x)[0]]
+        pair = thirds[np.maximum(m, 0)]
+        d = ((x[:, None, :] - pair) ** 2).sum(axis=2)
+        side = (d[:, 0] >= d[:, 1]).astype(int)
+        return np.where(m >= 0, m * 2 + side, -1), d.min(axis=1)
+
+    halves = _accumulate(points, column, 2 * len(moves), dim, split).means(thirds.reshape(-1, dim)).reshape(-1, 2, dim)
+    owner = np.full(len(codes), -1)
+    for i, m in enumerate(moves):
+        owner[list(m)] = i
+
+    def judge(x):
+        cell = nearest(x)[0]
+        m = owner[cell]
+        at = np.maximum(m, 0)
+        split_err = ((x[:, None, :] - halves[at]) ** 2).sum(axis=2).min(axis=1)
+        joined_err = ((x - merged[at]) ** 2).sum(axis=1)
+        return m, np.where(role[cell] >= 0, split_err, joined_err)
+
+    after = _accumulate(points, column, len(moves), dim, judge).e
+    out = means.copy()
+    for i, (p, r, c) in enumerate(moves):
+        if after[i] < cells.e[p] + cells.e[r] + cells.e[c]:
+            out[p], out[r], out[c] = halves[i, 0], halves[i, 1], merged[i]
+    return out
 
 
 def vq_codebook(
     points: DataFrame, k: int, *, column: str = "v", steps: int = 20, gain: float = 0.1, seed: Sequence[Sequence[float]] | None = None
 ) -> tuple[np.ndarray, float]:
-    """Codebook of ``k`` vectors by repeated assignment and averaging.
+    """Codebook of ``k`` vectors by repeated assignment, moving of codes and averaging.
 
-    After each round cells that carry less than the average error give their code
-    to a cell that carries more, when the error really falls.  Stops when a round
-    gains at most ``gain`` of the error or after ``steps`` rounds.  Only the
-    codebook and per-cell sums come to the driver.
+    In each round cells with less than the average error hand their vectors to
+    their neighbour and their code to a cell with more, where the error falls by
+    it.  Stops when a round gains at most ``gain`` of the error or after ``steps``
+    rounds.  Only the codebook and per-cell sums come to the driver.
     """
     if seed is None:
-        first = points.select(column).orderBy(F.xxhash64(column), column).limit(k).collect()
+        first = points.select(column).distinct().orderBy(F.xxhash64(column), column).limit(k).collect()
         seed = [list(r[0]) for r in first]
     codes = np.asarray(seed, dtype=np.float64)
-    last = math.inf
     points = cut_lineage(points.select(column))
+    last = math.inf
     for _ in range(steps):
-        error, n, e, means = _round(points, codes, column)
-        moved = _shift_cells(points, means, n, e, column)
-        codes = moved if moved is not None else means
+        cells = _accumulate(points, column, len(codes), codes.shape[1], _nearest(codes))
+        error = cells.e.sum()
         if last - error <= gain * error:
             break
         last = error
-    error = _round(points, codes, column)[0]
-    return codes, float(error)
-
-
-def _round(points, codes, column):
-    s = _cell_sums(points, codes, column)
-    k, dim = codes.shape
-    sums, n, e = np.zeros((k, dim)), np.zeros(k), np.zeros(k)
-    for r in s.itertuples():
-        sums[r.cell, r.i] = r.v
-        n[r.cell], e[r.cell] = r.n, r.e
-    means = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], codes)
-    return e.sum(), n, e, means
-
-
-def _shift_cells(points, codes, n, e, column):
-    """Move the poorest cell's code into the richest cell; None if that does not pay."""
-    total = e.sum()
-    k = len(codes)
-    poor = int(np.argmin(e))
-    rich = int(np.argmax(e))
-    if k < 2 or poor == rich or not k * e[poor] < total or not k * e[rich] > total:
-        return None
-    spread = math.sqrt(e[rich] / max(n[rich], 1) / codes.shape[1])
-    trial = codes.copy()
-    trial[poor] = codes[rich] + spread / 2
-    trial[rich] = codes[rich] - spread / 2
-    now = _round(points, codes, column)[0]
-    new, _, _, means = _round(points, trial, column)
-    return means if new < now else None
+        codes = _move_cells(points, column, codes, cells, cells.means(codes))
+    cells = _accumulate(points, column, len(codes), codes.shape[1], _nearest(codes))
+    return codes, float(cells.e.sum())
 
 
 def autocorr(df: DataFrame, lag: int, *, column: str = "x", start: float = 1.0, window: bool = True) -> DataFrame:

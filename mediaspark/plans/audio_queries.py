@@ -11,6 +11,7 @@ from mediaspark.functions import text as Tx
 from mediaspark.functions import timebase as Tb
 from mediaspark.operators import audio as Au
 from mediaspark.operators import cues as C
+from mediaspark.operators import packets as P
 from mediaspark.operators import transport as T
 from mediaspark.operators.scan import chunk_id, number_rows
 from mediaspark.plans import fixtures as X
@@ -325,11 +326,21 @@ def rational_math(spark, d):
        FROM v_streams""",
 )
 def stream_report(spark, d):
+    r = P.stream_report(X.v_streams(spark, d))
+    return r.select("stream_id", "stream_index", "codec_type", "duration", "bit_rate")
+
+
+@query(
+    "format_report",
+    """WITH t AS (SELECT stream_id, count(*) AS n, max(start_time + duration) - min(start_time) AS dur FROM v_streams GROUP BY stream_id),
+       c AS (SELECT *, (stream_id % 50 + 1) * 300000 AS sz FROM t)
+       SELECT stream_id, n AS nb_streams, printf('%d:%02d:%09.6f', CAST(dur // 3600000000 AS BIGINT), CAST(dur // 60000000 % 60 AS BIGINT), dur % 60000000 / 1e6) AS duration,
+         printf('%.3f %sbyte', sz / pow(1024.0::DOUBLE, CAST(trunc(log2(sz)) AS INTEGER) // 10), ['', 'Ki', 'Mi', 'Gi'][CAST(trunc(log2(sz)) AS INTEGER) // 10 + 1]) AS size FROM c""",
+)
+def format_report(spark, d):
     s = X.v_streams(spark, d)
-    return s.select(
-        "stream_id", "stream_index", "codec_type", Tx.sexagesimal(F.col("duration") / F.lit(1e6)).alias("duration"),
-        Tx.format_value(F.col("bit_rate"), "bit/s", prefix=True).alias("bit_rate"),
-    )
+    c = s.select("stream_id").distinct().withColumn("file_size", (F.col("stream_id") % 50 + 1) * 300000)
+    return P.format_report(P.container_timings(s, c).join(c, "stream_id"), s).select("stream_id", "nb_streams", "duration", "size")
 
 
 @query(

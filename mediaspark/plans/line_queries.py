@@ -370,6 +370,33 @@ def rgb_to_yuv(spark, d):
     return pixels(L.rgb_to_yuv(c), "stream_id", "frame_no", "line_no", "plane")
 
 
+@query(
+    "yuv_to_rgb",
+    """WITH c AS (SELECT stream_id, frame_no, line_no, CAST(x AS INTEGER) AS x, p AS y, 255 - p AS u, (p * 3) % 256 AS v FROM v_px)
+       SELECT stream_id, frame_no, line_no, x, greatest(0, least(255, ((y - 16) * 76309 + (v - 128) * 104597 + 32768) >> 16)) AS r,
+         greatest(0, least(255, ((y - 16) * 76309 - (u - 128) * 25675 - (v - 128) * 53279 + 32768) >> 16)) AS g,
+         greatest(0, least(255, ((y - 16) * 76309 + (u - 128) * 132201 + 32768) >> 16)) AS b FROM c""",
+)
+def yuv_to_rgb(spark, d):
+    u = F.transform("px", lambda p: F.lit(255) - p)
+    v = F.transform("px", lambda p: p * 3 % 256)
+    planes = F.array(*[F.struct(F.lit(n).alias("plane"), c.alias("px")) for n, c in (("Y", F.col("px")), ("U", u), ("V", v))])
+    full = X.v_lines(spark, d).select("stream_id", "frame_no", "line_no", F.inline(planes))
+    out = L.yuv_to_rgb(full)
+    return out.select("stream_id", "frame_no", "line_no", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "z")).select(
+        "stream_id", "frame_no", "line_no", "x", "z.r", "z.g", "z.b"
+    )
+
+
+@query(
+    "expand_chroma",
+    """SELECT stream_id, frame_no, 'U' AS plane, line_no * 2 + dy AS line_no, CAST(x * 2 + dx AS INTEGER) AS x, p
+       FROM v_px, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)""",
+)
+def expand_chroma(spark, d):
+    return pixels(L.expand_chroma(X.v_lines(spark, d).withColumn("plane", F.lit("U"))))
+
+
 @query("map_lines", "SELECT stream_id, frame_no, plane, line_no, CAST(x AS INTEGER) AS x, 255 - p AS p FROM v_px")
 def map_lines(spark, d):
     return pixels(L.map_lines(X.v_lines(spark, d), lambda px: 255 - px, planes=["Y"]).select(*KEYS, "px"))

@@ -12,7 +12,9 @@ from mediaspark.operators import lines as L
 from mediaspark.operators import packets as P
 from mediaspark.operators.cues import caption_events
 from mediaspark.operators.scan import shared_folder
+from mediaspark.operators.fields import HINTS
 from mediaspark.plans import fixtures as X
+from mediaspark.plans.line_queries import FILM
 from mediaspark.plans.registry import query
 from mediaspark.sources import files as Fi
 from mediaspark.sources import generators as Gen
@@ -272,6 +274,25 @@ def live_rtp(spark, d):
     return finished(spark, S.fold_live(rtp, ["ssrc"], "arrival_no", ["seq"], G.rtp_fold(), G.RTP_OUT), "rtp")
 
 
+@query(
+    "live_film",
+    FILM + """SELECT stream_id, field_no, CASE k WHEN 3 THEN 'PULLDOWN_32' WHEN 2 THEN 'PULLDOWN_22' ELSE 'FULLRATE' END AS cadence,
+      CAST(idx AS INTEGER) AS cadence_index FROM r""",
+)
+def live_film(spark, d):
+    """Film detection of a live feed."""
+    stateful(spark)
+    e = live(spark, d, "events").select(
+        F.expr("event_id div 50").alias("stream_id"), (F.col("event_id") % 50).alias("field_no"), "event_type"
+    )
+    random_hint = F.when(F.col("event_type") == "view", "AFTERNEXT_32").when(F.col("event_type") == "click", "NEXT_32").when(
+        F.col("event_type") == "purchase", "PREV_32").when(F.col("event_type") == "signup", "NEXT_22").otherwise("PREV_22")
+    clean = F.element_at(F.array(*[F.lit(h) for h in HINTS]), ((F.col("field_no") + F.col("stream_id")) % 5 + 1).cast("int"))
+    e = e.withColumn("hint", F.when(F.col("stream_id") % 2 == 0, random_hint).otherwise(clean))
+    out = S.fold_live(e, ["stream_id"], "field_no", ["field_no", "hint"], G.film_fold(), "cadence string, cadence_index int")
+    return finished(spark, out, "film")
+
+
 @query("live_clock")
 def live_clock(spark, d):
     """Clock filter of a live feed that starts over at each error event."""
