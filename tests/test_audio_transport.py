@@ -1,6 +1,9 @@
 """Audio filters, transport parsing, captions and raw sources."""
 
+import itertools
+import math
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -29,25 +32,21 @@ def test_resample_equals_loop_at_any_block_size(spark, rates, linear):
     taps, shift, cutoff = 8, 4, 0.8
     length = max(int(np.ceil(taps / min(o_rate * cutoff / i_rate, 1.0))), 1)
     bank = A.filter_bank(min(o_rate * cutoff / i_rate, 1.0), length, 1 << shift, 1 << 15, 9)
-    index, frac, want = -(1 << shift) * ((length - 1) // 2), 0, []
-    step = i_rate << shift
-    while True:
-        at, ph = index >> shift, index & ((1 << shift) - 1)
-        if at < 0:
-            v = sum(int(x[abs(at + k) % len(x)]) * int(bank[ph][k]) for k in range(length))
-        elif at + length > len(x):
-            break
-        else:
-            v = sum(int(x[at + k]) * int(bank[ph][k]) for k in range(length))
-            if linear:
-                v2 = sum(int(x[at + k]) * int(bank[ph + 1][k]) for k in range(length))
-                v += int((v2 - v) * frac / o_rate)
-        want.append(max(-32768, min(32767, (v + (1 << 14)) >> 15)))
-        frac += step % o_rate
-        index += step // o_rate
-        if frac >= o_rate:
-            frac -= o_rate
-            index += 1
+    def output(j):
+        """Sample j by its exact position; None where its taps end behind the input."""
+        exact = Fraction(j * i_rate * (1 << shift), o_rate)
+        place = math.floor(exact) - (1 << shift) * ((length - 1) // 2)
+        begin, phase = divmod(place, 1 << shift)
+        if begin >= 0 and begin + length > len(x):
+            return None
+        seen = [int(x[abs(begin + k) % len(x)]) for k in range(length)]
+        value = int(np.dot(seen, bank[phase]))
+        if linear and begin >= 0:
+            other = int(np.dot(seen, bank[phase + 1]))
+            value += math.trunc((other - value) * (exact - math.floor(exact)))
+        return int(np.clip((value + (1 << 14)) >> 15, -32768, 32767))
+
+    want = list(itertools.takewhile(lambda v: v is not None, map(output, itertools.count())))
     for rows in (64, 1 << 16):
         out = A.resample(df, i_rate, o_rate, taps=taps, phase_shift=shift, linear=linear, rows=rows)
         assert [r.x for r in out.orderBy("sample_no").collect()] == want
