@@ -42,7 +42,8 @@ def asof_join(
     keys = list(keys)
     back = direction == "backward"
     body = F.struct(*[F.col(c) for c in payload])
-    pick = F.min_by(body, F.col(tie)) if tie else F.first(body)
+    # Without a tie column the smallest payload counts, so that every pass agrees.
+    pick = F.min_by(body, F.col(tie)) if tie else F.min(body)
     entries = (
         right.filter(F.col(right_on).isNotNull())
         .groupBy(*keys, F.col(right_on).alias("__t"))

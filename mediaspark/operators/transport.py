@@ -70,11 +70,14 @@ def ts_continuity(
 def _units(df: DataFrame, keys: Sequence[str], order: str, rows: int) -> DataFrame:
     """Number the units: a start opens one, and a break without a start ends it."""
     cut = F.col("pusi") | F.col("discontinuity")
-    out = running(
+    return running(
         df, keys, order,
-        {"unit": ("count", F.when(cut, 1)), "__head": ("last", F.when(cut, F.col("pusi")))}, rows=rows,
+        {
+            "unit": ("count", F.when(cut, 1)), "__head": ("last", F.when(cut, F.col("pusi"))),
+            "__first": ("last", F.when(cut, F.col(order))),
+        },
+        rows=rows,
     )
-    return out
 
 
 def _joined(order: str) -> Column:
@@ -145,25 +148,31 @@ def assemble_sections(
 
 
 def assemble_pes(
-    df: DataFrame, *, keys: Sequence[str] = ("stream_id", "pid"), order: str = "packet_no", rows: int = CHUNK_ROWS
+    df: DataFrame, *, keys: Sequence[str] = ("stream_id", "pid"), order: str = "packet_no", rows: int = CHUNK_ROWS, part_span: int = 1 << 16
 ) -> DataFrame:
     """Elementary stream units: payload from one start to the next.
 
-    A counter break drops the unit it falls into.  A unit is one access unit, whose
-    length field (if not 0) cuts it.
+    A counter break drops the unit it falls into.  A length field other than 0 cuts
+    the unit.  A unit that spans more than ``part_span`` packet numbers comes in
+    several parts, so one that never ends stays in rows of bounded size.
     """
     keys = list(keys)
     df = ts_continuity(df, keys=keys, order=order, rows=rows)
     df = _units(df.filter(F.col("payload").isNotNull() | F.col("discontinuity")), keys, order, rows)
-    broken = F.max(F.col("discontinuity") & ~F.col("pusi")).alias("__broken")
-    # A break opens a unit of its own, so the unit before it has lost its end.
-    next_break = df.filter(F.col("discontinuity") & ~F.col("pusi")).select(*keys, (F.col("unit") - 1).alias("unit"), F.lit(True).alias("__cut"))
-    df = df.withColumn("b", F.col("payload"))
-    g = df.filter("unit > 0").groupBy(*keys, "unit").agg(F.min(order).alias("first_packet"), broken, F.unhex(_joined(order)).alias("data"))
-    g = g.filter(~F.col("__broken")).join(next_break, [*keys, "unit"], "left").filter(F.col("__cut").isNull()).drop("__broken", "__cut")
-    size = bytes_at(F.col("data"), 4, 2)
-    full = F.when(size > 0, size + 6).otherwise(F.octet_length("data"))
-    return g.withColumn("data", F.substring("data", F.lit(1), full.cast("int")))
+    # A break opens a unit of its own; the unit before it has lost its end.
+    lost = df.filter(F.col("discontinuity") & ~F.col("pusi")).select(*keys, (F.col("unit") - 1).alias("unit"))
+    whole = df.filter(F.col("__head") & F.col("payload").isNotNull()).join(lost, [*keys, "unit"], "left_anti")
+    part = F.call_function("div", F.col(order) - F.col("__first"), F.lit(part_span)).alias("part_no")
+    whole = whole.withColumn("b", F.col("payload"))
+    g = whole.groupBy(*keys, "unit", F.col("__first").alias("first_packet"), part).agg(F.unhex(_joined(order)).alias("data"))
+    # Parts per unit, not packets, meet in this window.
+    w = Window.partitionBy(*keys, "unit").orderBy("part_no")
+    size = F.first(bytes_at(F.col("data"), 4, 2)).over(w)
+    before = F.coalesce(F.sum(F.octet_length("data")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumns({"__size": size, "__before": before})
+    left = F.when(F.col("__size") > 0, F.greatest(F.col("__size") + 6 - F.col("__before"), F.lit(0))).otherwise(F.octet_length("data"))
+    g = g.withColumn("data", F.substring("data", F.lit(1), left.cast("int"))).filter(F.octet_length("data") > 0)
+    return g.drop("__size", "__before")
 
 
 def complete_tables(

@@ -286,7 +286,16 @@ def video_sync(spark, d):
     return G.video_sync(t, fps=25.0).select("stream_id", "seq", "nb_frames", "out_no")
 
 
-@query("audio_sync")
+@query(
+    "audio_sync",
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, (seq * 40000 + event_id % 11 * 9000 + CASE WHEN event_id % 50 = 0 THEN 300000 ELSE 0 END) / 1e6 * 48000.0::DOUBLE AS t, size % 2000 + 200 AS n FROM v_packets_n),
+       r AS (SELECT stream_id, 0::BIGINT AS seq, 0::BIGINT AS total, true AS starting, 0::BIGINT AS dropped, 0::BIGINT AS silence, 0 AS compensation, 0::BIGINT AS out_samples FROM (SELECT DISTINCT stream_id FROM p)
+         UNION ALL SELECT stream_id, seq, total + n - cut + fill, starting AND NOT (big AND n - cut > 0), cut, fill, CASE WHEN off AND NOT big THEN CAST(trunc(greatest(-2, least(2, delta))) AS INTEGER) ELSE 0 END, n - cut + fill FROM (
+           SELECT *, CASE WHEN big AND delta < 0 THEN least(CAST(trunc(-delta) AS BIGINT), n) ELSE 0 END AS cut, CASE WHEN big AND delta >= 0 THEN CAST(trunc(delta) AS BIGINT) ELSE 0 END AS fill FROM (
+             SELECT *, abs(delta) > 50 AS off, abs(delta) > 50 AND (starting OR abs(delta) > 4800) AS big FROM (
+               SELECT p.stream_id, p.seq, p.n, r.total, r.starting, p.t - r.total AS delta FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1))))
+       SELECT stream_id, seq, dropped, silence, compensation, out_samples FROM r WHERE seq > 0""",
+)
 def audio_sync(spark, d):
     t = timed(spark, d).withColumn("stream_index", F.lit(0))
     return G.audio_sync(t, rate=48000, method=2).select("stream_id", "seq", "dropped", "silence", "compensation", "out_samples")
@@ -308,18 +317,55 @@ def monotone_output(spark, d):
     return G.monotone_output(f, order="seq").select("stream_id", "seq", "out_start", "out_stop")
 
 
-@query("rtp_sequence")
+@query(
+    "rtp_sequence",
+    """WITH RECURSIVE p AS (SELECT ssrc, arrival_no, seq FROM v_rtp),
+       r AS (SELECT ssrc, 0::BIGINT AS arrival_no, 0::BIGINT AS top, 0::BIGINT AS cycles, 0::BIGINT AS base, 0::BIGINT AS bad, 1 AS waits, 0::BIGINT AS received, false AS valid
+             FROM (SELECT DISTINCT ssrc FROM p)
+         UNION ALL SELECT ssrc, arrival_no,
+             CASE WHEN kind IN ('begin', 'wait', 'next', 'again') THEN seq ELSE top END, CASE kind WHEN 'begin' THEN 0 WHEN 'again' THEN 0 WHEN 'next' THEN cycles + CASE WHEN seq < top THEN 65536 ELSE 0 END ELSE cycles END,
+             CASE WHEN kind IN ('begin', 'again') THEN seq - 1 ELSE base END, CASE WHEN kind IN ('begin', 'again') THEN 65537 WHEN kind = 'jump' THEN (seq + 1) % 65536 ELSE bad END,
+             CASE kind WHEN 'begin' THEN 0 WHEN 'wait' THEN 1 ELSE waits END, CASE WHEN kind IN ('begin', 'again') THEN 1 WHEN kind IN ('next', 'late') THEN received + 1 ELSE received END, kind NOT IN ('wait', 'jump')
+           FROM (SELECT r.* EXCLUDE (arrival_no), p.arrival_no, p.seq, CASE WHEN waits > 0 THEN CASE WHEN p.seq = top + 1 THEN 'begin' ELSE 'wait' END
+               WHEN (p.seq - top + 65536) % 65536 < 3000 THEN 'next' WHEN (p.seq - top + 65536) % 65536 <= 65436 THEN CASE WHEN p.seq = bad THEN 'again' ELSE 'jump' END ELSE 'late' END AS kind
+             FROM r JOIN p ON p.ssrc = r.ssrc AND p.arrival_no = r.arrival_no + 1))
+       SELECT ssrc, arrival_no, valid, cycles + top AS ext_seq, received FROM r WHERE arrival_no > 0""",
+)
 def rtp_sequence(spark, d):
     return G.rtp_sequence(X.v_rtp(spark, d)).select("ssrc", "arrival_no", "valid", "ext_seq", "received")
 
 
-@query("reception_report")
+@query(
+    "reception_report",
+    """WITH RECURSIVE p AS (SELECT ssrc, arrival_no, seq FROM v_rtp),
+       r AS (SELECT ssrc, 0::BIGINT AS arrival_no, 0::BIGINT AS top, 0::BIGINT AS cycles, 0::BIGINT AS base, 0::BIGINT AS bad, 1 AS waits, 0::BIGINT AS received, false AS valid
+             FROM (SELECT DISTINCT ssrc FROM p)
+         UNION ALL SELECT ssrc, arrival_no,
+             CASE WHEN kind IN ('begin', 'wait', 'next', 'again') THEN seq ELSE top END, CASE kind WHEN 'begin' THEN 0 WHEN 'again' THEN 0 WHEN 'next' THEN cycles + CASE WHEN seq < top THEN 65536 ELSE 0 END ELSE cycles END,
+             CASE WHEN kind IN ('begin', 'again') THEN seq - 1 ELSE base END, CASE WHEN kind IN ('begin', 'again') THEN 65537 WHEN kind = 'jump' THEN (seq + 1) % 65536 ELSE bad END,
+             CASE kind WHEN 'begin' THEN 0 WHEN 'wait' THEN 1 ELSE waits END, CASE WHEN kind IN ('begin', 'again') THEN 1 WHEN kind IN ('next', 'late') THEN received + 1 ELSE received END, kind NOT IN ('wait', 'jump')
+           FROM (SELECT r.* EXCLUDE (arrival_no), p.arrival_no, p.seq, CASE WHEN waits > 0 THEN CASE WHEN p.seq = top + 1 THEN 'begin' ELSE 'wait' END
+               WHEN (p.seq - top + 65536) % 65536 < 3000 THEN 'next' WHEN (p.seq - top + 65536) % 65536 <= 65436 THEN CASE WHEN p.seq = bad THEN 'again' ELSE 'jump' END ELSE 'late' END AS kind
+             FROM r JOIN p ON p.ssrc = r.ssrc AND p.arrival_no = r.arrival_no + 1))
+       SELECT ssrc, "interval", ext_max, expected, received, least(expected - received, 16777215) AS lost,
+         CASE WHEN de = 0 OR de - dr <= 0 THEN 0 ELSE (de - dr) * 256 // de END AS fraction FROM (
+         SELECT *, expected - coalesce(lag(expected) OVER w, 0) AS de, received - coalesce(lag(received) OVER w, 0) AS dr FROM (
+           SELECT r.ssrc, v.arrival_us // 86400000000 AS "interval", arg_max(cycles + top, r.arrival_no) AS ext_max, arg_max(cycles + top - base + 1, r.arrival_no) AS expected, arg_max(received, r.arrival_no) AS received
+           FROM r JOIN v_rtp v ON v.ssrc = r.ssrc AND v.arrival_no = r.arrival_no WHERE valid GROUP BY ALL) WINDOW w AS (PARTITION BY ssrc ORDER BY "interval"))""",
+)
 def reception_report(spark, d):
     r = G.rtp_sequence(X.v_rtp(spark, d)).withColumn("interval", F.expr("arrival_us div 86400000000"))
     return S.reception_report(r)
 
 
-@query("clock_filter")
+@query(
+    "clock_filter",
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, CAST(seq * 1000 + event_id % 7 AS DOUBLE) AS t FROM v_packets_n),
+       r AS (SELECT stream_id, seq, t AS cyc, 1000.0::DOUBLE AS clk FROM p WHERE seq = 1
+         UNION ALL SELECT p.stream_id, p.seq, r.cyc + r.clk + greatest(0.1::DOUBLE, 1.0::DOUBLE / p.seq) * (p.t - r.cyc - r.clk), r.clk + 0.01::DOUBLE * (p.t - r.cyc - r.clk)
+         FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1)
+       SELECT stream_id, seq, round(cyc, 6) AS smooth_time FROM r""",
+)
 def clock_filter(spark, d):
     t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", (F.col("seq") * 1000 + F.col("event_id") % 7).cast("double").alias("time"), F.lit(1.0).alias("step")
@@ -343,7 +389,16 @@ def vbv_audit(spark, d):
     return out.select("stream_id", "seq", "level", "underflow")
 
 
-@query("data_rate")
+@query(
+    "data_rate",
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, dts // 1000 AS t, seq * 1400 + event_id % 100 AS n FROM v_packets_n),
+       r AS (SELECT stream_id, seq, t AS t1, n AS n1, t AS t2, n AS n2, 0::BIGINT AS rate FROM p WHERE seq = 1
+         UNION ALL SELECT stream_id, seq, a, b, c, d, CASE WHEN t > a THEN (n - b) * 1000 // (t - a) ELSE 0 END FROM (
+           SELECT p.stream_id, p.seq, p.t, p.n, CASE WHEN p.t - r.t2 > 5000 THEN r.t2 ELSE r.t1 END AS a, CASE WHEN p.t - r.t2 > 5000 THEN r.n2 ELSE r.n1 END AS b,
+             CASE WHEN p.t - r.t2 > 5000 THEN p.t ELSE r.t2 END AS c, CASE WHEN p.t - r.t2 > 5000 THEN p.n ELSE r.n2 END AS d
+           FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1))
+       SELECT stream_id, seq, rate FROM r""",
+)
 def data_rate(spark, d):
     t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", F.expr("dts div 1000").alias("t_ms"), (F.col("seq") * 1400 + F.col("event_id") % 100).alias("bytes_total")
@@ -351,7 +406,15 @@ def data_rate(spark, d):
     return G.data_rate(t).select("stream_id", "seq", "rate")
 
 
-@query("audio_block_times")
+@query(
+    "audio_block_times",
+    """WITH RECURSIVE p AS (SELECT stream_id, seq, CASE WHEN event_id % 3 = 0 THEN seq * 100000 + event_id % 5 * 1500 END AS own, 10000000 * size // 192000 AS len FROM v_packets_n),
+       r AS (SELECT stream_id, seq, coalesce(own, 0) AS out_start, coalesce(own, 0) + len AS out_stop FROM p WHERE seq = 1
+         UNION ALL SELECT stream_id, seq, st, st + len FROM (SELECT p.stream_id, p.seq, p.len,
+             CASE WHEN own IS NOT NULL AND (r.out_stop = 0 OR own >= r.out_stop OR own - r.out_stop < -2000) THEN own ELSE r.out_stop END AS st
+           FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1))
+       SELECT stream_id, seq, out_start, out_stop FROM r""",
+)
 def audio_block_times(spark, d):
     t = X.v_packets_n(spark, d).select(
         "stream_id", "seq", F.when(F.col("event_id") % 3 == 0, F.col("seq") * 100000 + F.col("event_id") % 5 * 1500).alias("rt_start"), "size"
