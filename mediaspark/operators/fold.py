@@ -462,38 +462,39 @@ def film_fold() -> Fold:
 def repair_fold(delay: int, wrap_bits: int) -> Fold:
     """Timestamps with one reordered picture: see ``repair_delayed``."""
 
+    def first_known(*times):
+        return next((t for t in times if t is not None), None)
+
+    def prompt_time(pts, dts, dur, clock):
+        """Time of a picture that shows as soon as it is decoded."""
+        t = first_known(pts, dts, clock)
+        if pts is None or not dur:
+            return t
+        repeat = abs(clock - dur - pts)
+        return t + dur if repeat < min(abs(clock - pts), dur >> 3) else t
+
     def fold(state, cols):
-        cur, last_pts, last_dur = state if state else (0, None, 0)
-        o_pts, o_dts = [], []
-        for pts, dts, dur, b_pic in zip(cols["pts"], cols["dts"], cols["duration"], cols["is_b"]):
-            late = bool(delay) and not b_pic
-            if pts is not None and dts is not None and dts > pts:
+        clock, shown, shown_dur = state if state else (0, None, 0)
+        done = {"pts_out": [], "dts_out": []}
+        for pts, dts, dur, is_b in zip(cols["pts"], cols["dts"], cols["duration"], cols["is_b"]):
+            both = pts is not None and dts is not None
+            if both and dts > pts:
                 dts -= 1 << wrap_bits
-            if delay == 1 and late and dts is not None and dts == pts:
+            held = bool(delay) and not is_b
+            if held and delay == 1 and both and dts == pts:
                 pts = dts = None
-            if pts is not None and dts is not None and pts > dts:
-                late = True
-            if late:
-                if dts is None:
-                    dts = last_pts
-                if dts is None:
-                    dts = cur
-                if last_dur == 0:
-                    last_dur = dur
-                cur = dts + last_dur
-                last_dur, last_pts = dur, pts
-            elif pts is not None or dts is not None or dur:
-                if pts is not None and dur:
-                    old, new = abs(cur - dur - pts), abs(cur - pts)
-                    if old < new and old < dur >> 3:
-                        pts += dur
-                pts = dts if pts is None else pts
-                pts = cur if pts is None else pts
-                dts = pts
-                cur = pts + dur
-            o_pts.append(pts)
-            o_dts.append(dts)
-        return [cur, last_pts, last_dur], {"pts_out": o_pts, "dts_out": o_dts}
+            elif both and pts > dts:
+                held = True
+            if held:
+                dts = first_known(dts, shown, clock)
+                clock = dts + (shown_dur or dur)
+                shown, shown_dur = pts, dur
+            elif dur or pts is not None or dts is not None:
+                pts = dts = prompt_time(pts, dts, dur, clock)
+                clock = pts + dur
+            done["pts_out"].append(pts)
+            done["dts_out"].append(dts)
+        return [clock, shown, shown_dur], done
 
     return fold
 

@@ -16,6 +16,7 @@ from mediaspark.operators.fields import HINTS
 from mediaspark.plans import fixtures as X
 from mediaspark.plans.line_queries import FILM
 from mediaspark.plans.registry import query
+from mediaspark.plans.stat_queries import RTP_RULES
 from mediaspark.sources import files as Fi
 from mediaspark.sources import generators as Gen
 from mediaspark.sources import raw as R
@@ -23,6 +24,10 @@ from mediaspark.sources import sinks as W
 from mediaspark.streaming import twins as S
 
 
+LIVE_RTP = """SELECT event_id % 100 AS ssrc, event_id, row_number() OVER (PARTITION BY event_id % 100 ORDER BY event_id) AS arrival_no,
+    (event_id // 100 + 65500 + CASE WHEN event_id > 4000 THEN 20000 ELSE 0 END) % 65536 AS seq FROM events WHERE event_type <> 'error'"""
+
+
 def folder(spark, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -263,15 +268,21 @@ def stateful(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.PROVIDER)
 
 
-@query("live_rtp")
+@query(
+    "live_rtp",
+    RTP_RULES.replace("SELECT ssrc, arrival_no, seq FROM v_rtp", LIVE_RTP)
+    + "SELECT r.ssrc, n.event_id AS arrival_no, valid, cycles + top AS ext_seq, received FROM r JOIN p n USING (ssrc, arrival_no)",
+)
 def live_rtp(spark, d):
-    """Sequence check of a live feed; equals the batch fold over the same rows."""
+    """Sequence check of a live feed with losses and one jump."""
     stateful(spark)
-    e = live(spark, d, "events")
-    rtp = e.select(
-        F.col("user_id").alias("ssrc"), F.col("event_id").alias("arrival_no"), ((F.col("event_id") + 65500) % 65536).cast("int").alias("seq")
+    e = F.col("event_id")
+    seq = F.expr("event_id div 100") + 65500 + F.when(e > 4000, 20000).otherwise(0)
+    rtp = live(spark, d, "events").filter("event_type <> 'error'").select(
+        (e % 100).alias("ssrc"), e.alias("arrival_no"), (seq % 65536).cast("int").alias("seq")
     )
-    return finished(spark, S.fold_live(rtp, ["ssrc"], "arrival_no", ["seq"], G.rtp_fold(), G.RTP_OUT), "rtp")
+    out = finished(spark, S.fold_live(rtp, ["ssrc"], "arrival_no", ["seq"], G.rtp_fold(), G.RTP_OUT), "rtp")
+    return out.select("ssrc", "arrival_no", "valid", "ext_seq", "received")
 
 
 @query(
@@ -293,7 +304,16 @@ def live_film(spark, d):
     return finished(spark, out, "film")
 
 
-@query("live_clock")
+@query(
+    "live_clock",
+    """WITH RECURSIVE p AS (SELECT user_id AS stream_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+           CAST(event_id * 1000 + event_id % 7 AS DOUBLE) AS t, event_type = 'error' AS disc FROM events),
+       r AS (SELECT stream_id, event_id, n, t AS cyc, 150000.0::DOUBLE AS clk, 1 AS k FROM p WHERE n = 1
+         UNION ALL SELECT p.stream_id, p.event_id, p.n, CASE WHEN p.disc THEN p.t ELSE r.cyc + r.clk + greatest(0.1::DOUBLE, 1.0::DOUBLE / (r.k + 1)) * (p.t - (r.cyc + r.clk)) END,
+             CASE WHEN p.disc THEN 150000.0::DOUBLE ELSE r.clk + 0.01::DOUBLE * (p.t - (r.cyc + r.clk)) END, CASE WHEN p.disc THEN 1 ELSE r.k + 1 END
+         FROM r JOIN p ON p.stream_id = r.stream_id AND p.n = r.n + 1)
+       SELECT stream_id, event_id AS seq, CAST(floor(cyc * 1000) AS BIGINT) AS smooth_milli FROM r""",
+)
 def live_clock(spark, d):
     """Clock filter of a live feed that starts over at each error event."""
     stateful(spark)
@@ -303,4 +323,4 @@ def live_clock(spark, d):
     )
     fold = S.with_reset(G.clock_fold(150000.0, 0.1, 0.01))
     out = finished(spark, S.fold_live(e, ["stream_id"], "seq", ["time", "step", "disc"], fold, "smooth_time double"), "clock")
-    return out.select("stream_id", "seq", F.round("smooth_time", 6).alias("smooth_time"))
+    return out.select("stream_id", "seq", F.floor(F.col("smooth_time") * 1000).alias("smooth_milli"))

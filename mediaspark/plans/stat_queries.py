@@ -317,9 +317,7 @@ def monotone_output(spark, d):
     return G.monotone_output(f, order="seq").select("stream_id", "seq", "out_start", "out_stop")
 
 
-@query(
-    "rtp_sequence",
-    """WITH RECURSIVE p AS (SELECT ssrc, arrival_no, seq FROM v_rtp),
+RTP_RULES = """WITH RECURSIVE p AS (SELECT ssrc, arrival_no, seq FROM v_rtp),
        r AS (SELECT ssrc, 0::BIGINT AS arrival_no, 0::BIGINT AS top, 0::BIGINT AS cycles, 0::BIGINT AS base, 0::BIGINT AS bad, 1 AS waits, 0::BIGINT AS received, false AS valid
              FROM (SELECT DISTINCT ssrc FROM p)
          UNION ALL SELECT ssrc, arrival_no,
@@ -329,25 +327,17 @@ def monotone_output(spark, d):
            FROM (SELECT r.* EXCLUDE (arrival_no), p.arrival_no, p.seq, CASE WHEN waits > 0 THEN CASE WHEN p.seq = top + 1 THEN 'begin' ELSE 'wait' END
                WHEN (p.seq - top + 65536) % 65536 < 3000 THEN 'next' WHEN (p.seq - top + 65536) % 65536 <= 65436 THEN CASE WHEN p.seq = bad THEN 'again' ELSE 'jump' END ELSE 'late' END AS kind
              FROM r JOIN p ON p.ssrc = r.ssrc AND p.arrival_no = r.arrival_no + 1))
-       SELECT ssrc, arrival_no, valid, cycles + top AS ext_seq, received FROM r WHERE arrival_no > 0""",
-)
+       """
+
+
+@query("rtp_sequence", RTP_RULES + "SELECT ssrc, arrival_no, valid, cycles + top AS ext_seq, received FROM r WHERE arrival_no > 0")
 def rtp_sequence(spark, d):
     return G.rtp_sequence(X.v_rtp(spark, d)).select("ssrc", "arrival_no", "valid", "ext_seq", "received")
 
 
 @query(
     "reception_report",
-    """WITH RECURSIVE p AS (SELECT ssrc, arrival_no, seq FROM v_rtp),
-       r AS (SELECT ssrc, 0::BIGINT AS arrival_no, 0::BIGINT AS top, 0::BIGINT AS cycles, 0::BIGINT AS base, 0::BIGINT AS bad, 1 AS waits, 0::BIGINT AS received, false AS valid
-             FROM (SELECT DISTINCT ssrc FROM p)
-         UNION ALL SELECT ssrc, arrival_no,
-             CASE WHEN kind IN ('begin', 'wait', 'next', 'again') THEN seq ELSE top END, CASE kind WHEN 'begin' THEN 0 WHEN 'again' THEN 0 WHEN 'next' THEN cycles + CASE WHEN seq < top THEN 65536 ELSE 0 END ELSE cycles END,
-             CASE WHEN kind IN ('begin', 'again') THEN seq - 1 ELSE base END, CASE WHEN kind IN ('begin', 'again') THEN 65537 WHEN kind = 'jump' THEN (seq + 1) % 65536 ELSE bad END,
-             CASE kind WHEN 'begin' THEN 0 WHEN 'wait' THEN 1 ELSE waits END, CASE WHEN kind IN ('begin', 'again') THEN 1 WHEN kind IN ('next', 'late') THEN received + 1 ELSE received END, kind NOT IN ('wait', 'jump')
-           FROM (SELECT r.* EXCLUDE (arrival_no), p.arrival_no, p.seq, CASE WHEN waits > 0 THEN CASE WHEN p.seq = top + 1 THEN 'begin' ELSE 'wait' END
-               WHEN (p.seq - top + 65536) % 65536 < 3000 THEN 'next' WHEN (p.seq - top + 65536) % 65536 <= 65436 THEN CASE WHEN p.seq = bad THEN 'again' ELSE 'jump' END ELSE 'late' END AS kind
-             FROM r JOIN p ON p.ssrc = r.ssrc AND p.arrival_no = r.arrival_no + 1))
-       SELECT ssrc, "interval", ext_max, expected, received, least(expected - received, 16777215) AS lost,
+    RTP_RULES + """SELECT ssrc, "interval", ext_max, expected, received, least(expected - received, 16777215) AS lost,
          CASE WHEN de = 0 OR de - dr <= 0 THEN 0 ELSE (de - dr) * 256 // de END AS fraction FROM (
          SELECT *, expected - coalesce(lag(expected) OVER w, 0) AS de, received - coalesce(lag(received) OVER w, 0) AS dr FROM (
            SELECT r.ssrc, v.arrival_us // 86400000000 AS "interval", arg_max(cycles + top, r.arrival_no) AS ext_max, arg_max(cycles + top - base + 1, r.arrival_no) AS expected, arg_max(received, r.arrival_no) AS received
@@ -362,7 +352,7 @@ def reception_report(spark, d):
     "clock_filter",
     """WITH RECURSIVE p AS (SELECT stream_id, seq, CAST(seq * 1000 + event_id % 7 AS DOUBLE) AS t FROM v_packets_n),
        r AS (SELECT stream_id, seq, t AS cyc, 1000.0::DOUBLE AS clk FROM p WHERE seq = 1
-         UNION ALL SELECT p.stream_id, p.seq, r.cyc + r.clk + greatest(0.1::DOUBLE, 1.0::DOUBLE / p.seq) * (p.t - r.cyc - r.clk), r.clk + 0.01::DOUBLE * (p.t - r.cyc - r.clk)
+         UNION ALL SELECT p.stream_id, p.seq, r.cyc + r.clk + greatest(0.1::DOUBLE, 1.0::DOUBLE / p.seq) * (p.t - (r.cyc + r.clk)), r.clk + 0.01::DOUBLE * (p.t - (r.cyc + r.clk))
          FROM r JOIN p ON p.stream_id = r.stream_id AND p.seq = r.seq + 1)
        SELECT stream_id, seq, round(cyc, 6) AS smooth_time FROM r""",
 )
@@ -422,7 +412,18 @@ def audio_block_times(spark, d):
     return G.audio_block_times(t, bytes_per_second=192000).select("stream_id", "seq", "out_start", "out_stop")
 
 
-@query("iir_lowpass")
+_, _BACK, _GAIN = G.butterworth(4, 0.3)
+
+
+@query(
+    "iir_lowpass",
+    f"""WITH RECURSIVE s AS (SELECT block // 100 AS stream_id, block % 100 * 64 + i AS sample_no, floor(x * 20000) AS x FROM v_samples),
+       r AS (SELECT stream_id, -1::BIGINT AS sample_no, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d, 0.0::DOUBLE AS y FROM (SELECT DISTINCT stream_id FROM s)
+         UNION ALL SELECT stream_id, sample_no, b, c, d, e, a + 4 * b + 6 * c + 4 * d + e FROM (SELECT s.stream_id, s.sample_no, a, b, c, d,
+             s.x * {_GAIN!r}::DOUBLE + a * {_BACK[0]!r}::DOUBLE + b * {_BACK[1]!r}::DOUBLE + c * {_BACK[2]!r}::DOUBLE + d * {_BACK[3]!r}::DOUBLE AS e
+           FROM r JOIN s ON s.stream_id = r.stream_id AND s.sample_no = r.sample_no + 1))
+       SELECT stream_id, sample_no, CAST(greatest(-32768, least(32767, round_even(y, 0))) AS INTEGER) AS y FROM r WHERE sample_no >= 0""",
+)
 def iir_lowpass(spark, d):
     s = X.v_samples(spark, d).select(
         F.expr("block div 100").alias("stream_id"), (F.col("block") % 100 * 64 + F.col("i")).alias("sample_no"), F.floor(F.col("x") * 20000).alias("x")
@@ -430,7 +431,20 @@ def iir_lowpass(spark, d):
     return G.iir_lowpass(s, order=4, cutoff=0.3).select("stream_id", "sample_no", "y")
 
 
-@query("repair_delayed")
+@query(
+    "repair_delayed",
+    """WITH RECURSIVE p AS (SELECT stream_id, stream_index, seq, row_number() OVER (PARTITION BY stream_id, stream_index ORDER BY seq) AS n, CASE WHEN event_id % 3 = 0 THEN pts END AS pts,
+           CASE WHEN event_id % 2 = 0 THEN dts END AS dts, event_id % 3 <> 0 AS b FROM v_packets),
+       w AS (SELECT * REPLACE (CASE WHEN dts > pts THEN dts - 8589934592 ELSE dts END AS dts) FROM p),
+       q AS (SELECT stream_id, stream_index, seq, n, NOT b OR coalesce(pts > dts, false) AS held, CASE WHEN NOT b AND pts = dts THEN NULL ELSE pts END AS pts,
+           CASE WHEN NOT b AND pts = dts THEN NULL ELSE dts END AS dts FROM w),
+       r AS (SELECT stream_id, stream_index, 0::BIGINT AS seq, 0::BIGINT AS n, NULL::BIGINT AS pts_out, NULL::BIGINT AS dts_out, 0::BIGINT AS clock, NULL::BIGINT AS shown FROM (SELECT DISTINCT stream_id, stream_index FROM q)
+         UNION ALL SELECT stream_id, stream_index, seq, n, CASE WHEN held THEN pts ELSE t END, CASE WHEN held THEN coalesce(dts, shown, clock) ELSE t END,
+             40000 + CASE WHEN held THEN coalesce(dts, shown, clock) ELSE t END, CASE WHEN held THEN pts ELSE shown END FROM (
+           SELECT q.*, r.clock, r.shown, coalesce(q.pts, q.dts, r.clock) + CASE WHEN abs(r.clock - 40000 - q.pts) < abs(r.clock - q.pts) AND abs(r.clock - 40000 - q.pts) < 5000 THEN 40000 ELSE 0 END AS t
+           FROM r JOIN q ON q.stream_id = r.stream_id AND q.stream_index = r.stream_index AND q.n = r.n + 1))
+       SELECT stream_id, stream_index, seq, pts_out, dts_out FROM r WHERE n > 0""",
+)
 def repair_delayed(spark, d):
     p = X.v_packets(spark, d).select(
         "stream_id", "stream_index", "seq", F.when(F.col("event_id") % 3 == 0, F.col("pts")).alias("pts"),
