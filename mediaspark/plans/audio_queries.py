@@ -129,8 +129,8 @@ def section_packets(spark, d):
 
 @query(
     "assemble_sections",
-    """SELECT user_id % 8 AS pid, event_id % 65536 AS extension, 66 AS table_id, 0 AS version, 0 AS section_no, 0 AS last_no,
-         (1 + event_id % 8) * 32 AS n, md5(repeat(sha256(CAST(event_id AS VARCHAR)), 1 + event_id % 8)) AS digest, event_id * 8 AS first_packet
+    """SELECT user_id % 8 AS pid, CAST(event_id % 65536 AS INTEGER) AS extension, 66 AS table_id, 0 AS version, 0 AS section_no, 0 AS last_no,
+         CAST((1 + event_id % 8) * 32 AS INTEGER) AS n, md5(repeat(sha256(CAST(event_id AS VARCHAR)), 1 + event_id % 8)) AS digest, event_id * 8 AS first_packet
        FROM events WHERE NOT (event_id % 23 = 0 AND event_id % 8 >= 5)""",
 )
 def assemble_sections(spark, d):
@@ -263,8 +263,8 @@ def chapter_ends(spark, d):
 
 @query(
     "cue_controls",
-    """SELECT event_id AS cue_no, ts AS start, ts + 1024 * (event_id % 500) AS stop, event_id % 2 = 0 AS forced, event_id % 700 AS "left",
-         event_id % 400 AS top, event_id % 16 AS c3 FROM (SELECT event_id, epoch_us(ts) AS ts FROM events)""",
+    """SELECT event_id AS cue_no, ts AS start, ts + 1024 * (event_id % 500) AS stop, event_id % 2 = 0 AS forced, CAST(event_id % 700 AS INTEGER) AS "left",
+         CAST(event_id % 400 AS INTEGER) AS top, CAST(event_id % 16 AS INTEGER) AS c3 FROM (SELECT event_id, epoch_us(ts) AS ts FROM events)""",
 )
 def cue_controls(spark, d):
     e = F.col("event_id")
@@ -395,7 +395,7 @@ def downmix(spark, d):
 
 @query(
     "channel_layout",
-    """SELECT event_id, bit_count(m) AS channels, CASE m WHEN 3 THEN 'stereo' WHEN 4 THEN 'mono' WHEN 51 THEN 'quad' WHEN 55 THEN '5.0' WHEN 63 THEN '5.1' WHEN 263 THEN '4.0'
+    """SELECT event_id, CAST(bit_count(m) AS INTEGER) AS channels, CASE m WHEN 3 THEN 'stereo' WHEN 4 THEN 'mono' WHEN 51 THEN 'quad' WHEN 55 THEN '5.0' WHEN 63 THEN '5.1' WHEN 263 THEN '4.0'
          ELSE bit_count(m) || ' channels' || CASE WHEN m = 0 THEN '' ELSE ' (' || concat_ws('|', CASE WHEN m & 1 > 0 THEN 'FL' END, CASE WHEN m & 2 > 0 THEN 'FR' END, CASE WHEN m & 4 > 0 THEN 'FC' END,
            CASE WHEN m & 8 > 0 THEN 'LFE' END, CASE WHEN m & 16 > 0 THEN 'BL' END, CASE WHEN m & 32 > 0 THEN 'BR' END, CASE WHEN m & 64 > 0 THEN 'FLC' END, CASE WHEN m & 128 > 0 THEN 'FRC' END, CASE WHEN m & 256 > 0 THEN 'BC' END) || ')' END END AS name
        FROM (SELECT event_id, event_id % 512 AS m FROM events)""",
@@ -446,7 +446,7 @@ def picture_size(spark, d):
        s AS (SELECT *, CASE WHEN h = 1088 THEN 1080 ELSE h END AS oh FROM v),
        a AS (SELECT *, (px * w * 100) // (py * oh) < 144 AS narrow FROM s),
        c AS (SELECT *, NOT narrow AND afd IN (2, 3, 4, 8, 9, 10, 13, 14, 15) AS p43, NOT narrow AND afd = 11 AS p76 FROM a)
-       SELECT event_id, CASE WHEN p43 THEN 540 WHEN p76 THEN 616 ELSE 720 END AS out_width, oh AS out_height, CASE WHEN p43 THEN 90 WHEN p76 THEN 52 ELSE 0 END AS offset_x,
+       SELECT event_id, CAST(CASE WHEN p43 THEN 540 WHEN p76 THEN 616 ELSE 720 END AS BIGINT) AS out_width, CAST(oh AS BIGINT) AS out_height, CAST(CASE WHEN p43 THEN 90 WHEN p76 THEN 52 ELSE 0 END AS BIGINT) AS offset_x,
          px * w // gcd(px * w, py * oh) * CASE WHEN p43 THEN 3 WHEN p76 THEN 6 ELSE 1 END AS aspect_x,
          py * oh // gcd(px * w, py * oh) * CASE WHEN p43 THEN 4 WHEN p76 THEN 7 ELSE 1 END AS aspect_y FROM c""",
 )

@@ -102,7 +102,7 @@ def field_lines(spark, d):
     "weave",
     """SELECT a.stream_id, a.frame_no AS field_no, a.plane, a.line_no * 2 + CASE WHEN a.frame_no % 2 = 0 THEN 0 ELSE 1 END AS line_no,
          CAST(a.x AS INTEGER) AS x, a.p FROM v_px a WHERE a.frame_no > 0
-       UNION ALL SELECT b.stream_id, b.frame_no + 1, b.plane, b.line_no * 2 + CASE WHEN b.frame_no % 2 = 1 THEN 1 ELSE 0 END, b.x, b.p
+       UNION ALL SELECT b.stream_id, b.frame_no + 1, b.plane, b.line_no * 2 + CASE WHEN b.frame_no % 2 = 1 THEN 1 ELSE 0 END, CAST(b.x AS INTEGER), b.p
        FROM v_px b WHERE EXISTS (SELECT 1 FROM v_lines n WHERE n.stream_id = b.stream_id AND n.line_no = b.line_no AND n.frame_no = b.frame_no + 1)""",
 )
 def weave(spark, d):
@@ -334,7 +334,7 @@ def crop(spark, d):
     "pad",
     """SELECT stream_id, frame_no, plane, line_no + 2 AS line_no, CAST(x + 4 AS INTEGER) AS x, p FROM v_px
        UNION ALL SELECT stream_id, frame_no, plane, line_no + 2, x, 16 FROM v_lines, (SELECT unnest([0, 1, 2, 3, 68, 69]) AS x)
-       UNION ALL SELECT stream_id, frame_no, 'Y', l, x, 16 FROM (SELECT DISTINCT stream_id, frame_no FROM v_lines), (SELECT unnest([0, 1, 12, 13, 14]) AS l),
+       UNION ALL SELECT stream_id, frame_no, 'Y', l, CAST(x AS INTEGER), 16 FROM (SELECT DISTINCT stream_id, frame_no FROM v_lines), (SELECT unnest([0, 1, 12, 13, 14]) AS l),
          (SELECT unnest(range(70)) AS x)""",
 )
 def pad(spark, d):

@@ -35,7 +35,7 @@ def folder(spark, name: str) -> str:
 
 @query(
     "scan_ts",
-    """SELECT event_id AS packet_no, user_id % 8191 AS pid, event_type = 'signup' AS pusi, event_id % 16 AS cc, 1 AS afc,
+    """SELECT event_id AS packet_no, CAST(user_id % 8191 AS INTEGER) AS pid, event_type = 'signup' AS pusi, CAST(event_id % 16 AS INTEGER) AS cc, 1 AS afc,
          md5(CAST(event_id AS VARCHAR)) AS digest FROM events""",
 )
 def scan_ts(spark, d):
