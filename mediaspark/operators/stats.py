@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mediaspark.functions.timebase import gcd
 from mediaspark.operators.packets import STREAM
-from mediaspark.operators.scan import CHUNK_ROWS, chunk_id, cut_lineage, neighbours, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, chunk_id, cut_lineage, neighbours, running
 
 # ---------------------------------------------------------- frame rates
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaspark.operators import joins as J
-from mediaspark.operators import packets as P
 from mediaspark.operators.scan import cut_lineage
 from mediaspark.plans import fixtures as X
 from mediaspark.plans.registry import query, values

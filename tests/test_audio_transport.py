@@ -297,3 +297,22 @@ def test_size_predictor_equals_loop(spark):
         if var >= 10:
             coeff, count = coeff * 0.4 + size * q / (var + 1), count * 0.4 + 1
     assert np.isclose(got.coeff, coeff) and np.isclose(got["count"], count)
+
+
+def test_lpc_order_equals_solved_systems(spark):
+    rng = np.random.default_rng(5)
+    blocks = []
+    for k in range(12):
+        x = rng.normal(size=64)
+        for i in range(2, 64):
+            x[i] += 0.3 * (k % 4) * x[i - 1] - 0.2 * (k % 3) * x[i - 2]
+        blocks.append((k, x.tolist()))
+    df = S.autocorr(spark.createDataFrame(blocks, "block int, x array<double>"), 6, window=False, start=0.0)
+    for r in S.lpc_order(df).collect():
+        a = np.array(r.autoc)
+        want = 1
+        for i in range(1, 7):
+            system = np.array([[a[abs(p - q)] for q in range(i)] for p in range(i)])
+            if abs(np.linalg.solve(system, a[1 : i + 1])[-1]) > 0.10:
+                want = i
+        assert r.lpc_order == want
