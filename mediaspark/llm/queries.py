@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspark.llm import decontam, hdlang, nbsvm, outliers, tokencount
+from mediaspark.llm import chat, decontam, hdlang, linededup, mixing, nbsvm, ngramjoin, outliers, tokencount, warc
 from mediaspark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,39 @@ def op8_quality(spark, sf_dir):
     learn = load(spark, sf_dir, "labels").where(~nbsvm.held_out(F.col("doc_id")))
     found = nbsvm.score_quality(docs, docs.where("not held_out"), learn)
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_mix(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "shard", "again")
+
+
+@query
+def op5_chat_windows(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    found = chat.read_back(chat.format_windows(turns.unionByName(more)))
+    return found.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.col("chars").alias("formatted_chars"),
+    )
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    found = linededup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngramjoin.jaccard_classes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_revisits(spark, sf_dir):
+    found = warc.resolve_revisits(warc.captures_of(load(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.select("record_id", "canonical_url", "refers_to", "resolution", F.array_join(lines, "\n").alias("headers"), "payload_digest")
