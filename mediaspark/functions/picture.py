@@ -41,23 +41,33 @@ def _bits(f) -> int:
     return depth * channels
 
 
+#: Colour families that a family can hold without loss of colour (fixed values).
+_HOLDS = {"rgb": ("rgb", "gray"), "gray": ("gray",), "yuv": ("yuv",), "yuvj": ("yuvj", "yuv", "gray")}
+#: Bits of the finest channel where channels differ in depth (fixed values).
+_FINEST = {"rgb565le": 6}
+
+
+def _properties(f) -> dict[str, object]:
+    name, _, depth, family, alpha, layout, cw, ch, _ = f
+    return {
+        "depth": (depth, _FINEST.get(name, depth)), "resolution": (-cw, -ch), "colorspace": family, "chroma": family != "gray",
+        "alpha": alpha, "colorquant": layout != "palette" and family != "gray",
+    }
+
+
 def _loss(dst, src, alpha: bool) -> set[str]:
-    lost = set()
-    five_bit_green = dst[0].startswith("rgb555") and src[0].startswith("rgb565")
-    if dst[2] < src[2] or five_bit_green:
-        lost.add("depth")
-    if dst[6] > src[6] or dst[7] > src[7]:
-        lost.add("resolution")
-    fits = {"rgb": ("rgb", "gray"), "gray": ("gray",), "yuv": ("yuv",), "yuvj": ("yuvj", "yuv", "gray")}
-    if src[3] not in fits[dst[3]]:
-        lost.add("colorspace")
-    if dst[3] == "gray" and src[3] != "gray":
-        lost.add("chroma")
-    if src[4] and alpha and not dst[4]:
-        lost.add("alpha")
-    if dst[5] == "palette" and src[5] != "palette" and src[3] != "gray":
-        lost.add("colorquant")
-    return lost
+    """The properties of the source that the candidate doesn't keep: each compared by its own kind."""
+    have, want = _properties(dst), _properties(src)
+    if not alpha:
+        want["alpha"] = False
+    if dst[5] != "palette":
+        want["colorquant"] = False
+    kept = {
+        tuple: lambda h, w: all(x >= y for x, y in zip(h, w, strict=True)),
+        bool: lambda h, w: h or not w,
+        str: lambda h, w: w in _HOLDS[h],
+    }
+    return {p for p, w in want.items() if not kept[type(w)](have[p], w)}
 
 
 # What may be lost, in the order it is tried (fixed values).
@@ -216,48 +226,3 @@ def scaled_size(width: Column, height: Column, w: int, h: int) -> tuple[Column,
     if h == -1:
         hh = near(ww, height, width)
     return ww.cast("int"), hh.cast("int")
-
-
-def kernel(kind: str, *args) -> list[float]:
-    """Small filter kernels: gaussian(variance, quality), identity, constant(c, n)."""
-    import math
-
-    if kind == "identity":
-        return [1.0]
-    if kind == "constant":
-        c, n = args
-        return [float(c)] * n
-    if kind == "gaussian":
-        variance, quality = args
-        n = int(variance * quality + 0.5) | 1
-        mid = (n - 1) * 0.5
-        v = [math.exp(-((i - mid) ** 2) / (2 * variance * variance)) / math.sqrt(2 * variance * math.pi) for i in range(n)]
-        s = sum(v)
-        return [x / s for x in v]
-    raise ValueError("kind must be gaussian, identity or constant")
-
-
-def combine_kernels(a: Sequence[float], b: Sequence[float], how: str) -> list[float]:
-    """Sum, difference (both centred) or convolution of two kernels."""
-    if how == "convolve":
-        out = [0.0] * (len(a) + len(b) - 1)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                out[i + j] += x * y
-        return out
-    n = max(len(a), len(b))
-    out = [0.0] * n
-    for src, sign in ((a, 1.0), (b, 1.0 if how == "sum" else -1.0)):
-        at = (n - 1) // 2 - (len(src) - 1) // 2
-        for i, x in enumerate(src):
-            out[at + i] += sign * x
-    return out
-
-
-def shift_kernel(a: Sequence[float], by: int) -> list[float]:
-    n = len(a) + 2 * abs(by)
-    out = [0.0] * n
-    at = (n - 1) // 2 - (len(a) - 1) // 2 - by
-    for i, x in enumerate(a):
-        out[at + i] = x
-    return out

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.operators.scan import CHUNK_ROWS, chunk_id, following, number_rows, running
+from mediaspark.operators.scan import CHUNK_ROWS, following, number_sorted, running
 
 
 def close_open_cues(chunks: DataFrame, *, key: str = "stream_id", order: str = "seq", rows: int = CHUNK_ROWS) -> DataFrame:
@@ -128,4 +128,4 @@ def caption_events(lines: DataFrame, *, key: str = "file_id", order: str = "line
     body = body.filter(F.col(text).rlike(pat))
     part = lambda i: F.regexp_extract(text, pat, i).cast("bigint")
     body = body.withColumn("pts", ((part(1) * 60 + part(2)) * 60 + part(3)) * 100 + part(4)).drop("__s")
-    return number_rows(body, [key], ["pts", order], [chunk_id("pts"), chunk_id(order)], "event_no")
+    return number_sorted(body, [key], ["pts", order], "event_no")

@@ -273,14 +273,18 @@ def tag_lookup(df: DataFrame, table: DataFrame, *, tag: str = "tag") -> DataFram
 
 
 def pick_rendition(
-    requests: DataFrame, ladder: DataFrame, keys: Sequence[str], *, ceiling: int = 100_000_000, cell: int = CHUNK_ROWS
+    requests: DataFrame, ladder: DataFrame, keys: Sequence[str], *, ceiling: int | None = None, cell: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Fastest rendition at or below ``target``, else the slowest above it."""
+    """Fastest rendition at or below ``target``, else the slowest above it.
+
+    With a ``ceiling``, renditions at or beyond it aren't offered in place of a
+    slower target.
+    """
     names = {"bit_rate": "__rate", "rendition": "__id"}
     steps = ladder.withColumnsRenamed(names)
     low = asof_join(requests, steps.withColumn("__r", F.col("__rate")), keys, "target", "__r", ["__rate", "__id"], tie="__id", cell=cell)
     low = low.withColumnsRenamed({"__rate": "__lr", "__id": "__li"})
-    above = steps.filter(F.col("__rate") < ceiling).withColumn("__r", F.col("__rate"))
+    above = (steps if ceiling is None else steps.filter(F.col("__rate") < ceiling)).withColumn("__r", F.col("__rate"))
     both = asof_join(low, above, keys, "target", "__r", ["__rate", "__id"], direction="forward", tie="__id", cell=cell)
     return (
         both.withColumn("rendition", F.coalesce("__li", "__id"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.functions.text import format_value, sexagesimal
 from mediaspark.functions.timebase import rescale
-from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, chunk_id, number_rows, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, number_sorted, previous, running
 
 STREAM = ("stream_id", "stream_index")
 DISCARD_LEVELS = ("none", "nonref", "bidir", "nonkey", "all")
@@ -181,20 +183,14 @@ def fix_discontinuity(
     return out.withColumn("dts", F.col("dts") + F.col("ts_shift")).drop("__p", "__d", "__x")
 
 
-def interleave(
-    df: DataFrame, *, time: Column | None = None, cell: int = 3_600_000_000, keys: Sequence[str] = ("stream_id",)
-) -> DataFrame:
+def interleave(df: DataFrame, *, time: Column | None = None, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """Write order of a multi-stream file: by decode time, stable per stream.
 
-    ``time`` brings all streams to one time base; ``cell`` is the span (in those
-    ticks) of a numbering cell.
+    ``time`` brings all streams to one time base.  Packets without a time come last.
     """
-    t = F.col("dts") if time is None else time
-    timed = df.withColumn("__t", t)
-    out = number_rows(
-        timed, keys, ["__t", "stream_index", "seq"], [chunk_id("__t", cell), chunk_id("seq")], "pos"
-    )
-    return out.drop("__t")
+    timed = df.withColumn("__t", F.col("dts") if time is None else time)
+    order = [F.col("__t").asc_nulls_last(), F.col("stream_index"), F.col("seq")]
+    return number_sorted(timed, keys, order, "pos").drop("__t")
 
 
 def next_input(heads: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
@@ -356,20 +352,18 @@ def adler32(
 def frame_manifest(df: DataFrame, *, data: str = "data") -> DataFrame:
     """One row per packet: stream, time, size and the checksum of its payload.
 
-    The checksum is an expression over the payload's own bytes; a packet is
-    bounded, so no rows are exploded or shuffled.
+    The checksum starts at 0 and runs over the payload where it stands; no rows are
+    exploded or shuffled.  A missing payload has checksum 0 and no size.
     """
-    hexed = F.hex(F.col(data))
     size = F.octet_length(F.col(data)).cast("bigint")
-    codes = F.when(size > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1)).cast("int")),
-        lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"),
-    )).otherwise(F.array().cast("array<bigint>"))
-    state = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    total = F.aggregate(
-        codes,
-        state,
-        lambda s, x: F.struct(((s["a"] + x) % 65521).alias("a"), ((s["b"] + s["a"] + x) % 65521).alias("b")),
-        lambda s: s["b"] * 65536 + s["a"],
-    )
-    return df.select("stream_id", "stream_index", "dts", size.alias("size"), total.alias("checksum"))
+    return df.select("stream_id", "stream_index", "dts", size.alias("size"), checksum(F.col(data), init=0).alias("checksum"))
+
+
+def checksum(data: Column, *, init: int = 1) -> Column:
+    """Adler-32 of a binary column, whole batches at a time."""
+
+    @F.arrow_udf("bigint")
+    def run(raw: pa.Array) -> pa.Array:
+        return pa.array([zlib.adler32(b or b"", init) for b in raw.to_pylist()], pa.int64())
+
+    return run(data)

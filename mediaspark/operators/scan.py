@@ -9,14 +9,14 @@ helpers here cut a stream into chunks of its integer order column
   windows inside a chunk, one aggregated row per chunk, and a carry joined back;
 * ``neighbours`` - windows that look a bounded number of rows back or ahead: the
   rows next to a chunk border are copied into the next chunk before the shuffle;
-* ``number_rows`` - dense row numbers from counts per cell.
+* ``number_rows`` - dense row numbers from counts per cell;
+* ``number_sorted`` - dense row numbers in any order, from ranges of the sort key.
 
 Key columns name a stream and must not be null.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -150,20 +150,24 @@ def anchored_sum(
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which all executors can reach.
 
-    A folder of its own is made only where the session names none and runs on one
-    machine.
+    Where the session names none it is a folder in its warehouse.  What is written
+    goes when the session ends.
     """
     sc = spark.sparkContext
     shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="mediaspark-checkpoint-")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared)
+        _drop_at_exit(spark, sc.getCheckpointDir())
     return shared
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read, to the shared checkpoint folder."""
     shared_folder(df.sparkSession)
@@ -269,3 +273,27 @@ def number_rows(
     out = _join_carry(local, shift, [*keys, *lv])
     number = F.col("__rn").cast("bigint") + F.col("__before") + F.lit(start - 1).cast("bigint")
     return out.select(*[x for x in df.columns if x != name], number.alias(name))
+
+
+def number_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "seq", start: int = 1
+) -> DataFrame:
+    """Dense row numbers per key in any order, nulls where ``order`` puts them.
+
+    Rows are dealt by ranges of (key, order), which Spark cuts from a sample, so a
+    hot key is spread over as many ranges as its rows need, whatever the unit of the
+    order columns.  A range numbers its own rows; a key's earlier ranges give the
+    rows to add.
+    """
+    keys = list(keys)
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *cols).withColumn("__range", F.spark_partition_id())
+    # Ranges are sampled anew on each run, so they are written down once.
+    dealt = cut_lineage(dealt)
+    own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*cols)).cast("bigint")
+    w = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    out = _join_carry(dealt.withColumn("__rn", own), before, [*keys, "__range"])
+    number = F.col("__rn") + F.col("__before") + F.lit(start - 1).cast("bigint")
+    return out.select(*[x for x in df.columns if x != name], number.alias(name))

@@ -172,16 +172,20 @@ def smooth_same_type(
 def build_seek_index(packets: DataFrame, *, keys: Sequence[str] = STREAM) -> DataFrame:
     """One entry per time: the last arrival, keeping the larger key distance.
 
-    Two entries of one time and position keep the larger ``min_distance`` while
-    they follow each other; another position starts afresh.
+    Entries of one time and position keep the larger ``min_distance`` while they
+    follow each other; another position starts afresh, also where an earlier one
+    comes back.  So the last run of equal positions counts: what arrived after the
+    last entry with another position.  All steps are aggregates.
     """
-    e = packets.groupBy(*keys, "ts", "pos").agg(
-        F.max("min_distance").alias("min_distance"), F.max("seq").alias("seq"), F.max_by(F.struct("size", "is_key"), "seq").alias("__b")
-    )
-    g = e.groupBy(*keys, "ts").agg(F.max_by(F.struct("pos", "min_distance", "__b"), "seq").alias("e"))
-    return g.select(
-        *keys, "ts", F.col("e.pos").alias("pos"), F.col("e.min_distance").alias("min_distance"),
-        F.col("e.__b.size").alias("size"), F.col("e.__b.is_key").alias("is_key"),
+    at = [*keys, "ts"]
+    last = packets.groupBy(*at).agg(F.max_by(F.struct("pos", "size", "is_key"), "seq").alias("__e"))
+    known = packets.join(last, at)
+    same = F.col("pos").eqNullSafe(F.col("__e.pos"))
+    broken = known.groupBy(*at).agg(F.max(F.when(~same, F.col("seq"))).alias("__broken"))
+    run = known.join(broken, at).where(same & (F.col("__broken").isNull() | (F.col("seq") > F.col("__broken"))))
+    return run.groupBy(*at).agg(
+        F.first("__e.pos").alias("pos"), F.max("min_distance").alias("min_distance"),
+        F.first("__e.size").alias("size"), F.first("__e.is_key").alias("is_key"),
     )
 
 

@@ -112,14 +112,15 @@ def assemble_sections(
     )
     parts = df.select(*keys, F.explode(F.array(own, tail)).alias("e")).filter("e.ok AND e.u > 0")
     unit = parts.select(*keys, F.col("e.u").alias("unit"), F.col("e.o").alias(order), F.col("e.b").alias("b"))
-    # A section has at most 4096 bytes, so parts of a unit are joined up to that size
-    # first and later parts of a unit that never ends are left out.
+    # Parts of a unit are joined first.  Its first three bytes say how long the section is; parts
+    # beyond that are stuffing and aren't needed, those of a unit that never ends included.
     part = chunk_id(order, 8192).alias("__part")
-    small = unit.groupBy(*keys, "unit", part).agg(
-        F.min(order).alias("__at"), F.substring(_joined(order), 1, 2 * SECTION_MAX).alias("__hex")
-    )
-    w = Window.partitionBy(*keys, "unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    small = small.withColumn("__got", F.coalesce(F.sum(F.length("__hex")).over(w), F.lit(0))).filter(F.col("__got") < 2 * SECTION_MAX)
+    small = unit.groupBy(*keys, "unit", part).agg(F.min(order).alias("__at"), _joined(order).alias("__hex"))
+    w = Window.partitionBy(*keys, "unit").orderBy("__part")
+    start = F.substring(F.first("__hex").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 3, 4)
+    needs = F.when(F.length(start) == 4, F.conv(start, 16, 10).cast("bigint").bitwiseAND(F.lit(0xFFF))).otherwise(0xFFF) + 3
+    got = F.coalesce(F.sum(F.length("__hex")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = small.withColumns({"__got": got, "__needs": needs}).filter(F.col("__got") < 2 * F.col("__needs"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "__hex"))), lambda s: s["__hex"]), "")
     g = small.groupBy(*keys, "unit").agg(F.min("__at").alias("first_packet"), F.unhex(whole).alias("data"))
     length = bytes_at(F.col("data"), 1, 2).bitwiseAND(F.lit(0xFFF)) + 3

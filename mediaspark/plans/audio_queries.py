@@ -142,8 +142,7 @@ def assemble_sections(spark, d):
 
 
 def table_sections(spark, d):
-    li = X.table(spark, d, "lineitem").filter("l_linenumber <= 4")
-    s = li.select(
+    s = X.table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("pid"), F.col("l_orderkey").alias("payload"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),
         (F.col("l_linenumber") - 1).alias("section_no"), F.lit(0).alias("extension"), F.lit(0).alias("table_id"),
         F.expr("l_orderkey div 8000").alias("version"), F.lit(2).alias("last_no"),
@@ -154,7 +153,7 @@ def table_sections(spark, d):
 @query(
     "complete_tables",
     """WITH s AS (SELECT l_partkey AS pid, l_orderkey AS payload, l_linenumber - 1 AS section_no, l_orderkey // 8000 AS version,
-           row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS seq FROM lineitem WHERE l_linenumber <= 4),
+           row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS seq FROM lineitem),
        f AS (SELECT * FROM s WHERE section_no <= 2),
        c AS (SELECT pid, version, max(m) AS done FROM (SELECT pid, version, section_no, min(seq) AS m FROM f GROUP BY ALL) GROUP BY ALL HAVING count(*) = 3),
        l AS (SELECT f.pid, f.version, section_no, done, arg_max(payload, seq) AS payload FROM f JOIN c ON f.pid = c.pid AND f.version = c.version WHERE seq <= done GROUP BY ALL)
@@ -168,7 +167,7 @@ def complete_tables(spark, d):
 def es_table(spark, d):
     types = [1, 2, 3, 4, 15, 129, 6, 2]
     t = F.element_at(F.array(*[F.lit(x) for x in types]), ((F.col("l_partkey") + F.col("l_linenumber")) % 8 + 1).cast("int"))
-    return X.table(spark, d, "lineitem").filter("l_suppkey % 7 = 0").select(
+    return X.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("program"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("es_no"), t.alias("es_type"),
         (F.col("l_partkey") % 4000 + 32).alias("es_pid"),
     )
@@ -177,7 +176,7 @@ def es_table(spark, d):
 @query(
     "program_map",
     """WITH e AS (SELECT l_orderkey AS program, l_partkey * 8 + l_linenumber AS es_no, [1, 2, 3, 4, 15, 129, 6, 2][CAST((l_partkey + l_linenumber) % 8 + 1 AS INTEGER)] AS es_type,
-           l_partkey % 4000 + 32 AS es_pid FROM lineitem WHERE l_suppkey % 7 = 0),
+           l_partkey % 4000 + 32 AS es_pid FROM lineitem),
        p AS (SELECT o_orderkey AS program, o_custkey % 8000 AS pmt_pid FROM orders WHERE o_orderkey > 0)
        SELECT program, pmt_pid, arg_min(es_pid, es_no) FILTER (es_type IN (1, 2)) AS video_pid,
          coalesce(arg_max(es_pid, es_no) FILTER (es_type = 129), arg_min(es_pid, es_no) FILTER (es_type IN (3, 4, 15))) AS audio_pid

@@ -305,7 +305,7 @@ SQL: dict[str, str] = {
         + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END) % 16 AS INTEGER) AS cc, event_type = 'signup' AS pusi,
         CASE WHEN event_id % 20 = 0 THEN epoch_us(ts) * 27 END AS pcr FROM events""",
     "v_sections": """SELECT l_partkey AS pid, l_orderkey % 4 AS version, l_linenumber - 1 AS section_no,
-        3 AS last_no, l_orderkey AS payload FROM lineitem WHERE l_linenumber <= 4""",
+        3 AS last_no, l_orderkey AS payload FROM lineitem""",
     "v_conns": """SELECT o_orderkey AS conn_id, o_custkey AS src_addr, epoch_us(o_orderdate) AS t,
         CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderstatus AS state FROM orders""",
     "v_acl": """SELECT n_nationkey AS rule_no, n_nationkey * 50 AS first_addr, n_nationkey * 50 + 30 AS last_addr,

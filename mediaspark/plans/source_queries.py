@@ -18,14 +18,14 @@ from mediaspark.plans.line_queries import FILM
 from mediaspark.plans.registry import query
 from mediaspark.plans.stat_queries import RTP_RULES
 from mediaspark.sources import files as Fi
-from mediaspark.sources import generators as Gen
 from mediaspark.sources import raw as R
 from mediaspark.sources import sinks as W
 from mediaspark.streaming import twins as S
 
 
 LIVE_RTP = """SELECT event_id % 100 AS ssrc, event_id, row_number() OVER (PARTITION BY event_id % 100 ORDER BY event_id) AS arrival_no,
-    (event_id // 100 + 65500 + CASE WHEN event_id > 4000 THEN 20000 ELSE 0 END) % 65536 AS seq FROM events WHERE event_type <> 'error'"""
+    (event_id // 100 + 65500 + CASE WHEN event_id > 4000 THEN 20000 ELSE 0 END
+      + CASE WHEN event_id % 1700 >= 1200 THEN 3 ELSE 0 END) % 65536 AS seq FROM events"""
 
 
 def folder(spark, name: str) -> str:
@@ -46,8 +46,8 @@ def scan_ts(spark, d):
     data = F.unhex(F.concat(F.lit("47"), h(word, 4), h(e % 16 + 16, 2), F.rpad(body, 368, "0")))
     p = X.events(spark, d).select(e.alias("packet_no"), data.alias("data"))
     path = folder(spark, "ts")
-    W.write_raw(p, path, parts=1)
-    out = R.scan_ts(spark, path, range_bytes=188 * 1000)
+    W.write_raw(p, path)
+    out = R.scan_ts(spark, path, range_bytes=188 * 1000, one_stream=True)
     return out.select("packet_no", "pid", "pusi", "cc", "afc", F.lower(F.hex(F.substring("payload", 1, 16))).alias("digest"))
 
 
@@ -61,8 +61,8 @@ def scan_pcm(spark, d):
     )
     h = lambda v: F.lpad(F.hex((v + 65536) % 65536), 4, "0")
     path = folder(spark, "pcm")
-    W.write_raw(s.withColumn("data", F.unhex(F.concat(h(F.col("l")), h(F.col("r"))))), path, order="sample_no", parts=1)
-    out = R.scan_pcm(spark, path, "s16be", 2, 44100, range_bytes=40000)
+    W.write_raw(s.withColumn("data", F.unhex(F.concat(h(F.col("l")), h(F.col("r"))))), path, order="sample_no")
+    out = R.scan_pcm(spark, path, "s16be", 2, 44100, range_bytes=40000, one_stream=True)
     return out.select("sample_no", F.col("ch")[0].alias("l"), F.col("ch")[1].alias("r"))
 
 
@@ -162,16 +162,6 @@ def vstats(spark, d):
     return W.vstats_lines(s)
 
 
-@query("gen_signals")
-def gen_signals(spark, d):
-    """As many samples as there are orders: tone, sweep, noise and swelling tone."""
-    n = X.table(spark, d, "orders").count()
-    out = Gen.gen_tone(spark, n).withColumnRenamed("x", "tone")
-    out = out.join(Gen.gen_chirp(spark, n).withColumnRenamed("x", "chirp"), "sample_no")
-    out = out.join(Gen.gen_noise(spark, n).withColumnRenamed("x", "noise"), "sample_no")
-    return out.join(Gen.gen_am(spark, n, channel=1).withColumnRenamed("x", "am"), "sample_no")
-
-
 def _axis_sql(source: int, target: int) -> str:
     rows = ", ".join(f"({t}, {i}, {w}::BIGINT)" for t, i, w in L.axis_weights(source, target))
     return f"(SELECT * FROM (VALUES {rows}) AS w(t, i, w))"
@@ -226,14 +216,23 @@ def live_packets(spark, d):
     )
 
 
+def to_the_end(spark, feed, result, name: str):
+    """All windows of a feed: its rows first, then the mark of its end."""
+    out = folder(spark, name)
+    df = result(S.with_end(feed, f"{out}/marks"))
+    S.drain(df, f"{out}/data", f"{out}/progress")
+    S.end_feed(feed, f"{out}/marks", "ts")
+    S.drain(df, f"{out}/data", f"{out}/progress")
+    return spark.read.schema(df.schema).parquet(f"{out}/data")
+
+
 @query(
     "live_progress",
     """SELECT stream_id, epoch_us(ts) // 500000 * 500000 AS start, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes
-       FROM (SELECT user_id AS stream_id, ts, CAST(floor(value * 100) AS BIGINT) AS size FROM events)
-       WHERE epoch_us(ts) // 500000 * 500000 + 500000 <= (SELECT max(epoch_us(ts)) - 10000000 FROM events) GROUP BY ALL""",
+       FROM (SELECT user_id AS stream_id, ts, CAST(floor(value * 100) AS BIGINT) AS size FROM events) GROUP BY ALL""",
 )
 def live_progress(spark, d):
-    out = finished(spark, S.progress(live_packets(spark, d), "ts", keys=["stream_id"]), "progress")
+    out = to_the_end(spark, live_packets(spark, d), lambda p: S.progress(p, "ts", keys=["stream_id"]), "progress")
     return out.select("stream_id", F.unix_micros("start").alias("start"), "packets", "bytes")
 
 
@@ -241,11 +240,10 @@ def live_progress(spark, d):
     "live_rate",
     """WITH e AS (SELECT user_id AS stream_id, epoch_us(ts) AS t, CAST(floor(value * 100) AS BIGINT) AS size FROM events),
        w AS (SELECT stream_id, t // 5000000 * 5000000 - k * 5000000 AS start, size FROM e, (SELECT unnest([0, 1]) AS k))
-       SELECT stream_id, start, round(sum(size) / 10.0::DOUBLE, 4) AS rate FROM w
-       WHERE start + 10000000 <= (SELECT max(epoch_us(ts)) - 10000000 FROM events) GROUP BY ALL""",
+       SELECT stream_id, start, round(sum(size) / 10.0::DOUBLE, 4) AS rate FROM w GROUP BY ALL""",
 )
 def live_rate(spark, d):
-    out = finished(spark, S.sliding_rate(live_packets(spark, d), "ts", keys=["stream_id"]), "rate")
+    out = to_the_end(spark, live_packets(spark, d), lambda p: S.sliding_rate(p, "ts", keys=["stream_id"]), "rate")
     return out.select("stream_id", F.unix_micros("start").alias("start"), F.round("rate", 4).alias("rate"))
 
 
@@ -255,10 +253,10 @@ def live_rate(spark, d):
        b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY stream_id ORDER BY t) <= 14400000000 THEN 0 ELSE 1 END AS n FROM e),
        s AS (SELECT *, sum(n) OVER (PARTITION BY stream_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b),
        g AS (SELECT stream_id, k, min(t) AS start, max(t) + 14400000000 AS "end", count(*) AS packets FROM s GROUP BY ALL)
-       SELECT stream_id, start, "end", packets FROM g WHERE "end" <= (SELECT max(t) - 10000000 FROM e)""",
+       SELECT stream_id, start, "end", packets FROM g""",
 )
 def live_sessions(spark, d):
-    out = finished(spark, S.sessions(live_packets(spark, d), "ts", gap="4 hours", keys=["stream_id"]), "sessions")
+    out = to_the_end(spark, live_packets(spark, d), lambda p: S.sessions(p, "ts", gap="4 hours", keys=["stream_id"]), "sessions")
     return out.select("stream_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "packets")
 
 
@@ -274,11 +272,11 @@ def stateful(spark):
     + "SELECT r.ssrc, n.event_id AS arrival_no, valid, cycles + top AS ext_seq, received FROM r JOIN p n USING (ssrc, arrival_no)",
 )
 def live_rtp(spark, d):
-    """Sequence check of a live feed with losses and one jump."""
+    """Sequence check of a live feed with gaps, steps back and one jump in its numbers."""
     stateful(spark)
     e = F.col("event_id")
-    seq = F.expr("event_id div 100") + 65500 + F.when(e > 4000, 20000).otherwise(0)
-    rtp = live(spark, d, "events").filter("event_type <> 'error'").select(
+    seq = F.expr("event_id div 100") + 65500 + F.when(e > 4000, 20000).otherwise(0) + F.when(e % 1700 >= 1200, 3).otherwise(0)
+    rtp = live(spark, d, "events").select(
         (e % 100).alias("ssrc"), e.alias("arrival_no"), (seq % 65536).cast("int").alias("seq")
     )
     out = finished(spark, S.fold_live(rtp, ["ssrc"], "arrival_no", ["seq"], G.rtp_fold(), G.RTP_OUT), "rtp")

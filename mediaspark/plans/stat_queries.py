@@ -102,14 +102,16 @@ def smooth_same_type(spark, d):
 
 @query(
     "build_seek_index",
-    """WITH p AS (SELECT stream_id, stream_index, dts - dts % 3600000000 AS ts, event_id % 3 AS pos, size, is_key, event_id % 10 AS md, seq FROM v_packets),
-       e AS (SELECT stream_id, stream_index, ts, pos, max(md) AS min_distance, max(seq) AS seq, arg_max(size, seq) AS size, arg_max(is_key, seq) AS is_key FROM p GROUP BY ALL)
-       SELECT stream_id, stream_index, ts, arg_max(pos, seq) AS pos, arg_max(min_distance, seq) AS min_distance, arg_max(size, seq) AS size,
-         arg_max(is_key, seq) AS is_key FROM e GROUP BY stream_id, stream_index, ts""",
+    """WITH p AS (SELECT stream_id, stream_index, dts - dts % 86400000000 AS ts, event_id % 2 AS pos, size, is_key, event_id % 10 AS md, seq FROM v_packets),
+       f AS (SELECT *, CASE WHEN pos = lag(pos) OVER w THEN 0 ELSE 1 END AS fresh FROM p WINDOW w AS (PARTITION BY stream_id, stream_index, ts ORDER BY seq)),
+       g AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_id, stream_index, ts ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM f),
+       z AS (SELECT *, max(run) OVER (PARTITION BY stream_id, stream_index, ts) AS final FROM g)
+       SELECT stream_id, stream_index, ts, max(pos) AS pos, max(md) AS min_distance, arg_max(size, seq) AS size, arg_max(is_key, seq) AS is_key
+       FROM z WHERE run = final GROUP BY stream_id, stream_index, ts""",
 )
 def build_seek_index(spark, d):
     p = X.v_packets(spark, d).select(
-        "stream_id", "stream_index", (F.col("dts") - F.col("dts") % 3600000000).alias("ts"), (F.col("event_id") % 3).alias("pos"),
+        "stream_id", "stream_index", (F.col("dts") - F.col("dts") % 86400000000).alias("ts"), (F.col("event_id") % 2).alias("pos"),
         "size", "is_key", (F.col("event_id") % 10).alias("min_distance"), "seq",
     )
     return S.build_seek_index(p)

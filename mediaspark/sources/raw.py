@@ -39,27 +39,29 @@ def _read(path: str, start: int, size: int) -> bytes:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, size: int):
-        self.path, self.start, self.size = path, start, size
+    def __init__(self, path: str, start: int, size: int, earlier: int = 0):
+        self.path, self.start, self.size, self.earlier = path, start, size, earlier
 
 
 class _RangeReader(DataSourceReader):
-    def __init__(self, path: str, record: int, span: int):
-        self.path, self.record = path, record
+    def __init__(self, path: str, record: int, span: int, one_stream: bool = False):
+        self.path, self.record, self.one_stream = path, record, one_stream
         self.span = max(span // record, 1) * record
 
     def partitions(self):
-        out = []
+        out, earlier = [], 0
         for name, size in _files(self.path):
             whole = size - size % self.record
-            out += [ByteRange(name, at, min(self.span, whole - at)) for at in range(0, whole, self.span)]
+            out += [ByteRange(name, at, min(self.span, whole - at), earlier) for at in range(0, whole, self.span)]
+            if self.one_stream:  # the parts of a folder follow each other by name
+                earlier += whole // self.record
         return out or [ByteRange("", 0, 0)]
 
     def blocks(self, part: ByteRange, records: int) -> Iterator[tuple[int, bytes]]:
         """(first record number, bytes) of at most ``records`` records each."""
         step = records * self.record
         for at in range(part.start, part.start + part.size, step):
-            yield at // self.record, _read(part.path, at, min(step, part.start + part.size - at))
+            yield part.earlier + at // self.record, _read(part.path, at, min(step, part.start + part.size - at))
 
 
 class TsReader(_RangeReader):
@@ -83,7 +85,7 @@ class TsSource(DataSource):
         return "path string, packet_no bigint, data binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return TsReader(self.options["path"], 188, int(self.options.get("rangebytes", RANGE_BYTES)))
+        return TsReader(self.options["path"], 188, int(self.options.get("rangebytes", RANGE_BYTES)), self.options.get("onestream") == "true")
 
 
 def _alaw() -> np.ndarray:
@@ -129,10 +131,10 @@ def pcm_formats() -> dict[str, tuple[int, object]]:
 
 
 class PcmReader(_RangeReader):
-    def __init__(self, path, fmt, channels, span):
+    def __init__(self, path, fmt, channels, span, one_stream=False):
         width, self.decode = pcm_formats()[fmt]
         self.channels = channels
-        super().__init__(path, width * channels, span)
+        super().__init__(path, width * channels, span, one_stream)
 
     def read(self, partition):
         for first, raw in self.blocks(partition, 1 << 16):
@@ -159,21 +161,25 @@ class PcmSource(DataSource):
         fmt = o.get("fmt", "s16le")
         if fmt not in pcm_formats():
             raise ValueError(f"fmt must be one of {sorted(pcm_formats())}")
-        return PcmReader(o["path"], fmt, int(o.get("channels", 1)), int(o.get("rangebytes", RANGE_BYTES)))
+        return PcmReader(o["path"], fmt, int(o.get("channels", 1)), int(o.get("rangebytes", RANGE_BYTES)), o.get("onestream") == "true")
 
 
-def scan_ts(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """188-byte records of a file or folder with their header fields."""
+def scan_ts(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES, one_stream: bool = False) -> DataFrame:
+    """188-byte records of a file or folder with their header fields.
+
+    Records are numbered per file, or with ``one_stream`` on through the files of a
+    folder in the order of their names.
+    """
     from mediaspark.operators.transport import parse_header
 
     spark.dataSource.register(TsSource)
-    return parse_header(spark.read.format("ts_packets").option("rangebytes", range_bytes).load(path))
+    return parse_header(spark.read.format("ts_packets").option("rangebytes", range_bytes).option("onestream", one_stream).load(path))
 
 
-def scan_pcm(spark: SparkSession, path: str, fmt: str = "s16le", channels: int = 1, rate: int = 44100, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Raw samples with their time in seconds."""
+def scan_pcm(spark: SparkSession, path: str, fmt: str = "s16le", channels: int = 1, rate: int = 44100, *, range_bytes: int = RANGE_BYTES, one_stream: bool = False) -> DataFrame:
+    """Raw samples with their time in seconds; numbered as ``scan_ts`` numbers records."""
     from pyspark.sql import functions as F
 
     spark.dataSource.register(PcmSource)
-    df = spark.read.format("pcm").option("fmt", fmt).option("channels", channels).option("rangebytes", range_bytes).load(path)
+    df = spark.read.format("pcm").option("fmt", fmt).option("channels", channels).option("rangebytes", range_bytes).option("onestream", one_stream).load(path)
     return df.withColumn("seconds", F.col("sample_no") / F.lit(float(rate)))

@@ -123,18 +123,22 @@ def merge_inputs(parts: Sequence[DataFrame], ts: str, *, late: str = "10 seconds
     return out
 
 
-def live_cues(frames: DataFrame, cues: DataFrame, *, key: str = "stream_id", late: str = "10 seconds", longest: str = "10 minutes") -> DataFrame:
-    """Frames with the cues that are shown; a cue is forgotten once it cannot match.
+def live_cues(frames: DataFrame, cues: DataFrame, *, key: str = "stream_id", late: str = "10 seconds", longest: str | None = None) -> DataFrame:
+    """Frames with the cues that are shown; a frame is forgotten once no new cue can match.
 
     ``frames`` has ``t``, ``cues`` has ``start`` and ``stop`` (timestamps); a cue
-    lasts ``longest`` at most.
+    without ``stop`` is shown from its start on.  Cues stay in the state as long as
+    a frame may come; give ``longest`` where cues are known to last no longer, and
+    they are forgotten after that time.
     """
     f = frames.withWatermark("t", late).alias("f")
     c = cues.withColumnRenamed(key, "__k").withWatermark("start", late).alias("c")
     on = (
         (F.col(f"f.{key}") == F.col("c.__k")) & (F.col("f.t") >= F.col("c.start"))
-        & (F.col("f.t") <= F.col("c.start") + F.expr(f"INTERVAL {longest}")) & (F.col("f.t") < F.col("c.stop"))
+        & (F.col("c.stop").isNull() | (F.col("f.t") < F.col("c.stop")))
     )
+    if longest is not None:
+        on = on & (F.col("f.t") <= F.col("c.start") + F.expr(f"INTERVAL {longest}"))
     return f.join(c, on).drop("__k")
 
 
@@ -150,3 +154,25 @@ def drain(df: DataFrame, out: str, checkpoint: str) -> None:
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
+
+
+#: The time of the mark that ends a feed; no window of it ever closes.
+END = "9000-01-01 00:00:00"
+
+
+def with_end(df: DataFrame, marks: str) -> DataFrame:
+    """A feed and the marks that a folder gets when it has ended; see ``end_feed``."""
+    spark = df.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(marks)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(there)
+    return df.unionByName(spark.readStream.schema(df.schema).parquet(marks))
+
+
+def end_feed(df: DataFrame, marks: str, ts: str) -> None:
+    """Mark the end of a feed whose rows are all taken in.
+
+    The mark is one row far in the future, with nulls for the rest: the next run's
+    watermark passes all windows and sessions, which so come out to the last.
+    """
+    row = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+    df.sparkSession.range(1).select(*row).write.mode("append").parquet(marks)

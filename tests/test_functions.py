@@ -123,14 +123,6 @@ def test_format_choice(spark):
     assert one(spark, Pic.picture_size(F.lit("yuv420p"), F.lit(5), F.lit(3))) == 15 + 2 * 3 * 2
 
 
-def test_kernels():
-    g = Pic.kernel("gaussian", 1.0, 3.0)
-    assert math.isclose(sum(g), 1.0) and g == g[::-1]
-    assert Pic.combine_kernels([1, 2], [1, 1], "convolve") == [1, 3, 2]
-    assert Pic.combine_kernels([1, 2, 3], [1], "difference") == [1, 1, 3]
-    assert Pic.shift_kernel([1.0], 1) == [1.0, 0.0, 0.0]
-
-
 def test_pipeline_orders_and_checks(spark):
     p = Param("by", "int", 1, 0, 10)
     add = lambda df, by: df.withColumn("v", F.col("v") + by)

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mediaspark.operators import packets as P
 from mediaspark.operators import scan
+from mediaspark.operators.cues import caption_events
+from mediaspark.operators.stats import build_seek_index
 
 
 def table(spark, n=200, gaps=True, seed=1):
@@ -100,3 +103,34 @@ def test_plan_has_no_whole_stream_window(spark):
     windows = [x for x in plan.splitlines() if "Window [" in x]
     assert len(windows) == 2
     assert any("[k#" in w and "__chunk" in w.split("],")[1] for w in windows)
+
+
+def test_number_sorted_in_any_order(spark):
+    rng = random.Random(17)
+    # A third of the rows are one stream's, times are sparse, out of order, tied and missing.
+    rows = [(0 if i % 3 == 0 else i % 7, rng.choice([None, rng.randint(0, 10**15), rng.randint(0, 5)]), i % 2, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "stream_id bigint, dts bigint, stream_index int, seq bigint").repartition(7)
+    got = {(r.stream_id, r.seq): r.pos for r in P.interleave(df).collect()}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3])):
+        by.setdefault(r[0], []).append(r[3])
+    assert got == {(k, seq): n for k, seqs in by.items() for n, seq in enumerate(seqs, 1)}
+
+
+def test_later_packets_come_later_whatever_their_numbers(spark):
+    df = spark.createDataFrame([(0, 100, 0, 262143), (0, 90, 0, 262144), (0, None, 0, 1)], "stream_id bigint, dts bigint, stream_index int, seq bigint")
+    assert {r.seq: r.pos for r in P.interleave(df).collect()} == {262144: 1, 262143: 2, 1: 3}
+
+
+def test_captions_are_numbered_by_time_over_chunks(spark):
+    say = lambda at: f"Dialogue: 0, 0:00:{at:02d}.00,x"
+    lines = [(0, "[Events]"), (1, "Format: x"), (262143, say(10)), (262145, say(5))]
+    df = spark.createDataFrame([(1, n, x) for n, x in lines], "file_id bigint, line_no bigint, line string")
+    assert {r.line_no: r.event_no for r in caption_events(df).collect()} == {262145: 1, 262143: 2}
+
+
+def test_an_index_entry_starts_afresh_when_its_position_returns(spark):
+    rows = [(100, 9, 1), (200, 3, 2), (100, 1, 3), (100, 0, 4)]
+    df = spark.createDataFrame([(0, 0, 7, p, s, 10 * s, s == 3, d) for p, d, s in rows], "stream_id int, stream_index int, ts bigint, pos bigint, seq bigint, size bigint, is_key boolean, min_distance int")
+    r = build_seek_index(df).collect()
+    assert [(x.pos, x.min_distance, x.size, x.is_key) for x in r] == [(100, 1, 40, False)]
