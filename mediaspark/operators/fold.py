@@ -4,9 +4,11 @@
 stream to one task.  A stream is cut into chunks.  All chunks are folded at once,
 each from a guessed state; the end state of a chunk is then handed to its
 successor, and only chunks whose start turned out different are folded again, until
-none is.  The result is that of one pass from the beginning.  The folds here forget
-their start quickly (resets, clamps, decay), so one or two rounds are usual; a
-stream that fits one chunk needs none.
+none is.  The result is that of one pass from the beginning.  A fold that forgets its
+start (resets, clamps, decay) settles in one or two rounds.  Totals don't belong in a
+state, as they never forget: they are running sums over what the fold puts out (see
+``rtp_sequence``).  The rate conversions and the clock filter carry an absolute count or
+clock and settle one chunk a round.
 
 A fold is ``fold(state, columns) -> (state, outputs)`` over lists of one chunk's
 values in order; ``state`` is a list of numbers, strings and booleans or None at the
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from mediaspark.operators.scan import chunk_id, cut_lineage
+from mediaspark.operators.scan import chunk_id, cut_lineage, running
 
 FOLD_ROWS = 1 << 17
 
@@ -60,10 +62,6 @@ def fold_stream(
             table = table.append_column(f, pa.array(out[f.name], type=f.type))
         return table
 
-    span = base.groupBy(*keys).agg(F.min("__chunk").alias("a"), F.max("__chunk").alias("b"))
-    if span.filter("a < b").isEmpty():
-        return base.groupBy(*keys).applyInArrow(emit, schema)
-
     base = cut_lineage(base)
     group = [*keys, "__chunk"]
     ends_schema = T.StructType([*[kept.schema[k] for k in keys], *T._parse_datatype_string("__chunk bigint, __used string, __end string").fields])
@@ -238,41 +236,70 @@ def monotone_output(df: DataFrame, *, keys=("stream_id",), order: str = "frame_n
 # Limits of the sequence check (fixed values).
 MAX_DROPOUT = 3000
 MAX_MISORDER = 100
-MIN_SEQUENTIAL = 2
 SEQ_MOD = 1 << 16
 
 
-def rtp_fold(base_seq: int = 0) -> Fold:
+#: What a packet does to the sequence check: whether it counts, moves the highest number, starts the totals
+#: afresh, and whether a number to wait for is set (next after it), forgotten or kept.
+RTP_EFFECTS = {
+    #          valid  moves  fresh  expected
+    "wait":   (False, True, False, "kept"),
+    "begin":  (True, True, True, "forgotten"),
+    "next":   (True, True, False, "kept"),
+    "late":   (True, False, False, "kept"),
+    "jump":   (False, False, False, "set"),
+    "again":  (True, True, True, "forgotten"),
+}
+
+
+def _rtp_kind(seq: int, top: int, expected: int | None, waiting: bool) -> str:
+    """RFC 3550, A.1: a source is valid after two packets in a row; a large step needs a second packet to prove it."""
+    if waiting:
+        return "begin" if seq == top + 1 else "wait"
+    step = (seq - top) % SEQ_MOD
+    if step < MAX_DROPOUT:
+        return "next"
+    if step > SEQ_MOD - MAX_MISORDER:
+        return "late"
+    return "again" if seq == expected else "jump"
+
+
+def rtp_steps(base_seq: int = 0) -> Fold:
+    """What each packet does; the state is what decides that, without any totals."""
+
     def fold(state, cols):
-        top, cycles, base, bad, probation, received = state if state else (base_seq, 0, 0, 0, 1, 0)
-        out = {"valid": [], "ext_seq": [], "base": [], "received": []}
+        top, expected, waiting = state if state else (base_seq, None, True)
+        out = {"valid": [], "top": [], "wrapped": [], "fresh": []}
         for seq in cols["seq"]:
-            ok = True
-            ahead = (seq - top) % SEQ_MOD
-            if probation:
-                ok = False
-                if seq == top + 1:
-                    probation -= 1
-                    if probation == 0:
-                        cycles, base, bad, received, ok = 0, seq - 1, SEQ_MOD + 1, 0, True
-                else:
-                    probation = MIN_SEQUENTIAL - 1
-                top = seq
-            elif ahead < MAX_DROPOUT:
-                cycles += SEQ_MOD if seq < top else 0
-                top = seq
-            elif ahead <= SEQ_MOD - MAX_MISORDER:
-                if seq == bad:
-                    top, cycles, base, bad, received = seq, 0, seq - 1, SEQ_MOD + 1, 0
-                else:
-                    bad = (seq + 1) % SEQ_MOD
-                    ok = False
+            kind = _rtp_kind(seq, top, expected, waiting)
+            valid, moves, fresh, then = RTP_EFFECTS[kind]
+            out["wrapped"].append(int(kind == "next" and seq < top))
+            top = seq if moves else top
+            expected = {"kept": expected, "forgotten": None, "set": (seq + 1) % SEQ_MOD}[then]
+            waiting = kind == "wait"
+            out["valid"].append(valid)
+            out["top"].append(top)
+            out["fresh"].append(fresh)
+        return [top, expected, waiting], out
+
+    return fold
+
+
+def rtp_fold(base_seq: int = 0) -> Fold:
+    """The live form: the steps with their totals since the last fresh start, kept in the state."""
+    steps = rtp_steps(base_seq)
+
+    def fold(state, cols):
+        inner, base, wraps, received = state if state else (None, 0, 0, 0)
+        inner, did = steps(inner, cols)
+        out = {"valid": did["valid"], "ext_seq": [], "base": [], "received": []}
+        for ok, top, wrapped, fresh in zip(*did.values(), strict=True):
+            base, wraps, received = (top - 1, 0, 0) if fresh else (base, wraps + wrapped, received)
             received += ok
-            out["valid"].append(ok)
-            out["ext_seq"].append(cycles + top)
+            out["ext_seq"].append(wraps * SEQ_MOD + top)
             out["base"].append(base)
             out["received"].append(received)
-        return [top, cycles, base, bad, probation, received], out
+        return [inner, base, wraps, received], out
 
     return fold
 
@@ -281,8 +308,23 @@ RTP_OUT = "valid boolean, ext_seq bigint, base bigint, received bigint"
 
 
 def rtp_sequence(df: DataFrame, *, base_seq: int = 0, rows: int = FOLD_ROWS) -> DataFrame:
-    """Unwrapped sequence numbers with probation, dropouts, misorder and restarts."""
-    return fold_stream(df, ["ssrc"], "arrival_no", ["seq"], rtp_fold(base_seq), RTP_OUT, rows=rows)
+    """Unwrapped sequence numbers with probation, dropouts, misorder and restarts.
+
+    The fold only decides what each packet does.  Wraps and received packets are running sums, less what they
+    were at the last fresh start.
+    """
+    key, order = ["ssrc"], "arrival_no"
+    steps = fold_stream(df, key, order, ["seq"], rtp_steps(base_seq), "valid boolean, top bigint, wrapped int, fresh boolean", rows=rows)
+    steps = cut_lineage(steps)
+    sums = {"__w": ("sum", F.col("wrapped").cast("bigint")), "__r": ("sum", F.col("valid").cast("bigint"))}
+    steps = running(steps, key, order, sums, rows=rows)
+    start = F.when(F.col("fresh"), F.struct((F.col("top") - 1).alias("base"), F.col("__w").alias("w"), (F.col("__r") - 1).alias("r")))
+    steps = running(steps, key, order, {"__s": ("last", start)}, rows=rows)
+    since = lambda total, field: F.col(total) - F.coalesce(F.col("__s")[field], F.lit(0))
+    return steps.select(
+        *[c for c in df.columns if c not in ("valid", "ext_seq", "base", "received")], "valid", (since("__w", "w") * SEQ_MOD + F.col("top")).alias("ext_seq"),
+        F.coalesce("__s.base", F.lit(0)).cast("bigint").alias("base"), since("__r", "r").alias("received"),
+    )
 
 
 def clock_fold(period: float, f2: float, f3: float) -> Fold:

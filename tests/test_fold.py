@@ -100,3 +100,23 @@ def test_vbv_stuffing():
 def test_audio_sync_inserts_and_discards():
     _, out = G.audio_sync_fold(48000, 0.1, 1)(None, {"pts": [1_000_000, 1_020_000, 100_000], "samples": [960, 960, 960]})
     assert out["silence"][0] == 48000 and out["dropped"][1] == 0 and out["dropped"][2] == 960
+
+
+def test_rounds_of_the_sequence_check_do_not_grow(spark, monkeypatch):
+    rng = random.Random(3)
+    seqs, at = [], 65000
+    for i in range(1600):
+        at += 4000 if i == 700 else rng.choice([1, 1, 1, 2])
+        seqs.append((0, i, (at - rng.choice([0, 0, 0, 5])) % 65536))
+    df = spark.createDataFrame(seqs, "ssrc bigint, arrival_no bigint, seq int")
+    written = []
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda d: written.append(1) or real(d))
+    results, rounds = [], []
+    for rows in (160, 40):
+        written.clear()
+        results.append(sorted(map(tuple, G.rtp_sequence(df, rows=rows).collect())))
+        rounds.append(len(written))
+    assert results[0] == results[1] and rounds[0] == rounds[1] <= 5
+    _, once = G.rtp_fold()(None, {"seq": [s for _, _, s in seqs]})
+    assert [r[3:] for r in results[0]] == list(zip(once["valid"], once["ext_seq"], once["base"], once["received"]))

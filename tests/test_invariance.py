@@ -49,7 +49,7 @@ PACKETS = {
     "validate": lambda p, r: P.validate_mux(p, rows=r),
     "discontinuity": lambda p, r: P.fix_discontinuity(p.filter("dts IS NOT NULL"), 60, duration=F.col("duration"), rows=r),
     "frame_stats": lambda p, r: P.frame_stats(p.filter("dts IS NOT NULL").withColumn("o", F.lit(0)), fps=25.0, origin="o", rows=r),
-    "interleave": lambda p, r: P.interleave(p.filter("dts IS NOT NULL"), cell=r * 10),
+    "interleave": lambda p, r: P.interleave(p),
     "delta_gcd": lambda p, r: S.delta_gcd(p, rows=r),
     "halve_index": lambda p, r: S.halve_index(p, 20, rows=r),
     "thin_index": lambda p, r: S.thin_index(p, 20, rows=r),
