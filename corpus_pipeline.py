@@ -31,10 +31,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand elsewhere first; those that nothing but such lines made up go."""
     packed, columns = _packed(docs)
     found = linededup.dedup_lines(packed)
-    kept = found.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select("n_dropped", *columns)
+    kept = found.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(F.col("n_dropped").alias("__dropped"), *columns)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return kept.drop("n_dropped")
+        kept = kept.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return kept.drop("__dropped")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
