@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspark.llm import chat, decontam, hdlang, linededup, mixing, nbsvm, ngramjoin, outliers, tokencount, warc
+from mediaspark.llm import chat, decontam, hdlang, linededup, mixing, nbsvm, ngramjoin, oracles, outliers, tokencount, warc
 from mediaspark.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,6 @@ def op10_revisits(spark, sf_dir):
     found = warc.resolve_revisits(warc.captures_of(load(spark, sf_dir, "pages").select("page_id", "url", "html")))
     lines = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return found.select("record_id", "canonical_url", "refers_to", "resolution", F.array_join(lines, "\n").alias("headers"), "payload_digest")
+
+
+ORACLES |= {"op3_decontaminate": oracles.CONTAMINATION, "op9_ngram_jaccard": oracles.JACCARD, "op10_revisits": oracles.REVISITS}
