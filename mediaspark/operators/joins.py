@@ -28,13 +28,14 @@ def asof_join(
     *,
     direction: str = "backward",
     tie: str | None = None,
-    cell: int = CHUNK_ROWS,
+    cell: int | None = None,
 ) -> DataFrame:
     """Add to each left row the nearest right row at or before (or after) it.
 
     ``payload`` columns of the right side are added, null where there is none.  Of
     right rows with one time the one with the smallest ``tie`` counts.  ``cell`` is
-    the span, in ticks, of one group.  Left rows enter the ordered pass once per
+    the span, in ticks, of one group; without it groups are ranges that hold a
+    bounded number of rows.  Left rows enter the ordered pass once per
     distinct time, so many requests for one time cost nothing there.
     """
     if direction not in ("backward", "forward"):
@@ -60,7 +61,7 @@ def asof_join(
         "__o", F.col("__t").cast("bigint") * 2 + F.col("__side")
     )
     kind = "last" if back else "first"
-    found = running(both, keys, "__o", {"__f": (kind, F.col("__e"))}, reverse=not back, rows=2 * cell)
+    found = running(both, keys, "__o", {"__f": (kind, F.col("__e"))}, reverse=not back, rows=cell and 2 * cell)
     found = found.filter(F.col("__side") == (1 if back else 0)).select(
         *keys, F.col("__t").alias(left_on), *[F.col("__f")[c].alias(c) for c in payload]
     )
@@ -124,7 +125,7 @@ def interval_join(
 
 def seek_join(
     requests: DataFrame, index: DataFrame, *, backward: bool = True, any_frame: bool = False,
-    keys: Sequence[str] = STREAM, cell: int = CHUNK_ROWS,
+    keys: Sequence[str] = STREAM, cell: int | None = None,
 ) -> DataFrame:
     """The index entry a seek lands on (``entry_ts``, ``entry_pos``), or null."""
     usable = index if any_frame else index.filter("is_key")
@@ -136,7 +137,7 @@ def seek_join(
 
 
 def seek_window_join(
-    requests: DataFrame, index: DataFrame, *, keys: Sequence[str] = STREAM, cell: int = CHUNK_ROWS
+    requests: DataFrame, index: DataFrame, *, keys: Sequence[str] = STREAM, cell: int | None = None
 ) -> DataFrame:
     """Seek with bounds: outside [min_ts, max_ts] refused; the wider side is searched."""
     valid = requests.filter((F.col("min_ts") <= F.col("ts")) & (F.col("max_ts") >= F.col("ts")))
@@ -168,7 +169,7 @@ _FAR = (1 << 62) - 1
 def frames_needing_overlay(
     frames: DataFrame, cues: DataFrame, highlights: DataFrame | None = None, *, subtitles_on: bool = False,
     slack: int = 0, display_forced: bool = True, anti: bool = False, keys: Sequence[str] = ("stream_id",),
-    cell: int = CHUNK_ROWS,
+    cell: int | None = None,
 ) -> DataFrame:
     """Frames during which any cue or highlight is active (or none, with ``anti``).
 
@@ -196,7 +197,7 @@ def frames_needing_overlay(
     # One row per time and side: spans that begin together, frames of one time.
     both = both.groupBy(*keys, "t", F.coalesce("__side", F.lit(0)).alias("__side")).agg(*[F.max(k).alias(k) for k in kinds])
     both = both.withColumn("__o", F.col("t") * 2 + F.col("__side"))
-    run = running(both, keys, "__o", {k: ("max", F.col(k)) for k in kinds}, rows=2 * cell).filter("__side = 1")
+    run = running(both, keys, "__o", {k: ("max", F.col(k)) for k in kinds}, rows=cell and 2 * cell).filter("__side = 1")
     out = run.withColumns({k: F.coalesce(F.col(k) > F.col("t"), F.lit(False)) for k in kinds})
     if slack:
         forced_ok = F.lit(subtitles_on or display_forced) | F.col("__hi")
@@ -273,7 +274,7 @@ def tag_lookup(df: DataFrame, table: DataFrame, *, tag: str = "tag") -> DataFram
 
 
 def pick_rendition(
-    requests: DataFrame, ladder: DataFrame, keys: Sequence[str], *, ceiling: int | None = None, cell: int = CHUNK_ROWS
+    requests: DataFrame, ladder: DataFrame, keys: Sequence[str], *, ceiling: int | None = None, cell: int | None = None
 ) -> DataFrame:
     """Fastest rendition at or below ``target``, else the slowest above it.
 
@@ -435,7 +436,7 @@ def build_sample_table(
 
 def retime(
     frames: DataFrame, rates: DataFrame, *, avg_time: int = 400000, delay: int = 0, smooth_film: bool = False,
-    key: str = "stream_id", cell: int = CHUNK_ROWS,
+    key: str = "stream_id", cell: int | None = None,
 ) -> DataFrame:
     """Play times after rate changes: ``anchor + (t - anchor) * |rate| / 10000``.
 

@@ -76,10 +76,15 @@ def running(
     *,
     include_current: bool = True,
     reverse: bool = False,
-    rows: int = CHUNK_ROWS,
+    rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Add running aggregates over all earlier rows of a key.
 
+    Chunks are ``rows`` steps of the order column, which bounds them where it is a
+    row number.  For times, whose density isn't known, ``rows=None`` cuts chunks by
+    ranges of (key, order) from a sample: each holds a bounded number of rows, and
+    the input is read once.
+
     ``values`` maps an output name to ``(kind, column)``; kinds are sum, count,
     max, min and last (nearest non-null value at or before the row).  With
     ``reverse`` the prefix runs from the end of the stream, so ``first`` gives the
@@ -88,7 +93,12 @@ def running(
     """
     keys = list(keys)
     kinds = [k for k, _ in values.values()]
-    base = df.withColumns({_CHUNK: chunk_id(order, rows), **{f"__v{i}": c for i, (_, c) in enumerate(values.values())}})
+    base = df.withColumns({f"__v{i}": c for i, (_, c) in enumerate(values.values())})
+    if rows is None:
+        ranged = base.repartitionByRange(*[F.col(k) for k in keys], F.col(order))
+        base = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
+    else:
+        base = base.withColumn(_CHUNK, chunk_id(order, rows))
     o, c = F.col(order), F.col(_CHUNK)
     w = (
         Window.partitionBy(*keys, _CHUNK)

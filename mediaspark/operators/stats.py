@@ -575,7 +575,7 @@ def reception_report(received: DataFrame, *, interval: str = "interval") -> Data
     return r.withColumn("lost", F.least(F.col("expected") - F.col("received"), F.lit(0xFFFFFF))).withColumn("fraction", frac).drop("__de", "__lost")
 
 
-def bandwidth_in_use(conns: DataFrame, maximum: int, *, cell: int = 86_400_000_000) -> DataFrame:
+def bandwidth_in_use(conns: DataFrame, maximum: int, *, cell: int | None = None) -> DataFrame:
     """Bandwidth in use after each moment at which connections open or close.
 
     ``conns`` has ``opened, closed, bandwidth``.  ``over`` says a connection

@@ -31,7 +31,6 @@ def seek_requests(spark, d):
 SEEK = """WITH idx AS (SELECT stream_id, stream_index, dts AS ts, seq * 1000 AS pos, event_id % 4 = 0 AS is_key FROM v_packets),
   req AS (SELECT event_id AS req_id, stream_id, stream_index, dts + (event_id % 5 - 2) * 144000000000 AS ts FROM v_packets)
 """
-CELL = 24 * HOUR
 
 
 def _seek_sql(cmp, order, key):
@@ -42,7 +41,7 @@ def _seek_sql(cmp, order, key):
 
 
 def _seek(spark, d, **kw):
-    out = J.seek_join(seek_requests(spark, d), seek_index(spark, d), cell=CELL, **kw)
+    out = J.seek_join(seek_requests(spark, d), seek_index(spark, d), **kw)
     return out.select("req_id", "ts", "entry_ts", "entry_pos")
 
 
@@ -74,7 +73,7 @@ def seek_window(spark, d):
     r = seek_requests(spark, d)
     r = r.withColumn("min_ts", F.col("ts") - F.lit(90000000000) * (F.col("req_id") % 3))
     r = r.withColumn("max_ts", F.col("ts") + F.lit(60000000000) * (F.col("req_id") % 4 - 1))
-    out = J.seek_window_join(r, seek_index(spark, d), cell=CELL)
+    out = J.seek_window_join(r, seek_index(spark, d))
     return out.select("req_id", "backward", "entry_ts")
 
 
@@ -330,7 +329,7 @@ def retime(spark, d):
         "stream_id", (year * F.lit(31536000000000)).alias("change_ts"),
         (F.lit(5000) + (F.col("stream_id") + year) % 4 * 5000).alias("rate"),
     ).distinct()
-    out = J.retime(f, rates, smooth_film=True, cell=1000 * 86_400_000_000)
+    out = J.retime(f, rates, smooth_film=True)
     return out.select("stream_id", "frame_no", "out_start", "out_stop")
 
 

@@ -224,7 +224,7 @@ def bandwidth_in_use(spark, d):
         F.col("t").alias("opened"), (F.col("t") + F.lit(86400000000) * (F.col("conn_id") % 40 + 1)).alias("closed"),
         (F.col("bytes") % 1000).alias("bandwidth"),
     )
-    return S.bandwidth_in_use(c, 60000, cell=30 * 86_400_000_000)
+    return S.bandwidth_in_use(c, 60000)
 
 
 @query(
