@@ -126,26 +126,35 @@ def dts_from_pts(df: DataFrame, delay: int, *, keys=("stream_id", "stream_index"
     return fold_stream(df, keys, order, ["pts", "duration"], reorder_fold(delay), "dts_out bigint", rows=rows)
 
 
+# How often a picture due at place ``ideal`` is shown after ``count`` pictures, and the count it counts from.
+# The limits are fixed values, in pictures.
+
+
+def _as_timed(ideal: float, count: int) -> tuple[int, int]:
+    return 1, round(ideal)
+
+
+def _at_constant_rate(ideal: float, count: int, limit: float = 1.1) -> tuple[int, int]:
+    lead = ideal - count
+    return (1 if abs(lead) <= limit else max(0, round(lead))), count
+
+
+def _at_variable_rate(ideal: float, count: int, limit: float = 0.6) -> tuple[int, int]:
+    lead = ideal - count
+    return int(lead > -limit), round(ideal) if lead > limit else count
+
+
+VIDEO_SYNC = {"passthrough": _as_timed, "cfr": _at_constant_rate, "vfr": _at_variable_rate}
+
+
 def video_sync_fold(fps: float, method: str) -> Fold:
+    place = VIDEO_SYNC[method]
+
     def fold(state, cols):
         count = state[0] if state else 0
         nb, at = [], []
         for t in cols["pts"]:
-            frames = 1
-            if t is not None:
-                ideal = t / 1e6 * fps
-                lead = ideal - count
-                if method == "passthrough":
-                    count = round(ideal)
-                elif lead < -1.1:
-                    frames = 0
-                elif method == "vfr":
-                    if lead <= -0.6:
-                        frames = 0
-                    elif lead > 0.6:
-                        count = round(ideal)
-                elif lead > 1.1:
-                    frames = round(lead)
+            frames, count = (1, count) if t is None else place(t / 1e6 * fps, count)
             nb.append(frames)
             at.append(count)
             count += frames
@@ -158,8 +167,8 @@ def video_sync(
     df: DataFrame, *, fps: float, method: str = "cfr", keys=("stream_id", "stream_index"), order: str = "seq", rows: int = FOLD_ROWS
 ) -> DataFrame:
     """How often each picture is shown at a fixed rate: 0 dropped, >1 duplicated."""
-    if method not in ("passthrough", "cfr", "vfr"):
-        raise ValueError("method must be passthrough, cfr or vfr")
+    if method not in VIDEO_SYNC:
+        raise ValueError(f"method must be one of {sorted(VIDEO_SYNC)}")
     return fold_stream(df, keys, order, ["pts"], video_sync_fold(fps, method), "nb_frames int, out_no bigint", rows=rows)
 
 
