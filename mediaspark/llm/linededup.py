@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaspark.llm.common import components, written
+from mediaspark.llm.common import components, native_sieve, written
 
 #: Lines of one block of a tile.
 BLOCK = 64
@@ -50,23 +50,26 @@ def _may_match(a: str, b: str, edits: int) -> str:
     return f"(bit_count({a}[0] ^ {b}[0]) <= {4 * edits} and bit_count({a}[1] ^ {b}[1]) <= {4 * edits})"
 
 
-def within(pairs: DataFrame, x: str, y: str, edits: int) -> DataFrame:
-    """The rows whose texts ``x`` and ``y`` are at most ``edits`` insertions, deletions or substitutions apart.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``, which so is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def within(x: str, y: str, edits: int) -> Column:
+    """Whether the texts in columns ``x`` and ``y`` are at most ``edits`` insertions, deletions or substitutions apart.
 
     Common ends are cut off by doubling steps.  Over the middle runs a banded bit-parallel edit distance: one
     word of 2 * edits + 1 bits per number of edits says which diagonals are alive, and one step per character
     moves all diagonals at once.
     """
     steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
-    lx, ly = "char_length(__x)", "char_length(__y)"
-    rows = pairs.withColumns({"__x": F.col(x), "__y": F.col(y)}).where(f"abs({lx} - {ly}) <= {edits}")
-    rows = rows.withColumn("__p", F.expr(f"aggregate({steps}, 0, (p, s) -> if(p + s <= least({lx}, {ly}) and substring(__x, p + 1, s) = substring(__y, p + 1, s), p + s, p))"))
-    rows = rows.withColumn("__q", F.expr(f"aggregate({steps}, 0, (q, s) -> if(q + s <= least({lx}, {ly}) - __p and substring(__x, {lx} - q - s + 1, s) = substring(__y, {ly} - q - s + 1, s), q + s, q))"))
-    middle = lambda c, n: F.expr(f"if({n} - __p - __q <= 0, array(), split(substring({c}, __p + 1, {n} - __p - __q), ''))")
-    rows = rows.withColumns({"__a": middle("__x", lx), "__b": middle("__y", ly)})
+    lx, ly = f"char_length({x})", f"char_length({y})"
+    ahead = f"aggregate({steps}, 0, (p, s) -> if(p + s <= n.low and substring({x}, p + 1, s) = substring({y}, p + 1, s), p + s, p))"
+    behind = f"aggregate({steps}, 0, (q, s) -> if(q + s <= n.low - p and substring({x}, n.x - q - s + 1, s) = substring({y}, n.y - q - s + 1, s), q + s, q))"
+    middle = lambda c, n: f"if({n} - p - q <= 0, array(), split(substring({c}, p + 1, {n} - p - q), ''))"
     width = 2 * edits + 1
-    match = " | ".join(f"if(get(__a, j + {o - edits}) = get(__b, j), {1 << o}L, 0L)" for o in range(width))
-    # r0 .. rk: the diagonals alive after as many edits; a diagonal is a place in __a less the place in __b.
+    match = " | ".join(f"if(get(t.a, j + {o - edits}) = get(t.b, j), {1 << o}L, 0L)" for o in range(width))
+    # r0 .. rk: the diagonals alive after as many edits; a diagonal is a place in a less the place in b.
     moved, fields = [], []
     for e in range(edits + 1):
         step = f"(s.r{e} & m)"
@@ -75,11 +78,13 @@ def within(pairs: DataFrame, x: str, y: str, edits: int) -> DataFrame:
         moved.append(step)
         fields.append(f"'r{e}', {step}")
     start = ", ".join(f"'r{e}', {sum(1 << min(edits + d, width - 1) for d in range(e + 1))}L" for e in range(edits + 1))
-    body = f"transform(array({match}), m -> named_struct({', '.join(fields)}))[0]"
-    end = "size(__a) - size(__b)"
-    alive = f"aggregate(sequence(0, size(__b) - 1), named_struct({start}), (s, j) -> {body}, s -> ({' | '.join(f's.r{e}' for e in range(edits + 1))}) & shiftleft(1L, {end} + {edits}) <> 0)"
-    near = f"case when size(__a) = 0 or size(__b) = 0 then greatest(size(__a), size(__b)) <= {edits} else {alive} end"
-    return rows.where(F.expr(near)).drop("__x", "__y", "__p", "__q", "__a", "__b")
+    alive = f"""aggregate(sequence(0, size(t.b) - 1), named_struct({start}), (s, j) -> {_let(match, 'm', f"named_struct({', '.join(fields)})")},
+        s -> ({' | '.join(f's.r{e}' for e in range(edits + 1))}) & shiftleft(1L, size(t.a) - size(t.b) + {edits}) <> 0)"""
+    near = f"case when size(t.a) = 0 or size(t.b) = 0 then greatest(size(t.a), size(t.b)) <= {edits} else {alive} end"
+    texts = f"named_struct('a', {middle(x, 'n.x')}, 'b', {middle(y, 'n.y')})"
+    whole = _let(ahead, "p", _let(behind, "q", _let(texts, "t", near)))
+    sizes = f"named_struct('x', {lx}, 'y', {ly}, 'low', least({lx}, {ly}))"
+    return F.expr(_let(sizes, "n", f"case when abs(n.x - n.y) > {edits} then false else {whole} end"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -104,15 +109,17 @@ def line_classes(docs: DataFrame, *, min_chars: int = 32, edits: int = 2) -> Dat
     counts = lines.groupBy("line_id").agg(F.count("*").alias("of"), F.min(place).alias("first"))
     repeated = written(counts.where("of > 1").select("line_id", "first"), "repeated")
 
-    keyed = lines.select("line_id", "line", place.alias("place"), F.explode(_keys(edits)).alias("k"))
+    keyed = lines.select("line_id", F.explode(_keys(edits)).alias("k"))
     narrow = keyed.select(F.col("k.key").alias("key"), F.col("k.indexed").alias("indexed"), F.xxhash64("line_id").alias("h"))
     shared = narrow.groupBy("key").agg(F.min("h").alias("h1"), F.max("h").alias("h2"), F.max("indexed").alias("indexed"))
     shared = written(shared.where("h1 <> h2 and indexed").select("key"), "keys")
-    met = keyed.select(F.col("k.key").alias("key"), "line_id", "line", "place").join(shared, "key", "left_semi")
-    met = written(met.groupBy("key", "line_id").agg(F.min("place").alias("first"), F.min("line").alias("line")), "met")
-    nodes = met.groupBy("line_id").agg(F.min("first").alias("first"), F.min("line").alias("line"))
+    # Texts travel once, and only those of lines that met another.
+    met = keyed.select(F.col("k.key").alias("key"), "line_id").where(native_sieve(shared)(F.col("key")))
+    met = written(met.join(shared, "key", "left_semi").distinct(), "met")
+    ids = written(met.select("line_id").distinct(), "ids")
+    nodes = lines.where(native_sieve(ids)(F.col("line_id"))).join(ids, "line_id").groupBy("line_id").agg(F.min(place).alias("first"), F.min("line").alias("line"))
     nodes = written(nodes.withColumn("signature", _signature("line")), "nodes")
-    rows = written(met.select("key", "line_id").join(nodes.select("line_id", "signature"), "line_id"), "rows")
+    rows = written(met.join(nodes.select("line_id", "signature"), "line_id"), "rows")
 
     head = rows.groupBy("key").agg(F.min(F.struct("line_id", "signature")).alias("head"))
     star = rows.join(head, "key").where(F.col("line_id") != F.col("head.line_id")).where(_may_match("signature", "head.signature", edits))
@@ -143,7 +150,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, edits: int) -> DataFrame:
     texts = nodes.select("line_id", "line")
     both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-    return within(both, "x", "y", edits).select("a", "b")
+    # Few bytes may hold much work here, so the number of tasks is the session's, not one by size.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks).where(within("x", "y", edits)).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 32, edits: int = 2) -> DataFrame:
