@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaspark.llm.common import components, written
+from mediaspark.llm.common import components, sieve, written
 
 #: Smallest shingle hashes by which two texts may meet.
 KEYS = 32
 #: A key of more texts than this is set aside for texts that keep PLENTY other keys.
 COMMON, PLENTY = 128, 24
-#: Texts of one block of a tile.
-BLOCK = 256
-KEPT = 200_000
+#: Texts of one block of a tile, and partners that one copy of a set is compared with.
+BLOCK, PARTNERS = 2048, 256
+#: Word hashes that a worker keeps; beyond it the memory starts afresh.
+KEPT = 60_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(17)
 _STEP = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,30 +56,42 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def _marks(size: int):
-    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    fields = [("n", T.LongType()), ("f1", T.LongType()), ("f2", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("map", T.BinaryType())]
+
+    @F.arrow_udf(T.StructType([T.StructField(*f) for f in fields]))
     def marks(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            s = shingles(text, size)
-            f1, f2 = s.sum(dtype=np.uint64), _mix(s + np.uint64(7)).sum(dtype=np.uint64)
-            out.append({"n": len(s), "f1": int(f1.view(np.int64)), "f2": int(f2.view(np.int64)), "keys": s[:KEYS].view(np.int64)})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+        n, f1, f2, keys, maps = [], [], [], [], []
+        for text in texts:
+            s = shingles(text.as_py(), size)
+            n.append(len(s))
+            f1.append(_sum(s))
+            f2.append(_sum(_mix(s + np.uint64(7))))
+            keys.append(s[:KEYS].view(np.int64))
+            maps.append(bitmap(s).tobytes())
+        columns = [pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["n", "f1", "f2", "keys", "map"])
 
     return marks
 
 
-def _sets(size: int):
-    @F.arrow_udf(T.StructType([T.StructField("f1", T.LongType()), T.StructField("set", T.BinaryType())]))
-    def sets(texts: pa.Array) -> pa.Array:
-        out = [shingles(x, size) for x in texts.to_pylist()]
-        return pa.array([{"f1": int(s.sum(dtype=np.uint64).view(np.int64)), "set": s.tobytes()} for s in out], pa.struct([("f1", pa.int64()), ("set", pa.binary())]))
+def _sum(s: np.ndarray) -> int:
+    return int(s.sum(dtype=np.uint64).view(np.int64))
+
+
+def _set(size: int):
+    """A text's set, if its sum is the one looked for: an id may stand for several texts."""
+
+    @F.arrow_udf(T.BinaryType())
+    def sets(texts: pa.Array, sums: pa.Array) -> pa.Array:
+        found = ((shingles(text.as_py(), size), f1) for text, f1 in zip(texts, sums.to_pylist(), strict=True))
+        return pa.array([s.tobytes() if _sum(s) == f1 else None for s, f1 in found], pa.binary())
 
     return sets
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A signature of four to eight bits a shingle, as 64-bit words; its length is a power of two."""
-    words = max(1, 1 << (max(1, 4 * len(s)) - 1).bit_length() >> 6)
+    """A signature of eight to sixteen bits a shingle, as 64-bit words; its length is a power of two."""
+    words = max(1, 1 << (max(1, 8 * len(s)) - 1).bit_length() >> 6)
     out = np.zeros(words, dtype=np.uint64)
     np.bitwise_or.at(out, ((s >> np.uint64(20)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
     return out
@@ -97,12 +110,19 @@ def may_overlap(a: np.ndarray, size_a: int, maps: np.ndarray, sizes: np.ndarray,
     return 100 * most >= percent * (size_a + sizes - most)
 
 
-def _bitmaps(sets: DataFrame) -> DataFrame:
-    @F.arrow_udf(T.BinaryType())
-    def maps(raw: pa.Array) -> pa.Array:
-        return pa.array([bitmap(np.frombuffer(x, dtype=np.uint64)).tobytes() for x in raw.to_pylist()], pa.binary())
+def _may_link(percent: int):
+    """Whether the bitmaps of two sets leave a link open."""
+
+    @F.arrow_udf(T.BooleanType())
+    def open_(size_a: pa.Array, maps_a: pa.Array, size_b: pa.Array, maps_b: pa.Array) -> pa.Array:
+        out = []
+        for n, a, m, b in zip(size_a.to_pylist(), maps_a, size_b.to_pylist(), maps_b, strict=True):
+            a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+            words = min(len(a), len(b))
+            out.append(bool(may_overlap(_fold(a[None], words)[0], n, _fold(b[None], words), np.array([m]), percent)[0]))
+        return pa.array(out, pa.bool_())
 
-    return sets.select("node", maps("set").alias("map"))
+    return open_
 
 
 def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -118,10 +138,12 @@ def _check(percent: int):
         head, heads, heads_open = None, [], False
         for batch in batches:
             found = []
-            for a, b, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = np.frombuffer(raw, dtype=np.uint64)
+            for a, b, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if not raw.is_valid:
+                    continue
+                s = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
                 if kind == 0:  # an id that stands for several texts has several sets
-                    heads = [*(heads if head == a and heads_open else ()), s]
+                    heads = [*(heads if head == a and heads_open else ()), s.copy()]
                     head, heads_open = a, True
                     continue
                 heads_open = False
@@ -133,9 +155,12 @@ def _check(percent: int):
 
 
 def _tile(percent: int):
-    """Pairs of a tile that the bitmaps can't rule out; a tile is the rows of one run of the sort order."""
+    """Pairs of a tile that the bitmaps can't rule out; a tile is the rows of one run of the sort order.
+
+    A pair comes out in the tile of the smallest key that both nodes have, once for all their keys.
+    """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(key: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         if len(rows) < 2:
             return
         nodes = np.array([r[0] for r in rows])
@@ -145,6 +170,7 @@ def _tile(percent: int):
         raw = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
         words = min(map(len, raw))
         maps = np.concatenate([_fold(x[None], words) for x in raw])
+        keys = [np.array(r[5]) for r in rows]
         for i in range(len(rows) - 1):
             others = np.arange(i + 1, len(rows))
             ok = (comps[others] != comps[i]) & (low[others] | low[i])
@@ -153,20 +179,21 @@ def _tile(percent: int):
             if len(others):
                 near = may_overlap(maps[i], int(sizes[i]), maps[others], sizes[others], percent)
                 for j in others[near].tolist():
-                    yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+                    if np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key:
+                        yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
+        tile, rows = (0,), []
         for batch in batches:
             found: set = set()
-            columns = [batch.column(i).to_pylist() for i in range(9)]
+            columns = [batch.column(i).to_pylist() for i in range(10)]
             for key, band, i, j, *row in zip(*columns, strict=True):
                 if (key, band, i, j) != tile:
-                    found.update(pairs(rows))
+                    found.update(pairs(tile[0], rows))
                     tile, rows = (key, band, i, j), []
                 rows.append(row)
             yield _pairs(found)
-        yield _pairs(set(pairs(rows)))
+        yield _pairs(set(pairs(tile[0], rows)))
 
     def _pairs(found: set) -> pa.RecordBatch:
         found = sorted(found)
@@ -203,8 +230,8 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 75, text:
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marks = written(plain.select("doc_id", _marks(size)("text").alias("m")).select("doc_id", "m.*"), "marks")
-    same = marks.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
-    nodes = written(same.where("node is not null"), "nodes")
+    same = marks.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "keys", "map")).alias("m"), F.min("doc_id").alias("node"))
+    nodes = written(same.where("node is not null").select("f1", "f2", "n", "node", "m.keys", "m.map"), "nodes")
 
     every = nodes.select("node", "n", "f1", F.size("keys").alias("kept"), F.explode("keys").alias("key"))
     shared = written(every.groupBy("key").agg(F.count("*").alias("of"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"), "shared")
@@ -215,15 +242,17 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 75, text:
 
     first = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
     star = rows.join(first, "key").where(F.col("node") != F.col("first.node")).where(_fits(F.col("n"), F.col("first.n"), percent))
-    star = written(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        star = star.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("map").alias(f"map_{end}")), end)
+    star = written(star.where(_may_link(percent)("n_a", "map_a", "n_b", "map_b")).select("a", "b").distinct(), "pairs")
     links = written(_verified(star, plain, nodes, size, percent), "links")
     found = written(components(links), "components")
 
     placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tiles = _tiles(placed)
-    wanted = tiles.select("node").distinct()
-    maps = _bitmaps(_sets_of(wanted, plain, nodes, size))
-    tiles = tiles.join(maps, "node").select("key", "band", "i", "j", "node", "n", "component", "low", "map")
+    held = rows.groupBy("node", "n").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    tiles = _tiles(placed).join(nodes.select("node", "n", "map"), ["node", "n"]).join(held, ["node", "n"])
+    tiles = tiles.select("key", "band", "i", "j", "node", "n", "component", "low", "map", "keys")
     left = tiles.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tile(percent), "a bigint, b bigint")
     left = written(left.distinct(), "pairs")
     if left.take(1):
@@ -252,10 +281,9 @@ def _tiles(placed: DataFrame) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, plain: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``(node, set)`` of some nodes, from their texts."""
+    """``(node, set)`` of some nodes, from their texts; null where an id's other texts have another set."""
     ids = written(wanted.join(nodes.select("node", "f1"), "node").select(F.col("node").alias("doc_id"), F.col("f1").alias("g")), "ids")
-    sets = plain.join(ids, "doc_id").select(F.col("doc_id").alias("node"), "g", _sets(size)("text").alias("s"))
-    return sets.where("g = s.f1").select("node", "s.set")
+    return sieve(plain, ids, "doc_id").join(ids, "doc_id").select(F.col("doc_id").alias("node"), _set(size)("text", "g").alias("set"))
 
 
 def _verified(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -264,8 +292,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, size: int, p
     A set is sent once as head of each block of its partners, and once to each of its heads.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(_sets_of(wanted, plain, nodes, size), "sets")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = _sets_of(wanted, plain, nodes, size)
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
     heads = blocks.join(sets, F.col("a") == F.col("node")).select("a", F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("kind"), "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     parts = pairs.join(blocks, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     others = parts.join(sets, F.col("b") == F.col("node")).select("a", "b", F.lit(1).alias("kind"), "set", "part")

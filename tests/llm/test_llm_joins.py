@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.llm import linededup, ngramjoin, queries
-from mediaspark.llm.common import components
+from mediaspark.llm.common import components, native_sieve, sieve
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string"
@@ -35,6 +35,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_sieves_lose_none_of_the_ids(spark):
+    ids = spark.range(0, 3000, 7).select((F.col("id") * 1_000_003).alias("x"))
+    rows = spark.range(3000).select((F.col("id") * 1_000_003).alias("x"))
+    for kept in (sieve(rows, ids, "x"), rows.where(native_sieve(ids)(F.col("x")))):
+        assert kept.join(ids, "x", "left_semi").count() == ids.count() and kept.count() < ids.count() + 60
+    assert rows.where(native_sieve(ids.limit(0))(F.col("x"))).count() == 0 == sieve(rows, ids.limit(0), "x").count()
+
+
 def shingle_set(text):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -132,7 +140,7 @@ def test_bit_parallel_distance_matches_the_table(spark):
         pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "x string, y string")
     for edits in (0, 1, 2, 3):
-        got = sorted((r["x"], r["y"]) for r in linededup.within(df, "x", "y", edits).collect())
+        got = sorted((r["x"], r["y"]) for r in df.where(linededup.within("x", "y", edits)).collect())
         assert got == sorted(p for p in pairs if edits_between(*p) <= edits)
 
 
