@@ -15,7 +15,8 @@ from mediaspark.operators import transport as T
 from mediaspark.operators.scan import chunk_id, number_rows
 from mediaspark.plans import fixtures as X
 from mediaspark.plans.registry import query
-from mediaspark.plans.source_queries import finished, live
+from mediaspark.plans.source_queries import finished, folder, live
+from mediaspark.sources import sinks as W
 from mediaspark.streaming import twins
 
 GENRES = ("Blues", "Classic Rock", "Country", "Dance", "Disco", "Funk", "Grunge", "Hip-Hop")
@@ -195,3 +196,25 @@ def pca_moments(spark, d):
     """What the eigenvalues must add up to: the trace of the covariance, and the sum of its squares."""
     p = S.pca(X.table(spark, d, "embeddings"), "embedding", 64)
     return p.groupBy().agg(F.round(F.sum("eigenvalue"), 6).alias("trace"), F.round(F.sum(F.col("eigenvalue") ** 2), 6).alias("squares"))
+
+
+@query(
+    "write_packets",
+    """SELECT event_id, stream_index, printf('%05d_%02d_%d_%d_%s.bin', seq, stream_index, coalesce(pts, -9223372036854775808), size, CASE WHEN is_key THEN 'K' ELSE '_' END) AS name,
+         md5(event_id::VARCHAR) AS data FROM v_packets""",
+)
+def write_packets(spark, d):
+    """Packets written to one folder per stream, and read again."""
+    path = folder(spark, "packets")
+    W.write_packets(X.v_packets(spark, d).withColumn("data", F.md5(F.col("event_id").cast("string"))), path)
+    return spark.read.parquet(path).select("event_id", F.col("stream_index").cast("int").alias("stream_index"), "name", "data")
+
+
+@query(
+    "thin_index_to_fit",
+    """SELECT stream_id, stream_index, seq, dts FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, stream_index ORDER BY seq) AS rn,
+         count(*) OVER (PARTITION BY stream_id, stream_index) AS n FROM v_packets)
+       WHERE n < 8 OR (rn - 1) % CAST(pow(2, greatest(1, ceil(log2(n / 7.5::DOUBLE)))) AS BIGINT) = 0""",
+)
+def thin_index_to_fit(spark, d):
+    return S.thin_index(X.v_packets(spark, d), 8).select("stream_id", "stream_index", "seq", "dts")
