@@ -11,7 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows of one cell of a source's permutation, which one task puts in order.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 13
 #: Levels of the tree after which its nodes are dealt anew to the tasks.
 DEAL = 6
 
@@ -96,7 +96,7 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), "counts")
 
 
-def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", block_words: int = 1 << 13, shard_blocks: int = 128, seed: int = 1, **targets) -> DataFrame:
+def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", block_words: int = 1 << 13, shard_blocks: int = 128, seed: int = 1, keep_text: bool = True, **targets) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, taken, shard and again.
 
     A source's documents are laid end to end in a random order that their id, text and the seed fix.  The mix
@@ -109,13 +109,15 @@ def mix_plan(docs: DataFrame, *, text: str = "text", source: str = "source", blo
     The order is built from cells of about CELL_ROWS rows, so a source with a third of all rows is put in order by
     many tasks; what meets in one task are the sources (for their targets) and one source's cells.
 
+    Without ``keep_text`` the texts are read for their sizes and stay out of the shuffles and the result.
+
     Size is the number of words; null and empty texts have size 0 and are never taken.  Null sources are one
     source, the last.  Rows that are equal in id, source and text are copies of each other, and stand side by side.
     Documents longer than a block belong to the block of their first word.  An empty table gives an empty result;
     result columns replace columns of their names, other columns are kept.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    fresh = ("size", "source_size", "target", "taken", "shard", "again")
+    fresh = ("size", "source_size", "target", "taken", "shard", "again", *(() if keep_text else (text.lower(),)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in fresh]).alias("row"), _name(F.col(source)).alias("source_key"), size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)).alias("hash"), F.col("doc_id").alias("id"))
     rows = rows.withColumn("at", F.expr("shiftrightunsigned(hash, 33)"))
     totals = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("of"))

@@ -60,7 +60,7 @@ def op8_quality(spark, sf_dir):
 @query
 def op4_mix(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "shard", "again")
+    return mixing.mix_plan(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "shard", "again")
 
 
 @query
