@@ -17,7 +17,7 @@ def _segment(part: int, parts: int, length: str) -> tuple[str, str]:
 
 
 def _keys(edits: int) -> Column:
-    """``array<struct<key, indexed>>`` of a line ``line`` with ``len`` characters.
+    """``array<struct<key, indexed>>`` of a line of ``len`` characters, four bytes each in ``units``.
 
     A line is cut into edits + 1 segments, so that one of them is untouched by any ``edits`` changes.  It is
     indexed by (its length, segment number, segment), and probes the indexes of lines up to ``edits`` shorter
@@ -32,7 +32,7 @@ def _keys(edits: int) -> Column:
             least, most = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for move in range(least, most + 1):
                 own = shorter == 0 and move == 0
-                piece = f"substring(line, int({start}) + {move + 1}, int({stop} - {start}))"
+                piece = f"substring(units, int({start}) * 4 + {4 * move + 1}, int({stop} - {start}) * 4)"
                 keys.append(f"named_struct('key', xxhash64({length}, {i}, {piece}), 'indexed', {str(own).lower()})")
     return F.expr(f"array({', '.join(keys)})")
 
@@ -104,22 +104,24 @@ def line_classes(docs: DataFrame, *, min_chars: int = 32, edits: int = 2) -> Dat
     into tiles of two blocks, and pairs whose character-pair parities leave the threshold open are verified.
     """
     lines = _lines(docs).where(F.char_length("line") >= min_chars)
-    lines = lines.withColumns({"len": F.char_length("line"), "line_id": F.unhex(F.md5("line"))})
+    lines = lines.withColumns({"line_id": F.unhex(F.md5("line")), "h": F.xxhash64("line")})
     place = F.struct("doc", "line_no")
     counts = lines.groupBy("line_id").agg(F.count("*").alias("of"), F.min(place).alias("first"))
     repeated = written(counts.where("of > 1").select("line_id", "first"), "repeated")
 
-    keyed = lines.select("line_id", F.explode(_keys(edits)).alias("k"))
-    narrow = keyed.select(F.col("k.key").alias("key"), F.col("k.indexed").alias("indexed"), F.xxhash64("line_id").alias("h"))
+    # Characters of equal width are cut out without reading those before them.
+    wide = lines.select("h", F.char_length("line").alias("len"), F.encode("line", "UTF-32").alias("units"))
+    narrow = wide.select("h", F.explode(_keys(edits)).alias("k")).select("h", F.col("k.key").alias("key"), F.col("k.indexed").alias("indexed"))
     shared = narrow.groupBy("key").agg(F.min("h").alias("h1"), F.max("h").alias("h2"), F.max("indexed").alias("indexed"))
     shared = written(shared.where("h1 <> h2 and indexed").select("key"), "keys")
-    # Texts travel once, and only those of lines that met another.
-    met = keyed.select(F.col("k.key").alias("key"), "line_id").where(native_sieve(shared)(F.col("key")))
+    # Texts travel once, and only those of lines that met another.  Up to here a line is known by 64 bits;
+    # lines that share them share their keys, and are told apart from here on.
+    met = narrow.where(native_sieve(shared)(F.col("key"))).select("key", "h")
     met = written(met.join(shared, "key", "left_semi").distinct(), "met")
-    ids = written(met.select("line_id").distinct(), "ids")
-    nodes = lines.where(native_sieve(ids)(F.col("line_id"))).join(ids, "line_id").groupBy("line_id").agg(F.min(place).alias("first"), F.min("line").alias("line"))
+    ids = written(met.select("h").distinct(), "ids")
+    nodes = lines.where(native_sieve(ids)(F.col("h"))).join(ids, "h").groupBy("line_id", "h").agg(F.min(place).alias("first"), F.min("line").alias("line"))
     nodes = written(nodes.withColumn("signature", _signature("line")), "nodes")
-    rows = written(met.join(nodes.select("line_id", "signature"), "line_id"), "rows")
+    rows = written(met.join(nodes.select("h", "line_id", "signature"), "h").drop("h"), "rows")
 
     head = rows.groupBy("key").agg(F.min(F.struct("line_id", "signature")).alias("head"))
     star = rows.join(head, "key").where(F.col("line_id") != F.col("head.line_id")).where(_may_match("signature", "head.signature", edits))
