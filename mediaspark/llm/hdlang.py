@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 #: Letters and different trigrams that are worked on at a time, which bounds a worker's memory.
-LETTERS = 1 << 19
-GRAMS = 1 << 13
+LETTERS = 1 << 18
+GRAMS = 1 << 12
+#: Texts whose vectors are held at a time.
+TEXTS = 256
 _IS_LETTER: list[np.ndarray] = []
 _LETTER: dict[int, np.ndarray] = {}
 SCALE = 1 << 20
@@ -100,7 +102,7 @@ def _bundles(texts: list[str | None]) -> np.ndarray:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition and language the sum of its texts' trigram shares, bound and bundled."""
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, len(b), TEXTS)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for owners, held in _pieces(texts):
             named = np.array([langs[n] for n in owners], dtype=object)
@@ -129,17 +131,16 @@ def learn_prototypes(docs: DataFrame, *, text: str = "text", lang: str = "lang")
 def _judge(names: list[str], prototypes: np.ndarray):
     @F.arrow_udf("struct<lang:string,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
-        bundle = _bundles(texts.to_pylist())
-        size = np.linalg.norm(bundle, axis=1)
-        out = []
-        cosine = (bundle @ prototypes.T) / np.maximum(size, 1e-9)[:, None] if names else np.zeros((len(size), 0))
-        for n, row in zip(size.tolist(), cosine, strict=True):
-            if n == 0 or not names:
-                out.append({"lang": "und", "score": 0.0})
-                continue
-            best = int(np.argmax(row))
-            out.append({"lang": names[best], "score": float(min(1.0, max(0.0, row[best])))})
-        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
+        langs, scores = [], []
+        for k in range(0, len(texts), TEXTS):
+            bundle = _bundles(texts.slice(k, TEXTS).to_pylist())
+            size = np.linalg.norm(bundle, axis=1)
+            cosine = (bundle @ prototypes.T) / np.maximum(size, 1e-9)[:, None] if names else np.zeros((len(size), 0))
+            for n, row in zip(size.tolist(), cosine, strict=True):
+                best = int(np.argmax(row)) if n and names else None
+                langs.append("und" if best is None else names[best])
+                scores.append(0.0 if best is None else float(min(1.0, max(0.0, row[best]))))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return judge
 
