@@ -177,11 +177,11 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 32, edi
     rows = docs.withColumns({"__key": F.col("doc_id").cast("bigint"), "__hash": F.xxhash64(F.col(text).cast("string"))})
     # A null id joins as one value, by a flag beside a number that stands in for it.
     on = (F.coalesce("__key", F.lit(0)) == F.coalesce("__id", F.lit(0))) & (F.col("__key").isNull() == F.col("__id").isNull()) & (F.col("__hash") == F.col("__print"))
-    rows = rows.join(drops, on, "left").withColumn("__lines", F.split(F.col(text), "\n"))
-    kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __drop), i -> __lines[i])")
+    rows = rows.join(drops, on, "left").withColumn("__text", F.col(text).cast("string"))
+    kept = F.expr(_let("split(__text, '\\n')", "l", "array_join(transform(array_except(sequence(0, size(l) - 1), __drop), i -> l[i]), '\\n')"))
     rows = rows.withColumns({
-        text: F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.greatest(F.coalesce(F.size("__lines"), F.lit(0)), F.lit(0)).cast("bigint"),
+        text: F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept),
+        "n_lines": F.coalesce(F.char_length("__text") - F.char_length(F.translate("__text", "\n", "")) + 1, F.lit(0)).cast("bigint"),
         "n_dropped": F.greatest(F.coalesce(F.size("__drop"), F.lit(0)), F.lit(0)).cast("bigint"),
     })
-    return rows.drop("__key", "__hash", "__id", "__print", "__drop", "__lines")
+    return rows.drop("__key", "__hash", "__id", "__print", "__drop", "__text")
