@@ -31,6 +31,12 @@ STATISTICS: dict[str, tuple[str, float]] = {
 }
 #: Bins of a squared distance per octave, and the bin of distance 0.
 BINS, LOWEST = 6, -20
+#: Starts of a group: its moments, those of tanh and of signs about the median, median and MAD, and so many small subsets.
+MOMENTS, TANH, SIGNS, MEDIAN, SUBSETS = 0, 1, 2, 3, 10
+#: A start stands still once a step lowers its log-determinant by less than this.
+STILL = 1e-4
+#: Parts that the rows of a group are dealt to where they meet the group's estimates.
+SALTS = 32
 
 
 def _repeated(words: list[bytes], size: int = 8) -> int:
@@ -95,32 +101,102 @@ def _moments(x: list[Column]) -> list[Column]:
     return [F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(c) for c in pairs]).alias("q")]
 
 
-def _fit(rows: pd.DataFrame, k: int, share: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centre, covariance and its log-determinant of the nearest bins that hold ``share`` of the rows."""
+def _spread(mean: np.ndarray, sums: np.ndarray, total: float) -> np.ndarray:
+    """The covariance, from the sums of products of the lower triangle."""
+    square = np.zeros((len(mean), len(mean)))
+    square[np.tril_indices(len(mean))] = sums / total
+    return square + np.tril(square, -1).T - np.outer(mean, mean)
+
+
+def _fit(rows: pd.DataFrame, share: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, covariance and its log-determinant of the nearest ``share`` of the rows; the last bin counts in part."""
     rows = rows.sort_values("bin")
-    n = rows["n"].to_numpy()
-    keep = int(np.searchsorted(np.cumsum(n), math.ceil(share * n.sum()))) + 1
-    total = float(n[:keep].sum())
-    mean = np.stack(rows["s"].to_numpy()[:keep]).sum(axis=0) / total
-    square = np.zeros((k, k))
-    square[np.tril_indices(k)] = np.stack(rows["q"].to_numpy()[:keep]).sum(axis=0) / total
-    square = square + np.tril(square, -1).T
-    cov = square - np.outer(mean, mean) + np.diag(floor**2)
+    n = rows["n"].to_numpy().astype(float)
+    held = np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+    total = float(held @ n)
+    mean = held @ np.stack(rows["s"].to_numpy()) / total
+    cov = _spread(mean, held @ np.stack(rows["q"].to_numpy()), total) + np.diag(floor**2)
     return mean, cov, float(np.linalg.slogdet(cov)[1])
 
 
+def _begin(floors: list[float]):
+    """The first estimate of a start, from the moments of its vectors and the group's medians and MADs."""
+    floor = np.array(floors)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        start, row, found = key[2], rows.iloc[0], []
+        mean = np.array(row["s"]) / row["n"]
+        middle, wide = np.array(row["middle"]), np.hypot(1.4826 * np.array(row["mad"]), floor)
+        if start == TANH:
+            found.append((MEDIAN, middle, np.diag(wide**2)))
+            found.append((TANH, middle, _spread(mean, row["q"], row["n"]) * np.outer(wide, wide)))
+        elif start == SIGNS:
+            found.append((SIGNS, middle, len(floor) * _spread(0 * mean, row["q"], row["n"]) * np.outer(wide, wide)))
+        else:
+            found.append((start, mean, _spread(mean, row["q"], row["n"])))
+        weights = [np.linalg.inv(cov + np.diag(floor**2)).ravel().tolist() for _, _, cov in found]
+        return pd.DataFrame({"g1": key[0], "g2": key[1], "start": [x[0] for x in found], "centre": [x[1].tolist() for x in found], "weight": weights, "det": math.inf})
+
+    return run
+
+
+def _beside(fit: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Rows with what their group has.  Groups are dealt out, or the aggregate that follows took each in one task."""
+    many = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = fit.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(many, ["g1", "g2", "salt"]).drop("salt")
+
+
+def _starts(fit: DataFrame, x: list[Column], floors: list[float]) -> DataFrame:
+    """Several starts per group: ``(g1, g2, start, centre, weight, det)``, with a determinant still without end."""
+    k = len(x)
+    half = lambda c: F.percentile_approx(c, 0.5)
+    middles = fit.groupBy("g1", "g2").agg(F.array(*[half(c) for c in x]).alias("middle"))
+    mads = _beside(fit, middles).groupBy("g1", "g2", "middle").agg(F.array(*[half(F.abs(x[i] - F.col("middle")[i])) for i in range(k)]).alias("mad"))
+    scales = written(mads, "scales")
+    z = [(x[i] - F.col("middle")[i]) / F.sqrt(F.pow(1.4826 * F.col("mad")[i], 2) + floors[i] ** 2) for i in range(k)]
+    length = F.sqrt(F.greatest(sum((c * c for c in z), F.lit(0.0)), F.lit(1e-12)))
+    forms = [(MOMENTS, F.col("x")), (TANH, F.array(*[F.tanh(c) for c in z])), (SIGNS, F.array(*[c / length for c in z]))]
+    forms = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), v.alias("x")) for i, v in forms]))
+    whole = _beside(fit, scales).select("g1", "g2", forms.alias("v")).select("g1", "g2", "v.*")
+    # A subset is one row more than statistics, each with the smallest hash of its slot; equal vectors count once.
+    named = fit.select("g1", "g2", "x", F.xxhash64("x").alias("h"))
+    drawn = named.groupBy("g1", "g2", F.pmod("h", F.lit(SUBSETS * (k + 1))).alias("slot")).agg(F.min("h").alias("h"))
+    few = named.join(drawn, ["g1", "g2", "h"]).dropDuplicates(["g1", "g2", "h"])
+    few = few.select("g1", "g2", (MEDIAN + 1 + F.floor(F.col("slot") / (k + 1))).cast("int").alias("start"), "x")
+    sums = whole.unionByName(few).groupBy("g1", "g2", "start").agg(*_moments(x)).join(scales, ["g1", "g2"])
+    schema = "g1 string, g2 string, start int, centre array<double>, weight array<double>, det double"
+    return written(sums.groupBy("g1", "g2", "start").applyInPandas(_begin(floors), schema), "starts")
+
+
 def _step(share: float, floors: list[float], minimum: int):
-    """One concentration step for all groups: from moments per distance bin to a new estimate."""
-    k, floor = len(floors), np.array(floors)
+    """One concentration step of a start: from moments per distance bin to a new estimate."""
+    floor = np.array(floors)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mean, cov, det = _fit(rows, k, share, floor)
-        few = int(rows["n"].sum()) < minimum
-        return pd.DataFrame({"g1": [key[0]], "g2": [key[1]], "centre": [mean.tolist()], "weight": [np.linalg.inv(cov).ravel().tolist()], "det": [det], "few": [few]})
+        mean, cov, det = _fit(rows, share, floor)
+        few, moved = int(rows["n"].sum()) < minimum, det < rows["old"].iloc[0] - STILL
+        return pd.DataFrame({"g1": [key[0]], "g2": [key[1]], "start": [key[2]], "centre": [mean.tolist()], "weight": [np.linalg.inv(cov).ravel().tolist()], "det": [det], "few": [few], "moved": [moved]})
 
     return run
 
 
+def _concentrate(fit: DataFrame, x: list[Column], floors: list[float], share: float, minimum: int, steps: int | None) -> DataFrame:
+    """Per group the estimate of smallest determinant that its starts come to: ``(g1, g2, centre, weight, few)``."""
+    schema = "g1 string, g2 string, start int, centre array<double>, weight array<double>, det double, few boolean, moved boolean"
+    active, found = _starts(fit, x, floors), None
+    while steps is None or steps > 0:
+        bins = F.floor(F.log2(F.greatest(_distance(x, "centre", "weight"), F.lit(2.0**LOWEST))) * BINS)
+        binned = _beside(fit, active).withColumn("bin", bins).groupBy("g1", "g2", "start", "bin").agg(*_moments(x), F.first("det").alias("old"))
+        estimate = written(binned.groupBy("g1", "g2", "start").applyInPandas(_step(share, floors, minimum), schema), "estimate")
+        found = estimate if found is None else found.unionByName(estimate)
+        active, steps = estimate.where("moved"), steps and steps - 1
+        if active.isEmpty():
+            break
+    best = found.groupBy("g1", "g2").agg(F.min_by(F.struct("centre", "weight", "few"), F.struct("det", "start")).alias("best"))
+    return written(best.select("g1", "g2", "best.*"), "best")
+
+
 def _chi2_point(k: int, upper_tail: float) -> float:
     """The point of a chi-square law with ``k`` degrees that ``upper_tail`` lies beyond (Wilson and Hilferty)."""
     from statistics import NormalDist
@@ -135,17 +211,19 @@ def reject_outliers(
     text: str = "text",
     groups: tuple[str, str] = ("lang", "source"),
     share: float = 0.75,
-    steps: int = 4,
+    steps: int | None = None,
     tail: float = 1e-9,
     minimum: int = 40,
 ) -> DataFrame:
     """Every row of ``docs`` but its text, with the base counts, base_failed, distance and kept.
 
     Rows that pass the base rules give their group (language and source) a minimum-covariance-determinant
-    estimate: starting from the group's mean and variances, each concentration step finds the distance within
-    which ``share`` of the rows lie and estimates anew from those.  A step is one aggregation of moments per
-    group and distance bin, combined before its shuffle, so a group that holds a third of all rows costs what
-    its rows cost and none is gathered in a task; the matrix work sees a few hundred bins a group.  Groups of
+    estimate.  Several starts per group (moments, median and MAD, covariances of tanh and of signs about the
+    median, ``SUBSETS`` small subsets drawn by hash) each take concentration steps until the determinant stands
+    still (``steps`` bounds them, if given): a step finds the distance within which ``share`` of the rows lie and
+    estimates anew from those.  The estimate of smallest determinant is the group's.  A step is one aggregation of
+    moments per group, start and distance bin, combined before its shuffle, so a group that holds a third of all
+    rows costs what its rows cost and none is gathered in a task; the matrix work sees a few hundred bins a start.  Groups of
     fewer than ``minimum`` rows share one estimate; if those are still too few, their rows are kept.  Rows
     beyond the ``tail`` point of a chi-square law are rejected; the covariance is scaled by its consistency
     factor and widened by the floors of ``STATISTICS``, so a statistic that hardly varies rejects nothing by
@@ -172,15 +250,7 @@ def reject_outliers(
 
     x = [F.col("x")[i] for i in range(k)]
     fit = named.where("not base_failed")
-    schema = "g1 string, g2 string, centre array<double>, weight array<double>, det double, few boolean"
-    # The start: each group's mean and variances as one bin.
-    binned = fit.groupBy("g1", "g2").agg(*_moments(x)).withColumn("bin", F.lit(0))
-    estimate = binned.groupBy("g1", "g2").applyInPandas(_step(1.0, floors, minimum), schema)
-    for _ in range(steps):
-        d = _distance(x, "centre", "weight")
-        bins = F.floor(F.log2(F.greatest(d, F.lit(2.0**LOWEST))) * BINS)
-        binned = fit.join(estimate, ["g1", "g2"]).withColumn("bin", bins).groupBy("g1", "g2", "bin").agg(*_moments(x))
-        estimate = written(binned.groupBy("g1", "g2").applyInPandas(_step(share, floors, minimum), schema), "estimate")
+    estimate = _concentrate(fit, x, floors, share, minimum, steps)
     # Among normal rows, those within the share's distance have a covariance smaller by this factor.
     inside = _chi2_point(k, 1 - share)
     factor = share / _below(k + 2, inside)
