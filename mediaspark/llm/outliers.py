@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ BINS, LOWEST = 6, -20
 MOMENTS, TANH, SIGNS, MEDIAN, SUBSETS = 0, 1, 2, 3, 10
 #: A start stands still once a step lowers its log-determinant by less than this.
 STILL = 1e-4
+#: The largest share of normal rows that the cut rejects, however small the group.
+LARGEST_TAIL = 1e-3
 #: Parts that the rows of a group are dealt to where they meet the group's estimates.
 SALTS = 32
 
@@ -169,31 +172,31 @@ def _starts(fit: DataFrame, x: list[Column], floors: list[float]) -> DataFrame:
     return written(sums.groupBy("g1", "g2", "start").applyInPandas(_begin(floors), schema), "starts")
 
 
-def _step(share: float, floors: list[float], minimum: int):
+def _step(share: float, floors: list[float], minimum: int, limit_of: Callable[[int], float]):
     """One concentration step of a start: from moments per distance bin to a new estimate."""
     floor = np.array(floors)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         mean, cov, det = _fit(rows, share, floor)
         few, moved = int(rows["n"].sum()) < minimum, det < rows["old"].iloc[0] - STILL
-        return pd.DataFrame({"g1": [key[0]], "g2": [key[1]], "start": [key[2]], "centre": [mean.tolist()], "weight": [np.linalg.inv(cov).ravel().tolist()], "det": [det], "few": [few], "moved": [moved]})
+        return pd.DataFrame({"g1": [key[0]], "g2": [key[1]], "start": [key[2]], "centre": [mean.tolist()], "weight": [np.linalg.inv(cov).ravel().tolist()], "det": [det], "few": [few], "moved": [moved], "limit": [limit_of(int(rows["n"].sum()))]})
 
     return run
 
 
-def _concentrate(fit: DataFrame, x: list[Column], floors: list[float], share: float, minimum: int, steps: int | None) -> DataFrame:
-    """Per group the estimate of smallest determinant that its starts come to: ``(g1, g2, centre, weight, few)``."""
-    schema = "g1 string, g2 string, start int, centre array<double>, weight array<double>, det double, few boolean, moved boolean"
+def _concentrate(fit: DataFrame, x: list[Column], floors: list[float], share: float, minimum: int, steps: int | None, limit_of: Callable[[int], float]) -> DataFrame:
+    """Per group the estimate of smallest determinant that its starts come to: ``(g1, g2, centre, weight, few, limit)``."""
+    schema = "g1 string, g2 string, start int, centre array<double>, weight array<double>, det double, few boolean, moved boolean, limit double"
     active, found = _starts(fit, x, floors), None
     while steps is None or steps > 0:
         bins = F.floor(F.log2(F.greatest(_distance(x, "centre", "weight"), F.lit(2.0**LOWEST))) * BINS)
         binned = _beside(fit, active).withColumn("bin", bins).groupBy("g1", "g2", "start", "bin").agg(*_moments(x), F.first("det").alias("old"))
-        estimate = written(binned.groupBy("g1", "g2", "start").applyInPandas(_step(share, floors, minimum), schema), "estimate")
+        estimate = written(binned.groupBy("g1", "g2", "start").applyInPandas(_step(share, floors, minimum, limit_of), schema), "estimate")
         found = estimate if found is None else found.unionByName(estimate)
         active, steps = estimate.where("moved"), steps and steps - 1
         if active.isEmpty():
             break
-    best = found.groupBy("g1", "g2").agg(F.min_by(F.struct("centre", "weight", "few"), F.struct("det", "start")).alias("best"))
+    best = found.groupBy("g1", "g2").agg(F.min_by(F.struct("centre", "weight", "few", "limit"), F.struct("det", "start")).alias("best"))
     return written(best.select("g1", "g2", "best.*"), "best")
 
 
@@ -212,7 +215,8 @@ def reject_outliers(
     groups: tuple[str, str] = ("lang", "source"),
     share: float = 0.75,
     steps: int | None = None,
-    tail: float = 1e-9,
+    tail: float | None = None,
+    lost: float = 1.0,
     minimum: int = 40,
 ) -> DataFrame:
     """Every row of ``docs`` but its text, with the base counts, base_failed, distance and kept.
@@ -225,7 +229,8 @@ def reject_outliers(
     moments per group, start and distance bin, combined before its shuffle, so a group that holds a third of all
     rows costs what its rows cost and none is gathered in a task; the matrix work sees a few hundred bins a start.  Groups of
     fewer than ``minimum`` rows share one estimate; if those are still too few, their rows are kept.  Rows
-    beyond the ``tail`` point of a chi-square law are rejected; the covariance is scaled by its consistency
+    beyond a point of a chi-square law are rejected: the one that ``lost`` normal rows of the group are expected
+    beyond, a share of ``LARGEST_TAIL`` at most, or the ``tail`` point if given; the covariance is scaled by its consistency
     factor and widened by the floors of ``STATISTICS``, so a statistic that hardly varies rejects nothing by
     rounding.  Counts and estimates cover all rows.
 
@@ -250,13 +255,12 @@ def reject_outliers(
 
     x = [F.col("x")[i] for i in range(k)]
     fit = named.where("not base_failed")
-    estimate = _concentrate(fit, x, floors, share, minimum, steps)
     # Among normal rows, those within the share's distance have a covariance smaller by this factor.
-    inside = _chi2_point(k, 1 - share)
-    factor = share / _below(k + 2, inside)
-    limit = _chi2_point(k, tail) * factor
+    factor = share / _below(k + 2, _chi2_point(k, 1 - share))
+    limit_of = lambda size: factor * _chi2_point(k, min(LARGEST_TAIL, lost / size) if tail is None else tail)
+    estimate = _concentrate(fit, x, floors, share, minimum, steps, limit_of)
     judged = named.join(estimate, ["g1", "g2"], "left").withColumn("distance", _distance(x, "centre", "weight"))
-    ok = ~F.col("base_failed") & (F.coalesce(F.col("few"), F.lit(True)) | (F.coalesce("distance", F.lit(0.0)) <= limit))
+    ok = ~F.col("base_failed") & (F.coalesce(F.col("few"), F.lit(True)) | (F.coalesce("distance", F.lit(0.0)) <= F.col("limit")))
     return judged.select("row.*", *[F.col(f"c.{c}") for c in _COUNTS], "base_failed", "distance", ok.alias("kept"))
 
 

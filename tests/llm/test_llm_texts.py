@@ -86,6 +86,16 @@ def test_a_tight_cluster_of_a_fifth_is_rejected(spark):
     assert all(out[i] for i, *_ in clean)
 
 
+def test_junk_of_middling_strength_is_rejected(spark):
+    rng = random.Random(11)
+    share = lambda middle, wide: math.exp(rng.gauss(middle, wide))
+    clean = [(i, varied(rng, share(-3.5, 0.8), share(-2.2, 0.7), share(-4.5, 0.8), int(rng.lognormvariate(5, 0.6)) + 20), "en", "s") for i in range(400)]
+    junk = [(1000 + i, varied(rng, 0.5, 0.6, 0.3, 120), "en", "s") for i in range(40)]
+    out = {r["doc_id"]: r["kept"] for r in outliers.reject_outliers(spark.createDataFrame(clean + junk, SCHEMA)).collect()}
+    assert not any(out[i] for i, *_ in junk)
+    assert all(out[i] for i, *_ in clean)
+
+
 def test_small_groups_and_clashing_columns(spark):
     rows = [(1, "word " * 5, None, None, 7), (2, None, "en", "x", 8), (2, None, "en", "x", 8), (3, " ".join(f"w{i}" for i in range(50)), "en", None, 9)]
     df = spark.createDataFrame(rows, SCHEMA + ", n_words int").withColumn("row", F.lit(1)).withColumn("x", F.lit(2)).withColumn("g1", F.lit(3))
