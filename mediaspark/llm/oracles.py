@@ -40,3 +40,32 @@ REVISITS = r"""WITH u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.
     CASE WHEN resolution = 'resolved' THEN CASE WHEN turn = 2 THEN 'age: 5' || chr(10) ELSE '' END || 'cache-control: max-age=' || CASE WHEN turn = 1 THEN '3600' ELSE '60' END || chr(10)
       || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || CASE WHEN turn = 1 THEN 'W/' ELSE '' END || '"' || digest || '"' || chr(10) || 'last-modified: day ' || moment END AS headers,
     CASE WHEN resolution = 'resolved' THEN digest END AS payload_digest FROM x"""
+
+
+_BLANKS = r"\x20\x09-\x0D"
+FILL_IN_MIDDLE = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+  k AS (SELECT doc_id, t, regexp_extract_all(t, '[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+') AS w, [('0x' || substr(h, i * 8 + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+  c AS (SELECT doc_id, t, w, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+  p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+  SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(pre || mid || suf) AS restored_sha256 FROM p"""
+
+
+def vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Every round as two steps over all distances of parts and entries."""
+    steps = [f"""v AS (SELECT vec_id, label, embedding AS e, len(embedding) // {parts} AS w FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  x AS MATERIALIZED (SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS j, CAST(floor(e[i]::DOUBLE * 1024) AS BIGINT) AS x FROM (SELECT vec_id, e, w, unnest(range(1, len(e) + 1)) AS i FROM v)),
+  b0 AS MATERIALIZED (SELECT part, entry, j, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, x.part, entry, sum((x - c) * (x - c)) AS far FROM x JOIN b{r} b ON b.part = x.part AND b.j = x.j GROUP BY ALL),
+  a{r} AS MATERIALIZED (SELECT vec_id, part, min(far) AS far, arg_min(entry, (far, entry)) AS entry FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT part, entry, j, sum(x) AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, part) GROUP BY ALL),
+  b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.j, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c FROM b{r} b LEFT JOIN m{r} USING (part, entry, j))""")
+    last = f"""f AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+  g AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, j)) AS digest FROM b{rounds})
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM f JOIN v USING (vec_id), g"""
+    return "WITH " + ",\n  ".join([*steps, last])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspark.llm import chat, decontam, hdlang, linededup, mixing, nbsvm, ngramjoin, oracles, outliers, tokencount, warc
-from mediaspark.llm.common import load
+from mediaspark.llm import chat, decontam, fim, hdlang, linededup, mixing, nbsvm, ngramjoin, oracles, outliers, pqcodes, subword, tokencount, warc
+from mediaspark.llm.common import load, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,4 +93,29 @@ def op10_revisits(spark, sf_dir):
     return found.select("record_id", "canonical_url", "refers_to", "resolution", F.array_join(lines, "\n").alias("headers"), "payload_digest")
 
 
+@query
+def op11_toxicity(spark, sf_dir):
+    out = nbsvm.held_out(F.col("doc_id"), 5, 0)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", out)
+    found = subword.score_toxicity(docs, docs.where("not held_out"), load(spark, sf_dir, "labels").where(~out))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = pqcodes.train(vectors)
+    coded = written(pqcodes.encode(vectors, books).drop("embedding"), "codes")
+    return pqcodes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(pqcodes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    found = fim.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES |= {"op12_vector_codes": oracles.vector_codes(), "op13_fill_in_middle": oracles.FILL_IN_MIDDLE}
 ORACLES |= {"op3_decontaminate": oracles.CONTAMINATION, "op9_ngram_jaccard": oracles.JACCARD, "op10_revisits": oracles.REVISITS}
