@@ -301,14 +301,39 @@ def _verified(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, size: int, p
     return rows.select("a", "b", "kind", "set").mapInArrow(_check(percent), "a bigint, b bigint")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id, of its repeated rows one.
+def _told_apart(docs: DataFrame, text: str) -> DataFrame:
+    """Documents with ``__node``, which tells different texts under one id apart, and whether the id is ``__again``.
 
-    Rows without a doc_id can't be told apart and all stay, as do documents without words.
+    The text with the smallest digest goes by the id itself, the others by numbers beyond all ids.  Texts are
+    digested only where an id repeats, of which a small table is written down.
     """
-    ids = jaccard_classes(docs, **options).where("n_shingles > 0 and doc_id <> component_id")
-    gone = written(ids.select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    return kept.withColumn("__place", place).where("__place = 1 or doc_id is null").drop("__place")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("of")).where("of > 1").select(F.col("doc_id").alias("__id")), "again")
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    first = docs.join(again, F.col("doc_id") == F.col("__id")).groupBy(F.col("doc_id").alias("__id")).agg(F.min(digest).alias("__first"))
+    first = written(first, "first")
+    other = F.pmod(F.xxhash64("doc_id", digest), F.lit(1 << 62)) + F.lit(1 << 62)
+    own = F.col("doc_id").cast("bigint")
+    found = docs.join(first, F.col("doc_id") == F.col("__id"), "left")
+    node = F.when(F.col("__first").isNull() | (digest == F.col("__first")), own).otherwise(other)
+    return found.withColumns({"__node": node, "__again": F.col("__first").isNotNull()}).drop("__id", "__first")
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """One document of each class stays, and of rows equal in doc_id and text one.
+
+    Classes are those of ``jaccard_classes`` over different texts: texts that share a doc_id are judged one by
+    one, and no text goes unless one of its class stays.  The smallest doc_id stays; among texts of one id the
+    one of the smallest digest; of rows equal in both the first by their other columns.  Only rows whose id
+    repeats are grouped, and aggregated ahead of the shuffle.
+
+    Rows without a doc_id can't be told apart and all stay, as do documents without words, of which those with
+    equal id and text are one.  Very long texts are compared whole; an empty table stays empty; other columns,
+    whatever their names, are kept.
+    """
+    marked = _told_apart(docs, text)
+    ids = jaccard_classes(marked.select(F.col("__node").alias("doc_id"), F.col(f"`{text}`").alias("text")), **options)
+    gone = written(ids.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    kept = marked.join(gone, F.col("__node") == F.col("__gone"), "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    singles = kept.where("not __again").select(*docs.columns)
+    return singles.unionByName(kept.where("__again").groupBy("__node").agg(F.min(whole).alias("__row")).select("__row.*"))

@@ -119,6 +119,19 @@ def test_one_of_each_class_stays(spark):
     assert classes == {(5, 3), (3, 3), (9, 9), (8, 8), (None, 3), (7, 7)}
 
 
+def test_no_text_goes_without_one_of_its_class(spark):
+    """Several texts under one id: x is kept once, y or its near copy once, and the unrelated text stays."""
+    x, y, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, x, "a", None), (2, y, "a", None), (2, x, "b", None), (3, y + " more", None, None), (3, other, "a", None)]
+    rows += [(4, "p q", "b", None), (4, "p q", "a", None), (4, None, None, None), (4, "", None, None), (4, "P Q", "a", None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("__row", F.lit(0))
+    found = [(r["doc_id"], r["text"], r["lang"]) for r in ngramjoin.keep_one(df).collect()]
+    assert (1, x, "a") in found and (3, other, "a") in found
+    assert sum(t == x for _, t, _ in found) == 1 and sum(t in (y, y + " more") for _, t, _ in found) == 1
+    assert [f for f in found if f[1] in ("p q", "P Q")] in ([(4, "p q", "a")], [(4, "P Q", "a")])
+    assert len(found) == 5 and sum(not t for _, t, _ in found) == 1
+
+
 def edits_between(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -42,6 +42,19 @@ def test_language_keeps_all_texts_with_letters(stages):
     assert all(after[k] == before[k] for k in after)
 
 
+def test_gibberish_goes_and_short_texts_stay(stages, spark):
+    """One rule for all lengths: unknown letters go from some hundred on, a few words of a language stay."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("qxzjvkwfybp") for _ in range(n))
+    known = [r["text"] for r in stages[0].where("lang = 'en' and length(text) > 400").limit(40).collect()]
+    new = [(-1 - i, noise(n), n) for i, n in enumerate([100, 150, 199, 201, 600, 5000] * 5)]
+    clean = [(-1000 - i, t[:n], n) for i, t in enumerate(known) for n in (rng.choice([1, 5, 20, 60]), 199, 201)]
+    df = spark.createDataFrame([(k, t) for k, t, _ in new + clean], "doc_id bigint, text string")
+    docs = stages[0].unionByName(df, allowMissingColumns=True)
+    left = {(r["doc_id"], r["text"]) for r in pipeline.language(spark, docs, DIR).where("doc_id < 0").collect()}
+    assert left == {(k, t) for k, t, _ in clean if any(c.isalpha() for c in t)}
+
+
 def test_lines_keep_the_first_of_equal_ones(stages):
     before, after = rows(stages[1]), rows(stages[2])
     first, want = {}, {}
