@@ -7,8 +7,8 @@ successor, and only chunks whose start turned out different are folded again, un
 none is.  The result is that of one pass from the beginning.  A fold that forgets its
 start (resets, clamps, decay) settles in one or two rounds.  Totals don't belong in a
 state, as they never forget: they are running sums over what the fold puts out (see
-``rtp_sequence``).  The rate conversions and the clock filter carry an absolute count or
-clock and settle one chunk a round.
+``rtp_sequence``).  The rate conversions and the clock filter, which carry an absolute count
+or clock, hand on maps instead (see ``maps``).
 
 A fold is ``fold(state, columns) -> (state, outputs)`` over lists of one chunk's
 values in order; ``state`` is a list of numbers, strings and booleans or None at the
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from mediaspark.operators.maps import Rule, Rules, band, counted_end, counted_map, map_stream, stepped
 from mediaspark.operators.scan import chunk_id, cut_lineage, running
 
 FOLD_ROWS = 1 << 17
@@ -126,38 +127,47 @@ def dts_from_pts(df: DataFrame, delay: int, *, keys=("stream_id", "stream_index"
     return fold_stream(df, keys, order, ["pts", "duration"], reorder_fold(delay), "dts_out bigint", rows=rows)
 
 
-# How often a picture due at place ``ideal`` is shown after ``count`` pictures, and the count it counts from.
-# The limits are fixed values, in pictures.
+def _video_rules(fps: float, method: str) -> Rules:
+    """What a picture due at a place of the output does to the count of pictures put out.
 
+    passthrough sets the count to the place; cfr repeats a picture up to its place when it is late, shows it once
+    within 1.1 of it and drops it beyond; vfr moves a late picture to its place, and shows it if less than 0.6
+    ahead (fixed values, in pictures).
+    """
 
-def _as_timed(ideal: float, count: int) -> tuple[int, int]:
-    return 1, round(ideal)
-
-
-def _at_constant_rate(ideal: float, count: int, limit: float = 1.1) -> tuple[int, int]:
-    lead = ideal - count
-    return (1 if abs(lead) <= limit else max(0, round(lead))), count
-
+    def rules(row: tuple, flag: bool, odd: int) -> list[Rule]:
+        if row[0] is None:
+            return [(None, True, 1, flag)]
+        place = row[0] / 1e6 * fps
+        if method == "passthrough":
+            return [(None, False, round(place) + 1, flag)]
+        low, high = band(place, 1.1) if method == "cfr" else band(place, 0.6, open_above=True)
+        due = round(place) + 1
+        if method == "cfr":
+            due = round(place)
+            if place % 1 == 0.5:
+                # The repeats are rounded to even, so the count that is met keeps its parity.
+                due = math.floor(place) + (math.floor(place) + odd) % 2
+        return [(low - 1, False, due, flag), (high, True, 1, flag), (None, True, 0, flag)]
 
-def _at_variable_rate(ideal: float, count: int, limit: float = 0.6) -> tuple[int, int]:
-    lead = ideal - count
-    return int(lead > -limit), round(ideal) if lead > limit else count
+    return rules
 
 
-VIDEO_SYNC = {"passthrough": _as_timed, "cfr": _at_constant_rate, "vfr": _at_variable_rate}
+VIDEO_SYNC = ("cfr", "passthrough", "vfr")
 
 
 def video_sync_fold(fps: float, method: str) -> Fold:
-    place = VIDEO_SYNC[method]
+    rules = _video_rules(fps, method)
 
     def fold(state, cols):
         count = state[0] if state else 0
         nb, at = [], []
         for t in cols["pts"]:
-            frames, count = (1, count) if t is None else place(t / 1e6 * fps, count)
-            nb.append(frames)
-            at.append(count)
-            count += frames
+            met, _, kind = stepped(rules((t,), False, count % 2), count)
+            shown = met - count if method == "cfr" else int(kind < 2)
+            count = met
+            nb.append(shown)
+            at.append(count - shown)
         return [count], {"nb_frames": nb, "out_no": at}
 
     return fold
@@ -166,10 +176,18 @@ def video_sync_fold(fps: float, method: str) -> Fold:
 def video_sync(
     df: DataFrame, *, fps: float, method: str = "cfr", keys=("stream_id", "stream_index"), order: str = "seq", rows: int = FOLD_ROWS
 ) -> DataFrame:
-    """How often each picture is shown at a fixed rate: 0 dropped, >1 duplicated."""
+    """How often each picture is shown at a fixed rate: 0 dropped, >1 duplicated.
+
+    Two passes at any length: a chunk's effect on the count of pictures is a map of few pieces.
+    """
     if method not in VIDEO_SYNC:
-        raise ValueError(f"method must be one of {sorted(VIDEO_SYNC)}")
-    return fold_stream(df, keys, order, ["pts"], video_sync_fold(fps, method), "nb_frames int, out_no bigint", rows=rows)
+        raise ValueError(f"method must be one of {VIDEO_SYNC}")
+    rules = _video_rules(fps, method)
+    return map_stream(
+        df, keys, order, ["pts"], "nb_frames int, out_no bigint", rows=rows, fold=video_sync_fold(fps, method),
+        chunk_map=lambda cols: counted_map(rules, zip(cols["pts"]), [False], 2),
+        advance=lambda state, pieces: [counted_end(pieces, state[0] if state else 0, False, 2)[0]],
+    )
 
 
 def output_frames(synced: DataFrame) -> DataFrame:
@@ -178,30 +196,50 @@ def output_frames(synced: DataFrame) -> DataFrame:
     return shown.withColumn("out_no", F.explode(F.sequence(F.col("out_no"), F.col("out_no") + F.col("nb_frames") - 1)))
 
 
+#: Samples a packet may be off the clock without any correction (fixed value).
+SLACK = 50
+
+
+def _audio_rules(rate: int, drift: float) -> Rules:
+    """What a packet does to the count of samples put out, by its lead over the ideal clock.
+
+    A packet ahead of the count by more than the tolerance is led in by silence, so that the count stands at its
+    place before it; one behind loses the samples that are past, all of them if need be; others are put out as
+    they are.  Until the first correction that leaves samples over, the tolerance is the slack alone.
+    """
+
+    def rules(row: tuple, starting: bool, part: int) -> list[Rule]:
+        t, size = row
+        if t is None:
+            return [(None, True, size, starting)]
+        place = t / 1e6 * rate
+        low, high = band(place, SLACK if starting else max(SLACK, drift * rate))
+        after = starting and size <= 0
+        past = max(high, math.ceil(place) + size - 1)
+        return [
+            (low - 1, False, math.floor(place) + size, after), (high, True, size, starting),
+            (past, False, math.ceil(place) + size, after), (None, True, 0, starting),
+        ]
+
+    return rules
+
+
 def audio_sync_fold(rate: int, drift: float, method: int) -> Fold:
+    rules = _audio_rules(rate, drift)
+
     def fold(state, cols):
         count, starting = state if state else (0, True)
-        dropped, silence, comp, sizes = [], [], [], []
+        out = {"dropped": [], "silence": [], "compensation": [], "out_samples": []}
         for t, n in zip(cols["pts"], cols["samples"]):
-            cut = add = adjust = 0
-            delta = t / 1e6 * rate - count if t is not None else 0.0
-            if abs(delta) > 50:
-                if starting or abs(delta) > drift * rate:
-                    if delta < 0:
-                        cut = min(-int(delta), n)
-                    else:
-                        add = int(delta)
-                    if n - cut > 0:
-                        starting = False
-                elif method > 1:
-                    adjust = int(max(-method, min(method, delta)))
-            size = n - cut + add
-            count += size
-            dropped.append(cut)
-            silence.append(add)
-            comp.append(adjust)
-            sizes.append(size)
-        return [count, starting], {"dropped": dropped, "silence": silence, "compensation": comp, "out_samples": sizes}
+            met, starting, kind = stepped(rules((t, n), starting, 0), count)
+            lead = 0.0 if t is None else t / 1e6 * rate - count
+            pulled = kind == 1 and method > 1 and abs(lead) > SLACK
+            out["dropped"].append(max(0, n - (met - count)))
+            out["silence"].append(max(0, met - count - n))
+            out["compensation"].append(int(min(max(lead, -method), method)) if pulled else 0)
+            out["out_samples"].append(met - count)
+            count = met
+        return [count, starting], out
 
     return fold
 
@@ -210,10 +248,28 @@ def audio_sync(
     df: DataFrame, *, rate: int, drift: float = 0.1, method: int = 1, keys=("stream_id", "stream_index"), order: str = "seq",
     rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Samples to discard, silence to insert or drift to compensate per packet."""
-    return fold_stream(
-        df, keys, order, ["pts", "samples"], audio_sync_fold(rate, drift, method),
-        "dropped bigint, silence bigint, compensation int, out_samples bigint", rows=rows,
+    """Samples to discard, silence to insert or drift to compensate per packet.
+
+    Two passes at any length.  The maps hold starts a little further ahead of a chunk's first time than the tolerance,
+    and those that the whole chunk doesn't catch up with; only a chunk in which the clock catches up after a jump back that
+    began in an earlier one is folded by itself.
+    """
+    rules = _audio_rules(rate, drift)
+
+    def chunk_map(cols):
+        rows = list(zip(cols["pts"], cols["samples"]))
+        first = next((t / 1e6 * rate for t, _ in rows if t is not None), 0.0)
+        ahead = 1.25 * max(SLACK, drift * rate) + max(n for _, n in rows)
+        return counted_map(rules, rows, [False, True], top=math.ceil(first + ahead))
+
+    def advance(state, pieces):
+        end = counted_end(pieces, *(state or (0, True)))
+        return end and list(end)
+
+    return map_stream(
+        df, keys, order, ["pts", "samples"], "dropped bigint, silence bigint, compensation int, out_samples bigint", rows=rows,
+        fold=audio_sync_fold(rate, drift, method),
+        chunk_map=chunk_map, advance=advance,
     )
 
 
@@ -336,21 +392,26 @@ def rtp_sequence(df: DataFrame, *, base_seq: int = 0, rows: int = FOLD_ROWS) ->
     )
 
 
+def _tracked(state: tuple[float, float], time: float, step: float, gain: float, pull: float) -> tuple[float, float]:
+    """An alpha-beta filter's next position and speed; both are linear in the state and the time that is seen."""
+    ahead = state[0] + state[1] * step
+    miss = time - ahead
+    return ahead + gain * miss, state[1] + pull * miss / step
+
+
+def _gains(before: int, count: int, least: float) -> list[float]:
+    """The share of the miss that each row after ``before`` others corrects; the very first is taken as it is."""
+    return [max(least, 1.0 / k) for k in range(before + 1, before + count + 1)]
+
+
 def clock_fold(period: float, f2: float, f3: float) -> Fold:
     def fold(state, cols):
-        cycle, clock, count = state if state else (0.0, period, 0)
+        cycle, clock, before = state if state else (0.0, period, 0)
         out = []
-        for t, step in zip(cols["time"], cols["step"]):
-            count += 1
-            if count == 1:
-                cycle = float(t)
-            else:
-                cycle += clock * step
-                error = t - cycle
-                cycle += max(f2, 1.0 / count) * error
-                clock += f3 * error / step
+        for k, (t, step, gain) in enumerate(zip(cols["time"], cols["step"], _gains(before, len(cols["time"]), f2)), before):
+            cycle, clock = _tracked((cycle, clock), t, step, gain, f3) if k else (float(t), clock)
             out.append(cycle)
-        return [cycle, clock, count], {"smooth_time": out}
+        return [cycle, clock, before + len(out)], {"smooth_time": out}
 
     return fold
 
@@ -358,26 +419,43 @@ def clock_fold(period: float, f2: float, f3: float) -> Fold:
 def clock_filter(
     df: DataFrame, *, period: float, factor2: float, factor3: float, keys=("stream_id",), order: str = "seq", rows: int = FOLD_ROWS
 ) -> DataFrame:
-    """Delay-locked loop over noisy times; ``step`` is the periods since the last row."""
-    return fold_stream(df, keys, order, ["time", "step"], clock_fold(period, factor2, factor3), "smooth_time double", rows=rows)
+    """Delay-locked loop over noisy times; ``step`` is the periods since the last row.
+
+    Two passes at any length.  The gain of a row follows from its number, so a chunk is a linear map of the state:
+    what becomes of either unit state if all times were 0, and of the zero state with the true times.
+    """
+    run = clock_fold(period, factor2, factor3)
+
+    def chunk_map(cols):
+        before, n = cols["__before"][0], len(cols["time"])
+        ends = [run([*unit, before], {"time": [0.0] * n, "step": cols["step"]})[0] for unit in ((1.0, 0.0), (0.0, 1.0))]
+        return [*[e[:2] for e in ends], run([0.0, 0.0, before], cols)[0][:2], n]
+
+    def advance(state, found):
+        cycle, clock, before = state or (0.0, period, 0)
+        of_cycle, of_clock, alone, n = found
+        return [*[a * cycle + b * clock + c for a, b, c in zip(of_cycle, of_clock, alone, strict=True)], before + n]
+
+    return map_stream(
+        df, keys, order, ["time", "step"], "smooth_time double", rows=rows, numbered=True, fold=run, chunk_map=chunk_map, advance=advance
+    )
 
 
 def vbv_fold(size: int, low: int, high: int, min_stuffing: int, start: float) -> Fold:
+    """A running sum held between empty and full: pictures draw from it, a bounded rate fills it, bytes run over."""
+
     def fold(state, cols):
         level = state[0] if state else start
         out = {"level": [], "underflow": [], "stuffing": []}
         for bits in cols["bits"]:
-            level -= bits
-            empty = level < 0
-            level = max(level, 0)
-            level += max(low, min(high, int(size - level - 1)))
-            stuffing = 0
-            if level > size:
-                stuffing = max(math.ceil((level - size) / 8), min_stuffing)
-                level -= 8 * stuffing
+            drawn = max(level - bits, 0)
+            filled = drawn + sorted((low, int(size - drawn - 1), high))[1]
+            over = filled - size
+            spare = max(math.ceil(over / 8), min_stuffing) if over > 0 else 0
+            out["underflow"].append(level < bits)
+            level = filled - 8 * spare
             out["level"].append(float(level))
-            out["underflow"].append(empty)
-            out["stuffing"].append(stuffing)
+            out["stuffing"].append(spare)
         return [level], out
 
     return fold
@@ -395,17 +473,19 @@ def vbv_audit(
 
 
 def data_rate_fold(window_ms: int = 5000) -> Fold:
+    """Rates since the older of the two last checkpoints; a row sets one when the last is longer ago than the window."""
+
     def fold(state, cols):
-        s = state
+        marks = [tuple(m) for m in state] if state else []
         out = []
-        for t, n in zip(cols["t_ms"], cols["bytes_total"]):
-            if s is None or (s[0] == 0 and s[1] == 0):
-                s = [t, n, t, n]
-            elif t - s[2] > window_ms:
-                s = [s[2], s[3], t, n]
-            gone = t - s[0]
-            out.append((n - s[1]) * 1000 // gone if gone else 0)
-        return s, {"rate": out}
+        for here in zip(cols["t_ms"], cols["bytes_total"]):
+            if not marks or marks[0] == (0, 0):
+                marks = [here]
+            elif here[0] - marks[-1][0] > window_ms:
+                marks = [marks[-1], here]
+            time, total = (b - a for a, b in zip(marks[0], here))
+            out.append(total * 1000 // time if time else 0)
+        return marks, {"rate": out}
 
     return fold
 
