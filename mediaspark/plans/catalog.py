@@ -5,6 +5,7 @@ from mediaspark.plans import (  # noqa: F401
     extra_queries,
     join_queries,
     line_queries,
+    live_queries,
     packet_queries,
     source_queries,
     stat_queries,

@@ -299,7 +299,7 @@ def live_film(spark, d):
     clean = F.element_at(F.array(*[F.lit(h) for h in HINTS]), ((F.col("field_no") + F.col("stream_id")) % 5 + 1).cast("int"))
     e = e.withColumn("hint", F.when(F.col("stream_id") % 2 == 0, random_hint).otherwise(clean))
     out = S.fold_live(e, ["stream_id"], "field_no", ["field_no", "hint"], G.film_fold(), "cadence string, cadence_index int")
-    return finished(spark, out, "film")
+    return finished(spark, out, "film").drop("late")
 
 
 @query(

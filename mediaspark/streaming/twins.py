@@ -1,31 +1,22 @@
 """Streaming forms: the folds with kept state, and windows, sessions and joins.
 
 A fold keeps one small state per stream in the state store and runs the same
-function as the batch operator.  Rows of a micro-batch are put in order per stream.
+function as the batch operator.  Rows are put in order per stream (see ``ordered``).
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mediaspark.operators.fold import Fold
+from mediaspark.streaming.ordered import fold_ordered
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _values(s: pd.Series) -> list:
-    """Plain Python values with None for nulls."""
-    return [None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v for v in s.tolist()]
-
-
 def with_reset(fold: Fold, column: str = "disc") -> Fold:
     """A fold whose state is dropped at every row where ``column`` is true."""
 
@@ -44,46 +35,13 @@ def with_reset(fold: Fold, column: str = "disc") -> Fold:
     return run
 
 
-class _FoldProcessor(StatefulProcessor):
-    def __init__(self, keys, order, inputs, big, fold, names):
-        self.keys, self.order, self.inputs, self.big, self.fold, self.names = keys, order, inputs, big, fold, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", T.StructType([T.StructField("s", T.StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        kept = self.state.get() if self.state.exists() else None
-        cols = {c: _values(pdf[c]) for c in self.inputs}
-        for c in self.big:
-            cols[c] = [None if v is None else int(v) for v in cols[c]]
-        state, out = self.fold(json.loads(kept[0]) if kept else None, cols)
-        self.state.update((json.dumps(state),))
-        res = pdf[[*self.keys, self.order]].reset_index(drop=True)
-        for c in self.names:
-            res[c] = pd.Series(out[c], dtype=object)
-        yield res
-
-    def close(self) -> None:
-        pass
-
-
-def fold_live(df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], fold: Fold, outputs: str) -> DataFrame:
+def fold_live(df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], fold: Fold, outputs: str, **options) -> DataFrame:
     """The streaming twin of ``fold_stream``: one state per key, kept between batches.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    Frames are folded as they come, in order within a batch; ``options`` make rows wait across batches, see
+    ``ordered.fold_ordered``.  Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    keys = list(keys)
-    big = [f.name for f in df.schema if f.name in inputs and isinstance(f.dataType, T.LongType)]
-    slim = df.select(*keys, order, *[F.col(c).cast("string") if c in big else F.col(c) for c in inputs if c != order])
-    names = [f.name for f in T._parse_datatype_string(outputs).fields]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*keys, order))
-    return slim.groupBy(*keys).transformWithStateInPandas(
-        _FoldProcessor(keys, order, list(inputs), big, fold, names),
-        outputStructType=T._parse_datatype_string(f"{head}, {outputs}"),
-        outputMode="append",
-        timeMode="None",
-    )
+    return fold_ordered(df, keys, order, inputs, fold, outputs, **options)
 
 
 def progress(df: DataFrame, ts: str, *, every: str = "500 milliseconds", late: str = "10 seconds", keys: Sequence[str] = ()) -> DataFrame:
@@ -156,8 +114,8 @@ def drain(df: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-#: The time of the mark that ends a feed; no window of it ever closes.
-END = "9000-01-01 00:00:00"
+#: The time of the mark that ends a feed; no window of it ever closes, and pandas can still hold it.
+END = "2250-01-01 00:00:00"
 
 
 def with_end(df: DataFrame, marks: str) -> DataFrame:
