@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, neighbours, running
+from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, chunk_id, neighbours, running
 
 HINTS = ("AFTERNEXT_32", "NEXT_32", "PREV_32", "NEXT_22", "PREV_22")
 
@@ -37,6 +38,48 @@ def field_split(frames: DataFrame, *, key: str = "stream_id", rows: int = CHUNK_
     )
 
 
+class SplitFields:
+    """Table function: the fields of a stretch of frames that comes in order, numbered from the first row's ``field_no``.
+
+    Rows are ``(stream_id, frame_no, rt_start, rt_stop, nb_fields, tff, progressive, field_no)``.
+    """
+
+    def __init__(self):
+        self.next = None
+
+    def eval(self, row: Row):
+        n = 3 if row["nb_fields"] == 3 else 2
+        self.next = row["field_no"] if self.next is None else self.next
+        hints = HINTS[:3] if n == 3 else HINTS[3:]
+        span = row["rt_stop"] - row["rt_start"]
+        for k in range(n):
+            # Whole numbers are cut towards 0, as SQL does.
+            end = row["rt_stop"] if k == n - 1 else row["rt_start"] + int(math.copysign(abs((k + 1) * span) // n, span))
+            yield row["stream_id"], row["frame_no"], self.next + k, row["tff"] == (k % 2 == 0), hints[k] if row["progressive"] else None, end
+        self.next += row["nb_fields"]
+
+
+FIELDS = "stream_id bigint, frame_no bigint, field_no bigint, is_top boolean, hint string, end_time bigint"
+
+
+def split_fields(frames: DataFrame, *, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``field_split`` as the table function ``split_fields`` over a partitioned and ordered table argument.
+
+    A partition is a chunk of a stream, not a stream; its first row brings the number of fields in earlier chunks.
+    The function stays registered for SQL: ``SELECT * FROM split_fields(TABLE(t) PARTITION BY ... ORDER BY ...)``.
+    """
+    spark = frames.sparkSession
+    spark.udtf.register("split_fields", F.udtf(SplitFields, returnType=FIELDS))
+    chunked = frames.withColumn("chunk", chunk_id("frame_no", rows))
+    w = Window.partitionBy("stream_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = chunked.groupBy("stream_id", "chunk").agg(F.sum(F.col("nb_fields").cast("bigint")).alias("n"))
+    counts = counts.select("stream_id", "chunk", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("field_no"))
+    table = chunked.join(counts, ["stream_id", "chunk"]).select(
+        "stream_id", "frame_no", "rt_start", "rt_stop", "nb_fields", "tff", "progressive", "field_no", "chunk"
+    )
+    return spark.sql("SELECT * FROM split_fields(TABLE(SELECT * FROM {t}) PARTITION BY (stream_id, chunk) ORDER BY frame_no)", t=table)
+
+
 def cadence_flag(
     frames: DataFrame, *, progressive_sequence: Column | None = None, key: str = "stream_id", order: str = "frame_no",
     rows: int = CHUNK_ROWS,

@@ -70,6 +70,8 @@ def asof_join(
 
 _LEVEL_BITS = 4
 _LEVELS = 12
+#: Parts that the points an open span may meet are dealt to; an open span has a row in each.
+SALTS = 64
 
 
 def interval_join(
@@ -86,8 +88,10 @@ def interval_join(
     """Pairs with ``start <= t < stop`` (``<=`` if closed); a null stop is open.
 
     A span goes to the level whose bins are about as long as itself, where it
-    covers at most 18 bins; a point is looked up once per level in use.  So neither
-    a very long span nor an open one meets rows outside of its own reach.
+    covers at most 18 bins; a point is looked up once per level in use.  So a very
+    long span doesn't meet rows outside of its own reach.  Open spans have no end to
+    bin by: the points of their level are dealt to SALTS parts by a hash, so that
+    those of a hot key don't meet in one task.
     """
     keys = list(keys)
     length = F.greatest(F.col(stop) - F.col(start), F.lit(1))
@@ -108,13 +112,14 @@ def interval_join(
         )
 
     last = F.when(F.col(stop).isNull(), F.col(start)).otherwise(F.col(stop))
-    placed = placed.withColumn(
-        "__bin", F.explode(F.sequence(bin_of(F.col(start), F.col("__lv")), bin_of(F.greatest(last, F.col(start)), F.col("__lv"))))
-    )
+    bins = F.sequence(bin_of(F.col(start), F.col("__lv")), bin_of(F.greatest(last, F.col(start)), F.col("__lv")))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    placed = placed.withColumn("__bin", F.explode(F.when(F.col("__lv") == _LEVELS, parts).otherwise(bins)))
     if not used:
         used = [0]
     looked = points.withColumn("__lv", F.explode(F.array(*[F.lit(x) for x in used])))
-    looked = looked.withColumn("__bin", bin_of(F.col(t), F.col("__lv")))
+    dealt = F.pmod(F.xxhash64(t), F.lit(SALTS)).cast("bigint")
+    looked = looked.withColumn("__bin", F.when(F.col("__lv") == _LEVELS, dealt).otherwise(bin_of(F.col(t), F.col("__lv"))))
     joined = looked.join(placed, [*keys, "__lv", "__bin"])
     inside = F.col(stop).isNull() | ((F.col(t) <= F.col(stop)) if closed else (F.col(t) < F.col(stop)))
     return joined.filter((F.col(start) <= F.col(t)) & inside).drop("__lv", "__bin")
@@ -208,14 +213,55 @@ def frames_needing_overlay(
     return frames.join(hits, [*keys, "t"], "left_anti" if anti else "left_semi")
 
 
-def acl_check(conns: DataFrame, acl: DataFrame, *, bin_width: int = 1024) -> DataFrame:
+_TOP = 15
+
+
+def least_cover(points: DataFrame, spans: DataFrame, t: str, start: str, stop: str, value: Column) -> DataFrame:
+    """``(t, __least)``: the least ``value`` among the spans that cover each point (both ends count, a null stop is open).
+
+    A span is taken apart into the largest blocks of 16 to the power of 0 to 15 that it fills, at most 30 a size;
+    each block keeps the least value of its spans, whatever their number, and a point asks the one block of each
+    size that it lies in.  Spans and points never meet as pairs.  Values of ``t`` lie in 0 to 2^62.
+    """
+    end = F.coalesce(F.col(stop), F.lit((1 << 62) - 1)).cast("bigint")
+    div = lambda a, b: F.call_function("div", a, b).cast("bigint")
+    lv, one = F.col("__lv"), F.lit(1).cast("bigint")
+    placed = spans.where(F.col(start).isNotNull()).select(F.col(start).cast("bigint").alias("__a"), end.alias("__b"), value.alias("__value")).where("__a <= __b")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(_TOP)))
+    placed = placed.withColumn("__lv", levels).withColumn("__size", F.call_function("shiftleft", one, lv * _LEVEL_BITS))
+    low, high = div(F.col("__a") + F.col("__size") - 1, F.col("__size")), div(F.col("__b") + 1, F.col("__size")) - 1
+    placed = placed.withColumns({"__low": low, "__high": high}).where("__low <= __high")
+    # Blocks of a larger block that is filled as a whole are left to it.
+    wide = F.col("__size") * 16
+    inner = F.when(lv < _TOP, div(F.col("__a") + wide - 1, wide)), F.when(lv < _TOP, div(F.col("__b") + 1, wide) - 1)
+    larger = F.coalesce(inner[0] <= inner[1], F.lit(False))
+    rows = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    left = rows(F.col("__low"), F.when(larger, inner[0] * 16 - 1).otherwise(F.col("__high")))
+    right = F.when(larger, rows(inner[1] * 16 + 16, F.col("__high"))).otherwise(F.array().cast("array<bigint>"))
+    blocks = placed.select("__lv", "__value", F.explode(F.concat(left, right)).alias("__block"))
+    blocks = blocks.groupBy("__lv", "__block").agg(F.min("__value").alias("__value"))
+    asked = points.select(t).distinct().withColumn("__lv", levels)
+    asked = asked.withColumn("__block", F.expr(f"shiftright(CAST(`{t}` AS BIGINT), __lv * {_LEVEL_BITS})"))
+    return asked.join(blocks, ["__lv", "__block"], "left").groupBy(t).agg(F.min("__value").alias("__least"))
+
+
+#: Consecutive addresses that are handled as one group, each at most once.
+ADDRESSES = 1 << 17
+
+
+def acl_check(conns: DataFrame, acl: DataFrame, *, cell: int = ADDRESSES) -> DataFrame:
     """First matching address range decides; else the opposite of the last rule.
 
-    Each distinct address is checked once.  An empty list allows everything.
+    The rules cut the addresses into stretches with one verdict each: the first rule over the stretch's beginning.
+    An address takes the verdict of the stretch it lies in by an as-of join, so a rule over all addresses, or an
+    open one, brings no address onto a common key.  Each distinct address is checked once.  An empty list allows
+    everything; a null address gets the default.
     """
-    addrs = conns.select("src_addr").distinct()
-    hits = interval_join(addrs, acl, [], "src_addr", "first_addr", "last_addr", bin_width=bin_width, closed=True)
-    verdict = hits.groupBy("src_addr").agg(F.min_by("allow", "rule_no").alias("__v"))
+    ends = F.array(F.col("first_addr").cast("bigint"), F.col("last_addr").cast("bigint") + 1)
+    bounds = acl.select(F.explode(ends).alias("at")).where("at IS NOT NULL").distinct()
+    stretches = least_cover(bounds, acl, "at", "first_addr", "last_addr", F.struct("rule_no", "allow"))
+    stretches = stretches.select("at", F.col("__least.allow").alias("__v"))
+    verdict = asof_join(conns.select("src_addr").distinct(), stretches, [], "src_addr", "at", ["__v"], cell=cell)
     default = acl.agg(F.coalesce(~F.max_by("allow", "rule_no"), F.lit(True)).alias("__d"))
     # ``default`` is one row.
     d = default.select(F.struct("__d").alias("s")).withColumn("__k", F.lit(0))

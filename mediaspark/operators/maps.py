@@ -63,7 +63,7 @@ def map_stream(
         table, state, starts, known = table.sort_by("__chunk"), None, [], True
         for found, end in zip(table["__map"].to_pylist(), table["__end"].to_pylist()):
             starts.append(json.dumps(state) if known else None)
-            state = json.loads(end) if end else advance(state, json.loads(found)) if known else None
+            state = json.loads(end) if end else advance(state, json.loads(found)) if known and found else None
             known = known and state is not None
         # The last start that is known, if any is missing, belongs to the chunk whose map doesn't hold it.
         return table.select(group).append_column("__start", pa.array(starts, pa.string()))
@@ -82,9 +82,12 @@ def map_stream(
         return table
 
     narrow = base.select(*group, *[c for c in dict.fromkeys([order, *inputs]) if c not in group])
+    chunks = base.select(*group).distinct()
+    # Nobody asks where the last chunk of a stream ends.
+    asked = narrow.join(chunks.groupBy(*keys).agg(F.max("__chunk").alias("__last")), keys).where("__chunk < __last").drop("__last")
     text = lambda name: T.StructType([*heads, *T._parse_datatype_string(f"__chunk bigint, {name} string").fields])
-    maps = narrow.groupBy(*group).applyInArrow(describe, text("__map")).withColumn("__end", F.lit(None).cast("string"))
-    maps = cut_lineage(maps)
+    maps = asked.groupBy(*group).applyInArrow(describe, text("__map"))
+    maps = chunks.join(maps, group, "left").withColumn("__end", F.lit(None).cast("string"))
     while True:
         starts = cut_lineage(maps.groupBy(*keys).applyInArrow(follow, text("__start")))
         missing = starts.where("__start IS NULL").select(*keys).distinct()
@@ -183,9 +186,15 @@ def counted_end(pieces: list[list], count: int, flag: bool, parts: int = 1) -> t
 
 def band(place: float, limit: float, *, open_above: bool = False) -> tuple[int, int]:
     """The counts no further than ``limit`` from a place; ``open_above`` leaves out one exactly that far above."""
-    near = lambda c: place - c <= limit and (c - place < limit if open_above else c - place <= limit)
     low, high = math.ceil(place - limit), math.floor(place + limit)
     # The bounds are rounded; the differences, which decide, are exact.
-    low += next(i for i in range(-1, 3) if place - (low + i) <= limit)
-    high -= next(i for i in range(-1, 3) if near(high - i))
+    if place - low > limit:
+        low += 1
+    elif place - low + 1 <= limit:
+        low -= 1
+    near = (lambda c: c - place < limit) if open_above else (lambda c: c - place <= limit)
+    if not near(high):
+        high -= 1
+    elif near(high + 1):
+        high += 1
     return low, high

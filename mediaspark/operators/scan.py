@@ -244,6 +244,23 @@ def neighbours(
     return out.filter("__own").drop(_CHUNK, "__own")
 
 
+#: Rows that one task counts up at a time.
+COUNT_BLOCK = 1 << 16
+
+
+def count_up(df: DataFrame, keys: Sequence[str], n: Column, name: str, *, block: int = COUNT_BLOCK) -> DataFrame:
+    """``(keys, name)``: the numbers 0 to ``n`` - 1 of each row.
+
+    Two levels: blocks first, which are dealt out, and the numbers within a block second, so that neither an array
+    nor a task grows with ``n``.
+    """
+    keys = list(keys)
+    blocks = df.select(*keys, n.cast("bigint").alias("__n")).where("__n > 0")
+    blocks = blocks.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__n - 1) div {block})"))).repartition(*keys, "__b")
+    within = F.explode(F.expr(f"sequence(__b * {block}, least(__n, (__b + 1) * {block}) - 1)"))
+    return blocks.select(*keys, within.alias(name))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,12 +7,14 @@ Sums over samples are Spark aggregates; only matrices whose size the caller sets
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediaspark.functions.timebase import gcd
 from mediaspark.operators.packets import STREAM
@@ -54,20 +56,50 @@ def estimate_frame_rate(
 
     Each standard rate sums the squared distance of every gap from a whole number
     of its frames; the least sum times rate wins if it stays under the threshold.
-    Equal gaps are counted before they meet the rates.
+    Equal gaps are counted before they meet the rates, and a task adds up one vector
+    of sums per stream, so no row stands for a gap and a rate.
     """
-    units = rate_units()
+    units = np.array(rate_units()[1:], dtype=np.float64)
+    keys = list(keys)
     gaps = dts_gaps(df, keys=keys, order=order)
     counts = gaps.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("n"))
-    secs = F.col("gap") * F.lit(num / den)
-    rate = F.explode(F.slice(F.array(*[F.lit(float(u)) for u in units]), 2, len(units) - 1))
-    r = counts.select(*keys, "n", secs.alias("s"), rate.alias("unit"))
-    period = F.lit(1001 * 12.0) / F.col("unit")
-    err = F.col("s") - F.rint(F.col("s") / period) * period
-    per = r.groupBy(*keys, "unit").agg(F.sum(err * err * F.col("n")).alias("e"), F.sum("n").alias("n"))
-    fit = F.col("e") * F.col("unit")
+    heads = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's sums, one vector with a place per rate for each key."""
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).to_pydict()
+            owners = list(zip(*[table[k] for k in keys]))
+            first = {k: i for i, k in enumerate(dict.fromkeys(owners))}
+            owner = np.array([first[k] for k in owners])
+            secs, n = np.array(table["gap"], dtype=np.float64) * (num / den), np.array(table["n"], dtype=np.float64)
+            order_ = np.argsort(owner, kind="stable")
+            for part in np.array_split(order_, max(1, len(order_) // 4096)):
+                period = 1001 * 12.0 / units
+                off = secs[part, None] - np.rint(secs[part, None] / period) * period
+                used, at = np.unique(owner[part], return_index=True)
+                sums = np.add.reduceat(np.column_stack((off * off * n[part, None], n[part])), at, axis=0)
+                names = list(first)
+                for u, row in zip(used, sums, strict=True):
+                    total[names[u]] = total.get(names[u], 0) + row
+        rows = list(total.items())
+        columns = [pa.array([k[i] for k, _ in rows], counted.field(k_).type) for i, k_ in enumerate(keys)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], names=[*keys, "sums"])
+
+    def best_of(table: pa.Table) -> pa.Table:
+        """The rate with the least sum times rate, over the sums of all tasks."""
+        sums = np.stack(table["sums"].to_numpy()).sum(0)
+        fit = sums[:-1] * units
+        at = min(np.flatnonzero(fit == fit.min()), key=lambda i: units[i])
+        head = table.select(keys).slice(0, 1)
+        for name, value in (("unit", units[at]), ("fit", fit[at]), ("n", sums[-1])):
+            head = head.append_column(name, pa.array([float(value)], pa.float64()))
+        return head
+
+    counted = to_arrow_schema(counts.schema)
+    best = counts.mapInArrow(add_up, f"{heads}, sums array<double>").groupBy(*keys).applyInArrow(best_of, f"{heads}, unit double, fit double, n double")
     limit = (2.0 * num / den) ** 2 * 1000 * 12 * 30
-    best = per.groupBy(*keys).agg(F.min_by("unit", F.struct(fit.alias("f"), F.col("unit").alias("u"))).alias("unit"), F.min(fit).alias("fit"), F.max("n").alias("n"))
     out = best.withColumn("r_num", F.when(F.col("fit") < F.lit(limit) * F.col("n"), F.col("unit").cast("bigint")))
     span = df.groupBy(*keys).agg(
         F.count("dts").alias("frames"), F.sum("duration").alias("__d")

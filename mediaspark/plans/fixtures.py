@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaspark.operators.scan import chunk_id, number_rows
+from mediaspark.operators.scan import chunk_id, count_up, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,7 +157,8 @@ def v_cues(spark: SparkSession, d: str) -> DataFrame:
 
 def v_cue_frames(spark: SparkSession, d: str) -> DataFrame:
     last = v_cues(spark, d).groupBy("stream_id").agg(F.max("start").alias("m"))
-    return last.select("stream_id", F.explode(F.expr("sequence(0L, m + 199, 40L)")).alias("t"))
+    frames = count_up(last, ["stream_id"], F.expr("(m + 199) div 40 + 1"), "n")
+    return frames.select("stream_id", (F.col("n") * 40).alias("t"))
 
 
 def v_runs(spark: SparkSession, d: str) -> DataFrame:

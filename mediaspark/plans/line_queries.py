@@ -151,19 +151,25 @@ def timed_frames(spark, d):
     return X.v_frames(spark, d).withColumn("rt_stop", F.col("rt_start") + F.col("nb_fields") * 200003)
 
 
-@query(
-    "field_split",
-    f"""WITH t AS ({V_TIMED}), n AS (SELECT *, coalesce(sum(nb_fields) OVER (PARTITION BY stream_id ORDER BY frame_no
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f0 FROM t)
-      SELECT stream_id, frame_no, CAST(f0 + k AS BIGINT) AS field_no, tff = (k % 2 = 0) AS is_top,
-        CASE WHEN progressive THEN CASE WHEN nb_fields = 3 THEN ['AFTERNEXT_32', 'NEXT_32', 'PREV_32'][k + 1] ELSE ['NEXT_22', 'PREV_22'][k + 1] END END AS hint,
-        CASE WHEN k = nb_fields - 1 THEN rt_stop ELSE rt_start + (k + 1) * (rt_stop - rt_start) // nb_fields END AS end_time
-      FROM n, LATERAL (SELECT unnest(range(nb_fields)) AS k)""",
-)
+ORACLE_OF_FIELDS = f"""WITH t AS ({V_TIMED}), n AS (SELECT *, coalesce(sum(nb_fields) OVER (PARTITION BY stream_id ORDER BY frame_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f0 FROM t)
+  SELECT stream_id, frame_no, CAST(f0 + k AS BIGINT) AS field_no, tff = (k % 2 = 0) AS is_top,
+    CASE WHEN progressive THEN CASE WHEN nb_fields = 3 THEN ['AFTERNEXT_32', 'NEXT_32', 'PREV_32'][k + 1] ELSE ['NEXT_22', 'PREV_22'][k + 1] END END AS hint,
+    CASE WHEN k = nb_fields - 1 THEN rt_stop ELSE rt_start + (k + 1) * (rt_stop - rt_start) // nb_fields END AS end_time
+  FROM n, LATERAL (SELECT unnest(range(nb_fields)) AS k)"""
+
+
+@query("field_split", ORACLE_OF_FIELDS)
 def field_split(spark, d):
     return E.field_split(timed_frames(spark, d))
 
 
+@query("split_fields", ORACLE_OF_FIELDS)
+def split_fields(spark, d):
+    """The same by a table function over chunks of frames in order."""
+    return E.split_fields(timed_frames(spark, d))
+
+
 @query(
     "cadence_flag",
     """WITH l AS (SELECT *, lag(nb_fields) OVER w AS nf, lag(progressive) OVER w AS pf FROM v_frames WINDOW w AS (PARTITION BY stream_id ORDER BY frame_no)),

@@ -58,6 +58,7 @@ PACKETS = {
 }
 DENSE = {
     "split": lambda f, r: E.field_split(f.withColumns({"rt_start": F.col("frame_no") * 900, "rt_stop": F.col("frame_no") * 900 + 700}), rows=r),
+    "split_by_function": lambda f, r: E.split_fields(f.withColumns({"rt_start": F.col("frame_no") * -900, "rt_stop": F.col("frame_no") * 700}), rows=r),
     "cadence": lambda f, r: E.cadence_flag(f, rows=r),
     "times": lambda f, r: E.fill_frame_times(f, avg_time=400, rows=r),
     "smooth": lambda f, r: S.smooth_same_type(f, blur=1.0, half=2, rows=r).withColumn("blurred", F.round("blurred", 9)),

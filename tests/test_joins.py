@@ -87,3 +87,38 @@ def test_diff_golden(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     e = spark.createDataFrame([(1, "x"), (2, "z"), (4, "w"), (3, None)], "k int, v string")
     assert {(r.k, r.status) for r in J.diff_golden(a, e, ["k"], "v").collect()} == {(2, "differs"), (4, "missing")}
+
+
+def test_first_rule_over_many_overlapping_rules(spark):
+    """Against a loop over all rules: open, empty, nested and equal ranges, addresses at every border."""
+    rng = random.Random(12)
+    rules = []
+    for n in range(60):
+        a = rng.randrange(0, 5000)
+        rules.append((n, a, rng.choice([None, a, a + rng.randrange(0, 40), a + rng.randrange(0, 5000), a - 1]), rng.random() < 0.5))
+    rules[40] = (40, 0, None, True)
+    addresses = sorted({b + k for _, f, l, _ in rules for b in (f, l or f) for k in (-1, 0, 1)} | set(range(0, 12000, 37)) | {2**32 - 1})
+    conns = [(i, a) for i, a in enumerate([*addresses, *addresses[:20], None])]
+    acl = spark.createDataFrame(rules, "rule_no bigint, first_addr bigint, last_addr bigint, allow boolean")
+    df = spark.createDataFrame([c for c in conns if c[1] is None or c[1] >= 0], "conn_id bigint, src_addr bigint")
+    first = lambda x: next((ok for _, f, l, ok in rules if x is not None and f <= x and (l is None or x <= l)), not rules[-1][3])
+    for cell in (J.ADDRESSES, 16):
+        got = {r["conn_id"]: r["allowed"] for r in J.acl_check(df, acl, cell=cell).collect()}
+        assert got == {i: first(a) for i, a in conns if a is None or a >= 0}
+
+
+def test_an_open_rule_brings_no_addresses_together(spark):
+    """No exchange deals addresses by a constant: every address has its own key or its stretch of addresses."""
+    acl = spark.createDataFrame([(0, 0, None, True)], "rule_no bigint, first_addr bigint, last_addr bigint, allow boolean")
+    spans = J.least_cover(spark.range(50000).withColumnRenamed("id", "at"), acl, "at", "first_addr", "last_addr", F.struct("rule_no", "allow"))
+    assert spans.where("__least.allow").count() == 50000
+    conns = spark.range(50000).select(F.col("id").alias("conn_id"), F.col("id").alias("src_addr"))
+    both = J.acl_check(conns, acl, cell=1000)
+    assert both.where("allowed").count() == 50000
+
+
+def test_open_spans_are_dealt_out(spark):
+    frames = spark.range(4000).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("t"))
+    spans = spark.createDataFrame([(0, 100, None, "a"), (0, 3990, None, "b"), (0, 50, 60, "c")], "k bigint, a bigint, z bigint, n string")
+    got = {r["n"]: r["count"] for r in J.interval_join(frames, spans, ["k"], "t", "a", "z").groupBy("n").count().collect()}
+    assert got == {"a": 3900, "b": 10, "c": 10}

@@ -134,3 +134,12 @@ def test_an_index_entry_starts_afresh_when_its_position_returns(spark):
     df = spark.createDataFrame([(0, 0, 7, p, s, 10 * s, s == 3, d) for p, d, s in rows], "stream_id int, stream_index int, ts bigint, pos bigint, seq bigint, size bigint, is_key boolean, min_distance int")
     r = build_seek_index(df).collect()
     assert [(x.pos, x.min_distance, x.size, x.is_key) for x in r] == [(100, 1, 40, False)]
+
+
+def test_counting_up_in_blocks(spark):
+    from mediaspark.operators.scan import count_up
+
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 7), (3, 8), (4, 9), (5, None), (6, 1000)], "k bigint, n bigint")
+    for block in (4, 1 << 16):
+        got = sorted((r["k"], r["x"]) for r in count_up(df, ["k"], F.col("n"), "x", block=block).collect())
+        assert got == [(k, x) for k, n in ((1, 1), (2, 7), (3, 8), (4, 9), (6, 1000)) for x in range(n)]
