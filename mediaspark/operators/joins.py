@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaspark.operators.packets import STREAM
-from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, cut_lineage, following, previous, running
+from mediaspark.operators.scan import CHUNK_ROWS, anchored_sum, cut_lineage, following, nearest_two, previous, running
 
 # ------------------------------------------------------------------ helpers
 
@@ -68,6 +68,36 @@ def asof_join(
     return left.join(found, [*keys, left_on], "left")
 
 
+def asof_both(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str, payload: Sequence[str],
+    *, tie: str | None = None, offered: Column | None = None, cell: int | None = None,
+) -> DataFrame:
+    """Add the nearest right row at or before each left row and the nearest at or after it.
+
+    They come as the structs ``at_or_before`` and ``at_or_after`` of the ``payload``, from one ordered pass over
+    both sides.  Right rows that aren't ``offered`` (an expression on them) count only at or before.
+    """
+    keys = list(keys)
+    body = F.struct(*[F.col(c) for c in payload])
+    pick = F.min_by(body, F.col(tie)) if tie else F.min(body)
+    shown = F.lit(True) if offered is None else offered
+    late = F.when(shown, body)
+    entries = right.filter(F.col(right_on).isNotNull()).groupBy(*keys, F.col(right_on).alias("__t")).agg(
+        pick.alias("__e"), (F.min_by(late, F.when(shown, F.col(tie))) if tie else F.min(late)).alias("__n")
+    )
+    points = left.filter(F.col(left_on).isNotNull()).select(*keys, F.col(left_on).alias("__t")).distinct()
+    both = entries.withColumn("__side", F.lit(0)).unionByName(points.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    both = both.withColumn("__o", F.col("__t").cast("bigint") * 2 + F.col("__side"))
+    held = F.when(F.col("__e").isNotNull(), F.struct("__t", "__e", "__n"))
+    found = running(both, keys, "__o", {"__back": ("last", held)}, ahead={"__next": ("first", F.col("__n"))}, rows=cell and 2 * cell)
+    # An entry at the very time of the point lies on both sides of it.
+    here = F.when(F.col("__back.__t") == F.col("__t"), F.col("__back.__n"))
+    found = found.filter(F.col("__side") == 1).select(
+        *keys, F.col("__t").alias(left_on), F.col("__back.__e").alias("at_or_before"), F.coalesce(here, F.col("__next")).alias("at_or_after")
+    )
+    return left.join(found, [*keys, left_on], "left")
+
+
 _LEVEL_BITS = 4
 _LEVELS = 12
 #: Parts that the points an open span may meet are dealt to; an open span has a row in each.
@@ -146,17 +176,12 @@ def seek_window_join(
 ) -> DataFrame:
     """Seek with bounds: outside [min_ts, max_ts] refused; the wider side is searched."""
     valid = requests.filter((F.col("min_ts") <= F.col("ts")) & (F.col("max_ts") >= F.col("ts")))
-    back = seek_join(valid, index, backward=True, keys=keys, cell=cell)
-    both = seek_join(
-        back.withColumnsRenamed({"entry_ts": "__bt", "entry_pos": "__bp"}), index, backward=False, keys=keys, cell=cell
-    )
-    left_wider = F.col("ts") - F.col("min_ts") > F.col("max_ts") - F.col("ts")
-    return (
-        both.withColumn("backward", left_wider)
-        .withColumn("entry_ts", F.when(left_wider, F.col("__bt")).otherwise(F.col("entry_ts")))
-        .withColumn("entry_pos", F.when(left_wider, F.col("__bp")).otherwise(F.col("entry_pos")))
-        .drop("__bt", "__bp")
-    )
+    usable = index.filter("is_key").select(*keys, F.col("ts").alias("entry_ts"), F.col("pos").alias("entry_pos"))
+    both = asof_both(valid, usable, keys, "ts", "entry_ts", ["entry_ts", "entry_pos"], cell=cell)
+    both = both.withColumn("backward", F.col("ts") - F.col("min_ts") > F.col("max_ts") - F.col("ts"))
+    entry = F.when(F.col("backward"), F.col("at_or_before")).otherwise(F.col("at_or_after"))
+    both = both.withColumns({"entry_ts": entry["entry_ts"], "entry_pos": entry["entry_pos"]})
+    return both.drop("at_or_before", "at_or_after")
 
 
 def active_cues(
@@ -327,17 +352,12 @@ def pick_rendition(
     With a ``ceiling``, renditions at or beyond it aren't offered in place of a
     slower target.
     """
-    names = {"bit_rate": "__rate", "rendition": "__id"}
-    steps = ladder.withColumnsRenamed(names)
-    low = asof_join(requests, steps.withColumn("__r", F.col("__rate")), keys, "target", "__r", ["__rate", "__id"], tie="__id", cell=cell)
-    low = low.withColumnsRenamed({"__rate": "__lr", "__id": "__li"})
-    above = (steps if ceiling is None else steps.filter(F.col("__rate") < ceiling)).withColumn("__r", F.col("__rate"))
-    both = asof_join(low, above, keys, "target", "__r", ["__rate", "__id"], direction="forward", tie="__id", cell=cell)
-    return (
-        both.withColumn("rendition", F.coalesce("__li", "__id"))
-        .withColumn("bit_rate", F.coalesce("__lr", "__rate"))
-        .drop("__li", "__id", "__lr", "__rate")
-    )
+    offered = None if ceiling is None else F.col("bit_rate") < ceiling
+    steps = ladder.select(*keys, "bit_rate", "rendition", F.col("bit_rate").alias("__r"))
+    both = asof_both(requests, steps, keys, "target", "__r", ["bit_rate", "rendition"], tie="rendition", offered=offered, cell=cell)
+    chosen = F.coalesce("at_or_before", "at_or_after")
+    both = both.withColumns({"rendition": chosen["rendition"], "bit_rate": chosen["bit_rate"]})
+    return both.drop("at_or_before", "at_or_after")
 
 
 def align_pair(a: DataFrame, b: DataFrame, keys: Sequence[str], pos: str, value: str, *, shift: int = 0, skip: int = 0) -> DataFrame:
@@ -371,25 +391,17 @@ def interpolate_pcr(
     after the last reference the previous step goes on, before the first one the
     first step runs backwards.
     """
-    keys = list(keys)
-    refs = packets.filter(F.col("pcr").isNotNull()).select(*keys, order, "pcr")
-    refs = following(refs, keys, order, {"__np": F.col("pcr"), "__no": F.col(order)}, rows=rows)
-    step = F.call_function("div", F.col("__np") - F.col("pcr"), F.col("__no") - F.col(order))
-    refs = refs.withColumn("__step", step)
-    refs = previous(refs, keys, order, {"__ps": F.col("__step")}, rows=rows)
-    refs = refs.select(
-        *keys, order, F.struct(F.col("pcr").alias("p"), F.col(order).alias("o"), F.coalesce("__step", "__ps").alias("s")).alias("__ref")
-    )
-    refs = refs.withColumn("__k", F.lit(0))
-    first = refs.groupBy(*keys, "__k").agg(F.min_by("__ref", order).alias("__first"))
-    base = packets.join(refs.drop("__k"), [*keys, order], "left")
-    base = running(base, keys, order, {"__back": ("last", F.col("__ref"))}, rows=rows)
-    base = base.withColumn("__k", F.lit(0)).join(first, [*keys, "__k"], "left")
-    out = base.withColumn("__r", F.coalesce("__back", "__first"))
-    out = out.withColumn("clock", F.col("__r")["p"] + F.col("__r")["s"] * (F.col(order) - F.col("__r")["o"]))
-    out = out.withColumn("step", F.col("__r")["s"])
+    out = nearest_two(packets, keys, order, F.col("pcr"), before="__b", after="__a", rows=rows)
+    b, a = (lambda i: F.get("__b", F.lit(i))), (lambda i: F.get("__a", F.lit(i)))
+    # The references that the step is taken from: those around the packet, else the two nearest.
+    low = F.when(F.size("__b") == 0, a(0)).when(F.size("__a") > 0, b(0)).otherwise(b(1))
+    high = F.when(F.size("__b") == 0, a(1)).when(F.size("__a") > 0, a(0)).otherwise(b(0))
+    out = out.withColumns({"__low": low, "__high": high, "__r": F.coalesce(b(0), a(0))})
+    step = F.call_function("div", F.col("__high.v") - F.col("__low.v"), F.col("__high.o") - F.col("__low.o"))
+    out = out.withColumn("step", step)
+    out = out.withColumn("clock", F.col("__r.v") + F.col("step") * (F.col(order) - F.col("__r.o")))
     out = out.withColumn("bit_rate", F.floor(F.try_divide(F.lit(188 * 8 * 27e6), F.col("step"))))
-    return out.drop("__ref", "__back", "__first", "__k", "__r")
+    return out.drop("__b", "__a", "__low", "__high", "__r")
 
 
 def copy_metadata(outputs: DataFrame, inputs: DataFrame, mapping: DataFrame) -> DataFrame:

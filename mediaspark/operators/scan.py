@@ -7,6 +7,7 @@ helpers here cut a stream into chunks of its integer order column
 
 * ``running``   - running sum / count / max / min / last over any prefix: local
   windows inside a chunk, one aggregated row per chunk, and a carry joined back;
+* ``nearest_two`` - the two nearest values on either side of a row, from one pass;
 * ``neighbours`` - windows that look a bounded number of rows back or ahead: the
   rows next to a chunk border are copied into the next chunk before the shuffle;
 * ``number_rows`` - dense row numbers from counts per cell;
@@ -77,6 +78,7 @@ def running(
     include_current: bool = True,
     reverse: bool = False,
     rows: int | None = CHUNK_ROWS,
+    ahead: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Add running aggregates over all earlier rows of a key.
 
@@ -88,34 +90,83 @@ def running(
     ``values`` maps an output name to ``(kind, column)``; kinds are sum, count,
     max, min and last (nearest non-null value at or before the row).  With
     ``reverse`` the prefix runs from the end of the stream, so ``first`` gives the
-    nearest non-null value at or after the row.  ``order`` must be an integer that
-    is unique per key.
+    nearest non-null value at or after the row.  ``ahead`` names values over the rows
+    strictly on the other side, which the same pass gives.  ``order`` must be an
+    integer that is unique per key.
     """
     keys = list(keys)
-    kinds = [k for k, _ in values.values()]
-    base = df.withColumns({f"__v{i}": c for i, (_, c) in enumerate(values.values())})
+    specs = [(n, k, c, reverse, include_current) for n, (k, c) in values.items()]
+    specs += [(n, k, c, not reverse, False) for n, (k, c) in (ahead or {}).items()]
+    base = df.withColumns({f"__v{i}": s[2] for i, s in enumerate(specs)})
     if rows is None:
         ranged = base.repartitionByRange(*[F.col(k) for k in keys], F.col(order))
         base = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
     else:
         base = base.withColumn(_CHUNK, chunk_id(order, rows))
     o, c = F.col(order), F.col(_CHUNK)
-    w = (
-        Window.partitionBy(*keys, _CHUNK)
-        .orderBy(o.desc() if reverse else o.asc())
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    )
-    local = base.withColumns({f"__l{i}": _window_agg(k, F.col(f"__v{i}")).over(w) for i, k in enumerate(kinds)})
-    wc = Window.partitionBy(*keys).orderBy(c.desc() if reverse else c.asc()).rowsBetween(Window.unboundedPreceding, -1)
-    summary = base.groupBy(*keys, _CHUNK).agg(
-        *[_AGGS[k](F.col(f"__v{i}"), o).alias(f"__s{i}") for i, k in enumerate(kinds)]
+
+    def prefix(by: Sequence[str], at: Column, back: bool, last: int) -> Window:
+        w = Window.partitionBy(*by).orderBy(at.desc() if back else at.asc())
+        return w.rowsBetween(Window.unboundedPreceding, last)
+
+    within, between = [*keys, _CHUNK], keys
+    local = base.withColumns(
+        {f"__l{i}": _window_agg(k, F.col(f"__v{i}")).over(prefix(within, o, back, 0 if own else -1)) for i, (_, k, _, back, own) in enumerate(specs)}
     )
-    over_chunks = lambda k, s: (F.sum(s) if k == "count" else _window_agg(k, s)).over(wc)
-    carry = summary.select(*keys, _CHUNK, *[over_chunks(k, F.col(f"__s{i}")).alias(f"__c{i}") for i, k in enumerate(kinds)])
-    out = _join_carry(local, carry, [*keys, _CHUNK])
-    kept = [x for x in df.columns if x not in values]
-    done = [_merge(k, F.col(f"__c{i}"), F.col(f"__l{i}")).alias(n) for i, (n, (k, _)) in enumerate(values.items())]
-    return out.select(*kept, *done)
+    summary = base.groupBy(*within).agg(*[_AGGS[s[1]](F.col(f"__v{i}"), o).alias(f"__s{i}") for i, s in enumerate(specs)])
+    over_chunks = lambda k, v, back: (F.sum(v) if k == "count" else _window_agg(k, v)).over(prefix(between, c, back, -1))
+    carry = summary.select(*within, *[over_chunks(s[1], F.col(f"__s{i}"), s[3]).alias(f"__c{i}") for i, s in enumerate(specs)])
+    out = _join_carry(local, carry, within)
+    names = [s[0] for s in specs]
+    done = [_merge(s[1], F.col(f"__c{i}"), F.col(f"__l{i}")).alias(s[0]) for i, s in enumerate(specs)]
+    return out.select(*[x for x in df.columns if x not in names], *done)
+
+
+def nearest_two(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, *, before: str, after: str, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """The two nearest non-null values on either side of each row, in one pass.
+
+    Adds two arrays of ``(o, v)``, nearest first: ``before`` at or before the row,
+    ``after`` strictly after it.  What chunks hand on is made from the rows that have
+    a value; the others only say that their chunk is there, and are pre-aggregated to
+    one row.  The input is read twice and its rows are shuffled once.
+    """
+    keys = list(keys)
+    o, within = F.col(order), [*keys, _CHUNK]
+    base = df.withColumns({_CHUNK: chunk_id(order, rows), "__e": F.when(value.isNotNull(), F.struct(o.alias("o"), value.alias("v")))})
+
+    def pairs(frame: DataFrame, at: Column, e: str, name: str, back: bool) -> DataFrame:
+        """On a row with a value: it and the one next to it in the chunk."""
+        w = Window.partitionBy(*within).orderBy(at.desc() if back else at.asc()).rowsBetween(Window.unboundedPreceding, -1)
+        both = F.filter(F.array(F.col(e), F.last(e, ignorenulls=True).over(w)), lambda x: x.isNotNull())
+        return frame.withColumn(name, F.when(F.col(e).isNotNull(), both))
+
+    known = base.groupBy(*within, F.col("__e.o").alias("__o")).agg(F.max("__e").alias("__e"))
+    known = pairs(pairs(known, F.col("__o"), "__e", "__b", False), F.col("__o"), "__e", "__a", True)
+    summary = known.groupBy(*within).agg(F.max_by("__b", "__o").alias("__b"), F.min_by("__a", "__o").alias("__a"))
+    # Chunks in turn: the two nearest of all chunks before, or after, may lie in two chunks.
+    for name, back in (("__b", False), ("__a", True)):
+        w = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).desc() if back else F.col(_CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
+        summary = summary.withColumn(f"{name}1", F.last(name, ignorenulls=True).over(w))
+        full = F.when(F.col(name).isNotNull(), _two(F.col(name), F.col(f"{name}1")))
+        summary = summary.withColumn(f"{name}2", full).withColumn(f"{name}2", F.last(f"{name}2", ignorenulls=True).over(w))
+    carry = summary.select(*within, "__b2", "__a2")
+
+    local = pairs(pairs(base, o, "__e", "__b", False), o, "__e", "__a", True)
+    look = lambda back, last: Window.partitionBy(*within).orderBy(o.desc() if back else o.asc()).rowsBetween(Window.unboundedPreceding, last)
+    local = local.withColumn("__b", F.last("__b", ignorenulls=True).over(look(False, 0)))
+    local = local.withColumn("__a", F.last("__a", ignorenulls=True).over(look(True, -1)))
+    out = _join_carry(local, carry, within)
+    kept = [x for x in df.columns if x not in (before, after)]
+    none = F.filter(F.array(F.struct(o.alias("o"), value.alias("v"))), lambda x: F.lit(False))
+    found = lambda near, far: F.coalesce(_two(F.col(near), F.col(far)), none)
+    return out.select(*kept, found("__b", "__b2").alias(before), found("__a", "__a2").alias(after))
+
+
+def _two(near: Column, far: Column) -> Column:
+    """The first two of the near values and then the far ones; null stands for none."""
+    return F.when(near.isNull(), far).when(far.isNull(), near).otherwise(F.slice(F.concat(near, far), 1, 2))
 
 
 def anchored_sum(

@@ -38,15 +38,18 @@ def dts_gaps(df: DataFrame, *, keys: Sequence[str] = STREAM, order: str = "seq")
     The second packet counts from the first.  ``gap_no`` 1 is the second packet;
     gaps that are not positive are left out.
     """
-    # The first two packets per stream: a bounded top-k, kept by aggregation.
-    o = F.struct(F.col(order).alias("o"), F.col("dts").alias("t"))
+    keys = list(keys)
     known = df.filter(F.col("dts").isNotNull())
-    one = known.groupBy(*keys).agg(F.min(o).alias("__p0"))
-    rest = known.join(one, list(keys)).filter(F.col(order) > F.col("__p0")["o"])
-    two = rest.groupBy(*keys, "__p0").agg(F.min(o).alias("__p1"))
-    j = known.join(two, list(keys)).filter(F.col(order) >= F.col("__p1")["o"])
-    base = F.when(F.col(order) == F.col("__p1")["o"], F.col("__p0")["t"]).otherwise(F.col("__p1")["t"])
-    return j.withColumn("gap", F.col("dts") - base).filter("gap > 0").drop("__p0", "__p1")
+    # The first two packets per stream: tasks keep two a stream before the shuffle.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    two = known.select(*keys, order, "dts").withColumn("__i", nth).filter("__i <= 2")
+    start = two.groupBy(*keys).agg(
+        F.max(F.when(F.col("__i") == 1, F.col("dts"))).alias("__t0"), F.max(F.when(F.col("__i") == 2, F.col("dts"))).alias("__t1"),
+        F.max(F.when(F.col("__i") == 2, F.col(order))).alias("__o1"),
+    )
+    j = known.join(start, keys).filter(F.col(order) >= F.col("__o1"))
+    base = F.when(F.col(order) == F.col("__o1"), F.col("__t0")).otherwise(F.col("__t1"))
+    return j.withColumn("gap", F.col("dts") - base).filter("gap > 0").drop("__t0", "__t1", "__o1")
 
 
 def estimate_frame_rate(
@@ -112,16 +115,24 @@ def estimate_frame_rate(
 def delta_gcd(df: DataFrame, *, keys: Sequence[str] = STREAM, order: str = "seq", rows: int = CHUNK_ROWS) -> DataFrame:
     """Greatest common divisor of decode time gaps from the fourth on.
 
-    Folded within chunks first; each chunk hands on one number.
+    A chunk hands on five numbers: how many gaps it has, and their divisor without its
+    first 0 to 3.  Which of these counts follows from the gaps in earlier chunks.
     """
-    gaps = dts_gaps(df, keys=keys, order=order)
-    late = running(gaps, keys, order, {"__n": ("count", F.lit(1))}, rows=rows).filter("__n > 3")
-    zero = F.lit(0).cast("bigint")
-    part = late.groupBy(*keys, chunk_id(order, rows).alias("__c")).agg(
-        # Distinct gaps of one chunk.
-        F.aggregate(F.collect_set("gap"), zero, gcd).alias("__g")
-    )
+    keys = list(keys)
+    gaps = dts_gaps(df, keys=keys, order=order).select(*keys, chunk_id(order, rows).alias("__c"), F.col(order).alias("__o"), "gap")
+
+    def divisors(table: pa.Table) -> pa.Table:
+        gap = table["gap"].to_numpy()[np.argsort(table["__o"].to_numpy(), kind="stable")]
+        head = table.select([*keys, "__c"]).slice(0, 1).append_column("__n", pa.array([len(gap)], pa.int64()))
+        return head.append_column("__g", pa.array([[int(np.gcd.reduce(gap[k:])) for k in range(4)]], pa.list_(pa.int64())))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gaps.schema if f.name in [*keys, "__c"])
+    part = gaps.groupBy(*keys, "__c").applyInArrow(divisors, f"{names}, __n bigint, __g array<bigint>")
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    skip = F.greatest(F.lit(3) - before, F.lit(0)).cast("int")
+    part = part.withColumn("__s", skip).filter(F.col("__n") > F.col("__s")).withColumn("__g", F.get("__g", F.col("__s")))
     # Divisors of the chunks; few distinct ones are left.
+    zero = F.lit(0).cast("bigint")
     return part.groupBy(*keys).agg(F.aggregate(F.collect_set("__g"), zero, gcd).alias("gap_gcd"))
 
 

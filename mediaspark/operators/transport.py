@@ -68,16 +68,48 @@ def ts_continuity(
 
 
 def _units(df: DataFrame, keys: Sequence[str], order: str, rows: int) -> DataFrame:
-    """Number the units: a start opens one, and a break without a start ends it."""
-    cut = F.col("pusi") | F.col("discontinuity")
-    return running(
-        df, keys, order,
-        {
-            "unit": ("count", F.when(cut, 1)), "__head": ("last", F.when(cut, F.col("pusi"))),
-            "__first": ("last", F.when(cut, F.col(order))),
-        },
-        rows=rows,
+    """Breaks and unit numbers in one pass; packets without payload go unless the counter breaks there.
+
+    A start opens a unit, and a break without a start ends it.  Adds ``discontinuity``,
+    ``unit``, ``__head`` (the unit began with a start) and ``__first`` (its first packet).
+    Inside a chunk all but its first packet can tell a break; a chunk hands on its first
+    packet, its last counter and its starts, and its first packet is settled between chunks.
+    """
+    keys = list(keys)
+    within, o = [*keys, "__chunk"], F.col(order)
+    cc_after = lambda cc, last: last.isNotNull() & (cc != (last + 1) % 16)
+    base = df.withColumn("__chunk", chunk_id(order, rows))
+    w = Window.partitionBy(*within).orderBy(order)
+    base = base.withColumns({"__at": F.row_number().over(w), "__last": F.lag("cc").over(w), "__full": F.col("payload").isNotNull()})
+    base = base.withColumn("discontinuity", cc_after(F.col("cc"), F.col("__last")))
+    # A cut: its packet number, and whether a unit starts there.
+    opens = lambda broken: F.when(F.coalesce(broken, F.lit(False)) | (F.col("pusi") & F.col("__full")), F.struct(o.alias("o"), F.col("pusi").alias("head")))
+    base = base.withColumn("__cut", F.when(F.col("__at") > 1, opens(F.col("discontinuity"))))
+    summary = base.groupBy(*within).agg(
+        F.max_by("cc", o).alias("__cc"), F.count("__cut").alias("__n"), F.max_by("__cut", F.col("__cut.o")).alias("__c"),
+        F.min_by(F.struct("cc", F.col("__full"), F.col("pusi"), o.alias("o")), o).alias("__f"),
     )
+    wc = Window.partitionBy(*keys).orderBy("__chunk")
+    earlier = wc.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__lost", F.coalesce(cc_after(F.col("__f.cc"), F.lag("__cc").over(wc)), F.lit(False)))
+    first_cut = F.when(F.col("__lost") | (F.col("__f.pusi") & F.col("__f.__full")), F.struct(F.col("__f.o").alias("o"), F.col("__f.pusi").alias("head")))
+    summary = summary.withColumn("__fc", first_cut)
+    here = F.col("__fc").isNotNull().cast("bigint")
+    summary = summary.withColumns({"__all": F.col("__n") + here, "__c": F.coalesce("__c", "__fc")})
+    carry = summary.select(
+        *within, "__lost", (F.coalesce(F.sum("__all").over(earlier), F.lit(0)) + here).alias("__before"),
+        F.coalesce("__fc", F.last("__c", ignorenulls=True).over(earlier)).alias("__open"),
+    )
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns({"__k": F.count("__cut").over(so_far), "__c": F.last("__cut", ignorenulls=True).over(so_far)})
+    out = local.join(carry, within, "left")
+    out = out.withColumns({
+        "discontinuity": F.when(F.col("__at") == 1, F.col("__lost")).otherwise(F.coalesce("discontinuity", F.lit(False))),
+        "unit": F.col("__before") + F.col("__k"), "__c": F.coalesce("__c", "__open"),
+    })
+    out = out.filter(F.col("__full") | F.col("discontinuity"))
+    kept = [x for x in df.columns if x not in ("discontinuity", "unit")]
+    return out.select(*kept, "discontinuity", "unit", F.col("__c.head").alias("__head"), F.col("__c.o").alias("__first"))
 
 
 def _joined(order: str) -> Column:
@@ -95,8 +127,7 @@ def assemble_sections(
     Sections are cut to their length field and checked by their CRC.
     """
     keys = list(keys)
-    df = ts_continuity(df, keys=keys, order=order, rows=rows)
-    df = _units(df.filter(F.col("payload").isNotNull() | F.col("discontinuity")), keys, order, rows)
+    df = _units(df, keys, order, rows)
     p = F.coalesce(F.col("payload"), F.lit(b""))
     pointer = F.when(F.col("pusi"), byte_at(p, 0)).otherwise(0)
     df = df.withColumn("__ptr", pointer)
@@ -158,14 +189,21 @@ def assemble_pes(
     several parts, so one that never ends stays in rows of bounded size.
     """
     keys = list(keys)
-    df = ts_continuity(df, keys=keys, order=order, rows=rows)
-    df = _units(df.filter(F.col("payload").isNotNull() | F.col("discontinuity")), keys, order, rows)
-    # A break opens a unit of its own; the unit before it has lost its end.
-    lost = df.filter(F.col("discontinuity") & ~F.col("pusi")).select(*keys, (F.col("unit") - 1).alias("unit"))
-    whole = df.filter(F.col("__head") & F.col("payload").isNotNull()).join(lost, [*keys, "unit"], "left_anti")
-    part = F.call_function("div", F.col(order) - F.col("__first"), F.lit(part_span)).alias("part_no")
-    whole = whole.withColumn("b", F.col("payload"))
-    g = whole.groupBy(*keys, "unit", F.col("__first").alias("first_packet"), part).agg(F.unhex(_joined(order)).alias("data"))
+    df = _units(df, keys, order, rows)
+    # A break opens a unit of its own; the unit before it has lost its end, which a row without bytes tells it.
+    part = F.call_function("div", F.col(order) - F.col("__first"), F.lit(part_span))
+    own = F.struct(F.col("unit").alias("u"), part.alias("part_no"), F.col("__first").alias("first"), F.col("payload").alias("b"), F.lit(False).alias("lost"))
+    end = F.struct(
+        (F.col("unit") - 1).alias("u"), F.lit(0).cast("bigint").alias("part_no"), F.lit(None).cast(df.schema[order].dataType).alias("first"),
+        F.lit(None).cast("binary").alias("b"), F.lit(True).alias("lost"),
+    )
+    mine = F.when(F.col("__head") & F.col("payload").isNotNull(), F.array(own))
+    broken = F.when(F.col("discontinuity") & ~F.col("pusi"), F.array(end))
+    rows_of = F.concat(F.coalesce(mine, F.filter(F.array(own), lambda x: F.lit(False))), F.coalesce(broken, F.filter(F.array(end), lambda x: F.lit(False))))
+    told = df.select(*keys, order, F.explode(rows_of).alias("e")).select(*keys, order, F.col("e.u").alias("unit"), "e.part_no", "e.first", "e.b", "e.lost")
+    g = told.groupBy(*keys, "unit", "part_no").agg(F.min("first").alias("first_packet"), F.max("lost").alias("__lost"), F.unhex(_joined(order)).alias("data"))
+    of_unit = Window.partitionBy(*keys, "unit")
+    g = g.withColumn("__lost", F.max("__lost").over(of_unit)).filter(~F.col("__lost")).drop("__lost")
     # Parts per unit, not packets, meet in this window.
     w = Window.partitionBy(*keys, "unit").orderBy("part_no")
     size = F.first(bytes_at(F.col("data"), 4, 2)).over(w)
