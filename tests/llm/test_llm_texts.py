@@ -148,6 +148,29 @@ def test_contamination_matches_plain_python(spark):
     assert decontam.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_a_large_test_set_is_scanned_block_by_block(spark, monkeypatch):
+    """Several blocks give the spans, items and cut texts of one, and no block is held beside another."""
+    rng = random.Random(17)
+    word = lambda: rng.choice("ab bc cd de ef fg gh hi ij jk".split())
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([12, 14, 30, 11, 3, 25, 40, 10])]
+    items += [(90, items[2][1]), (None, items[3][1]), (91, ""), (92, None), (2, items[2][1])]
+    docs = [(i, " , ".join(rng.choices([t for _, t in items if t], k=3)) if i % 3 else " ".join(word() for _ in range(40)), "x") for i in range(24)]
+    docs += [(30, None, "x"), (31, "", None), (5, docs[5][1], "x"), (32, "zz " * 3000 + items[6][1], "x")]
+    df = spark.createDataFrame(docs, "doc_id int, text string, n_words string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    shape = lambda d: sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]], r["contaminated"]) for r in d.collect())
+    one = decontam.find_contamination(df, bench)
+    held = []
+    share = decontam._share
+    monkeypatch.setattr(decontam, "_share", lambda block: held.append(sum(len(r["words"]) for r in block.collect())) or share(block))
+    many = decontam.find_contamination(df, bench, block_bytes=150)
+    assert many.columns == one.columns and shape(many) == shape(one)
+    assert len(held) > 3 and sum(held) == sum(len(t or "") for _, t in items) and max(held) < sum(held) / 2
+    cut = lambda **o: sorted((r["doc_id"], r["text"] or "") for r in decontam.decontaminate(df, bench, remove="spans", **o).collect())
+    assert cut(block_bytes=150) == cut()
+    assert decontam.find_contamination(df.limit(0), bench, block_bytes=150).count() == 0
+
+
 def test_spans_are_cut_out_of_the_text(spark):
     item = " ".join(f"w{i}" for i in range(12))
     df = spark.createDataFrame([(1, f"Before, ({item.upper()}) after.", "en", "s"), (2, None, "en", "s")], SCHEMA)
