@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose lengths a worker keeps; beyond it the memory starts afresh.
+#: Distinct pieces, and bytes of them, whose lengths a worker keeps; beyond either the memory starts afresh.
 KEPT = 300_000
-#: Bytes that go to the tokenizer in one call.
+KEPT_BYTES = 32 << 20
+#: Bytes of texts whose new pieces are learnt together, and of pieces that go to the tokenizer in one call.
 CALL_BYTES = 1 << 20
 #: Between two letters a blank always opens the next piece of a byte-level tokenizer.
 LETTER_BLANK = re.compile(r"(?<=[a-z]) (?=[a-z])")
@@ -24,6 +25,7 @@ class _Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lengths: dict[bytes, int] = {}
+        self.held = 0
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -51,8 +53,6 @@ class _Counter:
         return [text[i:j].encode() for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.lengths) + len(pieces) > KEPT:
-            self.lengths.clear()
         batch, held = [], 0
         for n, piece in enumerate(pieces, 1):
             batch.append(piece)
@@ -61,17 +61,26 @@ class _Counter:
                 self.lengths.update(zip(batch, self.encode([x.decode() for x in batch]), strict=True))
                 batch, held = [], 0
 
+    def _lengths(self, group: list[list[bytes]]) -> list[int]:
+        known = self.lengths
+        new = {x for pieces in group for x in pieces if x not in known}
+        if len(known) + len(new) > KEPT or self.held + sum(map(len, new)) > KEPT_BYTES:
+            known.clear()
+            self.held, new = 0, {x for pieces in group for x in pieces}
+        self._learn(list(new))
+        self.held += sum(map(len, new))
+        return [sum(map(known.__getitem__, pieces)) for pieces in group]
+
     def count(self, texts: list[str]) -> list[int]:
-        out = []
+        """Lengths of the texts; their new pieces are learnt in groups of texts of about ``CALL_BYTES``."""
+        out, group, held = [], [], 0
         for text in texts:
-            pieces = self.pieces(text)
-            known = self.lengths
-            if new := {x for x in pieces if x not in known}:
-                if len(known) + len(new) > KEPT:
-                    new = set(pieces)
-                self._learn(list(new))
-            out.append(sum(map(known.__getitem__, pieces)))
-        return out
+            group.append(self.pieces(text))
+            held += sum(map(len, group[-1]))
+            if held >= CALL_BYTES:
+                out += self._lengths(group)
+                group, held = [], 0
+        return out + self._lengths(group)
 
 
 @lru_cache(maxsize=4)
@@ -94,7 +103,8 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, text: str = "
 
     ``path`` names a ``.json`` vocabulary of tokenizers or a ``.model`` of sentencepiece; no begin, end or
     added special tokens, no truncation or padding.  Texts are cut where no token can span the cut, equal
-    pieces are encoded once, and calls are filled by bytes, so a very long text costs what its words cost.
+    pieces are encoded once, and calls are filled by bytes over the texts of a batch, so short texts share a
+    call and a very long text costs what its words cost.
     One pass without a shuffle.  A null or empty text has 0 bytes and 0 tokens; repeated rows are counted
     alike; an empty table stays empty.  Other columns are kept; columns of the three new names are replaced.
     """

@@ -171,6 +171,28 @@ def test_a_large_test_set_is_scanned_block_by_block(spark, monkeypatch):
     assert decontam.find_contamination(df.limit(0), bench, block_bytes=150).count() == 0
 
 
+def test_tokenizer_calls_are_filled_by_bytes(monkeypatch):
+    """Short texts share a call, no call is larger than its bytes and one piece, and forgetting changes no count."""
+    import public_tokenizers as P
+
+    name = "word_bpe_49k.json"
+    rng = random.Random(3)
+    lot = ["".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = ["", *(" ".join(rng.choices(lot, k=rng.randint(0, 60))) for _ in range(400)), " ".join(lot), "", lot[0]]
+    want = tokencount._Counter(P.path(name)).count(texts)
+    monkeypatch.setattr(tokencount, "CALL_BYTES", 4096)
+    for kept, kept_bytes in ((300_000, 32 << 20), (50, 32 << 20), (300_000, 500)):
+        monkeypatch.setattr(tokencount, "KEPT", kept)
+        monkeypatch.setattr(tokencount, "KEPT_BYTES", kept_bytes)
+        counter, calls = tokencount._Counter(P.path(name)), []
+        encode = counter.encode
+        counter.encode = lambda batch: calls.append(sum(len(x.encode()) for x in batch)) or encode(batch)
+        assert counter.count(texts) == want
+        assert max(calls) < 4096 + 10
+        if kept_bytes > 500 and kept > 50:
+            assert len(calls) < len(texts) / 4
+
+
 def test_spans_are_cut_out_of_the_text(spark):
     item = " ".join(f"w{i}" for i in range(12))
     df = spark.createDataFrame([(1, f"Before, ({item.upper()}) after.", "en", "s"), (2, None, "en", "s")], SCHEMA)
