@@ -78,6 +78,8 @@ class _Windows:
             found = self._hash(ids, n)
             low = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
             here = np.flatnonzero(hashes[low] == found)
+            if not len(here):
+                continue
             high = np.searchsorted(hashes, found[here], side="right")
             # One pair for each window of the text and each entry that has its hash.
             many = high - low[here]
