@@ -157,20 +157,20 @@ def test_bit_parallel_distance_matches_the_table(spark):
         assert got == sorted(p for p in pairs if edits_between(*p) <= edits)
 
 
-def deduped(rows, least=32, edits=2):
+def deduped(rows, least=32, edits=2, equal=20):
     """What stays of each text, by all pairs of lines."""
     lines = {}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n") if t is not None else []):
-            if len(x) >= least:
+            if len(x) >= equal:
                 lines[x] = min(lines.get(x, (i, n)), (i, n))
     names = sorted(lines)
-    links = [(a, b) for n, a in enumerate(names) for b in names[n + 1 :] if abs(len(a) - len(b)) <= edits and edits_between(a, b) <= edits]
+    links = [(a, b) for n, a in enumerate(names) for b in names[n + 1 :] if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and edits_between(a, b) <= edits]
     comp = roots(names, links)
     first = {}
     for x in names:
         first[comp[x]] = min(first.get(comp[x], lines[x]), lines[x])
-    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < least or first[comp[x]] == (i, n)) for i, t in rows}
+    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < equal or first[comp[x]] == (i, n)) for i, t in rows}
 
 
 def near_lines(rng):
@@ -208,6 +208,40 @@ def test_line_dedup_matches_all_pairs(spark, monkeypatch, block):
         assert r["n_lines"] == (0 if text is None else len(text.split("\n")))
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_line_dedup_splits_hot_keys(spark, monkeypatch, edits):
+    monkeypatch.setattr(linededup, "HOT", 2)
+    monkeypatch.setattr(linededup, "BLOCK", 3)
+    rows = [(7 * i, t) for i, t in enumerate(near_lines(random.Random(33)))]
+    # Lines that share all but their end, their beginning or their middle.
+    same, rng = "the same words on each page of it ", random.Random(34)
+    for i in range(60):
+        field = "".join(rng.choice("0123") for _ in range(6))
+        rows.append((10_000 + i, [same + field, field + same, same[:17] + field + same[17:]][i % 3]))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA), edits=edits).collect()}
+    assert got == deduped(rows, edits=edits)
+
+
+@pytest.mark.parametrize("more", [1, 3])
+def test_finer_keys_meet_whatever_is_near(spark, more):
+    rng, pairs = random.Random(more), set()
+    while len(pairs) < 300:
+        a = [rng.choice("ab") for _ in range(rng.randint(32, 40))]
+        b = list(a)
+        for _ in range(2):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        pairs.add(("".join(a), "".join(b)))
+    pairs = sorted(p for p in pairs if edits_between(*p) <= 2)
+    df = spark.createDataFrame([(n, x) for n, p in enumerate(pairs) for x in sorted(p, key=len)], "n int, line string")
+    rows = df.select("n", "line", F.char_length("line").alias("len"), F.encode("line", "UTF-32").alias("units"))
+    keys = {}
+    for r in rows.select("n", "line", linededup._finer_keys(2, more).alias("k")).collect():
+        keys.setdefault(r["n"], []).append(({k["key"] for k in r["k"]}, {k["key"] for k in r["k"] if k["indexed"]}))
+    for n, ((short, indexed), (long, _)) in keys.items():
+        assert indexed & long, pairs[n]
+
+
 def test_line_dedup_of_odd_rows(spark):
     say, long = "x" * 20 + "y" * 20, ("word " * 30000).strip()
     rows = [(None, say, None, None), (1, say, None, None), (1, say, None, None), (2, "a\n" + say + "z\n\nb", None, None), (3, long, None, None), (4, long + "!", None, None)]
