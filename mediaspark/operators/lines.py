@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaspark.operators.fold import Fold, fold_stream
@@ -487,12 +487,65 @@ def scale(df: DataFrame, width: int, height: int, new_width: int, new_height: in
     target = F.get(F.array(*[F.array(*[pair("t", "w", t, w) for t, w in u]) for u in uses]), F.col("line_no").cast("int"))
     sent = df.select(*keys, wide.alias("__v"), F.explode(target).alias("__t"))
     sent = sent.select(*keys, F.col("__t.t").cast("bigint").alias("line_no"), F.transform("__v", lambda v: v * F.col("__t.w")).alias("__v"))
-    # A target line meets a bounded number of source lines.
+    return _mixed_lines(sent, new_width, keys)
+
+
+def _mixed_lines(sent: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
+    """Sum the weighted lines ``__v`` that a target line gets; their number is bounded."""
     g = sent.groupBy(*keys, "line_no").agg(F.collect_list("__v").alias("__vs"))
-    total = F.aggregate("__vs", F.array_repeat(zero, new_width), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    total = F.aggregate("__vs", F.array_repeat(F.lit(0).cast("bigint"), width), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
     return g.select(*keys, "line_no", F.transform(total, lambda v: _clip(F.shiftright(v + (1 << 27), 28))).alias("px"))
 
 
+def kernel_weights(
+    spark: SparkSession, source: int, target: int, kernel: Callable[[Column], Column], reach: float, *, bits: int = 14
+) -> DataFrame:
+    """``(t, i, w)``: the weight of each source position in each target position, along one axis.
+
+    ``kernel`` gives the weight at a distance from 0 to ``reach``, counted in source positions, or in target
+    positions when the axis shrinks.  Positions outside count for the nearest one inside.  Weights are fixed
+    point from the start, so that sums don't depend on their order, and add up to ``2**bits`` per target; what
+    rounding leaves goes to the heaviest, the first one of a tie.  A kernel whose weights around a target add up
+    to 0 or less is refused.
+    """
+    ratio = source / target
+    wide = max(ratio, 1.0)
+    centre = (F.col("t") + 0.5) * ratio - 0.5
+    positions = F.sequence(F.floor(centre - reach * wide), F.ceil(centre + reach * wide))
+    taps = spark.range(target).withColumnRenamed("id", "t").select("t", F.explode(positions).alias("p"))
+    taps = taps.withColumn("d", F.abs(F.col("p") - centre) / wide).where(F.col("d") < reach)
+    inside = F.greatest(F.lit(0), F.least(F.lit(source - 1), F.col("p"))).cast("int")
+    taps = taps.groupBy("t", inside.alias("i")).agg(F.sum(F.round(kernel(F.col("d")) * (1 << 20)).cast("bigint")).alias("k"))
+    of_target = Window.partitionBy("t")
+    total = F.sum("k").over(of_target)
+    refused = F.raise_error(F.lit("the kernel's weights must add up to more than 0")).cast("bigint")
+    taps = taps.withColumn("total", F.when(total > 0, total).otherwise(refused))
+    twice = F.col("k") * (2 << bits) + F.col("total")
+    taps = taps.withColumn("f", F.call_function("div", twice - F.pmod(twice, F.col("total") * 2), F.col("total") * 2))
+    first = F.row_number().over(of_target.orderBy(F.desc("f"), "i")) == 1
+    left = F.when(first, F.lit(1 << bits) - F.sum("f").over(of_target)).otherwise(0)
+    return taps.select("t", "i", (F.col("f") + left).alias("w"))
+
+
+def scale_by_kernel(
+    df: DataFrame, width: int, height: int, new_width: int, new_height: int, kernel: Callable[[Column], Column], reach: float,
+    *, keys: Sequence[str] = PICTURE,
+) -> DataFrame:
+    """Scaling of planes of one size by the caller's ``kernel`` (see ``kernel_weights``).
+
+    The weights of a line are one array, as large as a line has taps; those of the rows are joined by line number.
+    """
+    spark = df.sparkSession
+    taps = kernel_weights(spark, width, new_width, kernel, reach).groupBy("t").agg(F.collect_list(F.struct("i", "w")).alias("c"))
+    table = taps.agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "c"))), lambda z: z["c"]).alias("c")).scalar()
+    zero = F.lit(0).cast("bigint")
+    wide = F.transform("__table", lambda c: F.aggregate(c, zero, lambda s, t: s + F.get("px", t["i"]) * t["w"]))
+    lines = df.withColumn("__table", table).select(*keys, "line_no", wide.alias("__v"))
+    down = kernel_weights(spark, height, new_height, kernel, reach).select("t", F.col("i").cast("bigint").alias("line_no"), "w")
+    sent = lines.join(down, "line_no").select(*keys, F.col("t").alias("line_no"), F.transform("__v", lambda v: v * F.col("w")).alias("__v"))
+    return _mixed_lines(sent, new_width, keys)
+
+
 def denoise_fold(limits: tuple[int, int, int]) -> Fold:
     """Blend pictures with their running average, block by block (see ``temporal_denoise``)."""
 

@@ -178,6 +178,35 @@ def scale(spark, d):
     return out.select("stream_id", "frame_no", "plane", "line_no", F.posexplode("px").alias("x", "p"))
 
 
+def _kernel_sql(source: int, target: int) -> str:
+    """Weights of the cubic kernel along one axis."""
+    ratio, wide = f"(CAST({source} AS DOUBLE) / {target})", max(source / target, 1.0)
+    return f"""(WITH c AS (SELECT t, (t + 0.5::DOUBLE) * {ratio} - 0.5::DOUBLE AS c FROM range({target}) r(t)),
+        p AS (SELECT t, c, unnest(range(CAST(floor(c - {2 * wide}::DOUBLE) AS BIGINT), CAST(ceil(c + {2 * wide}::DOUBLE) AS BIGINT) + 1)) AS p FROM c),
+        d AS (SELECT t, greatest(0, least({source - 1}, p)) AS i, abs(p - c) / {wide}::DOUBLE AS d FROM p),
+        k AS (SELECT t, i, CAST(sum(CAST(round(1048576 * CASE WHEN d <= 1 THEN (1.5::DOUBLE * d - 2.5::DOUBLE) * d * d + 1
+            ELSE ((2.5::DOUBLE - 0.5::DOUBLE * d) * d - 4) * d + 2 END) AS BIGINT)) AS BIGINT) AS k FROM d WHERE d < 2 GROUP BY t, i),
+        a AS (SELECT *, CAST(sum(k) OVER (PARTITION BY t) AS BIGINT) AS a FROM k),
+        f AS (SELECT t, i, CAST(floor((k * 32768 + a) / (2.0::DOUBLE * a)) AS BIGINT) AS f FROM a)
+        SELECT t, i, f + CASE WHEN row_number() OVER (PARTITION BY t ORDER BY f DESC, i) = 1 THEN 16384 - sum(f) OVER (PARTITION BY t) ELSE 0 END AS w FROM f)"""
+
+
+def _cubic(d):
+    """Through the points, with the slopes of the neighbours' chords; reaches 2."""
+    return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).otherwise(((2.5 - 0.5 * d) * d - 4) * d + 2)
+
+
+@query(
+    "scale_by_kernel",
+    f"""SELECT stream_id, frame_no, plane, CAST(b.t AS BIGINT) AS line_no, CAST(a.t AS INTEGER) AS x,
+          CAST(greatest(0, least(255, CAST(sum(p * a.w * b.w) + 134217728 AS BIGINT) >> 28)) AS INTEGER) AS p
+        FROM v_px JOIN {_kernel_sql(64, 40)} a ON a.i = x JOIN {_kernel_sql(10, 15)} b ON b.i = line_no GROUP BY ALL""",
+)
+def scale_by_kernel(spark, d):
+    out = L.scale_by_kernel(X.v_lines(spark, d), 64, 10, 40, 15, _cubic, 2)
+    return out.select("stream_id", "frame_no", "plane", "line_no", F.posexplode("px").alias("x", "p"))
+
+
 @query(
     "scaled_size",
     """SELECT event_id, CAST((w * 480 + h // 2) // h AS INTEGER) AS w, 480 AS h FROM (SELECT event_id, event_id % 1900 + 20 AS w, event_id % 1000 + 20 AS h FROM events)""",

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mediaspark.operators import fields as E
 from mediaspark.operators import lines as L
@@ -131,6 +132,53 @@ def test_constant_picture_is_left_alone(spark):
     assert all(r.px == [77] * 10 for r in L.shrink(df, 2).collect())
 
 
+def python_weights(source, target, kernel, reach):
+    wide = max(source / target, 1.0)
+    out = np.zeros((target, source))
+    for t in range(target):
+        centre = (t + 0.5) * source / target - 0.5
+        for p in range(-8 * source, 9 * source):
+            if abs(p - centre) / wide < reach:
+                out[t, min(max(p, 0), source - 1)] += kernel(abs(p - centre) / wide)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def cubic(d):
+    return (1.5 * d - 2.5) * d * d + 1 if d <= 1 else ((2.5 - 0.5 * d) * d - 4) * d + 2
+
+
+KERNELS = [
+    (lambda d: 1 - d, lambda d: 1 - d, 1),
+    (lambda d: F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).otherwise(((2.5 - 0.5 * d) * d - 4) * d + 2), cubic, 2),
+    (lambda d: F.exp(-2 * d * d), lambda d: np.exp(-2 * d * d), 3),
+]
+
+
+@pytest.mark.parametrize("kernel", range(len(KERNELS)))
+@pytest.mark.parametrize("width,height", [(24, 16), (37, 9), (5, 30)])
+def test_scale_by_kernel_matches_matrices(spark, kernel, width, height):
+    column, plain, reach = KERNELS[kernel]
+    a, df = pictures(spark, n=2)
+    got = L.scale_by_kernel(df, 24, 16, width, height, column, reach)
+    want = np.clip(np.einsum("ty,fyx,sx->fts", python_weights(16, height, plain, reach), a, python_weights(24, width, plain, reach)), 0, 255)
+    got = grid(got, np.zeros((2, height, width)))
+    assert np.abs(got - want).max() < 0.6
+    if (width, height) == (24, 16) and kernel < 2:
+        assert (got == a).all()
+
+
+def test_kernel_weights_add_up(spark):
+    for column, _, reach in KERNELS:
+        for source, target in ((64, 40), (1, 7), (7, 1)):
+            sums = {}
+            for r in L.kernel_weights(spark, source, target, column, reach).collect():
+                assert 0 <= r.i < source
+                sums[r.t] = sums.get(r.t, 0) + r.w
+            assert sums == {t: 1 << 14 for t in range(target)}
+    with pytest.raises(Exception, match="more than 0"):
+        L.kernel_weights(spark, 4, 4, lambda d: d * 0, 1).collect()
+
+
 def test_crop_refuses_rectangles_outside(spark):
     _, df = pictures(spark, n=1)
     with pytest.raises(ValueError):
