@@ -118,7 +118,8 @@ def score_quality(docs: DataFrame, training: DataFrame, labels: DataFrame, *, te
 
     Null and empty texts have one n-gram, that of their length, and get a score too; without labels of both
     classes every score is 0.5.  A document labelled twice counts once, by its higher label; repeated rows are
-    scored alike; an empty table stays empty.  Columns named score and predicted are replaced, others kept.
+    scored alike; very long texts are scored whole.  A score of exactly 0.5 is predicted 1.  An empty table stays
+    empty.  Columns named score and predicted are replaced, others kept.
     """
     spark = docs.sparkSession
     model, ratio = train(training, labels, text=text, **options)

@@ -214,10 +214,10 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 75, text:
     by 64-bit hashes.
 
     Equal sets are one node from the start.  Nodes can only link if they share one of their smallest hashes
-    (a prefix filter): a set of fewer than 4 * KEYS shingles has all hashes its prefix needs among the KEYS kept, and for
-    larger sets a link whose KEYS smallest hashes all differ has odds under 0.25 ** KEYS, less than that of two
-    hashes colliding.  Keys that more than COMMON nodes have go last in the order, so that a passage in many
-    texts brings no candidates for texts with PLENTY keys of their own.
+    (a prefix filter), of which KEYS are kept.  Keys that more than COMMON nodes have are left out for nodes with
+    PLENTY other keys, so that a passage in many texts brings no candidates for texts with keys of their own.  A set
+    of fewer than 4 * PLENTY shingles so has all hashes that its prefix needs; for larger sets a link none of whose
+    PLENTY to KEYS hashes is shared goes unseen, with odds under 0.25 ** PLENTY where hashes are independent.
     Then (1) every node is compared with the first node of each of its keys, a number of pairs that grows with
     the rows; (2) keys whose nodes are still in different components are cut into tiles of two adjacent size
     bands and blocks of BLOCK nodes, where bit counts of bitmap signatures bound the overlap from above; (3)
@@ -226,7 +226,8 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, percent: int = 75, text:
 
     Null and empty texts have 0 shingles and their own id as component.  Rows that share a doc_id are one node
     per different set, under that id; a null doc_id takes the smallest id of its equal sets and links, or null.
-    Repeated rows link to each other.  An empty table gives an empty result; other columns are ignored.
+    Repeated rows link to each other.  Very long texts give all their shingles.  Ties don't matter, as every
+    decision is by a smallest id or an exact count.  An empty table gives an empty result; other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marks = written(plain.select("doc_id", _marks(size)("text").alias("m")).select("doc_id", "m.*"), "marks")

@@ -235,8 +235,9 @@ def reject_outliers(
     rounding.  Counts and estimates cover all rows.
 
     Null and empty texts have counts of 0 and fail the base rules, as all texts under 20 words do.  Null group
-    values form groups of their own.  Repeated rows count as often as they occur.  An empty table gives an
-    empty result.  Result columns replace columns of their names, the others are kept.
+    values form groups of their own.  Repeated rows count as often as they occur.  Very long texts are counted
+    whole.  Of starts that come to the same determinant the one with the smallest number is taken; rows at the cut
+    itself are kept.  ``steps``, if given, is 1 or more.  An empty table gives an empty result.  Result columns replace columns of their names, the others are kept.
     """
     k = len(STATISTICS)
     floors = [f for _, f in STATISTICS.values()]
