@@ -260,6 +260,43 @@ def test_languages_of_odd_texts(spark, docs):
     assert hdlang.identify(df.limit(0), docs).count() == 0
 
 
+def naive_bundle(text):
+    """The sum of a text's trigram vectors, one by one, and their number."""
+    import numpy as np
+
+    vector = lambda c: np.random.Generator(np.random.Philox(key=c)).integers(0, 2, hdlang.DIMENSIONS, dtype=np.int8) * 2 - 1
+    points = [0]
+    for c in text.lower():
+        if c.isalpha() or points[-1]:
+            points.append(ord(c) if c.isalpha() else 0)
+    points += [0] if points[-1] else []
+    total, n = np.zeros(hdlang.DIMENSIONS), max(0, len(points) - 2)
+    for i in range(n):
+        first, second, third = (vector(c).tolist() for c in points[i : i + 3])
+        for d in range(hdlang.DIMENSIONS):
+            total[d] += first[d - 2] * second[d - 1] * third[d]
+    return total, n
+
+
+def test_languages_match_a_double_loop(spark):
+    import numpy as np
+
+    say = {"en": ["The cat sat on the mat.", "a dog, and 3 birds"], "de": ["Der Hund läuft über die Straße", "und das Kätzchen"], "fr": ["l'été où çà et là"]}
+    taught = [(i, t, lang, None) for i, (lang, t) in enumerate((lang, t) for lang, ts in say.items() for t in ts)]
+    taught += [(90, None, "en", None), (91, "no language", None, None), (92, "123", "de", None)]
+    asked = ["the hat and the mat", "Straße und Hund", "été là", "x", "ΑΣ ΑΣ.", "--", "the the the the"]
+    prototypes = {lang: sum(v / n for v, n in map(naive_bundle, ts)) for lang, ts in say.items()}
+    found = hdlang.identify(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(asked)], SCHEMA), spark.createDataFrame(taught, SCHEMA))
+    for r in found.collect():
+        mine, n = naive_bundle(asked[r["doc_id"]])
+        if not n:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: float(mine @ p / np.linalg.norm(mine) / np.linalg.norm(p)) for k, p in prototypes.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0.0, cosine[best])) < 1e-5
+
+
 def test_pieces_of_a_long_text_add_up(monkeypatch):
     import numpy as np
 
@@ -282,6 +319,37 @@ def test_quality_on_held_out_documents(spark):
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)
 
 
+def test_quality_model_matches_a_plain_solver():
+    """Ratios by counting; the hinge loss's optimum by projected gradient over all rows at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 12, 5)) * 7 + 3 for _ in range(30)]
+    labels = np.array([int(len(x) + rng.integers(0, 3) > 5) for x in rows])
+    labels[:2] = 0, 1
+    model, ratio = nbsvm.fit_shard(rows, labels, rounds=3000)
+
+    count = lambda g, y: 1 + sum(int(g in x.tolist()) for x, z in zip(rows, labels) if z == y)
+    total = {y: nbsvm.BUCKETS + sum(len(x) for x, z in zip(rows, labels) if z == y) for y in (0, 1)}
+    want = {g: math.log(count(g, 1) / total[1]) - math.log(count(g, 0) / total[0]) for g in range(3, 90, 7)}
+    assert all(abs(ratio[g] - w) < 1e-9 for g, w in want.items())
+
+    dense = np.zeros((len(rows), 90))
+    for i, x in enumerate(rows):
+        dense[i, x] = [want[g] for g in x.tolist()]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    sign = np.where(labels == 1, 1.0, -1.0)
+    bound = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
+    gram = (dense @ dense.T + 1) * np.outer(sign, sign)
+    alpha, step = np.zeros(len(rows)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, bound)
+    margins = sign * (gram @ alpha)
+    size = [np.linalg.norm(ratio[x]) for x in rows]
+    mine = np.array([model[x].sum() / s + model[-1] for x, s in zip(rows, size)])
+    assert np.abs(mine - margins).max() < 1e-3
+
+
 def test_quality_of_odd_texts_and_without_labels(spark, docs):
     rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "a " * 50000, "en", "s"), (3, "a " * 50000, "en", "s")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("y", F.lit(1)).withColumn("score", F.lit("old"))
