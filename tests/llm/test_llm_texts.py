@@ -96,6 +96,48 @@ def test_junk_of_middling_strength_is_rejected(spark):
     assert all(out[i] for i, *_ in clean)
 
 
+def test_the_cut_matches_estimates_by_full_sorting(spark):
+    """500 texts of one group, a tenth of them odd: the estimate of many starts whose steps sort all distances."""
+    import numpy as np
+
+    rng = random.Random(41)
+    rows = []
+    for i in range(500):
+        odd = i % 10 == 0
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 30 if odd else 8))) for _ in range(rng.randint(30, 300))]
+        words = [w.upper() + "#$" if odd and rng.random() < 0.5 else w.title() if rng.random() < 0.1 else w for w in words]
+        rows.append((i, "\n".join(" ".join(words[k : k + 12]) for k in range(0, len(words), 12)), "en", "web"))
+    found = outliers.reject_outliers(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in found)
+
+    names = dict(vars(math))
+    x = np.array([[eval(e, {**names, "ln": math.log}, r.asDict()) for e, _ in outliers.STATISTICS.values()] for r in found])
+    floor = np.diag([f**2 for _, f in outliers.STATISTICS.values()])
+    held, k, best = int(0.75 * len(x)), x.shape[1], None
+    draw = np.random.default_rng(5)
+    for start in range(40):
+        some = x[draw.choice(len(x), k + 1, replace=False)] if start else x
+        before = math.inf
+        while True:
+            centre, cov = some.mean(axis=0), np.cov(some.T, bias=True) + floor
+            distance = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+            some = x[np.argsort(distance)[:held]]
+            det = np.linalg.slogdet(np.cov(some.T, bias=True) + floor)[1]
+            if det > before - 1e-9:
+                break
+            before = det
+        if best is None or before < best[0]:
+            centre, cov = some.mean(axis=0), np.cov(some.T, bias=True) + floor
+            best = before, np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+    mine = np.array([r["distance"] for r in found])
+    # The last bin of distances counts in part, so the estimates differ by little.
+    assert np.abs(np.log(mine / best[1])).max() < 0.25
+    kept = np.array([r["kept"] for r in found])
+    assert not kept[::10].any() and kept.sum() >= 440
+    cut = mine[kept].max()
+    assert ((best[1] <= cut) == kept)[np.abs(np.log(best[1] / cut)) > 0.25].all()
+
+
 def test_small_groups_and_clashing_columns(spark):
     rows = [(1, "word " * 5, None, None, 7), (2, None, "en", "x", 8), (2, None, "en", "x", 8), (3, " ".join(f"w{i}" for i in range(50)), "en", None, 9)]
     df = spark.createDataFrame(rows, SCHEMA + ", n_words int").withColumn("row", F.lit(1)).withColumn("x", F.lit(2)).withColumn("g1", F.lit(3))
