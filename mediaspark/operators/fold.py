@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,13 +35,50 @@ FOLD_ROWS = 1 << 17
 Fold = Callable[[list | None, dict[str, list]], tuple[list, dict[str, list]]]
 
 
+def _folded(
+    batches: Iterable[pa.RecordBatch], group: Sequence[str], inputs: Sequence[str], fold: Fold, rows: int
+) -> Iterator[tuple[pa.RecordBatch | None, dict[str, list], list[tuple]]]:
+    """Fold groups whose rows come together and in order: each batch, its outputs, and the groups that ended ahead of its end.
+
+    A batch may hold many groups and a group may take many batches; the state goes from one batch to the next.  A
+    group that ended is its key, the start it used and its end as JSON.  The last ones come without a batch.
+    """
+    key = used = state = None
+    ended: list[tuple] = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            # NaN as a key is one group, as it is to Spark: the same object is equal in a tuple.
+            names = [[math.nan if v != v else v for v in batch[c].to_pylist()] for c in group]
+            names = list(zip(*names))
+            values = {c: batch[c].to_pylist() for c in inputs}
+            starts = batch["__start"].to_pylist() if "__start" in batch.schema.names else None
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            out: dict[str, list] = {}
+            for a, b in zip(cuts, cuts[1:]):
+                if names[a] != key:
+                    if key is not None:
+                        ended.append((*key, used, json.dumps(state)))
+                    key, used = names[a], starts[a] if starts else None
+                    state = json.loads(used) if used else None
+                state, got = fold(state, {c: v[a:b] for c, v in values.items()})
+                for name, v in got.items():
+                    out.setdefault(name, []).extend(v)
+            yield batch, out, ended
+            ended = []
+    if key is not None:
+        ended.append((*key, used, json.dumps(state)))
+    yield None, {}, ended
+
+
 def fold_stream(
     df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], fold: Fold, outputs: str, *, rows: int = FOLD_ROWS
 ) -> DataFrame:
     """Run ``fold`` along each key and add its output columns.
 
     Rows go through Arrow as they are, so integers keep all their bits and nulls
-    stay nulls.
+    stay nulls.  Chunks come sorted, by batches: short streams share one, so a chunk of few rows costs little more
+    than its rows, and a long chunk is never held whole.  A fold must give the same in one call as in several.
     """
     keys = list(keys)
     added = T._parse_datatype_string(outputs)
@@ -51,38 +88,35 @@ def fold_stream(
     schema = T.StructType([*kept.schema.fields, *added.fields])
     columns = kept.columns
 
-    def run(table: pa.Table) -> tuple[pa.Table, list, dict[str, list]]:
-        table = table.sort_by(order)
-        start = table["__start"][0].as_py() if "__start" in table.column_names else None
-        return table, *fold(json.loads(start) if start else None, {c: table[c].to_pylist() for c in inputs})
-
-    def emit(table: pa.Table) -> pa.Table:
-        table, _, out = run(table)
-        table = table.select(columns)
-        for f in new:
-            table = table.append_column(f, pa.array(out[f.name], type=f.type))
-        return table
-
     base = cut_lineage(base)
     group = [*keys, "__chunk"]
     ends_schema = T.StructType([*[kept.schema[k] for k in keys], *T._parse_datatype_string("__chunk bigint, __used string, __end string").fields])
 
-    def finish(table: pa.Table) -> pa.Table:
-        start = table["__start"][0].as_py() if "__start" in table.column_names else None
-        table, end, _ = run(table)
-        head = table.select(group).slice(0, 1)
-        head = head.append_column("__used", pa.array([start], type=pa.string()))
-        return head.append_column("__end", pa.array([json.dumps(end)], type=pa.string()))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out, _ in _folded(batches, group, inputs, fold, rows):
+            if batch is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[c] for c in columns], *[pa.array(out.get(f.name, []), type=f.type) for f in new]], [*columns, *new.names]
+                )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = to_arrow_schema(ends_schema)
+        for _, _, ended in _folded(batches, group, inputs, fold, rows):
+            if ended:
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*ended), heads)], schema=heads)
+
+    def in_order(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, order)
 
     narrow = base.select(*group, *[c for c in dict.fromkeys([order, *inputs]) if c not in group])
-    ends = cut_lineage(narrow.groupBy(*group).applyInArrow(finish, ends_schema))
+    ends = cut_lineage(in_order(narrow).mapInArrow(finish, ends_schema))
     w = Window.partitionBy(*keys).orderBy("__chunk")
     while True:
         linked = ends.withColumn("__start", F.lag("__end").over(w))
         stale = linked.filter(~F.col("__start").eqNullSafe(F.col("__used"))).select(*group, "__start")
         if stale.isEmpty():
             break
-        redone = narrow.join(stale, group).groupBy(*group).applyInArrow(finish, ends_schema)
+        redone = in_order(narrow.join(stale, group)).mapInArrow(finish, ends_schema)
         redone = redone.select(*group, F.col("__used").alias("__u"), F.col("__end").alias("__e"))
         ends = cut_lineage(
             ends.join(redone, group, "left").select(
@@ -92,7 +126,7 @@ def fold_stream(
             )
         )
     final = base.join(linked.select(*group, "__start"), group)
-    return final.select(*columns, "__chunk", "__start").groupBy(*group).applyInArrow(emit, schema)
+    return in_order(final.select(*columns, "__chunk", "__start")).mapInArrow(emit, schema)
 
 
 # -------------------------------------------------------------------- folds
