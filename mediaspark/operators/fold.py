@@ -490,7 +490,8 @@ def vbv_fold(size: int, low: int, high: int, min_stuffing: int, start: float) ->
             level = filled - 8 * spare
             out["level"].append(float(level))
             out["stuffing"].append(spare)
-        return [level], out
+        # Without bits left the level is a whole number; a state typed as double takes no int.
+        return [float(level)], out
 
     return fold
 

@@ -38,3 +38,10 @@ def test_short_streams_share_a_batch_and_long_ones_take_several(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_a_buffer_that_runs_dry_keeps_a_level_of_its_type(spark):
+    """An underflow leaves a whole number, which a state typed as double dropped."""
+    fold = G.vbv_fold(200000, 0, 80000, 0, 150000.0)
+    state, _ = fold(None, {"bits": [10**6]})
+    assert [type(v) for v in state] == [float]
