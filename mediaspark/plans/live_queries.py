@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaspark.operators import fold as G
-from mediaspark.operators.scan import chunk_id, number_rows
+from mediaspark.operators.scan import chunk_id, cut_lineage, number_rows
 from mediaspark.plans import fixtures as X
 from mediaspark.plans import stat_queries as Q
 from mediaspark.plans.registry import ORACLES, query
@@ -106,11 +106,15 @@ def live_late(spark, d):
 
 
 def by_days(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A table as a feed of spans of five days; within a span the files come in any order."""
-    path = folder(spark, "feed")
+    """A table as a feed of spans of five days; within a span the files come in any order.
+
+    The table is made once, and a span has four files at any size: the number of micro-batches, each of which costs
+    the state store a commit a partition, doesn't grow with the tasks that made the table.
+    """
+    path, df = folder(spark, "feed"), cut_lineage(df)
     for day in range(0, 30, 5):
         span = df.where(F.expr(f"ts >= timestamp'2024-01-01' + interval {day} days AND ts < timestamp'2024-01-01' + interval {day + 5} days"))
-        span.write.mode("append").parquet(path)
+        span.repartition(4).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 

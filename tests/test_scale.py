@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 
 from mediaspark.operators import fold as G
 
@@ -45,3 +46,35 @@ def test_a_buffer_that_runs_dry_keeps_a_level_of_its_type(spark):
     fold = G.vbv_fold(200000, 0, 80000, 0, 150000.0)
     state, _ = fold(None, {"bits": [10**6]})
     assert [type(v) for v in state] == [float]
+
+
+def test_streams_of_a_bucket_keep_apart(spark, tmp_path):
+    """Many streams, two buckets, files in any order: each stream is put in order by itself, its long key whole."""
+    from mediaspark.streaming import twins as S
+
+    rng, schema = random.Random(5), "k bigint, o bigint, x int"
+    rows = [((1 << 60) + k, o, rng.randint(0, 4)) for k in range(40) for o in range(1 + k % 9)]
+    want = set()
+    for k in range(40):
+        mine = [r for r in rows if r[0] == (1 << 60) + k]
+        want |= {(*r[:2], v) for r, v in zip(mine, summing()(None, {"x": [r[2] for r in mine]})[1]["total"])}
+    mixed = [*rows, (None, 3, 1)]
+    rng.shuffle(mixed)
+    for part in (mixed[::2], mixed[1::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    # A sum that is whole is a double to the state.
+    out = S.fold_live(feed, ["k"], "o", ["x"], summing(), "total bigint", first=0, state="n double", buckets=2)
+    S.drain(out, str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len(rows) and {(r.k, r.o, r.total) for r in got} == want and not any(r.late for r in got)
+
+
+def test_feed_by_days_has_as_many_files_at_any_width(spark, tmp_path, monkeypatch):
+    from mediaspark.plans import live_queries as Q
+
+    monkeypatch.setattr(Q, "folder", lambda spark, name: str(tmp_path / name))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)
+    Q.by_days(spark, spark.range(0, 700, 1, 40).select("id", at.alias("ts")))
+    files = spark.read.parquet(str(tmp_path / "feed"))
+    assert files.count() == 700 and 0 < len(files.inputFiles()) <= 24
