@@ -71,9 +71,10 @@ def scan_pcm(spark, d):
     """SELECT user_id AS stream_id, CAST(sum(length(props)) + count(*) AS BIGINT) AS file_size FROM events GROUP BY user_id""",
 )
 def scan_media(spark, d):
-    path = folder(spark, "media")
-    e = X.events(spark, d).select("user_id", "props").repartitionByRange(4, "user_id").sortWithinPartitions("user_id")
-    e.write.partitionBy("user_id").text(path)
+    path, parts = folder(spark, "media"), max(4, 4 * spark.sparkContext.defaultParallelism)
+    e = X.events(spark, d).select("user_id", "props").repartitionByRange(parts, "user_id").sortWithinPartitions("user_id")
+    # A file per stream: tasks move their own files into place, as the driver would do it one by one.
+    e.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("user_id").text(path)
     f = Fi.scan_media(spark, path, glob="*.txt", payload=False)
     sid = F.regexp_extract("filename", "user_id=(\\d+)", 1).cast("bigint")
     return f.groupBy(sid.alias("stream_id")).agg(F.sum("file_size").alias("file_size"))

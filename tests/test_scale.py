@@ -78,3 +78,13 @@ def test_feed_by_days_has_as_many_files_at_any_width(spark, tmp_path, monkeypatc
     Q.by_days(spark, spark.range(0, 700, 1, 40).select("id", at.alias("ts")))
     files = spark.read.parquet(str(tmp_path / "feed"))
     assert files.count() == 700 and 0 < len(files.inputFiles()) <= 24
+
+
+def test_media_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from mediaspark.plans import source_queries as Q
+
+    monkeypatch.setattr(Q, "folder", lambda spark, name: str(tmp_path / name))
+    spark.range(0, 400).selectExpr("id % 100 AS user_id", "repeat('x', 5) AS props").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.stream_id: r.file_size for r in Q.scan_media(spark, str(tmp_path)).collect()}
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "media").glob("*/part-*.txt")}
+    assert got == {u: 24 for u in range(100)} and len(tasks) > 4
