@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaspark.operators.packets import STREAM
@@ -425,20 +425,21 @@ def build_sample_table(
     duration)``, ``stsc(key, first_chunk, count)``, ``stco(key, chunk_no, offset)``
     from 1, ``stss(key, sample)``, ``ctts(key, run_no, count, offset)``.  Runs are
     never expanded: a run lands on its first sample and is carried forward.
+
+    Samples and what lands on them are one list of narrow rows, dealt once by key and range of samples and
+    read in order there; samples join nothing.  Only streams longer than a range hand something on.
     """
     k = [key]
 
-    def by_first_sample(runs: DataFrame, total: Column, name: str, fields: list[Column]) -> DataFrame:
+    def by_first_sample(runs: DataFrame, total: Column, value: Column) -> DataFrame:
         r = runs.filter("count > 0")
         r = running(
             r, k, "run_no",
             {"__start": ("sum", F.col("count").cast("bigint")), "__done": ("sum", total)},
             include_current=False, rows=rows,
         )
-        start = F.coalesce("__start", F.lit(0))
         return r.select(
-            key, start.alias("sample_no"),
-            F.struct(start.alias("start"), F.coalesce("__done", F.lit(0)).alias("done"), *fields).alias(name),
+            key, F.coalesce("__start", F.lit(0)).alias("sample_no"), F.coalesce("__done", F.lit(0)).alias("done"), value.cast("bigint").alias("value"),
         )
 
     # Samples ahead of a chunk: those of earlier runs plus the chunks since the run began.
@@ -446,49 +447,98 @@ def build_sample_table(
     runs = following(stsc, k, "first_chunk", {"__next": F.col("first_chunk")}, rows=rows)
     runs = anchored_sum(runs, k, "first_chunk", "__done", F.lit(None).cast("bigint"), (F.col("__next") - F.col("first_chunk")) * per, rows=rows)
     heads = runs.select(
-        key, F.col("first_chunk").alias("chunk_no"),
+        key, (F.col("first_chunk") * 2).alias("__o"),
         F.struct(F.col("first_chunk").alias("c"), per.alias("n"), F.col("__done").alias("d")).alias("__sc"),
     )
-    chunks = running(stco.join(heads, [key, "chunk_no"], "left"), k, "chunk_no", {"__in": ("last", F.col("__sc"))}, rows=rows)
+    # A run stands ahead of its first chunk in one list with the chunks, so that they join nothing either.
+    listed = stco.select(key, (F.col("chunk_no") * 2 + 1).alias("__o"), "chunk_no", "offset")
+    chunks = running(listed.unionByName(heads, allowMissingColumns=True), k, "__o", {"__in": ("last", F.col("__sc"))}, rows=2 * rows)
     sc = F.col("__in")
-    chunks = chunks.select(
+    chunks = chunks.filter("chunk_no IS NOT NULL").select(
         key, "offset", sc["n"].alias("__per"), (sc["d"] + (F.col("chunk_no") - sc["c"]) * sc["n"]).alias("sample_no")
     )
-    total = chunks.groupBy(key).agg(F.max(F.col("sample_no") + F.col("__per")).alias("__total"))
     # An empty chunk shares its first sample with the next one, which must win.
-    heads = chunks.filter("__per > 0").select(key, "sample_no", F.col("offset").alias("__off"))
-
-    s = running(stsz, k, "sample_no", {"__sum": ("sum", F.col("size"))}, include_current=False, rows=rows)
-    s = s.withColumn("__sum", F.coalesce("__sum", F.lit(0)))
-    s = s.join(heads, [key, "sample_no"], "left")
-    times = by_first_sample(
-        stts, F.col("count").cast("bigint") * F.col("duration"), "__run", [F.col("duration").cast("bigint").alias("duration")]
-    )
-    s = s.join(times, [key, "sample_no"], "left")
+    chunks = cut_lineage(chunks.filter("__per > 0"))
     one_based = stss.groupBy(key).agg((F.min("sample") == 1).alias("__one"))
     marks = stss.join(one_based, key).select(
-        key, (F.col("sample") - F.when(F.col("__one"), 1).otherwise(0)).alias("sample_no"), F.lit(True).alias("__key")
-    ).distinct()
-    s = s.join(marks, [key, "sample_no"], "left").join(one_based, key, "left").join(total, key)
-    s = s.filter(F.col("sample_no") < F.col("__total"))
-    s = s.withColumn("is_key", F.coalesce(F.col("__key"), F.col("__one").isNull()))
-    values = {
-        "__base": ("last", F.col("__off") - F.col("__sum")),
-        "__t": ("last", F.col("__run")),
-        "__last": ("last", F.when(F.col("is_key"), F.col("sample_no"))),
-    }
+        key, (F.col("sample") - F.when(F.col("__one"), 1).otherwise(0)).alias("sample_no")
+    )
+    # Every range of a stream with samples in chunks: how many those are, and whether there is a key list.
+    total = chunks.groupBy(key).agg(F.max(F.col("sample_no") + F.col("__per")).alias("__total")).join(one_based, key, "left")
+    total = cut_lineage(
+        total.select(key, "__total", F.col("__one").isNotNull().cast("bigint").alias("__listed"), F.explode(F.expr(f"sequence(0L, (__total - 1) div {rows})")).alias("__range"))
+    )
+    times = by_first_sample(stts, F.col("count").cast("bigint") * F.col("duration"), F.col("duration"))
+
+    # What lands on a sample comes ahead of it; ``a`` and ``b`` mean what the kind says.
+    bound, head, time, comp, mark, sample = range(6)
+
+    def landed(df: DataFrame, kind: int, a: Column, b: Column | None = None) -> DataFrame:
+        return df.filter("sample_no >= 0").select(
+            key, (F.col("sample_no").cast("bigint") * 8 + kind).alias("__o"), a.cast("bigint").alias("a"),
+            (F.lit(None) if b is None else b).cast("bigint").alias("b"),
+        )
+
+    parts = [
+        landed(total.withColumn("sample_no", F.col("__range") * rows), bound, F.col("__total"), F.col("__listed")),
+        landed(chunks, head, F.col("offset")),
+        landed(times, time, F.col("done"), F.col("value")),
+        landed(marks, mark, F.lit(None)),
+        landed(stsz, sample, F.col("size")),
+    ]
     if ctts is not None:
-        comp = by_first_sample(ctts, F.lit(0).cast("bigint"), "__comp", [F.col("offset").cast("bigint").alias("offset")])
-        s = s.join(comp, [key, "sample_no"], "left")
-        values["__c"] = ("last", F.col("__comp"))
-    s = running(cut_lineage(s), k, "sample_no", values, rows=rows)
-    t = F.col("__t")
-    dts = t["done"] + (F.col("sample_no") - t["start"]) * t["duration"]
-    pts = dts + F.coalesce(F.col("__c")["offset"], F.lit(0)) if ctts is not None else dts
+        parts.append(landed(by_first_sample(ctts, F.lit(0).cast("bigint"), F.col("offset")), comp, F.coalesce("value", F.lit(0))))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.withColumn("__range", F.expr(f"__o div {8 * rows}"))
+    # Both readers below see the same filter, so that they share one shuffle.
+    every = every.filter(F.col(key).isNotNull() & F.col("__range").isNotNull()).repartition(key, "__range")
+
+    w = Window.partitionBy(key, "__range").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    no, of = F.shiftright("__o", 3), lambda kind, v: F.when(F.col("__o").bitwiseAND(7) == kind, v)
+    latest = lambda v: F.last(v, ignorenulls=True).over(w)
+
+    def in_range(df: DataFrame) -> DataFrame:
+        df = df.withColumns({
+            "__sum": F.coalesce(F.sum(of(sample, F.col("a"))).over(w), F.lit(0)),
+            "__total": latest(of(bound, F.col("a"))),
+            "__listed": latest(of(bound, F.col("b"))),
+            # A run of unknown duration counts too: its samples have no time.
+            "__timed": latest(of(time, F.col("b").isNotNull())),
+            "__zero": latest(of(time, F.col("a") - no * F.coalesce("b", F.lit(0)))),
+            "__step": latest(of(time, F.coalesce("b", F.lit(0)))),
+            "__last": latest(of(mark, no)),
+            "__c": latest(of(comp, F.col("a"))),
+        })
+        return df.withColumn("__base", latest(of(head, F.col("a") - F.col("__sum"))))
+
+    # A range with a later one hands on what holds at its end; offsets are less the bytes of all samples ahead.
+    more = total.filter((F.col("__range") + 1) * rows < F.col("__total")).select(key, "__range")
+    held = ["__timed", "__zero", "__step", "__last", "__c"]
+    ends = in_range(every.join(more, [key, "__range"])).groupBy(key, "__range").agg(
+        F.max_by(F.struct("__sum", "__base", *held), "__o").alias("__end")
+    ).select(key, "__range", "__end.*")
+    along = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("__all", F.sum("__sum").over(along))
+    ends = ends.withColumn("__base", F.last(F.col("__base") - F.col("__all") + F.col("__sum"), ignorenulls=True).over(along) + F.col("__all"))
+    carry = ends.select(
+        key, (F.col("__range") + 1).alias("__range"), F.col("__base").alias("__base0"),
+        *[F.last(c, ignorenulls=True).over(along).alias(f"{c}0") for c in held],
+    )
+
+    s = in_range(every).filter(F.col("__o").bitwiseAND(7) == sample).filter(no < F.col("__total"))
+    s = s.join(carry, [key, "__range"], "left")
+    s = s.withColumns({c: F.coalesce(c, f"{c}0") for c in ["__base", *held]}).withColumn("sample_no", no)
+    dts = F.when(F.col("__timed"), F.col("__zero") + F.col("sample_no") * F.col("__step"))
+    pts = dts + F.coalesce("__c", F.lit(0))
+    is_key = (F.col("__listed") == 0) | F.coalesce(F.col("__last") == F.col("sample_no"), F.lit(False))
+    last = F.when(F.col("__listed") == 0, F.col("sample_no")).otherwise(F.coalesce("__last", F.lit(0)))
     return s.select(
-        key, "sample_no", (F.col("__base") + F.col("__sum")).alias("pos"), dts.alias("dts"), pts.alias("pts"),
-        t["duration"].alias("duration"), "size", "is_key",
-        (F.col("sample_no") - F.coalesce("__last", F.lit(0))).alias("min_distance"),
+        key, F.col("sample_no").cast(stsz.schema["sample_no"].dataType).alias("sample_no"),
+        (F.col("__base") + F.col("__sum") - F.coalesce("a", F.lit(0))).alias("pos"), dts.alias("dts"), pts.alias("pts"),
+        F.when(F.col("__timed"), F.col("__step")).alias("duration"), F.col("a").cast(stsz.schema["size"].dataType).alias("size"), is_key.alias("is_key"),
+        (F.col("sample_no") - last).alias("min_distance"),
     )
 
 

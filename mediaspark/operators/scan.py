@@ -303,11 +303,13 @@ def count_up(df: DataFrame, keys: Sequence[str], n: Column, name: str, *, block:
     """``(keys, name)``: the numbers 0 to ``n`` - 1 of each row.
 
     Two levels: blocks first, which are dealt out, and the numbers within a block second, so that neither an array
-    nor a task grows with ``n``.
+    nor a task grows with ``n``.  The number of tasks is given: without it adaptive execution, which sees a few
+    bytes a block and not the numbers in it, gives all blocks to one task.
     """
     keys = list(keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = df.select(*keys, n.cast("bigint").alias("__n")).where("__n > 0")
-    blocks = blocks.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__n - 1) div {block})"))).repartition(*keys, "__b")
+    blocks = blocks.withColumn("__b", F.explode(F.expr(f"sequence(0L, (__n - 1) div {block})"))).repartition(tasks, *keys, "__b")
     within = F.explode(F.expr(f"sequence(__b * {block}, least(__n, (__b + 1) * {block}) - 1)"))
     return blocks.select(*keys, within.alias(name))
 

@@ -294,7 +294,7 @@ def copy_metadata(spark, d):
 def build_sample_table(spark, d):
     runs = cut_lineage(X.v_runs(spark, d))
     stts = runs.withColumn("count", F.col("count") % 5 + 1)
-    total = stts.groupBy("stream_id").agg(F.sum("count").alias("n"))
+    total = cut_lineage(stts.groupBy("stream_id").agg(F.sum("count").alias("n")))
     samples = count_up(total, ["stream_id"], F.col("n"), "sample_no")
     stsz = samples.withColumn("size", F.lit(100) + (F.col("sample_no") * 37 + F.col("stream_id")) % 900)
     stsc = runs.filter("run_no % 10 = 1").select(

@@ -122,3 +122,70 @@ def test_open_spans_are_dealt_out(spark):
     spans = spark.createDataFrame([(0, 100, None, "a"), (0, 3990, None, "b"), (0, 50, 60, "c")], "k bigint, a bigint, z bigint, n string")
     got = {r["n"]: r["count"] for r in J.interval_join(frames, spans, ["k"], "t", "a", "z").groupBy("n").count().collect()}
     assert got == {"a": 3900, "b": 10, "c": 10}
+
+
+def _packets(stsz, stts, stsc, stco, stss, ctts):
+    """A packet table by loops over expanded runs; the last run of either kind goes on."""
+    out = {}
+    for k in sorted({r[0] for r in stco}):
+        mine = lambda t: sorted(r[1:] for r in t if r[0] == k)
+        sizes = dict(mine(stsz))
+        times, at = [], 0
+        for _, n, step in mine(stts):
+            times += [(len(times) + i, None if step is None else at + i * step, step) for i in range(n)]
+            at += n * (step or 0)
+        shifts = [o for _, n, o in mine(ctts) for _ in range(n)]
+        listed = [r[0] for r in mine(stss)]
+        keys = {s - (min(listed) == 1) for s in listed} if listed else set(sizes)
+        place, no = {}, 0
+        for c, off in mine(stco):
+            per = [n for first, n in mine(stsc) if first <= c][-1]
+            for s in range(no, no + per):
+                place[s] = off
+                off += sizes.get(s) or 0
+            no += per
+        last = 0
+        for s in sorted(set(sizes) & set(place)):
+            first, dts, step = times[min(s, len(times) - 1)]
+            dts = None if dts is None else dts + (s - first) * step
+            last = s if s in keys else last
+            shift = shifts[min(s, len(shifts) - 1)] if shifts else 0
+            out[k, s] = (place[s], dts, None if dts is None else dts + (shift or 0), step, sizes[s], s in keys, s - last)
+    return out
+
+
+@pytest.mark.parametrize("rows", [7, 1 << 18])
+def test_packet_table_equals_expanded_runs(spark, rows):
+    """Streams of one range and of many, empty runs and chunks, no key list, no shifts, unknown values, samples in no chunk."""
+    rng = random.Random(8)
+    stsz, stts, stsc, stco, stss, ctts = [], [], [], [], [], []
+    for k, n in ((1, 150), (2, 5), (3, 40), (4, 33), (6, 90)):
+        stsz += [(k, s, rng.choice([None, 10, 33, 1000]) if k == 1 else 10 + s) for s in range(n)]
+        stts += [(k, r, rng.randint(0, 9), None if k == 4 and r == 2 else rng.randint(1, 50)) for r in range(n // 5 + 1)]
+        stts += [(k, n, 3, 40)]
+        chunks = max(2, n // 4)
+        stsc += [(k, c, rng.randint(0, 6) if c > 1 else 3) for c in range(1, chunks + 1) if c == 1 or c % 5 == 0]
+        stco += [(k, c, 10**6 * c) for c in range(1, chunks + 1)]
+        if k != 3:
+            stss += [(k, s) for s in range(1 if k % 2 else 2, n, 11)] * 2
+        if k != 4:
+            ctts += [(k, r, rng.randint(0, 6), rng.choice([None, -20, 0, 80])) for r in range(n // 3)]
+    want = _packets(stsz, stts, stsc, stco, stss, ctts)
+    stsz += [(5, 0, 7), (None, 0, 7)]
+    stts, stsz = rng.sample(stts, len(stts)), rng.sample(stsz, len(stsz))
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in f"stream_id {names}".split()))
+    side = [frame(stsz, "sample_no size"), frame(stts, "run_no count duration"), frame(stsc, "first_chunk count"), frame(stco, "chunk_no offset"), frame(stss, "sample")]
+    out = J.build_sample_table(*side, frame(ctts, "run_no count offset"), rows=rows)
+    got = out.collect()
+    assert {tuple(r[:2]): tuple(r[2:]) for r in got} == want and len(got) == len(want) > 200
+    plain = J.build_sample_table(*side, rows=rows).collect()
+    assert {(r.stream_id, r.sample_no): (r.dts, r.pts) for r in plain} == {at: (v[1], v[1]) for at, v in want.items()}
+
+
+def test_what_lands_on_samples_is_not_joined_to_them(spark, monkeypatch):
+    """Each such join would shuffle all samples once more."""
+    monkeypatch.setattr(J, "cut_lineage", lambda df: df)
+    frame = lambda names: spark.range(9).selectExpr("id AS stream_id", *[f"id AS {n}" for n in names.split()])
+    names = ["sample_no size", "run_no count duration", "first_chunk count", "chunk_no offset", "sample", "run_no count offset"]
+    plan = J.build_sample_table(*map(frame, names))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not [x for x in plan.splitlines() if "Join" in x and "sample_no" in x]

@@ -88,3 +88,13 @@ def test_media_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     got = {r.stream_id: r.file_size for r in Q.scan_media(spark, str(tmp_path)).collect()}
     tasks = {f.name.split("-")[1] for f in (tmp_path / "media").glob("*/part-*.txt")}
     assert got == {u: 24 for u in range(100)} and len(tasks) > 4
+
+
+def test_numbers_are_counted_up_by_many_tasks(spark):
+    """Blocks are a few bytes each, which adaptive execution gave to one task, with all the numbers in them."""
+    from mediaspark.operators.scan import count_up
+
+    few = spark.range(40).groupBy("id").agg(F.lit(9).alias("n"))
+    got = count_up(few, ["id"], F.col("n"), "no", block=2).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.id, r.no) for r in got) == [(k, i) for k in range(40) for i in range(9)]
+    assert len({r.task for r in got}) > 4
