@@ -480,7 +480,7 @@ def build_sample_table(
         )
 
     parts = [
-        landed(total.withColumn("sample_no", F.col("__range") * rows), bound, F.col("__total"), F.col("__listed")),
+        landed(total.withColumn("sample_no", F.col("__range") * rows), bound, F.col("__total") * 2 + F.col("__listed")),
         landed(chunks, head, F.col("offset")),
         landed(times, time, F.col("done"), F.col("value")),
         landed(marks, mark, F.lit(None)),
@@ -502,8 +502,7 @@ def build_sample_table(
     def in_range(df: DataFrame) -> DataFrame:
         df = df.withColumns({
             "__sum": F.coalesce(F.sum(of(sample, F.col("a"))).over(w), F.lit(0)),
-            "__total": latest(of(bound, F.col("a"))),
-            "__listed": latest(of(bound, F.col("b"))),
+            "__bound": latest(of(bound, F.col("a"))),
             # A run of unknown duration counts too: its samples have no time.
             "__timed": latest(of(time, F.col("b").isNotNull())),
             "__zero": latest(of(time, F.col("a") - no * F.coalesce("b", F.lit(0)))),
@@ -527,13 +526,14 @@ def build_sample_table(
         *[F.last(c, ignorenulls=True).over(along).alias(f"{c}0") for c in held],
     )
 
-    s = in_range(every).filter(F.col("__o").bitwiseAND(7) == sample).filter(no < F.col("__total"))
+    s = in_range(every).filter(F.col("__o").bitwiseAND(7) == sample).filter(no < F.shiftright("__bound", 1))
     s = s.join(carry, [key, "__range"], "left")
     s = s.withColumns({c: F.coalesce(c, f"{c}0") for c in ["__base", *held]}).withColumn("sample_no", no)
     dts = F.when(F.col("__timed"), F.col("__zero") + F.col("sample_no") * F.col("__step"))
     pts = dts + F.coalesce("__c", F.lit(0))
-    is_key = (F.col("__listed") == 0) | F.coalesce(F.col("__last") == F.col("sample_no"), F.lit(False))
-    last = F.when(F.col("__listed") == 0, F.col("sample_no")).otherwise(F.coalesce("__last", F.lit(0)))
+    unlisted = F.col("__bound").bitwiseAND(1) == 0
+    is_key = unlisted | F.coalesce(F.col("__last") == F.col("sample_no"), F.lit(False))
+    last = F.when(unlisted, F.col("sample_no")).otherwise(F.coalesce("__last", F.lit(0)))
     return s.select(
         key, F.col("sample_no").cast(stsz.schema["sample_no"].dataType).alias("sample_no"),
         (F.col("__base") + F.col("__sum") - F.coalesce("a", F.lit(0))).alias("pos"), dts.alias("dts"), pts.alias("pts"),

@@ -297,9 +297,9 @@ def build_sample_table(spark, d):
     total = cut_lineage(stts.groupBy("stream_id").agg(F.sum("count").alias("n")))
     samples = count_up(total, ["stream_id"], F.col("n"), "sample_no")
     stsz = samples.withColumn("size", F.lit(100) + (F.col("sample_no") * 37 + F.col("stream_id")) % 900)
-    stsc = runs.filter("run_no % 10 = 1").select(
+    stsc = cut_lineage(runs.filter("run_no % 10 = 1").select(
         "stream_id", F.col("run_no").alias("first_chunk"), (F.col("run_no") % 7 + 1).alias("count")
-    )
+    ))
     stco = runs.select("stream_id", F.col("run_no").alias("chunk_no"), (F.col("run_no") * 100000).alias("offset"))
     # Streams without a key list have only key samples.
     stss = samples.filter("sample_no % 12 = 0 AND stream_id % 4 <> 0").select("stream_id", (F.col("sample_no") + 1).alias("sample"))
