@@ -1,7 +1,7 @@
 """Operators whose next row depends on the state left by the row before.
 
 ``fold_stream`` runs such a fold over streams of any length without giving a whole
-stream to one task.  A stream is cut into chunks.  All chunks are folded at once,
+stream to one task.  A long stream is cut into chunks.  All its chunks are folded at once,
 each from a guessed state; the end state of a chunk is then handed to its
 successor, and only chunks whose start turned out different are folded again, until
 none is.  The result is that of one pass from the beginning.  A fold that forgets its
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediaspark.operators.maps import Rule, Rules, band, counted_end, counted_map, map_stream, stepped
-from mediaspark.operators.scan import chunk_id, cut_lineage, running
+from mediaspark.operators.scan import cut_lineage, running
 
 FOLD_ROWS = 1 << 17
 
@@ -71,26 +71,65 @@ def _folded(
     yield None, {}, ended
 
 
+#: Rows that show where long streams are cut, and the most cuts they give.
+CUT_SAMPLE = 1 << 13
+MOST_CUTS = 512
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: str, rows: int) -> DataFrame | None:
+    """``(keys, __cuts)``: where streams of more than about ``rows`` rows are cut; None if there are none.
+
+    The rows with the smallest hashes of (keys, order) show how the others are spread, and the largest of these hashes
+    how many there are.  Only the size of the chunks depends on them.
+    """
+    drawn = df.select(*keys, F.col(order).cast("bigint").alias("__at"), F.xxhash64(*keys, order).alias("__h")).orderBy("__h").limit(CUT_SAMPLE)
+    streams = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__cuts"), F.max("__h").alias("__h")).collect()
+    count, step = sum(len(r["__cuts"]) for r in streams), rows
+    if count >= CUT_SAMPLE:
+        share = (max(r["__h"] for r in streams) + (1 << 63) + 1) / (1 << 64)
+        step = max(math.ceil(rows * share), CUT_SAMPLE // MOST_CUTS)
+    long = [(*[r[k] for k in keys], sorted(set(r["__cuts"][step::step]))) for r in streams if len(r["__cuts"]) > step]
+    cuts = T.StructType([*[df.schema[k] for k in keys], T.StructField("__cuts", T.ArrayType(T.LongType()))])
+    return F.broadcast(df.sparkSession.createDataFrame(long, cuts)) if long else None
+
+
+def _plain(df: DataFrame) -> bool:
+    """Whether reading a frame again costs a scan of files and gives the same rows."""
+
+    def nodes(plan) -> Iterator[str]:
+        yield plan.nodeName()
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.deterministic() and {*nodes(plan)} <= {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "Range"}
+
+
 def fold_stream(
     df: DataFrame, keys: Sequence[str], order: str, inputs: Sequence[str], fold: Fold, outputs: str, *, rows: int = FOLD_ROWS
 ) -> DataFrame:
     """Run ``fold`` along each key and add its output columns.
 
     Rows go through Arrow as they are, so integers keep all their bits and nulls
-    stay nulls.  Chunks come sorted, by batches: short streams share one, so a chunk of few rows costs little more
-    than its rows, and a long chunk is never held whole.  A fold must give the same in one call as in several.
+    stay nulls.  They come sorted, by batches: short streams share one, and a chunk is never held whole.  A fold must
+    give the same in one call as in several.
+
+    Only streams of more than about ``rows`` rows are cut, whatever the unit of ``order`` and its gaps, and only these are
+    folded ahead for the states that chunks start from.  All rows are shuffled once; files are read anew for each pass, and
+    other inputs written down.
     """
     keys = list(keys)
     added = T._parse_datatype_string(outputs)
     new = to_arrow_schema(added)
     kept = df.drop(*[f.name for f in added.fields])
-    base = kept.withColumn("__chunk", chunk_id(order, rows))
     schema = T.StructType([*kept.schema.fields, *added.fields])
     columns = kept.columns
 
-    base = cut_lineage(base)
-    group = [*keys, "__chunk"]
-    ends_schema = T.StructType([*[kept.schema[k] for k in keys], *T._parse_datatype_string("__chunk bigint, __used string, __end string").fields])
+    base = kept.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, order]))
+    if not _plain(base):
+        base = cut_lineage(base)
+    cuts = _cuts(base, keys, order, rows)
+    group = [*keys, "__chunk"] if cuts is not None else keys
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out, _ in _folded(batches, group, inputs, fold, rows):
@@ -99,16 +138,24 @@ def fold_stream(
                     [*[batch[c] for c in columns], *[pa.array(out.get(f.name, []), type=f.type) for f in new]], [*columns, *new.names]
                 )
 
+    def in_order(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, order)
+
+    if cuts is None:
+        return in_order(base).mapInArrow(emit, schema)
+
+    ends_schema = T.StructType([*[kept.schema[k] for k in keys], *T._parse_datatype_string("__chunk bigint, __used string, __end string").fields])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = to_arrow_schema(ends_schema)
         for _, _, ended in _folded(batches, group, inputs, fold, rows):
             if ended:
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*ended), heads)], schema=heads)
 
-    def in_order(frame: DataFrame) -> DataFrame:
-        return frame.repartition(*group).sortWithinPartitions(*group, order)
-
-    narrow = base.select(*group, *[c for c in dict.fromkeys([order, *inputs]) if c not in group])
+    passed = F.array_size(F.filter("__cuts", lambda c: c <= F.col(order).cast("bigint")))
+    chunk = F.coalesce(passed, F.lit(0)).cast("bigint")
+    wanted = [c for c in dict.fromkeys([order, *inputs]) if c not in keys]
+    narrow = base.select(*keys, *wanted).join(cuts, keys).select(*keys, chunk.alias("__chunk"), *wanted)
     ends = cut_lineage(in_order(narrow).mapInArrow(finish, ends_schema))
     w = Window.partitionBy(*keys).orderBy("__chunk")
     while True:
@@ -116,7 +163,7 @@ def fold_stream(
         stale = linked.filter(~F.col("__start").eqNullSafe(F.col("__used"))).select(*group, "__start")
         if stale.isEmpty():
             break
-        redone = in_order(narrow.join(stale, group)).mapInArrow(finish, ends_schema)
+        redone = in_order(narrow.join(F.broadcast(stale), group)).mapInArrow(finish, ends_schema)
         redone = redone.select(*group, F.col("__used").alias("__u"), F.col("__end").alias("__e"))
         ends = cut_lineage(
             ends.join(redone, group, "left").select(
@@ -125,7 +172,7 @@ def fold_stream(
                 F.coalesce("__e", "__end").alias("__end"),
             )
         )
-    final = base.join(linked.select(*group, "__start"), group)
+    final = base.join(cuts, keys, "left").withColumn("__chunk", chunk).join(F.broadcast(linked.select(*group, "__start")), group, "left")
     return in_order(final.select(*columns, "__chunk", "__start")).mapInArrow(emit, schema)
 
 

@@ -98,3 +98,40 @@ def test_numbers_are_counted_up_by_many_tasks(spark):
     got = count_up(few, ["id"], F.col("n"), "no", block=2).withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.id, r.no) for r in got) == [(k, i) for k in range(40) for i in range(9)]
     assert len({r.task for r in got}) > 4
+
+
+def totals(rows):
+    """``summing`` over each stream by a loop."""
+    want = set()
+    for k in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == k)
+        want |= {(*r[:2], v) for r, v in zip(mine, summing()(None, {"x": [r[2] for r in mine]})[1]["total"])}
+    return want
+
+
+def test_short_streams_with_far_apart_rows_are_not_cut(spark, tmp_path, monkeypatch):
+    """A chunk per row and a state per chunk were written, again in each round, where numbers run over all streams."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), o << 20, rng.randint(0, 4)) for o in range(400)]
+    spark.createDataFrame([*rows, (None, 1, 1), (5, None, 1)], "k bigint, o bigint, x int").write.parquet(str(tmp_path / "in"))
+    written = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(df) or df)
+    out = G.fold_stream(spark.read.parquet(str(tmp_path / "in")), ["k"], "o", ["x"], summing(), "total bigint")
+    assert {(r.k, r.o, r.total) for r in out.collect()} == totals(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not written and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_long_streams_are_cut_by_their_rows(spark, monkeypatch):
+    """By a sample of the rows, in a stream with gaps and one without; short streams beside them stay whole."""
+    rng = random.Random(12)
+    rows = [(float("nan") if o % 3 else 1.0, o * (1 if o < 900 else 1000), rng.randint(0 if o % 50 else -1, 4)) for o in range(1800)]
+    rows += [(2.0 + k, o << 30, rng.randint(0, 4)) for k in range(20) for o in range(5)]
+    monkeypatch.setattr(G, "CUT_SAMPLE", 512)
+    monkeypatch.setattr(G, "MOST_CUTS", 64)
+    df = spark.createDataFrame(rows, "k double, o bigint, x int")
+    cuts = {str(r.k): r["__cuts"] for r in G._cuts(df, ["k"], "o", 100).collect()}
+    assert set(cuts) == {"nan", "1.0"} and all(4 < len(c) < 20 for c in cuts.values())
+    out = G.fold_stream(df, ["k"], "o", ["x"], summing(), "total bigint", rows=100).collect()
+    named = [(str(k), o, x) for k, o, x in rows]
+    assert len(out) == len(rows) and {(str(r.k), r.o, r.total) for r in out} == totals(named)
