@@ -38,12 +38,12 @@ def format_value(value: Column, unit: str = "", *, prefix: bool = False, binary:
 
 
 def format_bytecount(n: Column) -> Column:
-    """A count divided by 1000 while it has six digits or more, with its suffix."""
-    out = F.concat(F.call_function("div", n, F.lit(10**15)).cast("string"), F.lit("P"))
-    for k, suffix in reversed(list(enumerate(" kMGT"))):
-        part = F.call_function("div", n, F.lit(1000**k).cast("bigint"))
-        out = F.when(part < 100000, F.concat(part.cast("string"), F.lit(suffix))).otherwise(out)
-    return out
+    """A whole count divided by 1000 while it has six digits or more, with its suffix; decimals hold up to 38 digits."""
+    digits = (n - n % 1).cast("decimal(38, 0)").cast("string")
+    steps = F.greatest(F.lit(0), F.least(F.lit(5), F.call_function("div", F.length(digits) - 3, F.lit(3)).cast("int")))
+    # Three digits go with each step; a negative count takes none.
+    steps = F.when(n < 0, 0).otherwise(steps)
+    return F.concat(F.substring(digits, F.lit(1), F.length(digits) - steps * 3), F.substring(F.lit(" kMGTP"), steps + 1, F.lit(1)))
 
 
 def fourcc(tag: Column) -> Column:

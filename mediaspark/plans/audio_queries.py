@@ -348,7 +348,8 @@ def format_report(spark, d):
          WHEN n // 1000000000 < 100000 THEN n // 1000000000 || 'G' ELSE n // 1000000000000 || 'T' END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_orderkey AS n FROM orders)""",
 )
 def format_bytecount(spark, d):
-    k = F.col("o_orderkey")
+    # The cube of a key from 2,097,152 on is beyond 64 bits; a decimal holds it up to keys of 4e12.
+    k = F.col("o_orderkey").cast("decimal(20, 0)")
     return X.table(spark, d, "orders").select("o_orderkey", Tx.format_bytecount(k * k * k).alias("size"))
 
 

@@ -135,3 +135,26 @@ def test_pipeline_orders_and_checks(spark):
         Pipeline([Stage("deint", add, (p,), {"by": 99})]).run(df)
     with pytest.raises(ValueError):
         Pipeline([Stage("nowhere", twice)])
+
+
+def test_counts_beyond_64_bits(spark, tmp_path):
+    """Cubes of order keys from 2,097,152 on overflowed; every count is held against repeated division."""
+    from decimal import Decimal
+
+    from mediaspark.plans.catalog import QUERIES
+
+    def by_hand(n):
+        suffix = 0
+        while n >= 100000 and suffix < 5:
+            n, suffix = n // 1000, suffix + 1
+        return f"{n}{' kMGTP'[suffix]}"
+
+    keys = [0, 1, -70, 46, 47, 464, 465, 4641, 4642, 464158, 464159, 2097151, 2097152, 9_000_000, 54_000_000, 4 * 10**12, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r["size"] for r in QUERIES["format_bytecount"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if k is None else by_hand(k**3) for k in keys}
+    counts = [10**e + d for e in range(19) for d in (-1, 0)] + [-100000, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in counts], "n bigint").select("n", Tx.format_bytecount(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in rows} == {n: by_hand(n) for n in counts}
+    part = spark.createDataFrame([(Decimal("99999.99"),), (Decimal("-0.50"),)], "n decimal(10, 2)").select(Tx.format_bytecount(F.col("n")).alias("t"))
+    assert [r.t for r in part.collect()] == ["99999 ", "0 "]
