@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mediaspark.functions.timebase import gcd
@@ -59,49 +60,61 @@ def estimate_frame_rate(
 
     Each standard rate sums the squared distance of every gap from a whole number
     of its frames; the least sum times rate wins if it stays under the threshold.
-    Equal gaps are counted before they meet the rates, and a task adds up one vector
-    of sums per stream, so no row stands for a gap and a rate.
+    Equal gaps are counted before they meet the rates, and come sorted by ranges of (stream, gap): a task holds the
+    sums of one stream at a time.  Streams that lie within a range leave it as one row; only the first and the last of
+    a range, which others may share, hand on a row per rate.
     """
     units = np.array(rate_units()[1:], dtype=np.float64)
     keys = list(keys)
     gaps = dts_gaps(df, keys=keys, order=order)
     counts = gaps.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("n"))
-    heads = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
+    heads = [f for f in counts.schema.fields if f.name in keys]
+    sums_schema = T.StructType([*heads, *T._parse_datatype_string("unit double, sum double, n double").fields])
+    shape = to_arrow_schema(sums_schema)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's sums, one vector with a place per rate for each key."""
-        total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).to_pydict()
-            owners = list(zip(*[table[k] for k in keys]))
-            first = {k: i for i, k in enumerate(dict.fromkeys(owners))}
-            owner = np.array([first[k] for k in owners])
-            secs, n = np.array(table["gap"], dtype=np.float64) * (num / den), np.array(table["n"], dtype=np.float64)
-            order_ = np.argsort(owner, kind="stable")
-            for part in np.array_split(order_, max(1, len(order_) // 4096)):
-                period = 1001 * 12.0 / units
-                off = secs[part, None] - np.rint(secs[part, None] / period) * period
-                used, at = np.unique(owner[part], return_index=True)
-                sums = np.add.reduceat(np.column_stack((off * off * n[part, None], n[part])), at, axis=0)
-                names = list(first)
-                for u, row in zip(used, sums, strict=True):
-                    total[names[u]] = total.get(names[u], 0) + row
-        rows = list(total.items())
-        columns = [pa.array([k[i] for k, _ in rows], counted.field(k_).type) for i, k_ in enumerate(keys)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], names=[*keys, "sums"])
-
-    def best_of(table: pa.Table) -> pa.Table:
-        """The rate with the least sum times rate, over the sums of all tasks."""
-        sums = np.stack(table["sums"].to_numpy()).sum(0)
-        fit = sums[:-1] * units
-        at = min(np.flatnonzero(fit == fit.min()), key=lambda i: units[i])
-        head = table.select(keys).slice(0, 1)
-        for name, value in (("unit", units[at]), ("fit", fit[at]), ("n", sums[-1])):
-            head = head.append_column(name, pa.array([float(value)], pa.float64()))
-        return head
-
-    counted = to_arrow_schema(counts.schema)
-    best = counts.mapInArrow(add_up, f"{heads}, sums array<double>").groupBy(*keys).applyInArrow(best_of, f"{heads}, unit double, fit double, n double")
+        """Sums of the rows that come together: all rates of a task's first and last stream, the best of the others."""
+        period, key, total, first = 1001 * 12.0 / units, None, None, True
+
+        def put(done: list[tuple[tuple, np.ndarray, bool]]) -> pa.RecordBatch:
+            columns: list[list] = [[] for _ in shape]
+            for k, sums, shared in done:
+                # Of equal fits the lowest rate, as below.
+                fit = sums[:-1] * units
+                at = np.arange(len(units)) if shared else [min(np.flatnonzero(fit == fit.min()), key=lambda i: units[i])]
+                for column, v in zip(columns, k):
+                    column.extend([v] * len(at))
+                for column, v in zip(columns[len(k):], (units[at], sums[at], np.full(len(at), sums[-1]))):
+                    column.extend(v.tolist())
+            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, shape)], schema=shape)
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch, done = whole.slice(start, 1024), []
+                # NaN as a key is one stream, as it is to Spark: the same object is equal in a tuple.
+                names = list(zip(*[[math.nan if v != v else v for v in batch[k].to_pylist()] for k in keys]))
+                secs, n = batch["gap"].to_numpy().astype(np.float64) * (num / den), batch["n"].to_numpy().astype(np.float64)
+                cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]]]
+                off = secs[:, None] - np.rint(secs[:, None] / period) * period
+                sums = np.add.reduceat(np.column_stack((off * off * n[:, None], n)), cuts, axis=0)
+                for i, row in zip(cuts, sums):
+                    if names[i] == key:
+                        total = total + row
+                        continue
+                    if key is not None:
+                        done.append((key, total, first))
+                        first = False
+                    key, total = names[i], row
+                if done:
+                    yield put(done)
+        if key is not None:
+            yield put([(key, total, True)])
+
+    ranged = counts.repartitionByRange(*keys, "gap").sortWithinPartitions(*keys, "gap")
+    sums = ranged.mapInArrow(add_up, sums_schema).groupBy(*keys, "unit").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    sums = sums.withColumn("fit", F.col("sum") * F.col("unit"))
+    least = F.min_by(F.struct("unit", "fit", "n"), F.struct("fit", "unit"))
+    best = sums.groupBy(*keys).agg(least.alias("__b")).select(*keys, "__b.unit", "__b.fit", "__b.n")
     limit = (2.0 * num / den) ** 2 * 1000 * 12 * 30
     out = best.withColumn("r_num", F.when(F.col("fit") < F.lit(limit) * F.col("n"), F.col("unit").cast("bigint")))
     span = df.groupBy(*keys).agg(

@@ -135,3 +135,52 @@ def test_long_streams_are_cut_by_their_rows(spark, monkeypatch):
     out = G.fold_stream(df, ["k"], "o", ["x"], summing(), "total bigint", rows=100).collect()
     named = [(str(k), o, x) for k, o, x in rows]
     assert len(out) == len(rows) and {(str(r.k), r.o, r.total) for r in out} == totals(named)
+
+
+def best_rate(times):
+    """The standard rate that the times of one stream fit best, by one sum per rate."""
+    import numpy as np
+
+    from mediaspark.operators.stats import rate_units
+
+    units = np.array(rate_units()[1:], dtype=np.float64)
+    gaps = [b - (times[0] if i == 0 else times[1]) for i, b in enumerate(times[1:])]
+    secs = np.array([g for g in gaps if g > 0]) / 1e6
+    if not len(secs):
+        return None
+    period = 12012.0 / units
+    fit = ((secs[:, None] - np.rint(secs[:, None] / period) * period) ** 2).sum(0) * units
+    return int(units[fit == fit.min()].min()) if fit.min() < 4e-12 * 360000 * len(secs) else None
+
+
+def test_frame_rates_hold_one_stream_at_a_time(spark, monkeypatch):
+    """A task held a vector of sums for each stream it met, and handed them all on."""
+    import pyarrow as pa
+
+    from mediaspark.operators import stats as S
+
+    rng = random.Random(13)
+    # Rates in Hz; the last one is far off any.
+    ticks = lambda hz, n, off=0: [round(i * 1e6 / hz) + rng.randint(-off, off) for i in range(n)]
+    times = {float("nan"): ticks(30000 / 1001, 2500), -1.0: ticks(24, 1500), 0.0: ticks(25, 1500, 9000)}
+    times |= {float(k): ticks(rng.choice([25, 50, 24000 / 1001, 15]), k % 7) for k in range(1, 90)}
+    rows = [(k, i, t, 40000) for k, ts in times.items() for i, t in enumerate(ts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k double, seq bigint, dts bigint, duration int")
+    used, cls = [], type(df)
+    real = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, f, *a, **b: used.append(f) or real(self, f, *a, **b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {str(r.k): r.r_num for r in S.estimate_frame_rate(df, keys=["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {str(k): best_rate(ts) for k, ts in times.items() if ts} and len(set(got.values())) > 3
+    # A task with 2,000 streams: little goes out, and the first of it early.
+    read = []
+    batches = (pa.RecordBatch.from_pydict({"k": [float(k)] * 3, "gap": [40000, 80000, 120000], "n": [1, 1, 2]}) for k in range(2000) if not read.append(k))
+    out = iter(used[0](batches))
+    size = next(out).nbytes
+    assert len(read) < 5 and size + sum(b.nbytes for b in out) < 500_000
